@@ -116,6 +116,119 @@ inventory AS (
 )"""
 
 
+
+def r(expr: str, digits: int) -> str:
+    """Half-up rounding, same form as the Spark side."""
+    k = f"CAST(1e{digits} AS DOUBLE)"
+    return f"(floor(({expr}) * {k} + CAST(0.5 AS DOUBLE)) / {k})"
+
+
+W4 = "(PARTITION BY facility_id, product_id ORDER BY snapshot_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+WS = "(PARTITION BY facility_id, product_id ORDER BY snapshot_date)"
+
+FEATURES = INVENTORY + f""",
+feat AS (
+  SELECT *,
+         avg(consumption) OVER {W4} AS avg_consumption_4w,
+         avg(received) OVER {W4} AS avg_received_4w,
+         avg(stockout) OVER {W4} AS stockout_rate_4w,
+         avg(below_safety) OVER {W4} AS below_safety_rate_4w
+  FROM inventory
+),
+featd AS (
+  SELECT *, least(CAST(60.0 AS DOUBLE),
+                  closing_stock / CASE WHEN avg_consumption_4w = 0 THEN CAST(1.0 AS DOUBLE) ELSE avg_consumption_4w END)
+            AS days_of_supply
+  FROM feat
+),
+sstats AS (
+  SELECT facility_id, product_id, CAST(date_trunc('week', order_date) AS DATE) AS snapshot_date,
+         avg(supplier_reliability) AS avg_supplier_reliability,
+         avg(delay_days) AS avg_delay_days,
+         avg(CAST(fulfilled AS INTEGER)) AS fulfillment_rate
+  FROM po GROUP BY ALL
+),
+mlds AS (
+  SELECT f.facility_id, f.product_id, f.snapshot_date, f.opening_stock, f.received, f.consumption,
+         f.closing_stock, f.safety_stock, f.stockout, f.below_safety, f.critical_item,
+         f.avg_consumption_4w, f.avg_received_4w, f.stockout_rate_4w, f.below_safety_rate_4w, f.days_of_supply,
+         CAST(greatest(coalesce(lead(f.stockout, 1) OVER (PARTITION BY f.facility_id, f.product_id ORDER BY f.snapshot_date), 0),
+                       coalesce(lead(f.stockout, 2) OVER (PARTITION BY f.facility_id, f.product_id ORDER BY f.snapshot_date), 0))
+              AS INTEGER) AS stockout_next_14d,
+         s.avg_supplier_reliability, s.avg_delay_days, s.fulfillment_rate,
+         CAST(weekofyear(f.snapshot_date) AS INTEGER) AS week_of_year,
+         CAST(140 + 20 * n.n_nationkey AS BIGINT) AS facility_beds
+  FROM featd f
+  LEFT JOIN sstats s ON s.facility_id = f.facility_id AND s.product_id = f.product_id AND s.snapshot_date = f.snapshot_date
+  LEFT JOIN nation n ON n.n_nationkey = f.facility_id
+),
+scored AS (
+  SELECT *, floor(CAST(1e4 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + days_of_supply) + CAST(0.5 AS DOUBLE)) / CAST(1e4 AS DOUBLE) AS risk_score
+  FROM mlds
+),
+test_split AS (SELECT * FROM scored WHERE snapshot_date >= DATE '2000-01-01'),
+train_split AS (SELECT * FROM mlds WHERE snapshot_date < DATE '2000-01-01')"""
+
+
+def level(s: str) -> str:
+    return (f"CASE WHEN {s} > CAST(-0.001 AS DOUBLE) AND {s} <= CAST(0.25 AS DOUBLE) THEN 'Low' "
+            f"WHEN {s} > CAST(0.25 AS DOUBLE) AND {s} <= CAST(0.55 AS DOUBLE) THEN 'Medium' "
+            f"WHEN {s} > CAST(0.55 AS DOUBLE) AND {s} <= CAST(1.001 AS DOUBLE) THEN 'High' END")
+
+
+_LAST = ["snapshot_date", "opening_stock", "received", "consumption", "closing_stock", "safety_stock",
+         "stockout", "below_safety", "critical_item", "avg_consumption_4w", "avg_received_4w",
+         "stockout_rate_4w", "below_safety_rate_4w", "days_of_supply", "stockout_next_14d",
+         "avg_supplier_reliability", "avg_delay_days", "fulfillment_rate", "week_of_year", "facility_beds"]
+
+CURRENT = FEATURES + """,
+imputed AS (
+  SELECT * REPLACE (
+    coalesce(avg_supplier_reliability, (SELECT median(avg_supplier_reliability) FROM mlds)) AS avg_supplier_reliability,
+    coalesce(avg_delay_days, (SELECT median(avg_delay_days) FROM mlds)) AS avg_delay_days,
+    coalesce(fulfillment_rate, (SELECT median(fulfillment_rate) FROM mlds)) AS fulfillment_rate)
+  FROM mlds
+),
+latest AS (
+  SELECT facility_id, product_id, """ + ",\n         ".join(
+    f"arg_max({c}, snapshot_date) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _LAST) + """
+  FROM imputed GROUP BY facility_id, product_id
+),
+cur AS (
+  SELECT * REPLACE (CAST(critical_item AS INTEGER) AS critical_item),
+         floor(CAST(1e4 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + days_of_supply) + CAST(0.5 AS DOUBLE)) / CAST(1e4 AS DOUBLE) AS risk_score
+  FROM latest
+),
+current AS (SELECT *, """ + level("risk_score") + """ AS risk_level FROM cur),
+fac AS (
+  SELECT n.n_nationkey AS facility_id, n.n_name AS facility_name, r.r_name AS region,
+         CAST(140 + 20 * n.n_nationkey AS BIGINT) AS facility_beds
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+),
+prod AS (
+  SELECT DISTINCT p_type AS product_id, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS product_name,
+         CASE WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'SIZE' ELSE 'TIER' END AS category
+  FROM part
+)"""
+
+# score table for the evaluation keys (test split)
+SCORES = CURRENT + """,
+st AS (
+  SELECT risk_score AS score, CAST(sum(stockout_next_14d) AS BIGINT) AS pos,
+         CAST(sum(1 - stockout_next_14d) AS BIGINT) AS neg
+  FROM test_split GROUP BY risk_score
+),
+stc AS (
+  SELECT *, CAST(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tp,
+            CAST(sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fp,
+            row_number() OVER (ORDER BY score DESC) - 1 AS idx,
+            (SELECT sum(pos) FROM st) AS P, (SELECT sum(neg) FROM st) AS N
+  FROM st
+)"""
+
+K3 = "facility_id, product_id, snapshot_date"
+
+
 def _with(ctes: str, body: str) -> str:
     return "WITH " + ctes.strip() + "\n" + body
 
@@ -140,5 +253,261 @@ SELECT facility_id, product_id, snapshot_date, received, consumption, n_orders F
 SQL["inv_rollforward"] = _with(INVENTORY, "SELECT * FROM inventory")
 
 
+SQL["feat_rolling_4w"] = _with(FEATURES, f"""
+SELECT {K3}, avg_consumption_4w, avg_received_4w, stockout_rate_4w, below_safety_rate_4w FROM featd""")
+
+SQL["feat_days_of_supply"] = _with(FEATURES, f"""
+SELECT {K3}, closing_stock, avg_consumption_4w, days_of_supply FROM featd""")
+
+SQL["feat_lags"] = _with(FEATURES, f"""
+SELECT {K3}, days_of_supply,
+       lag(days_of_supply, 1) OVER {WS} AS dos_lag_1w,
+       lag(days_of_supply, 2) OVER {WS} AS dos_lag_2w,
+       lag(days_of_supply, 4) OVER {WS} AS dos_lag_4w,
+       days_of_supply - lag(days_of_supply, 2) OVER {WS} AS dos_trend_2w
+FROM featd""")
+
+SQL["feat_dos_rolling"] = _with(FEATURES, f"""
+SELECT {K3}, {r(f"avg(days_of_supply) OVER {W4}", 9)} AS dos_mean_4w,
+       {r(f"stddev_samp(days_of_supply) OVER {W4}", 9)} AS dos_std_4w,
+       CAST(sum(stockout) OVER {W4} AS BIGINT) AS stockout_count_4w
+FROM featd""")
+
+SQL["feat_calendar"] = _with(PO, """
+SELECT order_id, line_number, order_date,
+       CAST(weekofyear(order_date) AS INTEGER) AS week_of_year,
+       CAST(month(order_date) AS INTEGER) AS month,
+       CAST(quarter(order_date) = 4 AS INTEGER) AS q4_flag,
+       CAST(date_trunc('week', order_date) AS DATE) AS order_week,
+       CAST(date_trunc('month', order_date) AS DATE) AS order_month
+FROM po""")
+
+SQL["feat_procurement_28d"] = _with(INVENTORY, f"""
+SELECT i.facility_id, i.product_id, i.snapshot_date,
+       count(p.order_key) AS po_count_28d,
+       CAST(coalesce(sum(p.quantity_ordered), 0) AS BIGINT) AS units_ordered_28d,
+       {r("sum(p.quantity_received / p.quantity_ordered) / nullif(count(p.order_key), 0)", 9)} AS avg_fill_rate_28d,
+       sum(p.delay_days) / nullif(count(p.order_key), 0) AS avg_delay_28d,
+       sum(CASE WHEN p.delay_days >= 5 THEN 1 ELSE 0 END) / nullif(count(p.order_key), 0) AS severe_share_28d
+FROM inventory i
+LEFT JOIN po p ON p.facility_id = i.facility_id AND p.product_id = i.product_id
+ AND p.order_date >= i.snapshot_date - 28 AND p.order_date <= i.snapshot_date - 1
+GROUP BY i.facility_id, i.product_id, i.snapshot_date""")
+
+SQL["supplier_stats"] = _with(FEATURES, f"""
+SELECT {K3}, {r("avg_supplier_reliability", 9)} AS avg_supplier_reliability, avg_delay_days, fulfillment_rate
+FROM sstats""")
+
+SQL["feat_supplier_join"] = _with(FEATURES, f"""
+SELECT i.facility_id, i.product_id, i.snapshot_date, i.closing_stock,
+       {r("s.avg_supplier_reliability", 9)} AS avg_supplier_reliability, s.avg_delay_days, s.fulfillment_rate
+FROM inventory i LEFT JOIN sstats s
+  ON s.facility_id = i.facility_id AND s.product_id = i.product_id AND s.snapshot_date = i.snapshot_date""")
+
+SQL["enrich_dims"] = _with(CURRENT, """
+SELECT p.order_id, p.line_number, p.facility_id, f.facility_name, f.region, f.facility_beds,
+       p.product_id, d.product_name, p.category, p.critical_item, p.supplier_id, s.s_name AS supplier_name,
+       p.supplier_reliability
+FROM po p
+LEFT JOIN fac f ON f.facility_id = p.facility_id
+LEFT JOIN prod d ON d.product_id = p.product_id
+LEFT JOIN supplier s ON s.s_suppkey = p.supplier_id""")
+
+SQL["label_next_14d"] = _with(FEATURES, f"""
+SELECT {K3}, stockout, stockout_next_14d FROM mlds""")
+
+SQL["label_reorder_14d"] = _with(INVENTORY, f"""
+SELECT {K3}, closing_stock, safety_stock, b AS below_reorder_30,
+       CAST(greatest(coalesce(lead(b, 1) OVER {WS}, 0), coalesce(lead(b, 2) OVER {WS}, 0)) AS INTEGER) AS stockout_reorder_14d
+FROM (SELECT *, CAST(closing_stock * 100 < 30 * safety_stock AS INTEGER) AS b FROM inventory)""")
+
+SQL["distinct_dates"] = _with(PO, "SELECT DISTINCT order_date FROM po ORDER BY order_date")
+
+SQL["risk_current"] = _with(CURRENT, f"""
+SELECT facility_id, product_id, snapshot_date, closing_stock, stockout, critical_item, days_of_supply,
+       stockout_rate_4w, {r("avg_supplier_reliability", 9)} AS avg_supplier_reliability, avg_delay_days,
+       fulfillment_rate, facility_beds, week_of_year, risk_score, risk_level
+FROM current""")
+
+SQL["risk_level"] = _with(CURRENT, "SELECT facility_id, product_id, risk_score, risk_level FROM current")
+
+SQL["facility_summary"] = _with(CURRENT, f"""
+SELECT c.facility_id, c.high_risk_items, c.medium_risk_items, {r("c.m", 6)} AS mean_risk_score,
+       c.critical_stockouts, c.critical_risk_items, f.facility_name, f.facility_beds
+FROM (SELECT facility_id, count_if(risk_level = 'High') AS high_risk_items,
+             count_if(risk_level = 'Medium') AS medium_risk_items, avg(risk_score) AS m,
+             CAST(sum(CASE WHEN critical_item = 1 THEN stockout ELSE 0 END) AS BIGINT) AS critical_stockouts,
+             count_if(risk_score > CAST(0.8 AS DOUBLE)) AS critical_risk_items
+      FROM current GROUP BY facility_id) c
+LEFT JOIN fac f ON f.facility_id = c.facility_id
+ORDER BY c.m DESC, c.facility_id""")
+
+SQL["risk_query"] = _with(CURRENT, f"""
+SELECT facility_id, product_id, closing_stock, {r("days_of_supply", 1)} AS days_of_supply,
+       {r("risk_score", 4)} AS risk_score, risk_level, critical_item, stockout_rate_4w, avg_delay_days
+FROM current ORDER BY risk_score DESC, facility_id, product_id LIMIT 100""")
+
+SQL["alerts"] = _with(CURRENT, f"""
+SELECT (SELECT count(*) FROM current WHERE risk_level = 'High' AND critical_item = 1) AS total_alerts,
+       c.facility_id, f.facility_name, c.product_id, d.product_name, {r("c.risk_score", 4)} AS risk_score,
+       c.closing_stock, {r("c.days_of_supply", 1)} AS days_of_supply, c.avg_delay_days, c.stockout_rate_4w
+FROM current c
+LEFT JOIN fac f ON f.facility_id = c.facility_id
+LEFT JOIN prod d ON d.product_id = c.product_id
+WHERE c.risk_level = 'High' AND c.critical_item = 1
+ORDER BY c.risk_score DESC, c.facility_id, c.product_id LIMIT 50""")
+
+SQL["stat_strip"] = _with(CURRENT, f"""
+SELECT count(*) AS items_monitored, count_if(critical_item = 1) AS critical_items,
+       count_if(risk_level = 'High') AS high_risk_items,
+       count_if(risk_score > CAST(0.8 AS DOUBLE)) AS critical_risk_items,
+       {r("avg(risk_score)", 6)} AS mean_risk_score
+FROM current""")
+
+SQL["supplier_facility_alerts"] = _with(PO, f"""
+SELECT supplier_id, facility_id, n_orders, on_time_orders, {r("rate", 4)} AS on_time_rate,
+       {r("ad", 2)} AS avg_delay_days, severe_delays
+FROM (SELECT supplier_id, facility_id, count(*) AS n_orders, count_if(delay_days = 0) AS on_time_orders,
+             count_if(delay_days = 0) / count(*) AS rate, avg(delay_days) AS ad,
+             count_if(delay_days >= 5) AS severe_delays
+      FROM po GROUP BY supplier_id, facility_id)
+WHERE rate < CAST(0.8 AS DOUBLE)""")
+
+SQL["risk_search"] = _with(CURRENT, f"""
+SELECT c.facility_id, c.product_id, d.product_name, d.category, {r("c.risk_score", 4)} AS risk_score, c.risk_level
+FROM current c LEFT JOIN prod d ON d.product_id = c.product_id
+WHERE d.category = 'SIZE' AND contains(lower(d.product_name), 'al')""")
+
+SQL["category_stockout_rate"] = _with(INVENTORY, f"""
+, rate AS (
+  SELECT b.category, avg(i.stockout) AS rt
+  FROM inventory i LEFT JOIN (SELECT DISTINCT product_id, category, critical_item FROM po) b
+    ON b.product_id = i.product_id AND b.critical_item = i.critical_item
+  GROUP BY b.category)
+SELECT category, {r("rt", 6)} AS stockout_rate,
+       CAST(rt > (SELECT median(rt) FROM rate) AS INTEGER) AS above_median
+FROM rate""")
+
+SQL["facility_risk_summary"] = _with(FEATURES, f"""
+SELECT facility_id, {r("avg(stockout_next_14d)", 6)} AS actual_stockout_rate,
+       {r("avg(risk_score)", 6)} AS predicted_risk_score, count(stockout_next_14d) AS n_samples
+FROM test_split GROUP BY facility_id""")
+
+SQL["split_temporal"] = _with(INVENTORY, f"""
+SELECT {K3}, CASE WHEN snapshot_date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split
+FROM inventory""")
+
+SQL["split_80_20"] = _with(INVENTORY, """
+, per AS (SELECT snapshot_date AS d, count(*) AS n FROM inventory GROUP BY 1),
+cum AS (SELECT d, sum(n) OVER (ORDER BY d) AS c, sum(n) OVER () AS t FROM per),
+cut AS (SELECT min(d) AS cutoff_date, CAST(any_value(t) AS BIGINT) AS total_rows FROM cum WHERE c * 100 >= 80 * t)
+SELECT cutoff_date, total_rows, (SELECT count(*) FROM inventory WHERE snapshot_date < cutoff_date) AS train_rows
+FROM cut""")
+
+SQL["class_balance"] = _with(FEATURES, """
+SELECT count_if(stockout_next_14d = 1) AS n_pos, count_if(stockout_next_14d = 0) AS n_neg,
+       avg(stockout_next_14d) AS positive_rate,
+       count_if(stockout_next_14d = 0) / nullif(count_if(stockout_next_14d = 1), 0) AS pos_weight
+FROM train_split""")
+
+SQL["class_weights"] = _with(FEATURES, f"""
+SELECT {K3}, stockout_next_14d,
+       CASE WHEN stockout_next_14d = 1
+            THEN (SELECT count_if(stockout_next_14d = 0) / nullif(count_if(stockout_next_14d = 1), 0) FROM train_split)
+            ELSE CAST(1.0 AS DOUBLE) END AS weight
+FROM train_split""")
+
+SQL["eval_confusion"] = _with(FEATURES, """
+, c AS (SELECT stockout_next_14d AS a, CAST(risk_score >= CAST(0.3 AS DOUBLE) AS INTEGER) AS p FROM test_split),
+cells AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(actual, predicted))
+SELECT cells.actual, cells.predicted,
+       (SELECT count(*) FROM c WHERE c.a = cells.actual AND c.p = cells.predicted) AS n
+FROM cells""")
+
+_REPORT = """
+, c AS (
+  SELECT count_if(y = 0 AND NOT pr) AS tn, count_if(y = 0 AND pr) AS fp,
+         count_if(y = 1 AND NOT pr) AS fn, count_if(y = 1 AND pr) AS tp
+  FROM (SELECT stockout_next_14d AS y, risk_score >= CAST(0.3 AS DOUBLE) AS pr FROM test_split)),
+m AS (
+  SELECT coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0, tn + fp AS s0,
+         coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1, tp + fn AS s1,
+         coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0) AS acc, tp + tn + fp + fn AS n
+  FROM c),
+m2 AS (
+  SELECT *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1 FROM m),
+rows_ AS (
+  SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM m2
+  UNION ALL SELECT '1', p1, r1, f1, s1 FROM m2
+  UNION ALL SELECT 'accuracy', acc, acc, acc, n FROM m2
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM m2
+  UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n FROM m2)
+"""
+SQL["eval_report"] = _with(FEATURES, _REPORT + f"""
+SELECT class, {r("precision", 10)} AS precision, {r("recall", 10)} AS recall, {r("f1_score", 10)} AS f1_score, support
+FROM rows_""")
+
+SQL["eval_auc"] = _with(SCORES, """
+SELECT CAST(sum(pos * (2 * (N - fp) + neg)) AS DOUBLE) / (CAST(2.0 AS DOUBLE) * any_value(P) * any_value(N)) AS roc_auc,
+       CAST(any_value(P) AS BIGINT) AS positives, CAST(any_value(N) AS BIGINT) AS negatives
+FROM stc""")
+
+SQL["eval_average_precision"] = _with(SCORES, f"""
+SELECT {r("sum(CAST(pos AS DOUBLE) / P * (tp / (tp + fp)))", 10)} AS average_precision FROM stc""")
+
+SQL["eval_roc_points"] = _with(SCORES, """
+, nb AS (
+  SELECT *, lag(tp) OVER (ORDER BY idx) AS tp_prev, lag(fp) OVER (ORDER BY idx) AS fp_prev,
+            lead(tp) OVER (ORDER BY idx) AS tp_next, lead(fp) OVER (ORDER BY idx) AS fp_next
+  FROM stc)
+SELECT fp / N AS fpr, tp / P AS tpr, score AS threshold FROM nb
+WHERE tp_prev IS NULL OR tp_next IS NULL
+   OR (fp_next - fp) <> (fp - fp_prev) OR (tp_next - tp) <> (tp - tp_prev)
+UNION ALL
+SELECT CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST('inf' AS DOUBLE)""")
+
+SQL["eval_pr_points"] = _with(SCORES, """
+SELECT tp / (tp + fp) AS precision, tp / P AS recall, score AS threshold
+FROM stc WHERE idx <= (SELECT min(idx) FROM stc WHERE tp = P)
+UNION ALL SELECT CAST(1.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE)""")
+
+SQL["eval_tune_threshold"] = _with(SCORES, """
+SELECT score AS threshold, tp, tp + fp AS predicted, CAST(P AS BIGINT) AS positives,
+       tp / (tp + fp) AS precision, tp / P AS recall
+FROM stc WHERE tp * 100 >= 60 * (tp + fp)
+ORDER BY tp DESC, tp / (tp + fp) DESC, score DESC LIMIT 1""")
+
+SQL["eval_cv_recall"] = _with(FEATURES, f"""
+, per AS (
+  SELECT (facility_id * 6 + length(product_id)) % 5 AS fold,
+         count_if(stockout_next_14d = 1 AND risk_score >= CAST(0.3 AS DOUBLE))
+           / nullif(count_if(stockout_next_14d = 1), 0) AS rc
+  FROM scored GROUP BY 1)
+SELECT {r("avg(rc)", 6)} AS mean_recall, {r("stddev_samp(rc)", 6)} AS std_recall, count(*) AS n_folds FROM per""")
+
+SQL["impute_median"] = _with(FEATURES, f"""
+SELECT {K3},
+  {r("coalesce(avg_supplier_reliability, (SELECT median(avg_supplier_reliability) FROM mlds))", 9)} AS avg_supplier_reliability,
+  coalesce(avg_delay_days, (SELECT median(avg_delay_days) FROM mlds)) AS avg_delay_days,
+  coalesce(fulfillment_rate, (SELECT median(fulfillment_rate) FROM mlds)) AS fulfillment_rate
+FROM mlds""")
+
+
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if is HUGEINT; wrap every call in a BIGINT cast."""
+    out, i, tag = [], 0, "count_if("
+    while True:
+        j = sql.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tag)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k] + " AS BIGINT)")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: _bigint_count_if(v) for k, v in SQL.items()}

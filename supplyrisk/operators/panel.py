@@ -23,7 +23,7 @@ def weekly_flows(events: DataFrame, keys: Sequence[str], week: str = "week",
     """Sum flow events per (entity, week): the grouped aggregate behind the
     reference's per-cell mask-and-sum."""
     return (events.groupBy(*keys, week)
-                  .agg(*[F.sum(v).cast("bigint").alias(v) for v in values]))
+                  .agg(*[F.sum(v).alias(v) for v in values]))
 
 
 def calendar_bounds(flows: DataFrame, week: str = "week", active: str = "n_orders"):
@@ -45,15 +45,16 @@ def dense_calendar(flows: DataFrame, keys: Sequence[str], week: str = "week",
     start, end = calendar_bounds(flows, week)
     keys = list(keys)
     step = F.expr(f"INTERVAL {int(step_days)} DAYS")
+    types = dict(flows.dtypes)
     grid = (flows.select(*keys).distinct()
                  .select(*keys, F.explode(F.sequence(start, end, step)).alias(week),
-                         *[F.lit(0).cast("bigint").alias(v) for v in values]))
+                         *[F.lit(0).cast(types[v]).alias(v) for v in values]))
     sparse = flows.where(F.col(week).between(start, end)).select(*keys, week, *values)
     both = grid.unionByName(sparse)
     both = (both.repartition(num_partitions, *keys) if num_partitions
             else both.repartition(*keys))
     return (both.groupBy(*keys, week)
-                .agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
+                .agg(*[F.sum(v).alias(v) for v in values])
                 .withColumnRenamed(week, "snapshot_date"))
 
 
@@ -83,7 +84,7 @@ def roll_forward(df: DataFrame, keys: Sequence[str], opening: Column,
 
 
 def inventory_from_flows(dense: DataFrame, keys: Sequence[str], opening_weeks: Column,
-                         safety_weeks: float, critical: Column) -> DataFrame:
+                         safety_weeks: float, critical: Column, passthrough: Sequence[str] = ()) -> DataFrame:
     """Inventory snapshots: opening/closing stock, safety stock and flags.
 
     Opening stock and safety stock are whole weeks of the series' mean
@@ -101,4 +102,5 @@ def inventory_from_flows(dense: DataFrame, keys: Sequence[str], opening_weeks: C
         (F.col("closing_stock") == 0).cast("int").alias("stockout"),
         (F.col("closing_stock") < F.col("safety_stock")).cast("int").alias("below_safety"),
         critical.alias("critical_item"),
+        *passthrough,
     )

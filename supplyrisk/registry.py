@@ -31,9 +31,249 @@ def q_supplier_delays(spark, d):
 
 @query("inv_flows")
 def q_inv_flows(spark, d):
-    return td.dense_flows(spark, d)
+    return td.dense_flows(spark, d).select("facility_id", "product_id", "snapshot_date",
+                                           "received", "consumption", "n_orders")
 
 
 @query("inv_rollforward")
 def q_inv_rollforward(spark, d):
     return td.inventory_panel(spark, d)
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from supplyrisk.operators import dataset, evaluate, features, labels, risk, split  # noqa: E402
+
+K = ["facility_id", "product_id", "snapshot_date"]
+
+
+def _inv(spark, d):
+    return td.inventory_panel(spark, d)
+
+
+@query("feat_rolling_4w")
+def q_feat_rolling(spark, d):
+    return features.rolling_mean(_inv(spark, d)).select(*K, *features.ROLLING_4W.values())
+
+
+@query("feat_days_of_supply")
+def q_feat_dos(spark, d):
+    df = features.days_of_supply(features.rolling_mean(_inv(spark, d)))
+    return df.select(*K, "closing_stock", "avg_consumption_4w", "days_of_supply")
+
+
+def _dos_panel(spark, d):
+    return features.days_of_supply(features.rolling_mean(_inv(spark, d)))
+
+
+@query("feat_lags")
+def q_feat_lags(spark, d):
+    return features.lags(_dos_panel(spark, d)).select(
+        *K, "days_of_supply", "dos_lag_1w", "dos_lag_2w", "dos_lag_4w", "dos_trend_2w")
+
+
+@query("feat_dos_rolling")
+def q_feat_dos_rolling(spark, d):
+    from supplyrisk.functions.scalar import round_half_up
+    df = features.rolling_stats(_dos_panel(spark, d))
+    return df.select(*K, round_half_up("dos_mean_4w", 9).alias("dos_mean_4w"),
+                     round_half_up("dos_std_4w", 9).alias("dos_std_4w"), "stockout_count_4w")
+
+
+@query("feat_calendar")
+def q_feat_calendar(spark, d):
+    po = td.purchase_orders(spark, d)
+    return features.calendar(po, "order_date").select(
+        "order_id", "line_number", "order_date", "week_of_year", "month", "q4_flag", "order_week", "order_month")
+
+
+@query("feat_procurement_28d")
+def q_feat_proc(spark, d):
+    from supplyrisk.functions.scalar import round_half_up
+    df = features.procurement_lookback(_inv(spark, d), td.purchase_orders(spark, d))
+    return df.select(*K, "po_count_28d", "units_ordered_28d",
+                     round_half_up("avg_fill_rate_28d", 9).alias("avg_fill_rate_28d"),
+                     "avg_delay_28d", "severe_share_28d")
+
+
+@query("supplier_stats")
+def q_supplier_stats(spark, d):
+    from supplyrisk.functions.scalar import round_half_up
+    st = features.supplier_stats(td.purchase_orders(spark, d))
+    return st.select(*K, round_half_up("avg_supplier_reliability", 9).alias("avg_supplier_reliability"),
+                     "avg_delay_days", "fulfillment_rate")
+
+
+@query("feat_supplier_join")
+def q_feat_supplier_join(spark, d):
+    from supplyrisk.functions.scalar import round_half_up
+    j = features.join_supplier_stats(_inv(spark, d), features.supplier_stats(td.purchase_orders(spark, d)))
+    return j.select(*K, "closing_stock",
+                    round_half_up("avg_supplier_reliability", 9).alias("avg_supplier_reliability"),
+                    "avg_delay_days", "fulfillment_rate")
+
+
+@query("enrich_dims")
+def q_enrich_dims(spark, d):
+    po = td.purchase_orders(spark, d)
+    out = features.lookup(po, td.facilities(spark, d), "facility_id", ["facility_name", "region", "facility_beds"])
+    out = features.lookup(out, td.products(spark, d), "product_id", ["product_name"])
+    out = features.lookup(out, td.suppliers(spark, d), "supplier_id", ["supplier_name"])
+    return out.select("order_id", "line_number", "facility_id", "facility_name", "region", "facility_beds",
+                      "product_id", "product_name", "category", "critical_item", "supplier_id",
+                      "supplier_name", "supplier_reliability")
+
+
+@query("label_next_14d")
+def q_label(spark, d):
+    return labels.next_horizon(_inv(spark, d)).select(*K, "stockout", "stockout_next_14d")
+
+
+@query("label_reorder_14d")
+def q_label_reorder(spark, d):
+    return labels.reorder_horizon(_inv(spark, d)).select(
+        *K, "closing_stock", "safety_stock", "below_reorder_30", "stockout_reorder_14d")
+
+
+@query("distinct_dates")
+def q_distinct_dates(spark, d):
+    return td.purchase_orders(spark, d).select("order_date").distinct().orderBy("order_date")
+
+
+# ---- current state and reports ------------------------------------------------
+
+@query("risk_current")
+def q_risk_current(spark, d):
+    from supplyrisk.functions.scalar import round_half_up
+    cur = td.current_scored(spark, d)
+    return cur.select(
+        "facility_id", "product_id", "snapshot_date", "closing_stock", "stockout", "critical_item",
+        "days_of_supply", "stockout_rate_4w",
+        round_half_up("avg_supplier_reliability", 9).alias("avg_supplier_reliability"),
+        "avg_delay_days", "fulfillment_rate", "facility_beds", "week_of_year", "risk_score", "risk_level")
+
+
+@query("risk_level")
+def q_risk_level(spark, d):
+    return td.current_scored(spark, d).select("facility_id", "product_id", "risk_score", "risk_level")
+
+
+@query("facility_summary")
+def q_facility_summary(spark, d):
+    return report.facility_summary(td.current_scored(spark, d), td.facilities(spark, d),
+                                   critical_above=0.80, digits=6)
+
+
+@query("risk_query")
+def q_risk_query(spark, d):
+    return report.risk_query(td.current_scored(spark, d))
+
+
+@query("alerts")
+def q_alerts(spark, d):
+    return report.alerts(td.current_scored(spark, d), td.facilities(spark, d), td.products(spark, d))
+
+
+@query("stat_strip")
+def q_stat_strip(spark, d):
+    return report.stat_strip(td.current_scored(spark, d))
+
+
+@query("supplier_facility_alerts")
+def q_sup_fac_alerts(spark, d):
+    return report.supplier_facility_alerts(td.purchase_orders(spark, d))
+
+
+@query("risk_search")
+def q_risk_search(spark, d):
+    return report.risk_search(td.current_scored(spark, d), td.products(spark, d), category="SIZE", text="al")
+
+
+@query("category_stockout_rate")
+def q_category(spark, d):
+    return report.category_stockout_rate(_inv(spark, d), td.purchase_orders(spark, d))
+
+
+def _test_split(spark, d):
+    return split.by_date(td.scored_panel(spark, d), td.TEST_CUTOFF)[1]
+
+
+@query("facility_risk_summary")
+def q_facility_risk_summary(spark, d):
+    return report.facility_risk_summary(_test_split(spark, d))
+
+
+# ---- splits and evaluation ------------------------------------------------------
+
+@query("split_temporal")
+def q_split_temporal(spark, d):
+    return split.tag(_inv(spark, d), td.TEST_CUTOFF).select(*K, "split")
+
+
+@query("split_80_20")
+def q_split_80_20(spark, d):
+    inv = _inv(spark, d)
+    cut = split.fraction_cutoff(inv, 0.8)
+    c = cut.select("cutoff_date").scalar()
+    return cut.select("cutoff_date", "total_rows",
+                      inv.where(F.col("snapshot_date") < c).select(F.count(F.lit(1))).scalar().alias("train_rows"))
+
+
+@query("class_balance")
+def q_class_balance(spark, d):
+    train = split.by_date(td.ml_dataset(spark, d), td.TEST_CUTOFF)[0]
+    return evaluate.class_balance(train)
+
+
+@query("class_weights")
+def q_class_weights(spark, d):
+    train = split.by_date(td.ml_dataset(spark, d), td.TEST_CUTOFF)[0]
+    return evaluate.class_weights(train).select(*K, "stockout_next_14d", "weight")
+
+
+@query("eval_confusion")
+def q_eval_confusion(spark, d):
+    return evaluate.confusion(_test_split(spark, d))
+
+
+@query("eval_report")
+def q_eval_report(spark, d):
+    return evaluate.report(_test_split(spark, d))
+
+
+@query("eval_auc")
+def q_eval_auc(spark, d):
+    return evaluate.auc(_test_split(spark, d))
+
+
+@query("eval_average_precision")
+def q_eval_ap(spark, d):
+    return evaluate.average_precision(_test_split(spark, d))
+
+
+@query("eval_roc_points")
+def q_eval_roc(spark, d):
+    return evaluate.roc_points(_test_split(spark, d))
+
+
+@query("eval_pr_points")
+def q_eval_pr(spark, d):
+    return evaluate.pr_points(_test_split(spark, d))
+
+
+@query("eval_tune_threshold")
+def q_eval_tune(spark, d):
+    return evaluate.tune_threshold(_test_split(spark, d))
+
+
+@query("eval_cv_recall")
+def q_eval_cv(spark, d):
+    return evaluate.cv_recall(td.scored_panel(spark, d), td.fold_of_series())
+
+
+@query("impute_median")
+def q_impute(spark, d):
+    from supplyrisk.functions.scalar import round_half_up
+    ds = risk.impute_median(td.ml_dataset(spark, d))
+    return ds.select(*K, round_half_up("avg_supplier_reliability", 9).alias("avg_supplier_reliability"),
+                     "avg_delay_days", "fulfillment_rate")

@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 from supplyrisk.plans.materialize import materialize
 from supplyrisk.functions.scalar import int_floor, line_cost, padded_id, week_start
 
+FLOW_VALUES = ("received", "consumption", "n_orders", "sum_reliability", "sum_delay", "n_fulfilled")
+
 # Fixed values of the binding.
 CRITICAL_TYPES = ["ECONOMY", "SMALL", "PROMO"]
 PARTIAL_FRACTION = 0.6
+SIZE_TYPES = ["SMALL", "MEDIUM", "LARGE"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +113,7 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("supplier_id"),
+    return s.select(F.col("s_suppkey").alias("supplier_id"),  # noqa: E127
                     F.col("s_name").alias("supplier_name"),
                     supplier_reliability(F.col("s_suppkey")).alias("reliability"),
                     (F.lit(1) + F.col("s_suppkey") % 7).cast("double").alias("avg_lead_days"))
@@ -123,6 +126,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.avg("p_retailprice").alias("unit_cost"))
              .select("product_id",
                      F.initcap(F.col("product_id")).alias("product_name"),
+                     F.when(F.col("product_id").isin(SIZE_TYPES), F.lit("SIZE"))
+                      .otherwise(F.lit("TIER")).alias("category"),
                      F.col("product_id").isin(CRITICAL_TYPES).alias("critical_item"),
                      "unit_cost"))
 
@@ -134,15 +139,22 @@ def flow_events(po: DataFrame, keys=("facility_id", "product_id")) -> DataFrame:
     differs per facility.
     """
     consumed = int_floor(F.col("quantity_ordered") * (F.lit(78) + F.col("facility_id")) / F.lit(100.0))
+    zero = F.lit(0).cast("bigint")
     ev = F.explode(F.array(
         F.struct(week_start("order_date").alias("week"),
                  F.col("quantity_received").alias("received"),
-                 F.lit(0).cast("bigint").alias("consumption"),
-                 F.lit(1).cast("bigint").alias("n_orders")),
+                 zero.alias("consumption"),
+                 F.lit(1).cast("bigint").alias("n_orders"),
+                 F.col("supplier_reliability").alias("sum_reliability"),
+                 F.col("delay_days").alias("sum_delay"),
+                 F.col("fulfilled").cast("bigint").alias("n_fulfilled")),
         F.struct(week_start("ship_date").alias("week"),
-                 F.lit(0).cast("bigint").alias("received"),
+                 zero.alias("received"),
                  consumed.alias("consumption"),
-                 F.lit(0).cast("bigint").alias("n_orders")),
+                 zero.alias("n_orders"),
+                 F.lit(0.0).alias("sum_reliability"),
+                 zero.alias("sum_delay"),
+                 zero.alias("n_fulfilled")),
     )).alias("e")
     return po.select(*keys, ev).select(*keys, "e.*")
 
@@ -158,11 +170,12 @@ def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_
 
     po = purchase_orders(spark, sf_dir)
     # The flow table is read four times (bounds, entities, panel): write it once.
-    flows = materialize(P.weekly_flows(flow_events(po, keys), list(keys)))
-    return P.dense_calendar(flows, list(keys))
+    flows = materialize(P.weekly_flows(flow_events(po, keys), list(keys), values=FLOW_VALUES))
+    return P.dense_calendar(flows, list(keys), values=FLOW_VALUES)
 
 
-def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id")) -> DataFrame:
+def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
+                    passthrough=()) -> DataFrame:
     """Weekly inventory panel of the binding, rolled forward from flows."""
     from supplyrisk.operators import panel as P
 
@@ -172,4 +185,47 @@ def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "prod
         opening_weeks=opening_weeks(F.col("facility_id")),
         safety_weeks=2,
         critical=F.col("product_id").isin(CRITICAL_TYPES),
+        passthrough=passthrough,
     )
+
+
+def ml_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory panel + rolling features + supplier stats + beds + label."""
+    from supplyrisk.operators import dataset
+
+    inv = inventory_panel(spark, sf_dir, passthrough=("n_orders", "sum_reliability", "sum_delay", "n_fulfilled"))
+    return dataset.build(inv, facilities(spark, sf_dir))
+
+
+def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML dataset with the binding's deterministic score and its band."""
+    from supplyrisk.operators import risk
+
+    return risk.with_level(ml_dataset(spark, sf_dir).withColumn("risk_score", risk.formula_score()))
+
+
+# Temporal split of the binding (the panel runs 1995-2001).
+TEST_CUTOFF = "2000-01-01"
+CURRENT_COLUMNS = None
+
+
+def current_scored(spark: SparkSession, sf_dir: str, impute: bool = True) -> DataFrame:
+    """Current state per (facility, product) with score and band.
+
+    As the dashboard does: impute the supplier statistics with their
+    medians, take the last non-NULL value per column, score it, band it.
+    """
+    from supplyrisk.operators import risk
+
+    ds = ml_dataset(spark, sf_dir)
+    if impute:
+        # medians scan the table several times: write it once first
+        ds = materialize(ds)
+        ds = risk.impute_median(ds, risk.IMPUTE_COLUMNS)
+    cur = risk.current_state(ds).withColumn("critical_item", F.col("critical_item").cast("int"))
+    return risk.with_level(cur.withColumn("risk_score", risk.formula_score()))
+
+
+def fold_of_series():
+    """Deterministic 5-fold assignment by series."""
+    return (F.col("facility_id") * F.lit(6) + F.length("product_id")) % F.lit(5)
