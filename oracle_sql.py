@@ -493,6 +493,110 @@ SELECT {K3},
 FROM mlds""")
 
 
+SQL["src_csv_dates"] = _with(PO_DATES, """
+SELECT order_id, line_number, facility_id, product_id, supplier_id, supplier_reliability, order_date,
+       expected_delivery, actual_delivery, quantity_ordered, quantity_received, lead_days_planned, delay_days,
+       fulfilled, unit_cost_total
+FROM po_dates""")
+
+ORDERS_TEXT = """
+t AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CAST(o_custkey AS VARCHAR) AS customer_key,
+         o_totalprice AS price,
+         CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(1 + o_orderkey % 14 AS VARCHAR) || '-'
+           || CAST(day(o_orderdate) AS VARCHAR) AS order_date
+  FROM orders
+)"""
+
+SQL["ingest_typed"] = _with(ORDERS_TEXT, """
+SELECT TRY_CAST(order_key AS BIGINT) AS order_key, TRY_CAST(customer_key AS BIGINT) AS customer_key,
+       price AS total_price, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date,
+       CAST(try_strptime(order_date, '%Y-%m-%d') IS NULL AS INTEGER) AS cast_errors
+FROM t""")
+
+SQL["validate_dates"] = _with(ORDERS_TEXT, """
+SELECT 'order_date_parses' AS rule, count_if(try_strptime(order_date, '%Y-%m-%d') IS NULL) AS violations,
+       count(*) AS checked
+FROM t""")
+
+
+def _profile(source: str, cols: list[str], rel: str) -> str:
+    parts = [f"SELECT '{source}' AS source, '{c}' AS column_name, count(*) AS n_rows, "
+             f"count_if({c} IS NULL) AS n_nulls FROM {rel}" for c in cols]
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["ingest_profile"] = _with(INVENTORY + """,
+po_dates AS (SELECT *, order_date + CAST(lead_days_planned AS INTEGER) AS expected_delivery,
+                    order_date + CAST(lead_days_planned AS INTEGER) + CAST(delay_days AS INTEGER) AS actual_delivery,
+                    round(quantity_ordered * unit_cost, 2) AS unit_cost_total FROM po)""",
+    _profile("procurement", ["order_id", "facility_id", "product_id", "supplier_id", "order_date",
+                             "quantity_ordered", "unit_cost_total"], "po_dates") + "\nUNION ALL\n"
+    + _profile("deliveries", ["order_id", "expected_delivery", "actual_delivery", "quantity_received",
+                              "delay_days"], "po_dates") + "\nUNION ALL\n"
+    + _profile("inventory", ["facility_id", "product_id", "snapshot_date", "opening_stock", "received",
+                             "consumption", "closing_stock", "safety_stock", "stockout", "below_safety",
+                             "critical_item"], "inventory"))
+
+SQL["validate_rules"] = _with(PO, """
+SELECT 'quantity_ordered_positive' AS rule, count_if(NOT coalesce(quantity_ordered > 0, false)) AS violations,
+       count(*) AS checked FROM po
+UNION ALL SELECT 'quantity_received_non_negative', count_if(NOT coalesce(quantity_received >= 0, false)), count(*) FROM po
+UNION ALL SELECT 'fill_rate_in_unit_interval',
+       count_if(NOT coalesce(quantity_received / nullif(quantity_ordered, 0) BETWEEN 0 AND 1, false)), count(*) FROM po
+UNION ALL SELECT 'delay_days_non_negative', count_if(NOT coalesce(delay_days >= 0, false)), count(*) FROM po""")
+
+
+def _ri(child: str, ck: str, parent: str, pk: str, rule: str) -> str:
+    return (f"SELECT '{rule}' AS rule, count(*) AS violations, (SELECT count(*) FROM {child}) AS checked, "
+            f"min(CAST(c.{ck} AS VARCHAR)) AS example_key "
+            f"FROM {child} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{ck})")
+
+
+SQL["validate_ri"] = "\nUNION ALL\n".join([
+    _ri("lineitem", "l_orderkey", "orders", "o_orderkey", "lineitem.l_orderkey -> orders"),
+    _ri("orders", "o_custkey", "customer", "c_custkey", "orders.o_custkey -> customer"),
+    _ri("lineitem", "l_partkey", "part", "p_partkey", "lineitem.l_partkey -> part"),
+    _ri("lineitem", "l_suppkey", "supplier", "s_suppkey", "lineitem.l_suppkey -> supplier"),
+    _ri("documents", "doc_id", "labels", "doc_id", "documents.doc_id -> labels"),
+])
+
+SQL["validate_ri_orphans"] = """
+SELECT d.doc_id, d.lang, d.source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+SQL["star_dims"] = _with(CURRENT, """
+SELECT DISTINCT 'dim_facility' AS table_name, CAST(f.facility_id AS VARCHAR) AS member_key, f.facility_name AS label
+FROM fac f WHERE f.facility_id IN (SELECT facility_id FROM po)
+UNION ALL
+SELECT 'dim_product', d.product_id, d.product_name FROM prod d WHERE d.product_id IN (SELECT product_id FROM po)
+UNION ALL
+SELECT 'dim_supplier', CAST(s.s_suppkey AS VARCHAR), s.s_name FROM supplier s
+WHERE s.s_suppkey IN (SELECT supplier_id FROM po)
+UNION ALL
+SELECT 'dim_date', CAST(year(order_date) * 10000 + month(order_date) * 100 + day(order_date) AS VARCHAR),
+       strftime(order_date, '%Y-%m-%d')
+FROM (SELECT DISTINCT order_date FROM po)""")
+
+SQL["star_fact_po"] = _with(PO_DATES, """
+SELECT order_id, line_number, facility_id, product_id, supplier_id,
+       CAST(year(order_date) * 10000 + month(order_date) * 100 + day(order_date) AS INTEGER) AS date_key,
+       quantity_ordered, unit_cost_total, CAST(date_trunc('month', order_date) AS DATE) AS order_month
+FROM po_dates""")
+
+SQL["sink_json_metadata"] = _with(PO, """
+SELECT 'facilities' AS dimension, (SELECT count(*) FROM nation) AS members,
+       CAST(NULL AS VARCHAR) AS start, CAST(NULL AS VARCHAR) AS "end"
+UNION ALL SELECT 'suppliers', (SELECT count(*) FROM supplier), NULL, NULL
+UNION ALL SELECT 'products', (SELECT count(DISTINCT p_type) FROM part), NULL, NULL
+UNION ALL SELECT 'date_range', 1, strftime(min(order_date), '%Y-%m-%d'), strftime(max(order_date), '%Y-%m-%d') FROM po""")
+
+SQL["src_json_dims"] = """
+SELECT CAST(n.n_nationkey AS VARCHAR) AS facility_id, n.n_name AS facility_name,
+       CAST(140 + 20 * n.n_nationkey AS BIGINT) AS facility_beds, r.r_name AS region
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""
+
+
 def _bigint_count_if(sql: str) -> str:
     """DuckDB's count_if is HUGEINT; wrap every call in a BIGINT cast."""
     out, i, tag = [], 0, "count_if("

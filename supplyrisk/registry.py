@@ -277,3 +277,133 @@ def q_impute(spark, d):
     ds = risk.impute_median(td.ml_dataset(spark, d))
     return ds.select(*K, round_half_up("avg_supplier_reliability", 9).alias("avg_supplier_reliability"),
                      "avg_delay_days", "fulfillment_rate")
+
+
+# ---- ingest, validation, star schema, sinks --------------------------------------
+
+from supplyrisk.operators import star, validate  # noqa: E402
+from supplyrisk.sources import ingest, sinks  # noqa: E402
+
+EXPORT_COLUMNS = [f.name for f in ingest.ORDERS_SCHEMA.fields]
+
+
+@query("src_csv_dates")
+def q_src_csv(spark, d):
+    po = td.purchase_orders(spark, d).select(*EXPORT_COLUMNS)
+    path = sinks.write_csv(po, sinks.scratch(spark, "orders_csv"))
+    return ingest.read_csv(spark, path, ingest.ORDERS_SCHEMA)
+
+
+def _orders_text(spark, d):
+    """Orders export as text; the date text breaks for some rows (month 13-14, day 30 of Feb)."""
+    o = td.read(spark, d, "orders")
+    bad_date = F.format_string("%d-%d-%d", F.year("o_orderdate"), F.lit(1) + F.col("o_orderkey") % 14,
+                               F.dayofmonth("o_orderdate"))
+    return o.select(F.col("o_orderkey").cast("string").alias("order_key"),
+                    F.col("o_custkey").cast("string").alias("customer_key"),
+                    F.col("o_totalprice").cast("string").alias("total_price"),
+                    bad_date.alias("order_date"))
+
+
+@query("ingest_typed")
+def q_ingest_typed(spark, d):
+    from pyspark.sql import types as T
+    path = sinks.write_csv(_orders_text(spark, d), sinks.scratch(spark, "orders_text"))
+    raw = ingest.read_text_csv(spark, path, ["order_key", "customer_key", "total_price", "order_date"])
+    return ingest.typed(raw, {"order_key": T.LongType(), "customer_key": T.LongType(),
+                              "total_price": T.DoubleType(), "order_date": T.DateType()})
+
+
+PROFILE_PO = ["order_id", "facility_id", "product_id", "supplier_id", "order_date", "quantity_ordered",
+              "unit_cost_total"]
+PROFILE_DELIVERY = ["order_id", "expected_delivery", "actual_delivery", "quantity_received", "delay_days"]
+
+
+@query("ingest_profile")
+def q_ingest_profile(spark, d):
+    po = td.purchase_orders(spark, d)
+    return validate.union_all([
+        ingest.profile(po.select(*PROFILE_PO), "procurement"),
+        ingest.profile(po.select(*PROFILE_DELIVERY), "deliveries"),
+        ingest.profile(_inv(spark, d), "inventory"),
+    ])
+
+
+@query("validate_rules")
+def q_validate_rules(spark, d):
+    return validate.po_rules(td.purchase_orders(spark, d))
+
+
+@query("validate_dates")
+def q_validate_dates(spark, d):
+    return validate.date_rule(_orders_text(spark, d), "order_date")
+
+
+@query("validate_ri")
+def q_validate_ri(spark, d):
+    t = lambda n: td.read(spark, d, n)
+    return validate.union_all([
+        validate.ri_rule(t("lineitem"), t("orders"), "l_orderkey", "o_orderkey", "lineitem.l_orderkey -> orders"),
+        validate.ri_rule(t("orders"), t("customer"), "o_custkey", "c_custkey", "orders.o_custkey -> customer"),
+        validate.ri_rule(t("lineitem"), t("part"), "l_partkey", "p_partkey", "lineitem.l_partkey -> part"),
+        validate.ri_rule(t("lineitem"), t("supplier"), "l_suppkey", "s_suppkey", "lineitem.l_suppkey -> supplier"),
+        validate.ri_rule(t("documents"), t("labels"), "doc_id", "doc_id", "documents.doc_id -> labels"),
+    ])
+
+
+@query("validate_ri_orphans")
+def q_validate_ri_orphans(spark, d):
+    return validate.orphans(td.read(spark, d, "documents"), td.read(spark, d, "labels"), "doc_id") \
+                   .select("doc_id", "lang", "source")
+
+
+def _star(spark, d):
+    root = sinks.scratch(spark, "star")
+    return star.build(td.purchase_orders(spark, d), td.facilities(spark, d), td.products(spark, d),
+                      td.suppliers(spark, d), None, root)
+
+
+@query("star_dims")
+def q_star_dims(spark, d):
+    paths = _star(spark, d)
+    rd = spark.read.parquet
+    return validate.union_all([
+        rd(paths["dim_facility"]).select(F.lit("dim_facility").alias("table_name"),
+                                         F.col("facility_id").cast("string").alias("member_key"),
+                                         F.col("facility_name").alias("label")),
+        rd(paths["dim_product"]).select(F.lit("dim_product").alias("table_name"),
+                                        F.col("product_id").alias("member_key"),
+                                        F.col("product_name").alias("label")),
+        rd(paths["dim_supplier"]).select(F.lit("dim_supplier").alias("table_name"),
+                                         F.col("supplier_id").cast("string").alias("member_key"),
+                                         F.col("supplier_name").alias("label")),
+        rd(paths["dim_date"]).select(F.lit("dim_date").alias("table_name"),
+                                     F.col("date_key").cast("string").alias("member_key"),
+                                     F.date_format("date", "yyyy-MM-dd").alias("label")),
+    ])
+
+
+@query("star_fact_po")
+def q_star_fact_po(spark, d):
+    paths = _star(spark, d)
+    return spark.read.parquet(paths["fact_procurement"])
+
+
+def _metadata(spark, d):
+    po = td.purchase_orders(spark, d)
+    path = sinks.write_metadata(td.facilities(spark, d), td.suppliers(spark, d), td.products(spark, d),
+                                po.select(F.min("order_date")).scalar(), po.select(F.max("order_date")).scalar(),
+                                sinks.scratch(spark, "metadata"))
+    return ingest.read_metadata(spark, path)
+
+
+@query("sink_json_metadata")
+def q_sink_metadata(spark, d):
+    meta = _metadata(spark, d)
+    return meta.groupBy("dimension").agg(F.count(F.lit(1)).alias("members"), F.max("start").alias("start"),
+                                         F.max("end").alias("end"))
+
+
+@query("src_json_dims")
+def q_src_json_dims(spark, d):
+    return ingest.metadata_dimensions(_metadata(spark, d))["facilities"]
