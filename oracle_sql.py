@@ -597,6 +597,15 @@ SELECT CAST(n.n_nationkey AS VARCHAR) AS facility_id, n.n_name AS facility_name,
 FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""
 
 
+SQL["encode_labels"] = _with(INVENTORY, """
+SELECT 'facility_id' AS column_name, CAST(facility_id AS VARCHAR) AS value,
+       dense_rank() OVER (ORDER BY facility_id) - 1 AS code
+FROM (SELECT DISTINCT facility_id FROM inventory)
+UNION ALL
+SELECT 'product_id', product_id, dense_rank() OVER (ORDER BY product_id) - 1
+FROM (SELECT DISTINCT product_id FROM inventory)""")
+
+
 def _bigint_count_if(sql: str) -> str:
     """DuckDB's count_if is HUGEINT; wrap every call in a BIGINT cast."""
     out, i, tag = [], 0, "count_if("

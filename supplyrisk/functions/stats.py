@@ -16,6 +16,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def order_proxy(c: Column, dtype: str) -> Column:
+    """A numeric Column that never decreases as ``c`` increases.
+
+    Strings map to their first 7 UTF-8 bytes read as a big-endian integer
+    (Spark compares strings bytewise), dates to day numbers, timestamps to
+    microseconds, booleans to 0/1; numbers map to themselves.
+    """
+    if dtype == "string":
+        h = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7))
+        return F.conv(F.rpad(h, 14, "0"), 16, 10).cast("bigint")
+    if dtype == "date":
+        return F.unix_date(c)
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp"))
+    if dtype == "boolean":
+        return c.cast("int")
+    return c
+
+
 def _bucket_of(df: DataFrame, order: str, buckets: int, descending: bool) -> Column:
     """Bucket number from ``buckets - 1`` approximate quantile edges.
 
@@ -23,13 +42,14 @@ def _bucket_of(df: DataFrame, order: str, buckets: int, descending: bool) -> Col
     once and inlined as literals: Spark allows no subquery inside the
     higher-order ``filter``.
     """
+    proxy = order_proxy(F.col(order), dict(df.dtypes)[order])
     qs = [i / buckets for i in range(1, buckets)]
-    row = df.select(F.percentile_approx(order, qs, 10000).alias("e")).first()
+    row = df.select(F.percentile_approx(proxy, qs, 10000).alias("e")).first()
     vals = sorted(set(row["e"])) if row and row["e"] else []
     if not vals:
         return F.lit(0)
     edges = F.array(*[F.lit(x) for x in vals])
-    v = F.col(order)
+    v = proxy
     if descending:
         return F.size(F.filter(edges, lambda e: e > v))
     return F.size(F.filter(edges, lambda e: e < v))

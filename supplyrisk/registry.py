@@ -407,3 +407,92 @@ def q_sink_metadata(spark, d):
 @query("src_json_dims")
 def q_src_json_dims(spark, d):
     return ingest.metadata_dimensions(_metadata(spark, d))["facilities"]
+
+
+# ---- model: encoding, training, scoring, metrics ----------------------------------
+
+from supplyrisk.functions.stats import dense_index  # noqa: E402
+from supplyrisk.operators import model as gbm  # noqa: E402
+
+# Boosting rounds for the registered model keys (the library default is the
+# source pipeline's 400; a round here trains in seconds on a laptop).
+KEY_MAX_ITER = 20
+_MODELS: dict[tuple, str] = {}
+
+
+@query("encode_labels")
+def q_encode_labels(spark, d):
+    inv = _inv(spark, d)
+    fac = dense_index(inv, "facility_id", "code").select(
+        F.lit("facility_id").alias("column_name"), F.col("facility_id").cast("string").alias("value"), "code")
+    prod = dense_index(inv, "product_id", "code").select(
+        F.lit("product_id").alias("column_name"), F.col("product_id").alias("value"), "code")
+    return fac.unionByName(prod)
+
+
+def _trained(spark, d):
+    """Train on the split before the cutoff (imputed), save, load back."""
+    key = (d, KEY_MAX_ITER)
+    path = _MODELS.get(key)
+    if path is None:
+        ds = materialize(td.ml_dataset(spark, d))
+        ds = risk.impute_median(ds)
+        train_df = split.by_date(ds, td.TEST_CUTOFF)[0]
+        m = gbm.train(train_df, maxIter=KEY_MAX_ITER)
+        path = gbm.save(m, sinks.scratch(spark, "gbt_model"))
+        _MODELS[key] = path
+    return gbm.load(path)
+
+
+from supplyrisk.plans.materialize import materialize  # noqa: E402
+
+
+@query("ml_batch_score")
+def q_ml_batch_score(spark, d):
+    m = _trained(spark, d)
+    ds = risk.impute_median(materialize(td.ml_dataset(spark, d)))
+    cur = risk.current_state(ds)
+    scored = risk.with_level(gbm.score(m, cur))
+    return scored.select("facility_id", "product_id", "snapshot_date", "risk_score", "risk_level")
+
+
+@query("ml_importances")
+def q_ml_importances(spark, d):
+    return gbm.importances(_trained(spark, d))
+
+
+@query("ml_metrics_roundtrip")
+def q_ml_metrics(spark, d):
+    m = _trained(spark, d)
+    ds = risk.impute_median(materialize(td.ml_dataset(spark, d)))
+    train_df, test_df = split.by_date(ds, td.TEST_CUTOFF)
+    test = materialize(gbm.score(m, test_df))
+    rep = evaluate.report(test, threshold=gbm.DECISION_THRESHOLD, digits=None)
+    cm = evaluate.confusion(test, threshold=gbm.DECISION_THRESHOLD)
+    one = lambda df, c: df.select(c).scalar()
+    cls = lambda name, c: rep.where(F.col("class") == name).select(c).scalar()
+    cell = lambda a, p: cm.where((F.col("actual") == a) & (F.col("predicted") == p)).select("n").scalar()
+    metrics = spark.range(1).select(
+        F.round(one(evaluate.auc(test), "roc_auc"), 4).alias("roc_auc"),
+        F.round(one(evaluate.average_precision(test, digits=None), "average_precision"), 4).alias("average_precision"),
+        F.round(cls("1", "precision"), 4).alias("precision_pos"),
+        F.round(cls("1", "recall"), 4).alias("recall_pos"),
+        F.round(cls("1", "f1_score"), 4).alias("f1_pos"),
+        F.round(cls("accuracy", "precision"), 4).alias("accuracy"),
+        train_df.select(F.count(F.lit(1))).scalar().alias("train_samples"),
+        test.select(F.count(F.lit(1))).scalar().alias("test_samples"),
+        F.round(test.select(F.avg("stockout_next_14d")).scalar(), 4).alias("test_positive_rate"),
+        F.lit(td.TEST_CUTOFF).alias("test_cutoff"),
+        F.array(F.array(cell(0, 0), cell(0, 1)), F.array(cell(1, 0), cell(1, 1))).alias("confusion_matrix"),
+        F.lit(gbm.DECISION_THRESHOLD).alias("decision_threshold"),
+        F.array(*[F.lit(f) for f in dataset.FEATURES]).alias("features"))
+    path = sinks.write_metrics(metrics, sinks.scratch(spark, "metrics"))
+    return spark.read.schema(sinks.METRICS_SCHEMA).json(path)
+
+
+@query("json_records")
+def q_json_records(spark, d):
+    cur = td.current_scored(spark, d)
+    recs = sinks.json_records(report.risk_query(cur))
+    env = sinks.alerts_envelope(report.alerts(cur, td.facilities(spark, d), td.products(spark, d)))
+    return recs.unionByName(env)
