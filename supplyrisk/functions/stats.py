@@ -15,6 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from supplyrisk.plans.materialize import materialize
+
 
 def order_proxy(c: Column, dtype: str) -> Column:
     """A numeric Column that never decreases as ``c`` increases.
@@ -63,6 +65,9 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     row per distinct score).  ``rank_col`` gets the 0-based position.
     """
     values = list(values)
+    # The input is read three times (edges, bucket totals, inner sums):
+    # write it once; it is a grouped table, far smaller than the raw rows.
+    df = materialize(df)
     b = _bucket_of(df, order, buckets, descending)
     ordering = F.col(order).desc() if descending else F.col(order).asc()
     x = df.withColumn("_b", b)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyrisk.functions.scalar import month_start
+from supplyrisk.plans.materialize import materialize
 
 
 def date_key(c) -> "F.Column":
@@ -69,7 +70,11 @@ def write_fact(df: DataFrame, path: str, month_col: str, num_partitions: int | N
 
 def build(po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame,
           inventory: DataFrame | None, root: str) -> dict[str, str]:
-    """Write all tables under ``root``; returns table -> path."""
+    """Write all tables under ``root``; returns table -> path.
+
+    The order table feeds all seven writes, so it is written once first.
+    """
+    po = materialize(po)
     paths = {}
     for name, df in dims(po, facilities, products, suppliers).items():
         p = os.path.join(root, name)

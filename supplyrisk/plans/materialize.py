@@ -2,21 +2,45 @@
 
 A DataFrame that several branches of one plan read (e.g. the weekly flow
 table feeding the calendar bounds, the entity list and the panel) is
-written once with ``checkpoint()`` to the shared folder the cluster
-names in ``spark.checkpoint.dir``.  Unlike ``cache()`` this survives the
-loss of executors, and unlike ``localCheckpoint()`` it is not stored on
-executor-local disks.
+written once as a parquet table under the shared folder the cluster
+names in ``spark.checkpoint.dir`` and read back.  Compared with
+``Dataset.checkpoint()`` this is one job instead of two (the RDD
+checkpoint recomputes its input), the data is columnar and compressed,
+and later reads still get column pruning and filter pushdown.  Like a
+reliable checkpoint it survives the loss of executors; a
+``localCheckpoint`` or ``cache`` would not.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 
 from supplyrisk.session import checkpoint_dir
 
 
-def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
+def materialize(df: DataFrame, enabled: bool = True, name: str = "mat") -> DataFrame:
     if not enabled:
         return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Ensure a scan has at least ``min_partitions`` tasks.
+
+    A single large file with one parquet row group is read by one task,
+    and with broadcast joins the whole plan above it stays in that task.
+    Only in that case (fewer scan partitions than the cluster's default
+    parallelism) the rows are dealt round-robin; a scan of many files,
+    the normal case at scale, is returned unchanged, so this never adds
+    a shuffle of a large input.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

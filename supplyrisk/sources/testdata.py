@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplyrisk.plans.materialize import materialize
+from supplyrisk.plans.materialize import materialize, spread
 from supplyrisk.functions.scalar import int_floor, line_cost, padded_id, week_start
 
 FLOW_VALUES = ("received", "consumption", "n_orders", "sum_reliability", "sum_delay", "n_fulfilled")
@@ -33,8 +33,13 @@ PARTIAL_FRACTION = 0.6
 SIZE_TYPES = ["SMALL", "MEDIUM", "LARGE"]
 
 
+# Fact tables whose scan is spread when it would run as too few tasks.
+LARGE_TABLES = ("lineitem", "orders")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in LARGE_TABLES else df
 
 
 def supplier_reliability(supp) -> "F.Column":
