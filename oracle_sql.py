@@ -606,6 +606,52 @@ SELECT 'product_id', product_id, dense_rank() OVER (ORDER BY product_id) - 1
 FROM (SELECT DISTINCT product_id FROM inventory)""")
 
 
+SEASON = "(CAST(1.0 AS DOUBLE) + CAST(0.25 AS DOUBLE) * cos(CAST(2.0 * pi() AS DOUBLE) * (dayofyear({d}) - 355) / CAST(365.0 AS DOUBLE)))"
+
+SQL["proj_seasonal"] = _with(PO, f"""
+SELECT order_date, CAST(dayofyear(order_date) AS INTEGER) AS day_of_year,
+       {r(SEASON.format(d="order_date"), 12)} AS seasonal_multiplier
+FROM (SELECT DISTINCT order_date FROM po)""")
+
+SQL["proj_line_cost"] = _with(PO_DATES, """
+SELECT order_id, line_number, quantity_ordered, unit_cost, unit_cost_total FROM po_dates""")
+
+SQL["proj_delivery_dates"] = _with(PO_DATES, """
+SELECT order_id, line_number, order_date, lead_days_planned, delay_days, expected_delivery, actual_delivery,
+       strftime(expected_delivery, '%Y-%m-%d') AS expected_text, strftime(actual_delivery, '%Y-%m-%d') AS actual_text
+FROM po_dates""")
+
+SQL["proj_order_id"] = _with(PO, "SELECT DISTINCT order_key, order_id FROM po")
+
+SQL["proj_partial_receipt"] = _with(PO, """
+SELECT order_id, line_number, line_status, fulfilled, quantity_ordered, quantity_received, delay_days FROM po""")
+
+SQL["proj_safety_stock"] = _with(PO, f"""
+SELECT w.facility_id, w.week,
+       {r("(140 + 20 * w.facility_id) / CAST(300.0 AS DOUBLE)", 12)} AS facility_scale,
+       {r("(140 + 20 * w.facility_id) / CAST(300.0 AS DOUBLE) * " + SEASON.format(d="w.week"), 12)} AS demand_index,
+       CAST(floor((140 + 20 * w.facility_id) / CAST(300.0 AS DOUBLE) * CAST(60.0 AS DOUBLE)) AS BIGINT) AS safety_stock
+FROM (SELECT DISTINCT facility_id, CAST(date_trunc('week', order_date) AS DATE) AS week FROM po) w
+JOIN nation n ON n.n_nationkey = w.facility_id""")
+
+SQL["proj_delay_severity"] = _with(PO, """
+SELECT order_id, line_number, delay_days, CAST(delay_days >= 5 AS INTEGER) AS delay_severe,
+       CASE WHEN delay_days <= 0 THEN 'on_time' WHEN delay_days < 5 THEN 'late' ELSE 'severe' END AS delay_band
+FROM po""")
+
+SQL["proj_coverage_bucket"] = _with(FEATURES, f"""
+SELECT {K3}, days_of_supply,
+       CASE WHEN days_of_supply < 1 THEN 'lt_1w' WHEN days_of_supply < 2 THEN '1_2w'
+            WHEN days_of_supply < 4 THEN '2_4w' WHEN days_of_supply IS NOT NULL THEN 'ge_4w' END AS coverage_bucket
+FROM featd""")
+
+SQL["risk_query_filtered"] = _with(CURRENT, f"""
+SELECT facility_id, product_id, closing_stock, {r("days_of_supply", 1)} AS days_of_supply,
+       {r("risk_score", 4)} AS risk_score, risk_level, critical_item, stockout_rate_4w, avg_delay_days
+FROM current WHERE facility_id = 3 AND risk_level = 'Low' AND critical_item = 1
+ORDER BY risk_score DESC, facility_id, product_id LIMIT 100""")
+
+
 def _bigint_count_if(sql: str) -> str:
     """DuckDB's count_if is HUGEINT; wrap every call in a BIGINT cast."""
     out, i, tag = [], 0, "count_if("

@@ -496,3 +496,72 @@ def q_json_records(spark, d):
     recs = sinks.json_records(report.risk_query(cur))
     env = sinks.alerts_envelope(report.alerts(cur, td.facilities(spark, d), td.products(spark, d)))
     return recs.unionByName(env)
+
+
+# ---- projections over the order table -------------------------------------------
+
+from supplyrisk.functions import scalar as S  # noqa: E402
+
+
+@query("proj_seasonal")
+def q_proj_seasonal(spark, d):
+    dates = td.purchase_orders(spark, d).select("order_date").distinct()
+    return dates.select("order_date", F.dayofyear("order_date").alias("day_of_year"),
+                        S.round_half_up(S.seasonal_multiplier("order_date"), 12).alias("seasonal_multiplier"))
+
+
+@query("proj_line_cost")
+def q_proj_line_cost(spark, d):
+    return td.purchase_orders(spark, d).select("order_id", "line_number", "quantity_ordered", "unit_cost",
+                                               "unit_cost_total")
+
+
+@query("proj_delivery_dates")
+def q_proj_delivery_dates(spark, d):
+    po = td.purchase_orders(spark, d)
+    return po.select("order_id", "line_number", "order_date", "lead_days_planned", "delay_days",
+                     "expected_delivery", "actual_delivery",
+                     F.date_format("expected_delivery", "yyyy-MM-dd").alias("expected_text"),
+                     F.date_format("actual_delivery", "yyyy-MM-dd").alias("actual_text"))
+
+
+@query("proj_order_id")
+def q_proj_order_id(spark, d):
+    return td.purchase_orders(spark, d).select("order_key", "order_id").distinct()
+
+
+@query("proj_partial_receipt")
+def q_proj_partial_receipt(spark, d):
+    return td.purchase_orders(spark, d).select("order_id", "line_number", "line_status", "fulfilled",
+                                               "quantity_ordered", "quantity_received", "delay_days")
+
+
+@query("proj_safety_stock")
+def q_proj_safety_stock(spark, d):
+    """Facility scale beds/300, seasonal demand index and safety stock int(scale*60)."""
+    weeks = td.purchase_orders(spark, d).select("facility_id", S.week_start("order_date").alias("week")).distinct()
+    fac = td.facilities(spark, d)
+    j = weeks.join(fac.select("facility_id", "facility_beds"), "facility_id")
+    scale = F.col("facility_beds") / F.lit(300.0)
+    return j.select("facility_id", "week",
+                    S.round_half_up(scale, 12).alias("facility_scale"),
+                    S.round_half_up(scale * S.seasonal_multiplier("week"), 12).alias("demand_index"),
+                    S.int_floor(scale * F.lit(60.0)).alias("safety_stock"))
+
+
+@query("proj_delay_severity")
+def q_proj_delay_severity(spark, d):
+    po = td.purchase_orders(spark, d)
+    return po.select("order_id", "line_number", "delay_days", S.delay_severe("delay_days").alias("delay_severe"),
+                     S.delay_band("delay_days").alias("delay_band"))
+
+
+@query("proj_coverage_bucket")
+def q_proj_coverage_bucket(spark, d):
+    df = _dos_panel(spark, d)
+    return df.select(*K, "days_of_supply", S.coverage_bucket("days_of_supply").alias("coverage_bucket"))
+
+
+@query("risk_query_filtered")
+def q_risk_query_filtered(spark, d):
+    return report.risk_query(td.current_scored(spark, d), facility_id=3, risk_level="Low", critical_only="true")

@@ -89,3 +89,9 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("decision_threshold", T.DoubleType()),
     T.StructField("features", T.ArrayType(T.StringType())),
 ])
+
+
+def write_scores(scored: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Scores export: one JSON object per facility x product row."""
+    scored.write.mode(mode).json(path)
+    return path
