@@ -37,20 +37,34 @@ def order_proxy(c: Column, dtype: str) -> Column:
     return c
 
 
-def _bucket_of(df: DataFrame, order: str, buckets: int, descending: bool) -> Column:
+def _bucket_of(df: DataFrame, order: str, buckets: int, descending: bool,
+               partition_by: Sequence[str] = ()) -> Column:
     """Bucket number from ``buckets - 1`` approximate quantile edges.
 
-    The edges are a fixed-size array (independent of the data size) read
-    once and inlined as literals: Spark allows no subquery inside the
-    higher-order ``filter``.
+    The edges are a fixed-size array per group (independent of the data
+    size), read once and inlined as literals: Spark allows no subquery
+    inside the higher-order ``filter``.  With ``partition_by`` (one column)
+    each group gets its own edges, looked up from a literal map.
     """
     proxy = order_proxy(F.col(order), dict(df.dtypes)[order])
     qs = [i / buckets for i in range(1, buckets)]
-    row = df.select(F.percentile_approx(proxy, qs, 10000).alias("e")).first()
-    vals = sorted(set(row["e"])) if row and row["e"] else []
-    if not vals:
-        return F.lit(0)
-    edges = F.array(*[F.lit(x) for x in vals])
+    pct = F.percentile_approx(proxy, qs, 10000).alias("e")
+    if partition_by:
+        (g,) = partition_by
+        rows = df.groupBy(g).agg(pct).collect()
+        table = {r[g]: sorted(set(r["e"] or [])) for r in rows}
+        if not any(table.values()):
+            return F.lit(0)
+        pairs = []
+        for k, vals in table.items():
+            pairs += [F.lit(k), F.array(*[F.lit(x) for x in (vals or [0])])]
+        edges = F.element_at(F.create_map(*pairs), F.col(g))
+    else:
+        row = df.select(pct).first()
+        vals = sorted(set(row["e"])) if row and row["e"] else []
+        if not vals:
+            return F.lit(0)
+        edges = F.array(*[F.lit(x) for x in vals])
     v = proxy
     if descending:
         return F.size(F.filter(edges, lambda e: e > v))
@@ -58,30 +72,35 @@ def _bucket_of(df: DataFrame, order: str, buckets: int, descending: bool) -> Col
 
 
 def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
-                buckets: int = 64, prefix: str = "cum_", rank_col: str | None = "idx") -> DataFrame:
-    """Inclusive running sums of ``values`` along ``order`` over the whole frame.
-
-    ``order`` must be unique per row (run it on a grouped table, e.g. one
-    row per distinct score).  ``rank_col`` gets the 0-based position.
+                buckets: int = 64, prefix: str = "cum_", rank_col: str | None = "idx",
+                partition_by: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums of ``values`` along ``order`` over the whole frame
+    (or within each ``partition_by`` group, a single low-cardinality column).
+
+    ``order`` must be unique per row within a group (run it on a grouped
+    table, e.g. one row per distinct score).  ``rank_col`` gets the 0-based
+    position.
     """
     values = list(values)
+    part = list(partition_by)
     # The input is read three times (edges, bucket totals, inner sums):
     # write it once; it is a grouped table, far smaller than the raw rows.
     df = materialize(df)
-    b = _bucket_of(df, order, buckets, descending)
+    b = _bucket_of(df, order, buckets, descending, part)
     ordering = F.col(order).desc() if descending else F.col(order).asc()
     x = df.withColumn("_b", b)
-    tot = (x.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values],
-                              F.count(F.lit(1)).alias("_t_n")))
-    bw = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{v}").over(bw), F.lit(0)).alias(f"_o_{v}") for v in values],
+    tot = (x.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values],
+                                     F.count(F.lit(1)).alias("_t_n")))
+    bw = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part, "_b",
+                      *[F.coalesce(F.sum(f"_t_{v}").over(bw), F.lit(0)).alias(f"_o_{v}") for v in values],
                       F.coalesce(F.sum("_t_n").over(bw), F.lit(0)).alias("_o_n"))
-    iw = Window.partitionBy("_b").orderBy(ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    iw = Window.partitionBy(*part, "_b").orderBy(ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = x.withColumns({f"_i_{v}": F.sum(v).over(iw) for v in values})
     if rank_col:
-        inner = inner.withColumn("_i_n", F.row_number().over(Window.partitionBy("_b").orderBy(ordering)))
-    # ``offs`` has one row per bucket: a proven small side.
-    j = inner.join(F.broadcast(offs), "_b")
+        inner = inner.withColumn("_i_n", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(ordering)))
+    # ``offs`` has one row per (group, bucket): a proven small side.
+    j = inner.join(F.broadcast(offs), [*part, "_b"])
     cols = {f"{prefix}{v}": F.col(f"_o_{v}") + F.col(f"_i_{v}") for v in values}
     if rank_col:
         cols[rank_col] = F.col("_o_n") + F.col("_i_n") - F.lit(1)
@@ -114,3 +133,28 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int = 64) -
     lo = pos.where((F.col("cum__c") - F.col("_c") <= lo_k) & (lo_k < F.col("cum__c"))).select(F.max("_v")).scalar()
     hi = pos.where((F.col("cum__c") - F.col("_c") <= hi_k) & (hi_k < F.col("cum__c"))).select(F.max("_v")).scalar()
     return lo.cast("double") + (p - lo_k) * (hi.cast("double") - lo.cast("double"))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int = 64) -> dict[str, Column]:
+    """``exact_quantile`` for several columns in one pipeline.
+
+    The columns are stacked into (column, value) pairs, counted per
+    distinct value and positioned with one grouped ``prefix_sums``; each
+    result is a scalar Column over that one small written table.
+    """
+    cols = list(cols)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_v"))
+                                for c in cols])).alias("_p")
+    long = df.select(pairs).select("_p._g", "_p._v").where(F.col("_v").isNotNull())
+    counts = long.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    pos = prefix_sums(counts, "_v", ["_c"], buckets=buckets, rank_col=None, partition_by=["_g"])
+    out = {}
+    for c in cols:
+        pc = pos.where(F.col("_g") == c)
+        n = pc.select(F.max("cum__c")).scalar()
+        p = F.lit(float(q)) * (n - F.lit(1))
+        lo_k, hi_k = F.floor(p), F.ceil(p)
+        lo = pc.where((F.col("cum__c") - F.col("_c") <= lo_k) & (lo_k < F.col("cum__c"))).select(F.max("_v")).scalar()
+        hi = pc.where((F.col("cum__c") - F.col("_c") <= hi_k) & (hi_k < F.col("cum__c"))).select(F.max("_v")).scalar()
+        out[c] = lo + (p - lo_k) * (hi - lo)
+    return out

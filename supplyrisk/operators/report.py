@@ -111,9 +111,12 @@ def alerts(current: DataFrame, facility_dim: DataFrame, product_dim: DataFrame,
     """
     sel = current.where((F.col("risk_level") == level) & (F.col("critical_item").cast("int") == 1))
     total = sel.select(F.count(F.lit(1))).scalar()
-    named = (sel.join(facility_dim.select("facility_id", "facility_name"), "facility_id", "left")
-                .join(product_dim.select("product_id", "product_name"), "product_id", "left"))
-    top = named.orderBy(F.col("risk_score").desc(), "facility_id", "product_id").limit(limit)
+    order = [F.col("risk_score").desc(), F.col("facility_id"), F.col("product_id")]
+    # cut to the top rows first, then look up names for those rows only
+    top = (sel.orderBy(*order).limit(limit)
+              .join(facility_dim.select("facility_id", "facility_name"), "facility_id", "left")
+              .join(product_dim.select("product_id", "product_name"), "product_id", "left")
+              .orderBy(*order))
     return top.select(total.alias("total_alerts"), "facility_id", "facility_name", "product_id",
                       "product_name", round_half_up("risk_score", 4).alias("risk_score"),
                       "closing_stock", round_half_up("days_of_supply", 1).alias("days_of_supply"),

@@ -52,12 +52,11 @@ def impute_median(df: DataFrame, cols: Sequence[str] = IMPUTE_COLUMNS, exact: bo
     ``percentile_approx``.  ``fit_on`` takes the medians from another frame
     (e.g. the training split only, which avoids test leakage).
     """
-    from supplyrisk.functions.stats import exact_quantile
+    from supplyrisk.functions.stats import exact_quantiles
 
     src = fit_on if fit_on is not None else df
-    fills = {}
-    for c in cols:
-        med = (exact_quantile(src, c, 0.5) if exact
-               else src.select(F.percentile_approx(c, 0.5, 100000)).scalar())
-        fills[c] = F.coalesce(F.col(c), med)
-    return df.withColumns(fills)
+    if exact:
+        meds = exact_quantiles(src, cols, 0.5)
+    else:
+        meds = {c: src.select(F.percentile_approx(c, 0.5, 100000)).scalar() for c in cols}
+    return df.withColumns({c: F.coalesce(F.col(c), meds[c]) for c in cols})
