@@ -1,11 +1,15 @@
-"""Distributed order statistics: two-level prefix sums, global ranks, exact median.
+"""Distributed order statistics: two-level prefix sums, global ranks, exact quantiles.
 
 A running sum over a *global* order (no partition key) would move every
-row into one task.  Here rows are cut into ``buckets`` contiguous ranges
-of the order key using approximate quantiles (balanced bucket sizes even
-when values clump); the running sum runs inside each bucket
-(partitioned window), and each bucket adds the total of the buckets
-before it, a window over ``buckets`` rows only.  Exact for any input.
+row into one task.  Here the rows are range-partitioned on the order key
+(Spark samples the keys and places rows by binary search over the
+sampled bounds, so ranges are balanced), the partition id becomes the
+bucket and the table is written once, which pins it.  The running sum
+runs inside each bucket (a partitioned window) and each bucket adds the
+total of the buckets before it, a window over one row per bucket.  The
+bucket count follows ``spark.sql.shuffle.partitions``, which a cluster
+sizes to its data.  Exact for any input; inputs must be grouped so that
+the order key is unique (one row per distinct score or value).
 """
 
 from __future__ import annotations
@@ -18,77 +22,22 @@ from pyspark.sql import functions as F
 from supplyrisk.plans.materialize import materialize
 
 
-def order_proxy(c: Column, dtype: str) -> Column:
-    """A numeric Column that never decreases as ``c`` increases.
-
-    Strings map to their first 7 UTF-8 bytes read as a big-endian integer
-    (Spark compares strings bytewise), dates to day numbers, timestamps to
-    microseconds, booleans to 0/1; numbers map to themselves.
-    """
-    if dtype == "string":
-        h = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7))
-        return F.conv(F.rpad(h, 14, "0"), 16, 10).cast("bigint")
-    if dtype == "date":
-        return F.unix_date(c)
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp"))
-    if dtype == "boolean":
-        return c.cast("int")
-    return c
-
-
-def _bucket_of(df: DataFrame, order: str, buckets: int, descending: bool,
-               partition_by: Sequence[str] = ()) -> Column:
-    """Bucket number from ``buckets - 1`` approximate quantile edges.
-
-    The edges are a fixed-size array per group (independent of the data
-    size), read once and inlined as literals: Spark allows no subquery
-    inside the higher-order ``filter``.  With ``partition_by`` (one column)
-    each group gets its own edges, looked up from a literal map.
-    """
-    proxy = order_proxy(F.col(order), dict(df.dtypes)[order])
-    qs = [i / buckets for i in range(1, buckets)]
-    pct = F.percentile_approx(proxy, qs, 10000).alias("e")
-    if partition_by:
-        (g,) = partition_by
-        rows = df.groupBy(g).agg(pct).collect()
-        table = {r[g]: sorted(set(r["e"] or [])) for r in rows}
-        if not any(table.values()):
-            return F.lit(0)
-        pairs = []
-        for k, vals in table.items():
-            pairs += [F.lit(k), F.array(*[F.lit(x) for x in (vals or [0])])]
-        edges = F.element_at(F.create_map(*pairs), F.col(g))
-    else:
-        row = df.select(pct).first()
-        vals = sorted(set(row["e"])) if row and row["e"] else []
-        if not vals:
-            return F.lit(0)
-        edges = F.array(*[F.lit(x) for x in vals])
-    v = proxy
-    if descending:
-        return F.size(F.filter(edges, lambda e: e > v))
-    return F.size(F.filter(edges, lambda e: e < v))
-
-
 def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
-                buckets: int = 64, prefix: str = "cum_", rank_col: str | None = "idx",
+                buckets: int | None = None, prefix: str = "cum_", rank_col: str | None = "idx",
                 partition_by: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums of ``values`` along ``order`` over the whole frame
-    (or within each ``partition_by`` group, a single low-cardinality column).
+    (or within each ``partition_by`` group).
 
-    ``order`` must be unique per row within a group (run it on a grouped
-    table, e.g. one row per distinct score).  ``rank_col`` gets the 0-based
-    position.
+    ``rank_col`` gets the 0-based position in the order.
     """
     values = list(values)
     part = list(partition_by)
-    # The input is read three times (edges, bucket totals, inner sums):
-    # write it once; it is a grouped table, far smaller than the raw rows.
-    df = materialize(df)
-    b = _bucket_of(df, order, buckets, descending, part)
+    spark = df.sparkSession
+    n_b = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
     ordering = F.col(order).desc() if descending else F.col(order).asc()
-    x = df.withColumn("_b", b)
+    # Buckets are contiguous ranges of (groups, order); the id is pinned by the write.
+    x = materialize(df.repartitionByRange(n_b, *[F.col(c).asc() for c in part], ordering)
+                      .withColumn("_b", F.spark_partition_id()))
     tot = (x.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values],
                                      F.count(F.lit(1)).alias("_t_n")))
     bw = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +48,7 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     inner = x.withColumns({f"_i_{v}": F.sum(v).over(iw) for v in values})
     if rank_col:
         inner = inner.withColumn("_i_n", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(ordering)))
-    # ``offs`` has one row per (group, bucket): a proven small side.
+    # ``offs`` has one row per (group, bucket): its size is set by the bucket count, not the data.
     j = inner.join(F.broadcast(offs), [*part, "_b"])
     cols = {f"{prefix}{v}": F.col(f"_o_{v}") + F.col(f"_i_{v}") for v in values}
     if rank_col:
@@ -110,13 +59,13 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     return j.withColumns(cols).drop(*drop)
 
 
-def dense_index(df: DataFrame, col: str, out: str | None = None, buckets: int = 16) -> DataFrame:
+def dense_index(df: DataFrame, col: str, out: str | None = None, buckets: int | None = None) -> DataFrame:
     """Distinct values of ``col`` with their 0-based position in sorted order."""
     d = df.select(col).where(F.col(col).isNotNull()).distinct()
     return prefix_sums(d, col, [], buckets=buckets, rank_col=out or f"{col}_index")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int = 64) -> Column:
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int | None = None) -> Column:
     """Exact ``percentile(col, q)`` (linear interpolation, NULLs skipped) as a
     scalar Column, computed without gathering the column in one task.
 
@@ -135,7 +84,7 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int = 64) -
     return lo.cast("double") + (p - lo_k) * (hi.cast("double") - lo.cast("double"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int = 64) -> dict[str, Column]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None) -> dict[str, Column]:
     """``exact_quantile`` for several columns in one pipeline.
 
     The columns are stacked into (column, value) pairs, counted per

@@ -20,7 +20,7 @@ def _i(c: str) -> Column:
 
 
 def score_table(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_score",
-                buckets: int = 64) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """score, pos, neg, tp, fp (counts at threshold >= score), idx (0 = top)."""
     st = (df.groupBy(F.col(score).alias("score"))
             .agg(F.sum(_i(label)).cast("bigint").alias("pos"),

@@ -69,8 +69,10 @@ def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     c = read(spark, sf_dir, "customer")
     p = read(spark, sf_dir, "part")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(c, o.o_custkey == c.c_custkey)
+    # orders x customer first: the customer-key shuffle then moves order
+    # headers, not order lines (Spark keeps the written join order).
+    oc = o.join(c, o.o_custkey == c.c_custkey)
+    j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey))
     qty = int_floor(F.col("l_quantity"))
     fulfilled = F.col("l_returnflag") != F.lit("R")
