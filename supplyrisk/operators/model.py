@@ -101,7 +101,7 @@ def cross_validate_recall(df: DataFrame, fold: Column, k: int = 5, features: Seq
     parts = []
     for f in range(k):
         m = train(data.where(F.col("_fold") != f), features, label, **params)
-        parts.append(score(m, data.where(F.col("_fold") == f)))
+        parts.append(score(m, data.where(F.col("_fold") == f), features))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)

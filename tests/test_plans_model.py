@@ -55,3 +55,31 @@ def test_model_beats_base_rate_and_save_load(spark, tmp_path):
     imp = gbm.importances(m, feats).collect()
     assert len(imp) == 3 and imp[-1].feature in ("closing_stock", "days_of_supply")
     assert dict(scored.dtypes)["critical_item"] == "boolean"
+
+
+AUDIT_KEYS = ["supplier_delays", "inv_rollforward", "feat_procurement_28d", "label_reorder_14d",
+              "risk_current", "alerts", "category_stockout_rate", "eval_roc_points", "eval_tune_threshold",
+              "validate_ri", "encode_labels", "split_80_20"]
+
+
+def test_no_unscalable_nodes_in_key_plans(spark):
+    import __spark_entry__ as E
+    qs = E.queries()
+    for k in AUDIT_KEYS:
+        txt = plan_text(qs[k](spark, SF_SMALL), "simple")
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+            assert bad not in txt, (k, bad)
+        # a window fed by a single-partition exchange must sit on an aggregate
+        # (bounded input: distinct dates, bucket totals), never on raw rows
+        lines = txt.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line and i > 0 and "Window" in "".join(lines[max(0, i - 3):i]):
+                below = " ".join(lines[i + 1:i + 3])
+                assert "HashAggregate" in below or "Aggregate" in below, (k, below)
+
+
+def test_cross_validated_recall_trains_per_fold(spark):
+    feats = ["closing_stock", "days_of_supply", "critical_item"]
+    df = _separable(spark, 200).withColumn("k", (F.monotonically_increasing_id() % 3).cast("int"))
+    r = gbm.cross_validate_recall(df, F.col("k"), k=3, features=feats, maxIter=3).first()
+    assert r.n_folds == 3 and 0.0 <= r.mean_recall <= 1.0
