@@ -252,6 +252,12 @@ SELECT facility_id, product_id, snapshot_date, received, consumption, n_orders F
 
 SQL["inv_rollforward"] = _with(INVENTORY, "SELECT * FROM inventory")
 
+SQL["inv_rollforward_brand"] = _with(
+    INVENTORY.replace("p.p_type AS product_id", "p.p_brand || '|' || p.p_type AS product_id")
+             .replace("product_id IN ('ECONOMY', 'SMALL', 'PROMO') AS critical_item",
+                      "split_part(product_id, '|', 2) IN ('ECONOMY', 'SMALL', 'PROMO') AS critical_item"),
+    "SELECT * FROM inventory")
+
 
 SQL["feat_rolling_4w"] = _with(FEATURES, f"""
 SELECT {K3}, avg_consumption_4w, avg_received_4w, stockout_rate_4w, below_safety_rate_4w FROM featd""")

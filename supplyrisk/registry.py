@@ -565,3 +565,9 @@ def q_proj_coverage_bucket(spark, d):
 @query("risk_query_filtered")
 def q_risk_query_filtered(spark, d):
     return report.risk_query(td.current_scored(spark, d), facility_id=3, risk_level="Low", critical_only="true")
+
+
+@query("inv_rollforward_brand")
+def q_inv_rollforward_brand(spark, d):
+    """The roll-forward at brand x type grain: the panel grows with the data."""
+    return td.inventory_panel(spark, d, grain="brand_type")

@@ -63,7 +63,17 @@ def receipt_outcome(qty, fulfilled, partial, order_key, line_number,
     return received, delay
 
 
-def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_key(grain: str = "type") -> "F.Column":
+    """Product of the panel: ``p_type`` (6 products), or brand x type
+    (``"brand_type"``, hundreds to thousands of series)."""
+    if grain == "type":
+        return F.col("p_type")
+    if grain == "brand_type":
+        return F.concat_ws("|", F.col("p_brand"), F.col("p_type"))
+    raise ValueError(f"unknown product grain {grain!r}")
+
+
+def purchase_orders(spark: SparkSession, sf_dir: str, grain: str = "type") -> DataFrame:
     """``po``: one row per purchase-order line, denormalised with its keys."""
     li = read(spark, sf_dir, "lineitem")
     o = read(spark, sf_dir, "orders")
@@ -86,7 +96,7 @@ def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         padded_id("ORD-", F.col("l_orderkey")).alias("order_id"),
         F.col("l_linenumber").alias("line_number"),
         F.col("c_nationkey").alias("facility_id"),
-        F.col("p_type").alias("product_id"),
+        product_key(grain).alias("product_id"),
         F.col("p_partkey").alias("part_id"),
         F.col("p_brand").alias("category"),
         F.col("p_type").isin(CRITICAL_TYPES).alias("critical_item"),
@@ -171,27 +181,28 @@ def opening_weeks(facility) -> "F.Column":
     return F.lit(2) + facility % 5
 
 
-def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id")) -> DataFrame:
+def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
+                grain: str = "type") -> DataFrame:
     """Zero-filled weekly receipts and consumption per (facility, product)."""
     from supplyrisk.operators import panel as P
 
-    po = purchase_orders(spark, sf_dir)
+    po = purchase_orders(spark, sf_dir, grain)
     # The flow table is read four times (bounds, entities, panel): write it once.
     flows = materialize(P.weekly_flows(flow_events(po, keys), list(keys), values=FLOW_VALUES))
     return P.dense_calendar(flows, list(keys), values=FLOW_VALUES)
 
 
 def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
-                    passthrough=()) -> DataFrame:
+                    passthrough=(), grain: str = "type") -> DataFrame:
     """Weekly inventory panel of the binding, rolled forward from flows."""
     from supplyrisk.operators import panel as P
 
-    dense = dense_flows(spark, sf_dir, keys)
+    dense = dense_flows(spark, sf_dir, keys, grain)
     return P.inventory_from_flows(
         dense, list(keys),
         opening_weeks=opening_weeks(F.col("facility_id")),
         safety_weeks=2,
-        critical=F.col("product_id").isin(CRITICAL_TYPES),
+        critical=F.element_at(F.split("product_id", "[|]"), -1).isin(CRITICAL_TYPES),
         passthrough=passthrough,
     )
 
