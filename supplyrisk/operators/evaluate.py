@@ -125,8 +125,9 @@ def roc_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "ri
                ((F.col("tp_next") - F.col("tp")) != (F.col("tp") - F.col("tp_prev")))
         nb = nb.where(F.col("tp_prev").isNull() | F.col("tp_next").isNull() | bend)
     pts = nb.select(F.col("fp").alias("fpc"), F.col("tp").alias("tpc"), F.col("score").alias("threshold"))
-    start = st.limit(1).select(F.lit(0).cast("bigint").alias("fpc"), F.lit(0).cast("bigint").alias("tpc"),
-                               F.lit(float("inf")).alias("threshold"))
+    # the (0, 0, +inf) start point: a one-row aggregate of constants
+    start = st.agg(F.max(F.lit(0).cast("bigint")).alias("fpc"), F.max(F.lit(0).cast("bigint")).alias("tpc"),
+                   F.max(F.lit(float("inf"))).alias("threshold"))
     return pts.unionByName(start).select((F.col("fpc") / N).alias("fpr"), (F.col("tpc") / P).alias("tpr"),
                                          "threshold")
 
@@ -141,8 +142,9 @@ def pr_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "ris
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         (F.col("tp") / P).alias("recall"),
         F.col("score").alias("threshold"))
-    end = st.limit(1).select(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-                             F.lit(None).cast("double").alias("threshold"))
+    # the final (precision 1, recall 0) point: a one-row aggregate of constants
+    end = st.agg(F.max(F.lit(1.0)).alias("precision"), F.max(F.lit(0.0)).alias("recall"),
+                 F.max(F.lit(None).cast("double")).alias("threshold"))
     return pts.unionByName(end)
 
 
