@@ -36,6 +36,9 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     n_b = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
     ordering = F.col(order).desc() if descending else F.col(order).asc()
     # Buckets are contiguous ranges of (groups, order); the id is pinned by the write.
+    # The input is a grouped aggregate: the range exchange's sampling job and
+    # the shuffle both read the aggregate's shuffle output, so the upstream
+    # plan still runs once.
     x = materialize(df.repartitionByRange(n_b, *[F.col(c).asc() for c in part], ordering)
                       .withColumn("_b", F.spark_partition_id()))
     tot = (x.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values],
