@@ -87,18 +87,27 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int | None
     return lo.cast("double") + (p - lo_k) * (hi.cast("double") - lo.cast("double"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None) -> dict[str, Column]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None,
+                    small_distinct: int = 1_000_000) -> dict[str, Column]:
     """``exact_quantile`` for several columns in one pipeline.
 
-    The columns are stacked into (column, value) pairs, counted per
-    distinct value and positioned with one grouped ``prefix_sums``; each
-    result is a scalar Column over that one small written table.
+    The columns are stacked into (column, value) pairs and counted per
+    distinct value (map-side partial counts), and that table is written
+    once.  When it holds at most ``small_distinct`` rows, the exact
+    ``percentile(value, q, count)`` aggregate over it is used: its final
+    merge keeps one entry per distinct value, a size just checked.  Above
+    that bound the values are positioned with one grouped ``prefix_sums``
+    and the two order statistics around ``q*(n-1)`` are picked by range
+    predicates.  Both give ``percentile`` semantics (linear interpolation).
     """
     cols = list(cols)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_v"))
                                 for c in cols])).alias("_p")
     long = df.select(pairs).select("_p._g", "_p._v").where(F.col("_v").isNotNull())
-    counts = long.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(long.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    if counts.count() <= small_distinct:
+        return {c: counts.where(F.col("_g") == c).select(F.percentile("_v", float(q), F.col("_c"))).scalar()
+                for c in cols}
     pos = prefix_sums(counts, "_v", ["_c"], buckets=buckets, rank_col=None, partition_by=["_g"])
     out = {}
     for c in cols:

@@ -29,3 +29,14 @@ def test_dense_index_strings(spark):
     df = spark.createDataFrame([(s,) for s in ["pear", "apple", "fig", "apple", "Zed", None]], "s string")
     got = {r.s: r.code for r in dense_index(df, "s", "code", buckets=3).collect()}
     assert got == {"Zed": 0, "apple": 1, "fig": 2, "pear": 3}
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_exact_quantiles_both_paths(spark, small):
+    from supplyrisk.functions.stats import exact_quantiles
+    a = [3.0, 1.0, 2.0, 8.0, None]
+    b = [5.0, 5.0, 5.0, 1.0, 9.0]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    meds = exact_quantiles(df, ["a", "b"], 0.5, buckets=3, small_distinct=small)
+    r = df.select(meds["a"].alias("ma"), meds["b"].alias("mb")).first()
+    assert (r.ma, r.mb) == (2.5, 5.0)
