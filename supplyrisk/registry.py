@@ -87,10 +87,18 @@ def q_feat_calendar(spark, d):
         "order_id", "line_number", "order_date", "week_of_year", "month", "q4_flag", "order_week", "order_month")
 
 
+def _po_once(spark, d):
+    """The order table written once, for keys that read it on two branches
+    (the panel and a second aggregate): one build of the 4-way join."""
+    from supplyrisk.plans.materialize import materialize as _m
+    return _m(td.purchase_orders(spark, d))
+
+
 @query("feat_procurement_28d")
 def q_feat_proc(spark, d):
     from supplyrisk.functions.scalar import round_half_up
-    df = features.procurement_lookback(_inv(spark, d), td.purchase_orders(spark, d))
+    po = _po_once(spark, d)
+    df = features.procurement_lookback(td.inventory_panel(spark, d, po=po), po)
     return df.select(*K, "po_count_28d", "units_ordered_28d",
                      round_half_up("avg_fill_rate_28d", 9).alias("avg_fill_rate_28d"),
                      "avg_delay_28d", "severe_share_28d")
@@ -107,7 +115,8 @@ def q_supplier_stats(spark, d):
 @query("feat_supplier_join")
 def q_feat_supplier_join(spark, d):
     from supplyrisk.functions.scalar import round_half_up
-    j = features.join_supplier_stats(_inv(spark, d), features.supplier_stats(td.purchase_orders(spark, d)))
+    po = _po_once(spark, d)
+    j = features.join_supplier_stats(td.inventory_panel(spark, d, po=po), features.supplier_stats(po))
     return j.select(*K, "closing_stock",
                     round_half_up("avg_supplier_reliability", 9).alias("avg_supplier_reliability"),
                     "avg_delay_days", "fulfillment_rate")
@@ -191,7 +200,8 @@ def q_risk_search(spark, d):
 
 @query("category_stockout_rate")
 def q_category(spark, d):
-    return report.category_stockout_rate(_inv(spark, d), td.purchase_orders(spark, d))
+    po = _po_once(spark, d)
+    return report.category_stockout_rate(td.inventory_panel(spark, d, po=po), po)
 
 
 def _test_split(spark, d):

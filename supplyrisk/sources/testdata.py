@@ -182,22 +182,25 @@ def opening_weeks(facility) -> "F.Column":
 
 
 def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
-                grain: str = "type") -> DataFrame:
-    """Zero-filled weekly receipts and consumption per (facility, product)."""
+                grain: str = "type", po: DataFrame | None = None) -> DataFrame:
+    """Zero-filled weekly receipts and consumption per (facility, product).
+
+    ``po`` reuses an order table the caller already built (and wrote).
+    """
     from supplyrisk.operators import panel as P
 
-    po = purchase_orders(spark, sf_dir, grain)
+    po = po if po is not None else purchase_orders(spark, sf_dir, grain)
     # The flow table is read four times (bounds, entities, panel): write it once.
     flows = materialize(P.weekly_flows(flow_events(po, keys), list(keys), values=FLOW_VALUES))
     return P.dense_calendar(flows, list(keys), values=FLOW_VALUES)
 
 
 def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
-                    passthrough=(), grain: str = "type") -> DataFrame:
+                    passthrough=(), grain: str = "type", po: DataFrame | None = None) -> DataFrame:
     """Weekly inventory panel of the binding, rolled forward from flows."""
     from supplyrisk.operators import panel as P
 
-    dense = dense_flows(spark, sf_dir, keys, grain)
+    dense = dense_flows(spark, sf_dir, keys, grain, po)
     return P.inventory_from_flows(
         dense, list(keys),
         opening_weeks=opening_weeks(F.col("facility_id")),
