@@ -191,3 +191,10 @@ def class_weights(df: DataFrame, label: str = "stockout_next_14d", out: str = "w
     y = _i(label)
     w = df.select(F.count_if(y == 0) / F.nullif(F.count_if(y == 1), F.lit(0))).scalar()
     return df.withColumn(out, F.when(y == 1, w).otherwise(F.lit(1.0)))
+
+
+# ---- user-facing names -------------------------------------------
+ap = average_precision
+roc = roc_points
+pr = pr_points
+tune = tune_threshold

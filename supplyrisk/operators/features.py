@@ -141,3 +141,9 @@ def procurement_lookback(panel: DataFrame, po: DataFrame, days: int = 28,
                 .withColumn(snapshot, F.date_from_unix_date("_day")))
     return out.select(*keys, snapshot, f"po_count_{days}d", f"units_ordered_{days}d",
                       f"avg_fill_rate_{days}d", f"avg_delay_{days}d", f"severe_share_{days}d")
+
+
+# ---- user-facing names -------------------------------------------
+rolling = rolling_mean
+procurement = procurement_lookback
+supplier = supplier_stats

@@ -104,3 +104,11 @@ def inventory_from_flows(dense: DataFrame, keys: Sequence[str], opening_weeks: C
         critical.alias("critical_item"),
         *passthrough,
     )
+
+
+def build(flows: DataFrame, keys: Sequence[str], opening_weeks: Column, safety_weeks: float,
+          critical: Column, week: str = "week", values: Sequence[str] = FLOW_COLS,
+          passthrough: Sequence[str] = ()) -> DataFrame:
+    """Weekly flows -> dense calendar -> inventory snapshots (one call)."""
+    dense = dense_calendar(flows, keys, week, values)
+    return inventory_from_flows(dense, keys, opening_weeks, safety_weeks, critical, passthrough)

@@ -194,3 +194,8 @@ def facility_risk_summary(scored_test: DataFrame, label: str = "stockout_next_14
     r = (lambda c: round_half_up(c, digits)) if digits is not None else F.col
     return out.select("facility_id", r("_actual").alias("actual_stockout_rate"),
                       r("_pred").alias("predicted_risk_score"), "n_samples")
+
+
+# ---- user-facing names -------------------------------------------
+facilities = facility_summary
+risk = risk_query

@@ -60,3 +60,27 @@ def impute_median(df: DataFrame, cols: Sequence[str] = IMPUTE_COLUMNS, exact: bo
     else:
         meds = {c: src.select(F.percentile_approx(c, 0.5, 100000)).scalar() for c in cols}
     return df.withColumns({c: F.coalesce(F.col(c), meds[c]) for c in cols})
+
+
+# ---- user-facing names -------------------------------------------
+
+def current(df: DataFrame, keys: Sequence[str] = KEYS, date_col: str = "snapshot_date") -> DataFrame:
+    """Latest state per key (last non-NULL value of each column)."""
+    return current_state(df, keys, date_col)
+
+
+def level(df: DataFrame, score: str = "risk_score", out: str = "risk_level") -> DataFrame:
+    """Add the Low / Medium / High band of ``score``."""
+    return with_level(df, score, out)
+
+
+def train(df: DataFrame, **kwargs):
+    """Fit the gradient-boosted stockout model (``operators.model.train``)."""
+    from supplyrisk.operators import model
+    return model.train(df, **kwargs)
+
+
+def score(model_, df: DataFrame, **kwargs) -> DataFrame:
+    """Positive-class probability as ``risk_score`` (``operators.model.score``)."""
+    from supplyrisk.operators import model
+    return model.score(model_, df, **kwargs)

@@ -73,3 +73,8 @@ def assert_valid(report: DataFrame) -> DataFrame:
         msg = "; ".join(f"{r['rule']}: {r['violations']} violation(s)" for r in bad)
         raise ValidationError(f"validation failed: {msg}")
     return report
+
+
+def report(po: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
+    """Validation report of the procurement feed (or of custom ``checks``)."""
+    return rules(po, checks) if checks else po_rules(po)

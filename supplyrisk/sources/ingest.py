@@ -155,3 +155,13 @@ def metadata_dimensions(meta: DataFrame) -> dict[str, DataFrame]:
         "date_range": m.where("dimension = 'date_range'").select(
             F.to_date("start").alias("start"), F.to_date("end").alias("end")),
     }
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
+               date_format: str = DATE_FORMAT) -> DataFrame:
+    """Read one raw export with an explicit schema (csv, json or parquet)."""
+    if fmt == "csv":
+        return read_csv(spark, path, schema, date_format)
+    if fmt == "json":
+        return spark.read.schema(schema).option("dateFormat", date_format).json(path)
+    return spark.read.schema(schema).parquet(path)
