@@ -227,7 +227,6 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Temporal split of the binding (the panel runs 1995-2001).
 TEST_CUTOFF = "2000-01-01"
-CURRENT_COLUMNS = None
 
 
 def current_scored(spark: SparkSession, sf_dir: str, impute: bool = True) -> DataFrame:
