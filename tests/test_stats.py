@@ -40,3 +40,20 @@ def test_exact_quantiles_both_paths(spark, small):
     meds = exact_quantiles(df, ["a", "b"], 0.5, buckets=3, small_distinct=small)
     r = df.select(meds["a"].alias("ma"), meds["b"].alias("mb")).first()
     assert (r.ma, r.mb) == (2.5, 5.0)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float)), min_size=1, max_size=25),
+       st.sampled_from([0.25, 0.5, 0.9]), st.booleans())
+def test_exact_quantile_property(spark, vals, q, small):
+    from supplyrisk.functions.stats import exact_quantiles
+    present = [v for v in vals if v is not None]
+    if not present:
+        return
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    col = exact_quantiles(df, ["x"], q, buckets=3, small_distinct=10_000 if small else 0)["x"]
+    got = df.select(col.alias("m")).first().m
+    assert got == pytest.approx(float(np.percentile(present, q * 100)))
