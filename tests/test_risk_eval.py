@@ -112,3 +112,36 @@ def test_cv_recall_and_class_weights(spark):
     assert r.n_folds == 2 and 0 <= r.mean_recall <= 1
     w = evaluate.class_weights(scored(spark, [1, 0, 0, 0], [0.1] * 4)).collect()
     assert sorted(x.weight for x in w) == [1.0, 1.0, 1.0, 3.0]
+
+
+def _np_curves(y, s):
+    """numpy form of roc_curve(drop_intermediate=True) and precision_recall_curve."""
+    y, s = np.asarray(y), np.asarray(s)
+    o = np.argsort(-s, kind="mergesort")
+    y, s = y[o], s[o]
+    last = np.r_[np.where(np.diff(s))[0], len(s) - 1]
+    tps = np.cumsum(y)[last]
+    fps = (1 + last) - tps
+    th = s[last]
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    rf, rt, rth = fps[keep], tps[keep], th[keep]
+    roc = {(0.0, 0.0, float("inf"))} | {(f / fps[-1], t / tps[-1], h) for f, t, h in zip(rf, rt, rth)}
+    stop = np.searchsorted(tps, tps[-1])
+    pr = {(t / (t + f), t / tps[-1], h) for t, f, h in zip(tps[:stop + 1], fps[:stop + 1], th[:stop + 1])}
+    pr.add((1.0, 0.0, None))
+    return roc, pr
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_curves_match_reference_algorithm(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 120
+    y = rng.integers(0, 2, n)
+    s = np.round(np.clip(0.3 * y + rng.random(n) * 0.7, 0, 1), 2)   # many ties
+    df = scored(spark, y, s)
+    roc, pr = _np_curves(y, s)
+    got_roc = {(r.fpr, r.tpr, r.threshold) for r in evaluate.roc_points(df).collect()}
+    got_pr = {(r.precision, r.recall, r.threshold) for r in evaluate.pr_points(df).collect()}
+    rnd = lambda t: tuple(round(v, 12) if isinstance(v, float) and v != float("inf") else v for v in t)
+    assert {rnd(t) for t in got_roc} == {rnd(tuple(float(x) if x is not None else None for x in t)) for t in roc}
+    assert {rnd(t) for t in got_pr} == {rnd(tuple(float(x) if x is not None else None for x in t)) for t in pr}
