@@ -89,3 +89,31 @@ def test_procurement_lookback_window(spark):
     assert r.po_count_28d == 2 and r.units_ordered_28d == 14
     assert r.avg_fill_rate_28d == pytest.approx((1.0 + 0.5) / 2)
     assert r.avg_delay_28d == 3.0 and r.severe_share_28d == 0.5
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_procurement_lookback_brute_force(spark, seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    orders = []
+    for _ in range(150):
+        f = int(rng.integers(1, 3))
+        day = D0 + dt.timedelta(days=int(rng.integers(0, 90)))
+        q = int(rng.integers(1, 20))
+        orders.append((f, "P", day, q, int(rng.integers(0, q + 1)), int(rng.integers(0, 12))))
+    po = spark.createDataFrame(orders, "facility_id int, product_id string, order_date date, "
+                                       "quantity_ordered long, quantity_received long, delay_days long")
+    snaps = [(f, "P", D0 + dt.timedelta(weeks=w)) for f in (1, 2) for w in range(14)]
+    pan = spark.createDataFrame(snaps, "facility_id int, product_id string, snapshot_date date")
+    got = {(r.facility_id, r.snapshot_date): r for r in features.procurement_lookback(pan, po).collect()}
+    for f, _, d in snaps:
+        win = [o for o in orders if o[0] == f and d - dt.timedelta(days=28) <= o[2] <= d - dt.timedelta(days=1)]
+        r = got[(f, d)]
+        assert r.po_count_28d == len(win)
+        assert r.units_ordered_28d == sum(o[3] for o in win)
+        if win:
+            assert r.avg_fill_rate_28d == pytest.approx(sum(o[4] / o[3] for o in win) / len(win))
+            assert r.avg_delay_28d == pytest.approx(sum(o[5] for o in win) / len(win))
+            assert r.severe_share_28d == pytest.approx(sum(o[5] >= 5 for o in win) / len(win))
+        else:
+            assert r.avg_fill_rate_28d is None and r.avg_delay_28d is None
