@@ -28,7 +28,9 @@ def duck():
 
 
 @pytest.mark.parametrize("key", ["supplier_delays", "inv_rollforward", "feat_procurement_28d",
-                                 "facility_summary", "eval_auc", "eval_roc_points", "validate_ri"])
+                                 "facility_summary", "eval_auc", "eval_roc_points", "validate_ri",
+                                 "label_reorder_14d", "risk_current", "alerts", "eval_pr_points",
+                                 "impute_median", "ingest_typed", "star_fact_po", "inv_rollforward_brand"])
 def test_key_matches_duckdb_at_sf0001(spark, duck, key):
     sdf = E.queries()[key](spark, SF_SMALL).toPandas()
     ddf = duck.sql(E.oracle_sql()[key]).df()
