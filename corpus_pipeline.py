@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from supplyrisk.llm import quality, secret_scan
+from supplyrisk.llm import decontam, ngram_join, packing, quality, secret_scan
 from supplyrisk.plans import materialize
 
 STAGES = [
     ("quality_rules", quality.quality_stage),
+    ("near_duplicates", ngram_join.dedup_stage),
+    ("benchmark_decontamination", decontam.decontaminate_stage),
     ("secret_scans", secret_scan.secret_stage),
+    ("best_fit_packing", packing.packing_stage),
 ]
 
 #: Tokenizing and packing have no SQL form; the tests hold the rows against a brute-force version.

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplyrisk.llm import chat, pii, quality, secret_scan
+from supplyrisk.llm import (chat, decontam, extract_html, ngram_join, packing, pii, quality, secret_scan,
+                            token_files)
+from supplyrisk.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -26,6 +44,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
+    return token_files.round_trip(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), folder,
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                         _table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -42,5 +71,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {"op3_pii": op3_pii, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op10_chat": op10_chat}
+QUERIES = {
+    "op1_html": op1_html, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_ngram_join": op4_ngram_join,
+    "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_token_files": op7_token_files,
+    "op8_decontam": op8_decontam, "op10_chat": op10_chat,
+}
 ORACLE_SQL: dict[str, str] = {}
