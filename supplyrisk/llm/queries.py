@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyrisk.llm import (chat, decontam, extract_html, ngram_join, packing, pii, quality, secret_scan,
-                            token_files)
+                            suffix_dedup, token_files)
 from supplyrisk.session import scratch_path
 
 
@@ -55,6 +55,11 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                          _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -74,6 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_ngram_join": op4_ngram_join,
     "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_token_files": op7_token_files,
-    "op8_decontam": op8_decontam, "op10_chat": op10_chat,
+    "op8_decontam": op8_decontam, "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_chat": op10_chat,
 }
 ORACLE_SQL: dict[str, str] = {}
