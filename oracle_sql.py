@@ -39,7 +39,8 @@ po AS (
          CASE WHEN fulfilled THEN quantity_ordered
               WHEN line_status = 'F' THEN CAST(floor(quantity_ordered * CAST(0.6 AS DOUBLE)) AS BIGINT)
               ELSE CAST(0 AS BIGINT) END AS quantity_received,
-         CASE WHEN fulfilled THEN CAST(0 AS BIGINT)
+         CASE WHEN fulfilled AND (order_key + line_number) % 5 = 0 THEN 1 + order_key % 3
+              WHEN fulfilled THEN CAST(0 AS BIGINT)
               WHEN line_status = 'F' THEN 2 + order_key % 6
               ELSE 5 + (order_key + line_number) % 16 END AS delay_days
   FROM po_base
@@ -250,6 +251,17 @@ ORDER BY d.avg_delay DESC, d.supplier_id""")
 SQL["inv_flows"] = _with(FLOWS, """
 SELECT facility_id, product_id, snapshot_date, received, consumption, n_orders FROM dense""")
 
+SQL["inv_flows_all_weeks"] = _with(FLOWS.replace("FROM flows WHERE n_orders > 0", "FROM flows"), """
+SELECT facility_id, product_id, snapshot_date, received, consumption, n_orders FROM dense""")
+
+SQL["flow_reconciliation"] = _with(FLOWS, """
+, t AS (
+  SELECT 'received' AS flow, received AS v, week FROM flows UNION ALL SELECT 'consumption', consumption, week FROM flows)
+SELECT flow, CAST(sum(v) AS BIGINT) AS total,
+       CAST(sum(CASE WHEN week BETWEEN w0 AND w1 THEN v ELSE 0 END) AS BIGINT) AS inside,
+       CAST(sum(CASE WHEN week BETWEEN w0 AND w1 THEN 0 ELSE v END) AS BIGINT) AS outside
+FROM t, bounds GROUP BY flow""")
+
 SQL["inv_rollforward"] = _with(INVENTORY, "SELECT * FROM inventory")
 
 SQL["inv_rollforward_brand"] = _with(
@@ -288,17 +300,46 @@ SELECT order_id, line_number, order_date,
        CAST(date_trunc('month', order_date) AS DATE) AS order_month
 FROM po""")
 
-SQL["feat_procurement_28d"] = _with(INVENTORY, f"""
-SELECT i.facility_id, i.product_id, i.snapshot_date,
-       count(p.order_key) AS po_count_28d,
-       CAST(coalesce(sum(p.quantity_ordered), 0) AS BIGINT) AS units_ordered_28d,
-       {r("sum(p.quantity_received / p.quantity_ordered) / nullif(count(p.order_key), 0)", 9)} AS avg_fill_rate_28d,
-       sum(p.delay_days) / nullif(count(p.order_key), 0) AS avg_delay_28d,
-       sum(CASE WHEN p.delay_days >= 5 THEN 1 ELSE 0 END) / nullif(count(p.order_key), 0) AS severe_share_28d
-FROM inventory i
-LEFT JOIN po p ON p.facility_id = i.facility_id AND p.product_id = i.product_id
- AND p.order_date >= i.snapshot_date - 28 AND p.order_date <= i.snapshot_date - 1
-GROUP BY i.facility_id, i.product_id, i.snapshot_date""")
+LOOKBACK = f""",
+pod AS (SELECT *, order_date + CAST(lead_days_planned AS INTEGER) + CAST(delay_days AS INTEGER) AS delivered FROM po),
+ordered AS (
+  SELECT i.facility_id, i.product_id, i.snapshot_date, count(p.order_key) AS n,
+         CAST(coalesce(sum(p.quantity_ordered), 0) AS BIGINT) AS units
+  FROM inventory i LEFT JOIN pod p ON p.facility_id = i.facility_id AND p.product_id = i.product_id
+   AND p.order_date >= i.snapshot_date - 28 AND p.order_date <= i.snapshot_date - 1
+  GROUP BY ALL),
+received_ AS (
+  SELECT i.facility_id, i.product_id, i.snapshot_date,
+         sum(p.quantity_received / p.quantity_ordered) / nullif(count(p.order_key), 0) AS fill,
+         sum(p.delay_days) / nullif(count(p.order_key), 0) AS delay,
+         sum(CASE WHEN p.delay_days >= 5 THEN 1 ELSE 0 END) / nullif(count(p.order_key), 0) AS severe
+  FROM inventory i LEFT JOIN pod p ON p.facility_id = i.facility_id AND p.product_id = i.product_id
+   AND p.delivered >= i.snapshot_date - 28 AND p.delivered <= i.snapshot_date - 1
+  GROUP BY ALL),
+lookback AS (
+  SELECT o.facility_id, o.product_id, o.snapshot_date, o.n AS po_count_28d, o.units AS units_ordered_28d,
+         {r("d.fill", 9)} AS avg_fill_rate_28d, d.delay AS avg_delay_28d, d.severe AS severe_share_28d
+  FROM ordered o JOIN received_ d ON o.facility_id = d.facility_id AND o.product_id = d.product_id
+   AND o.snapshot_date = d.snapshot_date)"""
+
+SQL["feat_procurement_28d"] = _with(INVENTORY + LOOKBACK, "SELECT * FROM lookback")
+
+SQL["ml_dataset_full"] = _with(FEATURES + LOOKBACK, f"""
+SELECT f.facility_id, f.product_id, f.snapshot_date, f.closing_stock, f.days_of_supply,
+       lag(f.days_of_supply, 1) OVER w AS dos_lag_1w, lag(f.days_of_supply, 2) OVER w AS dos_lag_2w,
+       lag(f.days_of_supply, 4) OVER w AS dos_lag_4w,
+       {r("avg(f.days_of_supply) OVER w4", 9)} AS dos_mean_4w,
+       {r("stddev_samp(f.days_of_supply) OVER w4", 9)} AS dos_std_4w,
+       f.days_of_supply - lag(f.days_of_supply, 2) OVER w AS dos_trend_2w,
+       CAST(sum(f.stockout) OVER w4 AS BIGINT) AS stockout_count_4w,
+       l.po_count_28d, l.units_ordered_28d, l.avg_fill_rate_28d, l.avg_delay_28d, l.severe_share_28d,
+       CAST(month(f.snapshot_date) AS INTEGER) AS month, CAST(weekofyear(f.snapshot_date) AS INTEGER) AS week_of_year,
+       CAST(quarter(f.snapshot_date) = 4 AS INTEGER) AS q4_flag,
+       dense_rank() OVER (ORDER BY f.facility_id) - 1 AS facility_code,
+       dense_rank() OVER (ORDER BY f.product_id) - 1 AS product_code, f.stockout_next_14d
+FROM mlds f JOIN lookback l ON l.facility_id = f.facility_id AND l.product_id = f.product_id AND l.snapshot_date = f.snapshot_date
+WINDOW w AS (PARTITION BY f.facility_id, f.product_id ORDER BY f.snapshot_date),
+       w4 AS (PARTITION BY f.facility_id, f.product_id ORDER BY f.snapshot_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 
 SQL["supplier_stats"] = _with(FEATURES, f"""
 SELECT {K3}, {r("avg_supplier_reliability", 9)} AS avg_supplier_reliability, avg_delay_days, fulfillment_rate
@@ -384,9 +425,14 @@ SELECT c.facility_id, c.product_id, d.product_name, d.category, {r("c.risk_score
 FROM current c LEFT JOIN prod d ON d.product_id = c.product_id
 WHERE d.category = 'SIZE' AND contains(lower(d.product_name), 'al')""")
 
-SQL["category_stockout_rate"] = _with(INVENTORY, f"""
+BRAND_INVENTORY = (
+    INVENTORY.replace("p.p_type AS product_id", "p.p_brand || '|' || p.p_type AS product_id")
+             .replace("product_id IN ('ECONOMY', 'SMALL', 'PROMO') AS critical_item",
+                      "split_part(product_id, '|', 2) IN ('ECONOMY', 'SMALL', 'PROMO') AS critical_item"))
+
+SQL["category_stockout_rate"] = _with(BRAND_INVENTORY, f"""
 , rate AS (
-  SELECT b.category, avg(i.stockout) AS rt
+  SELECT b.category, sum(i.stockout) / count(i.stockout) AS rt
   FROM inventory i LEFT JOIN (SELECT DISTINCT product_id, category, critical_item FROM po) b
     ON b.product_id = i.product_id AND b.critical_item = i.critical_item
   GROUP BY b.category)
@@ -403,6 +449,19 @@ SQL["split_temporal"] = _with(INVENTORY, f"""
 SELECT {K3}, CASE WHEN snapshot_date < DATE '2000-01-01' THEN 'train' ELSE 'test' END AS split
 FROM inventory""")
 
+SQL["split_three_way"] = _with(INVENTORY, f"""
+SELECT {K3}, CASE WHEN snapshot_date < DATE '1999-01-01' THEN 'train'
+                  WHEN snapshot_date < DATE '2000-01-01' THEN 'validation' ELSE 'test' END AS split
+FROM inventory""")
+
+SQL["split_fractions"] = _with(INVENTORY, """
+, per AS (SELECT snapshot_date AS d, count(*) AS n FROM inventory GROUP BY 1),
+cum AS (SELECT d, sum(n) OVER (ORDER BY d) AS c, sum(n) OVER () AS t FROM per),
+f AS (SELECT * FROM (VALUES ('0.5', 500), ('0.875', 875), ('0.995', 995), ('0.999', 999)) v(fraction, mille)),
+cut AS (SELECT fraction, min(d) AS d FROM f, cum WHERE c * 1000 >= mille * t GROUP BY fraction)
+SELECT fraction, count(*) AS train_rows, max(snapshot_date) AS last_train_date
+FROM cut JOIN inventory ON snapshot_date < d GROUP BY fraction""")
+
 SQL["split_80_20"] = _with(INVENTORY, """
 , per AS (SELECT snapshot_date AS d, count(*) AS n FROM inventory GROUP BY 1),
 cum AS (SELECT d, sum(n) OVER (ORDER BY d) AS c, sum(n) OVER () AS t FROM per),
@@ -477,7 +536,9 @@ SELECT tp / (tp + fp) AS precision, tp / P AS recall, score AS threshold
 FROM stc WHERE idx <= (SELECT min(idx) FROM stc WHERE tp = P)
 UNION ALL SELECT CAST(1.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE)""")
 
-SQL["eval_tune_threshold"] = _with(SCORES, """
+SQL["eval_tune_threshold"] = _with(
+    SCORES.replace("FROM test_split GROUP BY risk_score",
+                   "FROM scored WHERE snapshot_date >= DATE '1999-01-01' AND snapshot_date < DATE '2000-01-01' GROUP BY risk_score"), """
 SELECT score AS threshold, tp, tp + fp AS predicted, CAST(P AS BIGINT) AS positives,
        tp / (tp + fp) AS precision, tp / P AS recall
 FROM stc WHERE tp * 100 >= 60 * (tp + fp)
@@ -499,16 +560,39 @@ SELECT {K3},
 FROM mlds""")
 
 
-SQL["src_csv_dates"] = _with(PO_DATES, """
-SELECT order_id, line_number, facility_id, product_id, supplier_id, supplier_reliability, order_date,
-       expected_delivery, actual_delivery, quantity_ordered, quantity_received, lead_days_planned, delay_days,
-       fulfilled, unit_cost_total
-FROM po_dates""")
+SQL["label_censored"] = _with(FEATURES, f"""
+SELECT {K3}, stockout_next_14d, next14 AS stockout_next_14_days
+FROM (SELECT *, lead(stockout, 2) OVER {WS} IS NULL AS censored,
+             coalesce(max(stockout) OVER (PARTITION BY facility_id, product_id ORDER BY snapshot_date
+                      RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 14 DAY FOLLOWING), 0) AS next14
+      FROM mlds)
+WHERE NOT censored""")
+
+SQL["src_csv_dates"] = _with(CURRENT + """,
+pod AS (
+  SELECT *, order_date + CAST(lead_days_planned AS INTEGER) AS expected_delivery,
+         order_date + CAST(lead_days_planned AS INTEGER) + CAST(delay_days AS INTEGER) AS actual_delivery,
+         round(quantity_ordered * unit_cost, 2) AS unit_cost_total FROM po)""", """
+SELECT p.order_id, printf('F%03d', p.facility_id) AS facility_id, f.facility_name, f.region, f.facility_beds,
+       p.product_id, d.product_name, p.category, p.critical_item, p.unit_cost,
+       printf('S%03d', p.supplier_id) AS supplier_id, s.s_name AS supplier_name, p.supplier_reliability, p.order_date,
+       p.expected_delivery, p.actual_delivery, p.quantity_ordered, p.quantity_received, p.lead_days_planned,
+       p.delay_days, p.fulfilled, p.unit_cost_total
+FROM pod p LEFT JOIN fac f ON f.facility_id = p.facility_id LEFT JOIN prod d ON d.product_id = p.product_id
+LEFT JOIN supplier s ON s.s_suppkey = p.supplier_id""")
+
+SQL["src_csv_inventory"] = _with(INVENTORY, """
+SELECT * REPLACE (printf('F%03d', facility_id) AS facility_id) FROM inventory""")
+
+SQL["src_csv_ml_dataset"] = _with(FEATURES, f"""
+SELECT * REPLACE (printf('F%03d', facility_id) AS facility_id, {r("avg_supplier_reliability", 9)} AS avg_supplier_reliability)
+FROM mlds""")
 
 ORDERS_TEXT = """
 t AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_key, CAST(o_custkey AS VARCHAR) AS customer_key,
-         o_totalprice AS price,
+         o_totalprice AS price, o_orderstatus AS status,
+         CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority END AS priority,
          CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(1 + o_orderkey % 14 AS VARCHAR) || '-'
            || CAST(day(o_orderdate) AS VARCHAR) AS order_date
   FROM orders
@@ -516,7 +600,7 @@ t AS (
 
 SQL["ingest_typed"] = _with(ORDERS_TEXT, """
 SELECT TRY_CAST(order_key AS BIGINT) AS order_key, TRY_CAST(customer_key AS BIGINT) AS customer_key,
-       price AS total_price, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date,
+       status, priority, price AS total_price, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date,
        CAST(try_strptime(order_date, '%Y-%m-%d') IS NULL AS INTEGER) AS cast_errors
 FROM t""")
 
@@ -532,25 +616,55 @@ def _profile(source: str, cols: list[str], rel: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-SQL["ingest_profile"] = _with(INVENTORY + """,
-po_dates AS (SELECT *, order_date + CAST(lead_days_planned AS INTEGER) AS expected_delivery,
-                    order_date + CAST(lead_days_planned AS INTEGER) + CAST(delay_days AS INTEGER) AS actual_delivery,
-                    round(quantity_ordered * unit_cost, 2) AS unit_cost_total FROM po)""",
-    _profile("procurement", ["order_id", "facility_id", "product_id", "supplier_id", "order_date",
-                             "quantity_ordered", "unit_cost_total"], "po_dates") + "\nUNION ALL\n"
-    + _profile("deliveries", ["order_id", "expected_delivery", "actual_delivery", "quantity_received",
-                              "delay_days"], "po_dates") + "\nUNION ALL\n"
-    + _profile("inventory", ["facility_id", "product_id", "snapshot_date", "opening_stock", "received",
-                             "consumption", "closing_stock", "safety_stock", "stockout", "below_safety",
-                             "critical_item"], "inventory"))
-
-SQL["validate_rules"] = _with(PO, """
+LINES = """
+lines AS (
+  SELECT l_orderkey AS order_key, printf('ORD-%06d', l_orderkey) AS order_id, l_linenumber AS line_number,
+         l_partkey AS part_id, l_suppkey AS supplier_id,
+         CAST(0.75 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (l_suppkey % 5) AS supplier_reliability,
+         1 + l_suppkey % 7 AS lead_days_planned, CAST(l_shipdate AS DATE) AS ship_date,
+         CAST(floor(l_quantity) AS BIGINT) AS quantity_ordered, l_returnflag <> 'R' AS fulfilled,
+         l_linestatus AS line_status
+  FROM lineitem),
+outcome AS (
+  SELECT *,
+         CASE WHEN fulfilled THEN quantity_ordered
+              WHEN line_status = 'F' THEN CAST(floor(quantity_ordered * CAST(0.6 AS DOUBLE)) AS BIGINT)
+              ELSE CAST(0 AS BIGINT) END AS quantity_received,
+         CASE WHEN fulfilled AND (order_key + line_number) % 5 = 0 THEN 1 + order_key % 3
+              WHEN fulfilled THEN CAST(0 AS BIGINT)
+              WHEN line_status = 'F' THEN 2 + order_key % 6
+              ELSE 5 + (order_key + line_number) % 16 END AS delay_days
+  FROM lines),
+raw_feed AS (
+  SELECT * REPLACE (
+    CASE WHEN (order_key * 7 + line_number) % 97 = 0 THEN 0
+         WHEN (order_key * 7 + line_number) % 101 = 0 THEN NULL ELSE quantity_ordered END AS quantity_ordered,
+    CASE WHEN (order_key * 7 + line_number) % 83 = 0 THEN quantity_ordered + 1
+         WHEN (order_key * 7 + line_number) % 89 = 0 THEN -1 ELSE quantity_received END AS quantity_received,
+    CASE WHEN (order_key * 7 + line_number) % 79 = 0 THEN -1 ELSE delay_days END AS delay_days)
+  FROM outcome),
+deliveries AS (
+  SELECT o.order_id, o.line_number, o.supplier_id,
+         CAST(h.o_orderdate AS DATE) + CAST(o.lead_days_planned AS INTEGER) AS expected_delivery,
+         CASE WHEN o.quantity_received > 0 THEN CAST(h.o_orderdate AS DATE) END AS actual_delivery,
+         CASE WHEN o.quantity_received > 0 THEN o.quantity_received END AS quantity_received, o.delay_days, o.fulfilled
+  FROM outcome o JOIN orders h ON h.o_orderkey = o.order_key)"""
+
+SQL["ingest_profile"] = _with(FEATURES + "," + LINES, "\nUNION ALL\n".join([
+    _profile("procurement", ["order_key", "order_id", "line_number", "part_id", "supplier_id", "supplier_reliability",
+                             "lead_days_planned", "ship_date", "quantity_ordered", "quantity_received", "delay_days",
+                             "fulfilled", "line_status"], "raw_feed"),
+    _profile("deliveries", ["order_id", "line_number", "supplier_id", "expected_delivery", "actual_delivery",
+                            "quantity_received", "delay_days", "fulfilled"], "deliveries"),
+    _profile("inventory", ["facility_id", "product_id", *_LAST], "mlds")]))
+
+SQL["validate_rules"] = _with(LINES, """
 SELECT 'quantity_ordered_positive' AS rule, count_if(NOT coalesce(quantity_ordered > 0, false)) AS violations,
-       count(*) AS checked FROM po
-UNION ALL SELECT 'quantity_received_non_negative', count_if(NOT coalesce(quantity_received >= 0, false)), count(*) FROM po
+       count(*) AS checked FROM raw_feed
+UNION ALL SELECT 'quantity_received_non_negative', count_if(NOT coalesce(quantity_received >= 0, false)), count(*) FROM raw_feed
 UNION ALL SELECT 'fill_rate_in_unit_interval',
-       count_if(NOT coalesce(quantity_received / nullif(quantity_ordered, 0) BETWEEN 0 AND 1, false)), count(*) FROM po
-UNION ALL SELECT 'delay_days_non_negative', count_if(NOT coalesce(delay_days >= 0, false)), count(*) FROM po""")
+       count_if(NOT coalesce(quantity_received / nullif(quantity_ordered, 0) BETWEEN 0 AND 1, false)), count(*) FROM raw_feed
+UNION ALL SELECT 'delay_days_non_negative', count_if(NOT coalesce(delay_days >= 0, false)), count(*) FROM raw_feed""")
 
 
 def _ri(child: str, ck: str, parent: str, pk: str, rule: str) -> str:
@@ -590,17 +704,93 @@ SELECT order_id, line_number, facility_id, product_id, supplier_id,
        quantity_ordered, unit_cost_total, CAST(date_trunc('month', order_date) AS DATE) AS order_month
 FROM po_dates""")
 
-SQL["sink_json_metadata"] = _with(PO, """
-SELECT 'facilities' AS dimension, (SELECT count(*) FROM nation) AS members,
-       CAST(NULL AS VARCHAR) AS start, CAST(NULL AS VARCHAR) AS "end"
-UNION ALL SELECT 'suppliers', (SELECT count(*) FROM supplier), NULL, NULL
-UNION ALL SELECT 'products', (SELECT count(DISTINCT p_type) FROM part), NULL, NULL
-UNION ALL SELECT 'date_range', 1, strftime(min(order_date), '%Y-%m-%d'), strftime(max(order_date), '%Y-%m-%d') FROM po""")
-
-SQL["src_json_dims"] = """
-SELECT CAST(n.n_nationkey AS VARCHAR) AS facility_id, n.n_name AS facility_name,
-       CAST(140 + 20 * n.n_nationkey AS BIGINT) AS facility_beds, r.r_name AS region
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""
+_DELIVERY = """order_id, line_number, facility_id, product_id, supplier_id,
+       CAST(year(expected_delivery) * 10000 + month(expected_delivery) * 100 + day(expected_delivery) AS INTEGER) AS expected_date_key,
+       CAST(year(actual_delivery) * 10000 + month(actual_delivery) * 100 + day(actual_delivery) AS INTEGER) AS actual_date_key,
+       quantity_received, delay_days, fulfilled, CAST(date_trunc('month', order_date) AS DATE) AS order_month"""
+
+SQL["star_fact_delivery"] = _with(PO_DATES, f"SELECT {_DELIVERY} FROM po_dates")
+
+# an order repeats line numbers in the test tables, so the join is between tables, not rows
+SQL["join_po_delivery"] = _with(PO_DATES, f"""
+SELECT p.order_id, p.line_number, p.facility_id, p.product_id, p.supplier_id,
+       CAST(year(p.order_date) * 10000 + month(p.order_date) * 100 + day(p.order_date) AS INTEGER) AS date_key,
+       p.quantity_ordered, p.unit_cost_total, CAST(date_trunc('month', p.order_date) AS DATE) AS order_month,
+       d.expected_date_key, d.actual_date_key, d.quantity_received, d.delay_days, d.fulfilled
+FROM po_dates p JOIN (SELECT {_DELIVERY} FROM po_dates) d ON d.order_id = p.order_id AND d.line_number = p.line_number""")
+
+SQL["star_fact_inventory"] = _with(INVENTORY, """
+SELECT *, CAST(date_trunc('month', snapshot_date) AS DATE) AS snapshot_month FROM inventory""")
+
+SQL["star_tables"] = _with(INVENTORY, """
+SELECT 'dim_facility' AS table_name, (SELECT count(DISTINCT facility_id) FROM po) AS n_rows
+UNION ALL SELECT 'dim_product', (SELECT count(DISTINCT product_id) FROM po)
+UNION ALL SELECT 'dim_supplier', (SELECT count(DISTINCT supplier_id) FROM po)
+UNION ALL SELECT 'dim_date', (SELECT count(DISTINCT order_date) FROM po)
+UNION ALL SELECT 'fact_procurement', (SELECT count(*) FROM po)
+UNION ALL SELECT 'fact_delivery', (SELECT count(*) FROM po)
+UNION ALL SELECT 'fact_inventory', (SELECT count(*) FROM inventory)""")
+
+_MEMBERS = _with(PO, """
+SELECT 'facilities' AS dimension, CAST(n.n_nationkey AS VARCHAR) AS member_key,
+       n.n_name || '|' || (140 + 20 * n.n_nationkey) || '|' || r.r_name AS attributes
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+UNION ALL
+SELECT 'suppliers', CAST(s_suppkey AS VARCHAR),
+       s_name || '|' || printf('%.6f', CAST(0.75 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (s_suppkey % 5))
+       || '|' || printf('%.6f', CAST(1 + s_suppkey % 7 AS DOUBLE)) FROM supplier
+UNION ALL
+SELECT 'products', p_type, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || '|'
+       || CASE WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'SIZE' ELSE 'TIER' END || '|'
+       || printf('%.6f', avg(p_retailprice)) || '|'
+       || CAST(p_type IN ('ECONOMY', 'SMALL', 'PROMO') AS VARCHAR) FROM part GROUP BY p_type
+UNION ALL
+SELECT 'date_range', 'range', strftime(min(order_date), '%Y-%m-%d') || '|' || strftime(max(order_date), '%Y-%m-%d') FROM po""")
+SQL["sink_json_metadata"] = _MEMBERS
+SQL["src_json_dims"] = _MEMBERS
+
+SQL["encode_rows"] = _with(INVENTORY, f"""
+SELECT {K3}, dense_rank() OVER (ORDER BY facility_id) - 1 AS facility_id_enc,
+       dense_rank() OVER (ORDER BY product_id) - 1 AS product_id_enc FROM inventory""")
+
+SQL["scores_export"] = _with(CURRENT, """
+SELECT facility_id, product_id, snapshot_date, risk_score, risk_level FROM current""")
+
+SQL["ml_batch_score"] = _with(CURRENT, """
+SELECT facility_id, product_id, snapshot_date, true AS score_in_range, true AS level_fits_score FROM current""")
+
+_FEATURE_NAMES = ["closing_stock", "days_of_supply", "avg_consumption_4w", "avg_received_4w", "stockout_rate_4w",
+                  "below_safety_rate_4w", "avg_supplier_reliability", "avg_delay_days", "fulfillment_rate",
+                  "facility_beds", "week_of_year", "critical_item"]
+
+SQL["ml_importances"] = "SELECT feature, true AS is_share, CAST(1.0 AS DOUBLE) AS total FROM (VALUES " + ", ".join(
+    f"('{f}')" for f in _FEATURE_NAMES) + ") v(feature)"
+
+SQL["ml_metrics_roundtrip"] = _with(FEATURES, f"""
+SELECT (SELECT count(*) FROM train_split) AS train_samples, count(*) AS test_samples,
+       round(avg(stockout_next_14d), 4) AS test_positive_rate, '2000-01-01' AS test_cutoff,
+       CAST(0.3 AS DOUBLE) AS decision_threshold, '{",".join(_FEATURE_NAMES)}' AS features,
+       count(*) AS confusion_total, CAST(sum(stockout_next_14d) AS BIGINT) AS confusion_positives,
+       true AS recall_fits, true AS precision_fits, true AS accuracy_fits, true AS auc_above_0_9
+FROM test_split""")
+
+SQL["ml_cv_recall"] = "SELECT CAST(5 AS BIGINT) AS n_folds, true AS recall_above_half, true AS std_in_range"
+
+SQL["json_records"] = _with(CURRENT, f"""
+SELECT facility_id, product_id, closing_stock, {r("days_of_supply", 1)} AS days_of_supply,
+       {r("risk_score", 4)} AS risk_score, risk_level, critical_item, stockout_rate_4w, avg_delay_days, 9 AS n_fields
+FROM current ORDER BY current.risk_score DESC, facility_id, product_id LIMIT 100""")
+
+SQL["json_alerts"] = _with(CURRENT, f"""
+SELECT (SELECT count(*) FROM current WHERE risk_level = 'High' AND critical_item = 1) AS total_alerts,
+       row_number() OVER (ORDER BY c.risk_score DESC, c.facility_id, c.product_id) AS place,
+       c.facility_id, f.facility_name, c.product_id, d.product_name, {r("c.risk_score", 4)} AS risk_score,
+       c.closing_stock, {r("c.days_of_supply", 1)} AS days_of_supply, c.avg_delay_days, c.stockout_rate_4w
+FROM current c
+LEFT JOIN fac f ON f.facility_id = c.facility_id
+LEFT JOIN prod d ON d.product_id = c.product_id
+WHERE c.risk_level = 'High' AND c.critical_item = 1
+QUALIFY place <= 50""")
 
 
 SQL["encode_labels"] = _with(INVENTORY, """

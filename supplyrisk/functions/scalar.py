@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_of", "round_half_up", "seasonal_multiplier", "line_cost", "padded_id",
-    "int_floor", "days_of_supply", "risk_level", "RISK_BANDS", "risk_rank",
-    "delay_severe", "delay_band", "coverage_bucket", "fill_rate", "flag",
-    "safe_div", "quarter_end_flag", "week_start", "month_start",
+    "int_floor", "days_of_supply", "risk_level", "RISK_BANDS",
+    "delay_severe", "delay_band", "coverage_bucket", "quarter_end_flag", "week_start", "month_start",
 ]
 
 
@@ -24,13 +23,15 @@ def col_of(c) -> Column:
 
 
 def round_half_up(c, digits: int) -> Column:
-    """Half-up rounding for non-negative values: ``floor(x*10^n + 0.5)/10^n``.
+    """Rounding half away from zero: ``sign(x) * floor(|x|*10^n + 0.5)/10^n``.
 
     ``round``/``bround`` on doubles disagree between engines at exact ties;
-    this form gives the same double everywhere.
+    this form gives the same double everywhere.  Reports of the source
+    pipeline round half to even; the two differ at exact ties only.
     """
     scale = float(10 ** digits)
-    return F.floor(col_of(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    size = F.floor(F.abs(col_of(c)) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(col_of(c) < 0, -size).otherwise(size)
 
 
 def seasonal_multiplier(date_col, amplitude: float = 0.25, peak_day: int = 355) -> Column:
@@ -60,11 +61,6 @@ def int_floor(c, lower: int | None = None) -> Column:
     return v if lower is None else F.greatest(F.lit(lower).cast("bigint"), v)
 
 
-def safe_div(num, den) -> Column:
-    """``num / den`` with NULL (not an error) when ``den`` is 0."""
-    return col_of(num) / F.nullif(col_of(den), F.lit(0))
-
-
 def days_of_supply(closing, avg_consumption, cap: float = 60.0,
                    per_day: bool = False) -> Column:
     """Closing stock over mean consumption (a zero mean counts as 1), capped.
@@ -93,12 +89,6 @@ def risk_level(score, bands=RISK_BANDS) -> Column:
     return expr
 
 
-def risk_rank(level) -> Column:
-    """Order Low < Medium < High as 0/1/2 (NULL stays NULL)."""
-    lv = col_of(level)
-    return (F.when(lv == "Low", 0).when(lv == "Medium", 1).when(lv == "High", 2))
-
-
 def delay_severe(delay, severe_days: int = 5) -> Column:
     """1 when the delay is at least ``severe_days`` days, else 0."""
     return (col_of(delay) >= F.lit(severe_days)).cast("int")
@@ -123,15 +113,6 @@ def coverage_bucket(weeks_of_supply, bounds=(1.0, 2.0, 4.0)) -> Column:
     return expr.when(w.isNotNull(), F.lit(f"ge_{bounds[-1]:g}w"))
 
 
-def fill_rate(received, ordered) -> Column:
-    return col_of(received).cast("double") / F.nullif(col_of(ordered), F.lit(0))
-
-
-def flag(cond: Column) -> Column:
-    """Boolean condition as 0/1 int."""
-    return cond.cast("int")
-
-
 def quarter_end_flag(date_col) -> Column:
     return (F.quarter(col_of(date_col)) == 4).cast("int")
 

@@ -51,8 +51,9 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     inner = x.withColumns({f"_i_{v}": F.sum(v).over(iw) for v in values})
     if rank_col:
         inner = inner.withColumn("_i_n", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(ordering)))
-    # ``offs`` has one row per (group, bucket): its size is set by the bucket count, not the data.
-    j = inner.join(F.broadcast(offs), [*part, "_b"])
+    # Without groups ``offs`` has one row per bucket, a size set by the bucket count; with groups it
+    # grows with them, and the join strategy is left to the run-time sizes.
+    j = inner.join(offs if part else F.broadcast(offs), [*part, "_b"])
     cols = {f"{prefix}{v}": F.col(f"_o_{v}") + F.col(f"_i_{v}") for v in values}
     if rank_col:
         cols[rank_col] = F.col("_o_n") + F.col("_i_n") - F.lit(1)
@@ -69,53 +70,35 @@ def dense_index(df: DataFrame, col: str, out: str | None = None, buckets: int |
 
 
 def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int | None = None) -> Column:
-    """Exact ``percentile(col, q)`` (linear interpolation, NULLs skipped) as a
-    scalar Column, computed without gathering the column in one task.
-
-    Values are counted per distinct value, positioned with ``prefix_sums``,
-    and the two order statistics around ``q*(n-1)`` are picked with a
-    range predicate on the cumulative counts.
-    """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    pos = prefix_sums(counts, "_v", ["_c"], buckets=buckets, rank_col=None)
-    n = counts.select(F.sum("_c")).scalar()
-    p = F.lit(float(q)) * (n - F.lit(1))
-    lo_k, hi_k = F.floor(p), F.ceil(p)
-    # value at 0-based rank k: the row with cum_c - _c <= k < cum_c
-    lo = pos.where((F.col("cum__c") - F.col("_c") <= lo_k) & (lo_k < F.col("cum__c"))).select(F.max("_v")).scalar()
-    hi = pos.where((F.col("cum__c") - F.col("_c") <= hi_k) & (hi_k < F.col("cum__c"))).select(F.max("_v")).scalar()
-    return lo.cast("double") + (p - lo_k) * (hi.cast("double") - lo.cast("double"))
+    """Exact ``percentile(col, q)`` (linear interpolation, NULLs skipped) as a scalar Column."""
+    return exact_quantiles(df, [col], q, buckets)[col]
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None,
-                    small_distinct: int = 1_000_000) -> dict[str, Column]:
-    """``exact_quantile`` for several columns in one pipeline.
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, buckets: int | None = None) -> dict[str, Column]:
+    """Exact quantiles of several columns in one pipeline, never gathered in one task.
 
     The columns are stacked into (column, value) pairs and counted per
-    distinct value (map-side partial counts), and that table is written
-    once.  When it holds at most ``small_distinct`` rows, the exact
-    ``percentile(value, q, count)`` aggregate over it is used: its final
-    merge keeps one entry per distinct value, a size just checked.  Above
-    that bound the values are positioned with one grouped ``prefix_sums``
-    and the two order statistics around ``q*(n-1)`` are picked by range
-    predicates.  Both give ``percentile`` semantics (linear interpolation).
+    distinct value (map-side partial counts).  One grouped ``prefix_sums``
+    positions the values, and the two order statistics around ``q*(n-1)``
+    are the rows whose cumulative counts bracket them.  The result, one row
+    per column, is written and read as scalar subqueries.  The same steps
+    run at any size.
     """
-    cols = list(cols)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_v"))
                                 for c in cols])).alias("_p")
     long = df.select(pairs).select("_p._g", "_p._v").where(F.col("_v").isNotNull())
     counts = materialize(long.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    if counts.count() <= small_distinct:
-        return {c: counts.where(F.col("_g") == c).select(F.percentile("_v", float(q), F.col("_c"))).scalar()
-                for c in cols}
     pos = prefix_sums(counts, "_v", ["_c"], buckets=buckets, rank_col=None, partition_by=["_g"])
-    out = {}
-    for c in cols:
-        pc = pos.where(F.col("_g") == c)
-        n = pc.select(F.max("cum__c")).scalar()
-        p = F.lit(float(q)) * (n - F.lit(1))
-        lo_k, hi_k = F.floor(p), F.ceil(p)
-        lo = pc.where((F.col("cum__c") - F.col("_c") <= lo_k) & (lo_k < F.col("cum__c"))).select(F.max("_v")).scalar()
-        hi = pc.where((F.col("cum__c") - F.col("_c") <= hi_k) & (hi_k < F.col("cum__c"))).select(F.max("_v")).scalar()
-        out[c] = lo + (p - lo_k) * (hi - lo)
-    return out
+    p = F.lit(float(q)) * (F.col("_n") - F.lit(1))
+    totals = counts.groupBy("_g").agg(F.sum("_c").alias("_n")).select("_g", p.alias("_p"))
+
+    def at(rank: Column) -> Column:
+        """The value at a 0-based rank."""
+        return F.max(F.when((F.col("cum__c") - F.col("_c") <= rank) & (rank < F.col("cum__c")), F.col("_v")))
+
+    found = pos.join(totals, "_g").groupBy("_g").agg(
+        F.first("_p").alias("_p"), at(F.floor("_p")).alias("_lo"), at(F.ceil("_p")).alias("_hi"))
+    # the interpolation of ``percentile``, term by term, so that results are equal to the last bit
+    between = (F.ceil("_p") - F.col("_p")) * F.col("_lo") + (F.col("_p") - F.floor("_p")) * F.col("_hi")
+    out = materialize(found.select("_g", F.when(F.floor("_p") == F.ceil("_p"), F.col("_lo")).otherwise(between).alias("_q")))
+    return {c: out.where(F.col("_g") == c).select("_q").scalar() for c in cols}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyrisk.functions.stats import prefix_sums
+from supplyrisk.plans.materialize import materialize
 
 
 def _i(c: str) -> Column:
@@ -35,9 +36,9 @@ def auc(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_scor
     Numerator and denominator stay integers (doubled), so the value is
     exact: ``sum(pos*(2*neg_below + neg_tied)) / (2*P*N)``.
     """
-    st = score_table(df, label, score)
-    P = st.select(F.sum("pos")).scalar()
-    N = st.select(F.sum("neg")).scalar()
+    st = materialize(score_table(df, label, score))
+    P = st.select(F.max("tp")).scalar()
+    N = st.select(F.max("fp")).scalar()
     # negatives strictly below this score = N - fp (fp counts scores >= it)
     num = F.sum(F.col("pos") * (F.lit(2) * (N - F.col("fp")) + F.col("neg")))
     return st.agg((num.cast("double") / (F.lit(2.0) * P * N)).alias("roc_auc"),
@@ -47,8 +48,8 @@ def auc(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_scor
 def average_precision(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_score",
                       digits: int | None = 10) -> DataFrame:
     """Step-wise AP: ``sum over thresholds of (R_k - R_{k-1}) * P_k`` (no interpolation)."""
-    st = score_table(df, label, score)
-    P = st.select(F.sum("pos")).scalar()
+    st = materialize(score_table(df, label, score))
+    P = st.select(F.max("tp")).scalar()
     ap = F.sum(F.col("pos").cast("double") / P * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     out = st.agg(ap.alias("_ap"))
     if digits is not None:
@@ -103,7 +104,7 @@ def report(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_s
 
 
 def _neighbours(st: DataFrame) -> DataFrame:
-    """Attach previous / next (tp, fp) by position: equi-joins on idx +- 1."""
+    """Attach previous / next (tp, fp) by position: equi-joins on idx +- 1 (``st`` is a written table)."""
     prev = st.select((F.col("idx") + 1).alias("idx"), F.col("tp").alias("tp_prev"), F.col("fp").alias("fp_prev"))
     nxt = st.select((F.col("idx") - 1).alias("idx"), F.col("tp").alias("tp_next"), F.col("fp").alias("fp_next"))
     return st.join(prev, "idx", "left").join(nxt, "idx", "left")
@@ -116,9 +117,9 @@ def roc_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "ri
     With ``drop_intermediate`` a point is kept when the curve bends there
     (non-zero second difference in fp or tp) or it is the first or last.
     """
-    st = score_table(df, label, score)
-    P = st.select(F.sum("pos")).scalar()
-    N = st.select(F.sum("neg")).scalar()
+    st = materialize(score_table(df, label, score))   # six branches read it
+    P = st.select(F.max("tp")).scalar()
+    N = st.select(F.max("fp")).scalar()
     nb = _neighbours(st)
     if drop_intermediate:
         bend = ((F.col("fp_next") - F.col("fp")) != (F.col("fp") - F.col("fp_prev"))) | \
@@ -135,8 +136,8 @@ def roc_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "ri
 def pr_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_score") -> DataFrame:
     """Precision-recall curve: points from the top score down to the first
     threshold reaching full recall, plus the final (precision 1, recall 0)."""
-    st = score_table(df, label, score)
-    P = st.select(F.sum("pos")).scalar()
+    st = materialize(score_table(df, label, score))
+    P = st.select(F.max("tp")).scalar()
     first_full = st.where(F.col("tp") == P).select(F.min("idx")).scalar()
     pts = st.where(F.col("idx") <= first_full).select(
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -153,8 +154,8 @@ def tune_threshold(df: DataFrame, label: str = "stockout_next_14d", score: str =
     """Threshold with the highest recall among those with precision >= the
     bound (ties: higher precision, then higher threshold).  Integer test
     ``tp*100 >= pct*(tp+fp)``.  One row."""
-    st = score_table(df, label, score)
-    P = st.select(F.sum("pos")).scalar()
+    st = materialize(score_table(df, label, score))
+    P = st.select(F.max("tp")).scalar()
     ok = st.where(F.col("tp") * F.lit(100) >= F.lit(min_precision_pct) * (F.col("tp") + F.col("fp")))
     key = F.struct(F.col("tp"), (F.col("tp") / (F.col("tp") + F.col("fp"))), F.col("score"))
     best = ok.agg(F.max_by(F.struct("score", "tp", "fp"), key).alias("b"))

@@ -102,40 +102,57 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, cols: Sequence[str]) -> Data
     return df.join(dim.select(key, *cols), key, "left")
 
 
-def procurement_lookback(panel: DataFrame, po: DataFrame, days: int = 28,
+# Per-day sums behind the look-back: lines and units by order day, outcomes by delivery day.
+LOOKBACK_VALUES = {"lb_lines": "bigint", "lb_units": "bigint", "lb_delivered": "bigint", "lb_fill": "double",
+                   "lb_delay": "bigint", "lb_severe": "bigint"}
+
+
+def lookback_events(severe_days: int = 5) -> list[tuple["F.Column", dict]]:
+    """(day, values) of the two events of a line: its order and its delivery."""
+    fill = F.col("quantity_received") / F.nullif(F.col("quantity_ordered"), F.lit(0))
+    return [(F.col("order_date"), {"lb_lines": F.lit(1), "lb_units": F.col("quantity_ordered")}),
+            (F.col("actual_delivery"), {"lb_delivered": F.lit(1), "lb_fill": fill, "lb_delay": F.col("delay_days"),
+                                        "lb_severe": delay_severe("delay_days", severe_days)})]
+
+
+def daily_sums(po: DataFrame, events: Sequence[tuple["F.Column", Mapping]], types: Mapping[str, str],
+               keys: Sequence[str] = KEYS) -> DataFrame:
+    """Sum the values of dated events per (keys, day): one explode over the lines, summed before the shuffle."""
+    structs = F.array(*[F.struct(d.alias("day"), *[v.get(c, F.lit(0)).cast(t).alias(c) for c, t in types.items()])
+                        for d, v in events])
+    return (po.select(*keys, F.explode(structs).alias("e")).select(*keys, "e.*").where(F.col("day").isNotNull())
+              .groupBy(*keys, "day").agg(*[F.sum(c).alias(c) for c in types]))
+
+
+def procurement_lookback(panel: DataFrame, po: DataFrame | None = None, days: int = 28,
                          keys: Sequence[str] = KEYS, severe_days: int = 5,
-                         snapshot: str = "snapshot_date") -> DataFrame:
+                         snapshot: str = "snapshot_date", daily: DataFrame | None = None) -> DataFrame:
     """Procurement velocity over the ``days`` days before each snapshot.
 
-    PO line count, units ordered, mean fill rate, mean delay and the share
-    of severe delays, over orders placed in ``[d - days, d - 1]``.  Orders
-    are first reduced to daily partial sums per key; snapshots and daily
-    partials are then unioned and a range frame on the day number sums
-    the partials: one shuffle on the keys, no range join.
+    PO line count and units ordered over the lines *ordered* in
+    ``[d - days, d - 1]``; mean fill rate, mean delay and the share of severe
+    delays over the lines *delivered* in it.  The outcome of a line counts
+    from its delivery day on, so no value uses what a snapshot could not
+    know.  Snapshots and daily sums (``daily``, or computed from ``po``) are
+    unioned and a range frame on the day number sums them: one shuffle on
+    the keys, no range join.
     """
-    keys = list(keys)
-    day = F.unix_date(F.col("order_date"))
-    daily = (po.groupBy(*keys, day.alias("_day"))
-               .agg(F.count(F.lit(1)).alias("_n"),
-                    F.sum("quantity_ordered").alias("_units"),
-                    F.sum(F.col("quantity_received") / F.col("quantity_ordered")).alias("_fill"),
-                    F.sum("delay_days").alias("_delay"),
-                    F.sum(delay_severe("delay_days", severe_days)).alias("_severe"))
-               .withColumn("_is_snap", F.lit(False)))
+    keys, values = list(keys), LOOKBACK_VALUES
+    if daily is None:
+        daily = daily_sums(po, lookback_events(severe_days), values, keys)
+    daily = daily.select(*keys, F.unix_date("day").alias("_day"), *values, F.lit(False).alias("_is_snap"))
     snaps = panel.select(*keys, F.unix_date(F.col(snapshot)).alias("_day"),
-                         *[F.lit(None).cast(t).alias(c) for c, t in
-                           (("_n", "bigint"), ("_units", "bigint"), ("_fill", "double"),
-                            ("_delay", "bigint"), ("_severe", "bigint"))],
-                         F.lit(True).alias("_is_snap"))
+                         *[F.lit(None).cast(t).alias(c) for c, t in values.items()], F.lit(True).alias("_is_snap"))
     frame = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-days, -1)
-    n = F.coalesce(F.sum("_n").over(frame), F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    delivered = F.nullif(F.sum("lb_delivered").over(frame), F.lit(0))
     out = (daily.unionByName(snaps)
                 .withColumns({
-                    f"po_count_{days}d": n,
-                    f"units_ordered_{days}d": F.coalesce(F.sum("_units").over(frame), F.lit(0).cast("bigint")),
-                    f"avg_fill_rate_{days}d": F.sum("_fill").over(frame) / F.nullif(n, F.lit(0)),
-                    f"avg_delay_{days}d": F.sum("_delay").over(frame) / F.nullif(n, F.lit(0)),
-                    f"severe_share_{days}d": F.sum("_severe").over(frame) / F.nullif(n, F.lit(0)),
+                    f"po_count_{days}d": F.coalesce(F.sum("lb_lines").over(frame), zero),
+                    f"units_ordered_{days}d": F.coalesce(F.sum("lb_units").over(frame), zero),
+                    f"avg_fill_rate_{days}d": F.sum("lb_fill").over(frame) / delivered,
+                    f"avg_delay_{days}d": F.sum("lb_delay").over(frame) / delivered,
+                    f"severe_share_{days}d": F.sum("lb_severe").over(frame) / delivered,
                 })
                 .where("_is_snap")
                 .withColumn(snapshot, F.date_from_unix_date("_day")))

@@ -1,7 +1,8 @@
 """Gradient-boosted stockout model on Spark ML.
 
-``train`` fits ``VectorAssembler -> GBTClassifier`` with class-balancing
-row weights; ``score`` adds the positive-class probability.  The
+``train`` fits ``VectorAssembler -> GBTClassifier`` (or the Spark ML
+classifier given as ``estimator``) with class-balancing row weights;
+``score`` adds the positive-class probability.  The
 training frame is written once (``materialize``) because boosting scans
 it once per tree level; ``checkpointInterval`` with the shared checkpoint
 folder keeps the lineage of the boosting state short.
@@ -36,20 +37,28 @@ def numeric_features(df: DataFrame, features: Sequence[str] = FEATURES) -> DataF
 
 
 def train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = TARGET,
-          weight_col: str | None = "weight", checkpoint_interval: int = 10, **params) -> PipelineModel:
-    """Fit the pipeline; missing feature values raise (impute first)."""
+          weight_col: str | None = "weight", checkpoint_interval: int = 10, estimator=None, **params) -> PipelineModel:
+    """Fit the pipeline; missing feature values raise (impute first).
+
+    ``estimator`` swaps the classifier: any Spark ML classifier that yields
+    a probability; its column params are set here, the others are its own.
+    """
     p = {**GB_PARAMS, **params}
     checkpoint_dir(df.sparkSession)
     data = numeric_features(df, features).withColumn(label, F.col(label).cast("double"))
     if weight_col:
         data = class_weights(data, label, weight_col)
     data = materialize(data.select(*features, label, *([weight_col] if weight_col else [])))
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, checkpointInterval=checkpoint_interval,
-                        cacheNodeIds=True, **p)
-    if weight_col:
-        gbt.setWeightCol(weight_col)
+    if estimator is None:
+        est = GBTClassifier(checkpointInterval=checkpoint_interval, cacheNodeIds=True, **p)
+    else:
+        est = estimator.copy()
+    est.set(est.featuresCol, "features")
+    est.set(est.labelCol, label)
+    if weight_col and est.hasParam("weightCol"):
+        est.set(est.weightCol, weight_col)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[asm, gbt]).fit(data)
+    return Pipeline(stages=[asm, est]).fit(data)
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES,

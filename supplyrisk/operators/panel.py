@@ -32,17 +32,35 @@ def calendar_bounds(flows: DataFrame, week: str = "week", active: str = "n_order
     return (act.select(F.min(week)).scalar(), act.select(F.max(week)).scalar())
 
 
+def all_weeks(flows: DataFrame, week: str = "week") -> tuple[Column, Column]:
+    """First and last week with any flow."""
+    return (flows.select(F.min(week)).scalar(), flows.select(F.max(week)).scalar())
+
+
+def reconciliation(flows: DataFrame, values: Sequence[str] = ("received", "consumption"), week: str = "week",
+                   bounds: tuple[Column, Column] | None = None) -> DataFrame:
+    """Per value: its total, the part inside the calendar and the part outside.  One row per value."""
+    start, end = bounds or calendar_bounds(flows, week)
+    inside = F.col(week).between(start, end)
+    one = flows.agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)],
+                    *[F.coalesce(F.sum(F.when(inside, F.col(v))), F.lit(0)).alias(f"_i{i}") for i, v in enumerate(values)])
+    rows = ", ".join(f"'{v}', _t{i}, _i{i}, _t{i} - _i{i}" for i, v in enumerate(values))
+    return one.select(F.expr(f"stack({len(values)}, {rows}) AS (flow, total, inside, outside)"))
+
+
 def dense_calendar(flows: DataFrame, keys: Sequence[str], week: str = "week",
                    values: Sequence[str] = FLOW_COLS, step_days: int = 7,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """Every entity x every week between the bounds; missing flows are 0.
 
     The calendar is generated per entity with ``sequence`` (no join with a
-    date table), unioned with the sparse flows and summed once.  Flows
-    outside the calendar (e.g. consumption after the last order week) are
-    dropped, as a left join onto the calendar would.
+    date table), unioned with the sparse flows and summed once.  ``bounds``
+    are the first and last week; by default those with an order, so that
+    consumption after the last order week stays outside, as a left join onto
+    the order calendar would leave it.  ``all_weeks(flows)`` keeps every
+    flow, ``reconciliation`` totals what any bounds leave out.
     """
-    start, end = calendar_bounds(flows, week)
+    start, end = bounds or calendar_bounds(flows, week)
     keys = list(keys)
     step = F.expr(f"INTERVAL {int(step_days)} DAYS")
     types = dict(flows.dtypes)

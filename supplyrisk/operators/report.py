@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyrisk.functions.scalar import round_half_up
+from supplyrisk.functions.stats import exact_quantiles
+from supplyrisk.plans.materialize import materialize
 
 
 def supplier_delays(po: DataFrame, supplier_dim: DataFrame | None = None,
@@ -73,10 +75,6 @@ def facility_summary(current: DataFrame, facility_dim: DataFrame | None = None,
     return out.select(*cols)
 
 
-RISK_COLUMNS = ["facility_id", "product_id", "closing_stock", "days_of_supply", "risk_score",
-                "risk_level", "critical_item", "stockout_rate_4w", "avg_delay_days"]
-
-
 def risk_query(current: DataFrame, facility_id=None, risk_level: str | None = None,
                critical_only: str | bool | None = None, limit: int = 100) -> DataFrame:
     """Filtered risk table, highest score first, top ``limit`` rows.
@@ -167,21 +165,23 @@ def risk_search(current: DataFrame, product_dim: DataFrame, category: str | None
                      round_half_up("risk_score", 4).alias("risk_score"), "risk_level")
 
 
-def category_stockout_rate(inventory: DataFrame, po: DataFrame, category_col: str = "category",
+def category_stockout_rate(inventory: DataFrame, bridge: DataFrame, category_col: str = "category",
                            digits: int = 6) -> DataFrame:
-    """Stockout frequency per category, with an above-median flag.
+    """Stockout frequency per category, with an above-median flag, highest first.
 
-    The product-category bridge is the distinct (product, category,
-    critical) rows of the order table, left-joined on (product, critical).
-    The median is taken over the grouped result (one row per category).
+    ``bridge`` holds the (product, critical, category) rows of the order
+    table; a product may have several categories.  Snapshots are summed per
+    (product, critical) first, so the bridge multiplies grouped rows only,
+    and the rate table (one row per category) is written before its median.
     """
-    bridge = po.select("product_id", F.col(category_col).alias("category"), "critical_item").distinct()
-    rate = (inventory.join(bridge, ["product_id", "critical_item"], "left")
-                     .groupBy("category")
-                     .agg(F.avg("stockout").alias("_rate")))
-    med = rate.select(F.percentile("_rate", 0.5)).scalar()
-    return rate.select("category", round_half_up("_rate", digits).alias("stockout_rate"),
-                       (F.col("_rate") > med).cast("int").alias("above_median"))
+    per = inventory.groupBy("product_id", "critical_item").agg(F.sum("stockout").alias("_s"), F.count("stockout").alias("_n"))
+    pairs = bridge.select("product_id", "critical_item", F.col(category_col).alias("category")).distinct()
+    rate = materialize(per.join(pairs, ["product_id", "critical_item"], "left")
+                          .groupBy("category").agg((F.sum("_s") / F.sum("_n")).alias("_rate")))
+    med = exact_quantiles(rate, ["_rate"], 0.5)["_rate"]
+    return (rate.orderBy(F.col("_rate").desc(), "category")
+                .select("category", round_half_up("_rate", digits).alias("stockout_rate"),
+                        (F.col("_rate") > med).cast("int").alias("above_median")))
 
 
 def facility_risk_summary(scored_test: DataFrame, label: str = "stockout_next_14d",

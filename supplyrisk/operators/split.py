@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ def fraction_cutoff(df: DataFrame, fraction: float = 0.8, date_col: str = "snaps
     w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("n").over(Window.partitionBy())
     cum = per_date.withColumns({"cum": F.sum("n").over(w), "total": total})
-    pct = int(round(fraction * 100))
-    hit = cum.where(F.col("cum") * F.lit(100) >= F.lit(pct) * F.col("total"))
+    share = Fraction(str(fraction))   # exact: the decimal that was written, in integers
+    wide = "decimal(38,0)"
+    hit = cum.where(F.col("cum").cast(wide) * F.lit(share.denominator) >= F.lit(share.numerator) * F.col("total").cast(wide))
     return hit.agg(F.min("d").alias("cutoff_date"), F.first("total").alias("total_rows"))
 
 
@@ -37,3 +40,10 @@ def by_fraction(df: DataFrame, fraction: float = 0.8, date_col: str = "snapshot_
     """(train, test) with the cutoff of ``fraction_cutoff``: train is strictly before it."""
     cut = fraction_cutoff(df, fraction, date_col).select("cutoff_date").scalar()
     return df.where(F.col(date_col) < cut), df.where(F.col(date_col) >= cut)
+
+
+def three_way(df: DataFrame, validation_from: str, test_from: str, date_col: str = "snapshot_date"):
+    """(train, validation, test) by date: thresholds are tuned on the second, reported on the third."""
+    train, rest = by_date(df, validation_from, date_col)
+    validation, test = by_date(rest, test_from, date_col)
+    return train, validation, test

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import os
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyrisk.functions.scalar import month_start
-from supplyrisk.plans.materialize import materialize
 
 
 def date_key(c) -> "F.Column":
@@ -75,21 +76,35 @@ def write_fact(df: DataFrame, path: str, month_col: str, tail: list[str] | None
     return path
 
 
+TABLES = ("dim_facility", "dim_product", "dim_supplier", "dim_date",
+          "fact_procurement", "fact_delivery", "fact_inventory")
+
+
 def build(po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame,
-          inventory: DataFrame | None, root: str) -> dict[str, str]:
-    """Write all tables under ``root``; returns table -> path.
+          inventory: DataFrame | None, root: str, tables: Sequence[str] = TABLES) -> dict[str, str]:
+    """Write ``tables`` under ``root``; returns table -> path.
 
-    The order table feeds all seven writes, so it is written once first.
+    Each write reads only the columns its table needs, so nothing wide is
+    written in between.  ``fact_inventory`` needs ``inventory``.
     """
-    po = materialize(po)
+    parts = {**dims(po, facilities, products, suppliers), **facts(po, inventory)}
     paths = {}
-    for name, df in dims(po, facilities, products, suppliers).items():
-        p = os.path.join(root, name)
-        df.write.mode("overwrite").parquet(p)
-        paths[name] = p
-    for name, df in facts(po, inventory).items():
+    for name in tables:
+        if name not in parts:
+            raise ValueError(f"no source given for {name}")
+        path = os.path.join(root, name)
         if name == "fact_inventory":
-            paths[name] = write_fact(df, os.path.join(root, name), "snapshot_month", ["snapshot_date"])
+            write_fact(parts[name], path, "snapshot_month", ["snapshot_date"])
+        elif name.startswith("fact_"):
+            write_fact(parts[name], path, "order_month", ["order_id", "line_number"])
         else:
-            paths[name] = write_fact(df, os.path.join(root, name), "order_month", ["order_id", "line_number"])
+            parts[name].write.mode("overwrite").parquet(path)
+        paths[name] = path
     return paths
+
+
+def procurement_with_delivery(procurement: DataFrame, delivery: DataFrame) -> DataFrame:
+    """Each purchase-order line with its delivery record (equi-join on the line)."""
+    keys = ["order_id", "line_number"]
+    cols = ["expected_date_key", "actual_date_key", "quantity_received", "delay_days", "fulfilled"]
+    return procurement.join(delivery.select(*keys, *cols), keys)

@@ -16,46 +16,72 @@ from pyspark.sql import types as T
 
 DATE_FORMAT = "yyyy-MM-dd"
 
-# Columns of the procurement export of the source pipeline.
-ORDERS_SCHEMA = T.StructType([
-    T.StructField("order_id", T.StringType()),
-    T.StructField("line_number", T.IntegerType()),
-    T.StructField("facility_id", T.IntegerType()),
-    T.StructField("product_id", T.StringType()),
-    T.StructField("supplier_id", T.LongType()),
-    T.StructField("supplier_reliability", T.DoubleType()),
-    T.StructField("order_date", T.DateType()),
-    T.StructField("expected_delivery", T.DateType()),
-    T.StructField("actual_delivery", T.DateType()),
-    T.StructField("quantity_ordered", T.LongType()),
-    T.StructField("quantity_received", T.LongType()),
-    T.StructField("lead_days_planned", T.LongType()),
-    T.StructField("delay_days", T.LongType()),
-    T.StructField("fulfilled", T.BooleanType()),
-    T.StructField("unit_cost_total", T.DoubleType()),
-])
+
+_TYPES = {"string": T.StringType, "bigint": T.LongType, "int": T.IntegerType, "double": T.DoubleType,
+          "boolean": T.BooleanType, "date": T.DateType}
+
+
+def _schema(text: str) -> T.StructType:
+    """A flat schema from ``name type, ...`` (needs no session, unlike a DDL string)."""
+    return T.StructType([T.StructField(n, _TYPES[t]()) for n, t in (c.split() for c in text.split(", "))])
+
+
+# Columns of the three exports, as their files name them.
+ORDERS_SCHEMA = _schema(
+    "order_id string, facility_id string, facility_name string, region string, facility_beds bigint, "
+    "product_id string, product_name string, category string, critical_item boolean, unit_cost double, "
+    "supplier_id string, supplier_name string, supplier_reliability double, order_date date, "
+    "expected_delivery date, actual_delivery date, quantity_ordered bigint, quantity_received bigint, "
+    "lead_days_planned bigint, delay_days bigint, fulfilled boolean, unit_cost_total double")
+INVENTORY_SCHEMA = _schema(
+    "snapshot_date date, facility_id string, product_id string, opening_stock bigint, received bigint, "
+    "consumption bigint, closing_stock bigint, safety_stock bigint, stockout int, below_safety int, "
+    "critical_item boolean")
+ML_SCHEMA = T.StructType(INVENTORY_SCHEMA.fields + _schema(
+    "avg_consumption_4w double, avg_received_4w double, stockout_rate_4w double, below_safety_rate_4w double, "
+    "days_of_supply double, avg_supplier_reliability double, avg_delay_days double, fulfillment_rate double, "
+    "facility_beds bigint, stockout_next_14d int, week_of_year int").fields)
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a header CSV (of its first file)."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def _by_name(header: Sequence[str], schema: T.StructType, path: str) -> T.StructType:
+    """``schema`` in the file's order, unknown columns as text; raises on missing ones."""
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: missing column(s) {', '.join(missing)}")
+    known = {f.name: f for f in schema.fields}
+    return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, date_format: str = DATE_FORMAT,
              corrupt_column: str | None = None) -> DataFrame:
-    """Header CSV with an explicit schema; dates parsed with ``date_format``.
+    """Header CSV with an explicit schema, columns taken by name; dates parsed with ``date_format``.
 
-    With ``corrupt_column`` malformed lines are kept (PERMISSIVE) and the
-    raw text lands in that column for the validation report.
+    The header decides which column is which: reordered files read the
+    same, further columns are left out, missing ones raise.  All files under
+    ``path`` must have the first file's header (Spark checks it, as the
+    schema is not enforced by position).  With ``corrupt_column`` malformed
+    lines are kept (PERMISSIVE) and the raw text lands in that column.
     """
+    full = _by_name(csv_header(spark, path), schema, path)
+    names = [f.name for f in schema.fields]
     if corrupt_column:
-        schema = T.StructType(list(schema.fields) + [T.StructField(corrupt_column, T.StringType())])
-    r = (spark.read.schema(schema).option("header", True).option("dateFormat", date_format)
-         .option("mode", "PERMISSIVE"))
+        full = T.StructType(full.fields + [T.StructField(corrupt_column, T.StringType())])
+        names.append(corrupt_column)
+    r = (spark.read.schema(full).option("header", True).option("enforceSchema", bool(corrupt_column))
+         .option("dateFormat", date_format).option("mode", "PERMISSIVE"))
     if corrupt_column:
         r = r.option("columnNameOfCorruptRecord", corrupt_column)
-    return r.csv(path)
+    return r.csv(path).select(*names)
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Header CSV with every column as text (for typed conversion later)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Header CSV with every column as text (for typed conversion later), by name."""
+    return read_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
 def _convert(c: Column, dtype: T.DataType, date_format: str) -> Column:

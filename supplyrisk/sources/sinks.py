@@ -8,20 +8,11 @@ its row limit.
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from supplyrisk.session import checkpoint_dir
-
-
-def scratch(df_or_spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+from supplyrisk.plans.materialize import scratch  # noqa: F401  (a path for a sink's output)
 
 
 def write_csv(df: DataFrame, path: str, date_format: str = "yyyy-MM-dd", mode: str = "overwrite") -> str:
@@ -58,25 +49,56 @@ def write_metadata(facilities: DataFrame, suppliers: DataFrame, products: DataFr
     return path
 
 
+def write_metadata_document(facilities: DataFrame, suppliers: DataFrame, products: DataFrame, start, end, path: str,
+                            max_members: int = 100_000) -> str:
+    """The single nested document that ``ingest.read_metadata_document`` reads.
+
+    One document is one row, so the dimensions must be small: more than
+    ``max_members`` members in one raise; ``write_metadata`` has no bound.
+    """
+    def members(df: DataFrame, key: str, **cols) -> "F.Column":
+        if df.count() > max_members:
+            raise ValueError(f"{key}: more than {max_members} members for one document; use write_metadata")
+        pair = F.struct(F.col(key).cast("string").alias("key"),
+                        F.struct(*[F.col(c).alias(n) for n, c in cols.items()]).alias("value"))
+        return df.select(F.map_from_entries(F.array_sort(F.collect_list(pair)))).scalar()
+
+    doc = facilities.sparkSession.range(1).select(
+        members(facilities, "facility_id", name="facility_name", beds="facility_beds", region="region").alias("facilities"),
+        members(suppliers, "supplier_id", name="supplier_name", reliability="reliability",
+                avg_lead_days="avg_lead_days").alias("suppliers"),
+        members(products, "product_id", name="product_name", category="category", unit_cost="unit_cost",
+                critical="critical_item").alias("products"),
+        F.struct(F.date_format(start, "yyyy-MM-dd").alias("start"),
+                 F.date_format(end, "yyyy-MM-dd").alias("end")).alias("date_range"))
+    doc.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> str:
     metrics.coalesce(1).write.mode(mode).json(path)
     return path
 
 
 def json_records(df: DataFrame, col: str = "record") -> DataFrame:
-    """One JSON object per row (``orient="records"``)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(col))
+    """One JSON object per row (``orient="records"``), null fields included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(col))
 
 
-def alerts_envelope(alerts: DataFrame) -> DataFrame:
-    """``{"total_alerts": n, "alerts": [...]}`` as one JSON string.
+def alerts_envelope(alerts: DataFrame, limit: int = 50) -> DataFrame:
+    """``{"total_alerts": n, "alerts": [...]}`` as one JSON string, highest risk first.
 
-    ``alerts`` is the already-limited alert table (``report.alerts``).
+    At most ``limit`` alerts are listed, the feature's own bound, so the
+    list fits one row; without alerts the total is 0 and the list empty.
     """
     rec_cols = [c for c in alerts.columns if c != "total_alerts"]
-    one = alerts.agg(F.first("total_alerts").alias("total_alerts"),
-                     F.collect_list(F.struct(*rec_cols)).alias("alerts"))
-    return one.select(F.to_json(F.struct("total_alerts", "alerts")).alias("record"))
+    order = [F.col("risk_score").desc(), F.col("facility_id"), F.col("product_id")]
+    rank = F.row_number().over(Window.orderBy(*order))   # over the cut list only
+    top = alerts.orderBy(*order).limit(limit).withColumn("_rank", rank)
+    one = top.agg(F.coalesce(F.max("total_alerts"), F.lit(0)).cast("bigint").alias("total_alerts"),
+                  F.array_sort(F.collect_list(F.struct("_rank", F.struct(*rec_cols).alias("r")))).alias("x"))
+    return one.select(F.to_json(F.struct("total_alerts", F.transform("x", lambda x: x["r"]).alias("alerts")),
+                                {"ignoreNullFields": "false"}).alias("record"))
 
 
 METRICS_SCHEMA = T.StructType([

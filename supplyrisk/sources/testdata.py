@@ -12,7 +12,15 @@ the domain (a test binding, not an operator):
 * one purchase-order line per ``lineitem`` row; the order header is
   ``orders`` (``order_id = ORD-%06d`` of ``o_orderkey``)
 * outcome: returned lines (``R``) failed, lines with status ``F`` arrived
-  partially (60%), all others arrived in full and on time
+  partially (60%), all others arrived in full, every fifth of them 1-3
+  days late
+
+``lines`` reads ``lineitem`` alone; ``with_dates``, ``with_facility`` and
+``with_product`` add the attributes that a query asks for, one join each.
+The joins to order, customer and part are inner for the panel
+(``purchase_orders``): a line without a facility or product belongs to no
+series.  Such lines are counted by the referential-integrity rules, and the
+business rules run on ``lines``, before any join.
 
 Everything is lazy; Catalyst prunes the columns a query does not use.
 """
@@ -22,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplyrisk.plans.materialize import materialize, spread
+from supplyrisk.plans.materialize import materialize
 from supplyrisk.functions.scalar import int_floor, line_cost, padded_id, week_start
 
 FLOW_VALUES = ("received", "consumption", "n_orders", "sum_reliability", "sum_delay", "n_fulfilled")
@@ -33,13 +41,8 @@ PARTIAL_FRACTION = 0.6
 SIZE_TYPES = ["SMALL", "MEDIUM", "LARGE"]
 
 
-# Fact tables whose scan is spread when it would run as too few tasks.
-LARGE_TABLES = ("lineitem", "orders")
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in LARGE_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def supplier_reliability(supp) -> "F.Column":
@@ -50,14 +53,17 @@ def receipt_outcome(qty, fulfilled, partial, order_key, line_number,
                     partial_fraction: float = PARTIAL_FRACTION):
     """Delivered / partial / failed rules -> (quantity_received, delay_days).
 
-    Full delivery: everything, no delay.  Partial: ``floor(q*fraction)``,
-    a 2-7 day delay.  Failed: nothing, a 5-20 day delay.  The delays are
-    deterministic functions of the line key.
+    Full delivery: everything, on time or, for every fifth line, 1-3 days
+    late.  Partial: ``floor(q*fraction)``, a 2-7 day delay.  Failed:
+    nothing, a 5-20 day delay.  The delays are deterministic functions of
+    the line key.
     """
     received = (F.when(fulfilled, qty)
                 .when(partial, int_floor(qty * F.lit(partial_fraction)))
                 .otherwise(F.lit(0).cast("bigint")))
-    delay = (F.when(fulfilled, F.lit(0).cast("bigint"))
+    late = (order_key + line_number) % 5 == 0
+    delay = (F.when(fulfilled & late, F.lit(1) + order_key % 3)
+             .when(fulfilled, F.lit(0).cast("bigint"))
              .when(partial, F.lit(2) + order_key % 6)
              .otherwise(F.lit(5) + (order_key + line_number) % 16))
     return received, delay
@@ -73,51 +79,108 @@ def product_key(grain: str = "type") -> "F.Column":
     raise ValueError(f"unknown product grain {grain!r}")
 
 
-def purchase_orders(spark: SparkSession, sf_dir: str, grain: str = "type") -> DataFrame:
-    """``po``: one row per purchase-order line, denormalised with its keys."""
-    li = read(spark, sf_dir, "lineitem")
-    o = read(spark, sf_dir, "orders")
-    c = read(spark, sf_dir, "customer")
-    p = read(spark, sf_dir, "part")
-    # orders x customer first: the customer-key shuffle then moves order
-    # headers, not order lines (Spark keeps the written join order).
-    oc = o.join(c, o.o_custkey == c.c_custkey)
-    j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
-           .join(p, li.l_partkey == p.p_partkey))
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase-order lines with their outcome, from ``lineitem`` alone."""
     qty = int_floor(F.col("l_quantity"))
     fulfilled = F.col("l_returnflag") != F.lit("R")
-    partial = F.col("l_linestatus") == F.lit("F")
-    received, delay = receipt_outcome(qty, fulfilled, partial,
+    received, delay = receipt_outcome(qty, fulfilled, F.col("l_linestatus") == F.lit("F"),
                                       F.col("l_orderkey"), F.col("l_linenumber"))
-    lead = (F.lit(1) + F.col("l_suppkey") % 7)
-    order_date = F.col("o_orderdate").cast("date")
-    return j.select(
+    return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_key"),
         padded_id("ORD-", F.col("l_orderkey")).alias("order_id"),
         F.col("l_linenumber").alias("line_number"),
-        F.col("c_nationkey").alias("facility_id"),
-        product_key(grain).alias("product_id"),
-        F.col("p_partkey").alias("part_id"),
-        F.col("p_brand").alias("category"),
-        F.col("p_type").isin(CRITICAL_TYPES).alias("critical_item"),
-        (F.col("p_size") >= 25).alias("critical_part"),
+        F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supplier_id"),
         supplier_reliability(F.col("l_suppkey")).alias("supplier_reliability"),
-        lead.alias("lead_days_planned"),
-        order_date.alias("order_date"),
-        F.date_add(order_date, lead.cast("int")).alias("expected_delivery"),
-        F.date_add(F.date_add(order_date, lead.cast("int")), delay.cast("int")).alias("actual_delivery"),
+        (F.lit(1) + F.col("l_suppkey") % 7).alias("lead_days_planned"),
         F.col("l_shipdate").cast("date").alias("ship_date"),
         qty.alias("quantity_ordered"),
         received.alias("quantity_received"),
         delay.alias("delay_days"),
         fulfilled.alias("fulfilled"),
         F.col("l_linestatus").alias("line_status"),
-        F.col("p_retailprice").alias("unit_cost"),
-        line_cost(qty, F.col("p_retailprice")).alias("unit_cost_total"),
     )
 
 
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order_key, customer_key, order_date) from ``orders``."""
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("customer_key"),
+        F.col("o_orderdate").cast("date").alias("order_date"))
+
+
+def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order headers that have a line (a semi-join, no line attribute is shuffled)."""
+    keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"))
+    return order_headers(spark, sf_dir).join(keys, "order_key", "left_semi")
+
+
+def _delivery(df: DataFrame) -> DataFrame:
+    expected = F.date_add("order_date", F.col("lead_days_planned").cast("int"))
+    return df.withColumns({"expected_delivery": expected,
+                           "actual_delivery": F.date_add(expected, F.col("delay_days").cast("int"))})
+
+
+def with_dates(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the order's date and the delivery dates."""
+    return _delivery(df.join(order_headers(spark, sf_dir).select("order_key", "order_date"), "order_key"))
+
+
+def facility_of_order(spark: SparkSession, sf_dir: str, headers: DataFrame | None = None) -> DataFrame:
+    """Order headers with their facility.  The customer-key shuffle moves headers, not lines."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_key"),
+                                               F.col("c_nationkey").alias("facility_id"))
+    headers = order_headers(spark, sf_dir) if headers is None else headers
+    return headers.join(c, "customer_key").drop("customer_key")
+
+
+def with_facility(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the order's facility and dates (both come with the order header)."""
+    return _delivery(df.join(facility_of_order(spark, sf_dir), "order_key"))
+
+
+def with_product(df: DataFrame, spark: SparkSession, sf_dir: str, grain: str = "type") -> DataFrame:
+    """Add the line's product attributes and its cost."""
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part_id"), product_key(grain).alias("product_id"),
+        F.col("p_brand").alias("category"), F.col("p_type").isin(CRITICAL_TYPES).alias("critical_item"),
+        (F.col("p_size") >= 25).alias("critical_part"), F.col("p_retailprice").alias("unit_cost"))
+    return df.join(p, "part_id").withColumn("unit_cost_total", line_cost(F.col("quantity_ordered"), F.col("unit_cost")))
+
+
+PO_COLUMNS = [
+    "order_key", "order_id", "line_number", "facility_id", "product_id", "part_id", "category", "critical_item",
+    "critical_part", "supplier_id", "supplier_reliability", "lead_days_planned", "order_date", "expected_delivery",
+    "actual_delivery", "ship_date", "quantity_ordered", "quantity_received", "delay_days", "fulfilled",
+    "line_status", "unit_cost", "unit_cost_total"]
+
+
+def purchase_orders(spark: SparkSession, sf_dir: str, grain: str = "type") -> DataFrame:
+    """``po``: one row per purchase-order line with all attributes."""
+    return with_product(with_facility(lines(spark, sf_dir), spark, sf_dir), spark, sf_dir, grain).select(*PO_COLUMNS)
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line feed with the defects of a raw export, for the business rules: zero and missing
+    quantities, receipts above the order or below zero, negative delays."""
+    k = F.col("order_key") * 7 + F.col("line_number")
+    ordered = (F.when(k % 97 == 0, F.lit(0)).when(k % 101 == 0, F.lit(None)).otherwise(F.col("quantity_ordered")))
+    received = (F.when(k % 83 == 0, F.col("quantity_ordered") + 1).when(k % 89 == 0, F.lit(-1))
+                .otherwise(F.col("quantity_received")))
+    return lines(spark, sf_dir).withColumns({
+        "quantity_ordered": ordered.cast("bigint"), "quantity_received": received.cast("bigint"),
+        "delay_days": F.when(k % 79 == 0, F.lit(-1)).otherwise(F.col("delay_days")).cast("bigint")})
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery records: a failed line has no delivery date and no quantity."""
+    done = F.col("quantity_received") > 0
+    return with_dates(lines(spark, sf_dir), spark, sf_dir).select(
+        "order_id", "line_number", "supplier_id", "expected_delivery",
+        F.when(done, F.col("actual_delivery")).alias("actual_delivery"),
+        F.when(done, F.col("quantity_received")).alias("quantity_received"), "delay_days", "fulfilled")
+
+
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     r = read(spark, sf_dir, "region")
@@ -149,31 +212,21 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "unit_cost"))
 
 
-def flow_events(po: DataFrame, keys=("facility_id", "product_id")) -> DataFrame:
-    """Receipts by order week and consumption by ship week, one pass over ``po``.
+FLOW_TYPES = {"received": "bigint", "consumption": "bigint", "n_orders": "bigint", "sum_reliability": "double",
+              "sum_delay": "bigint", "n_fulfilled": "bigint"}
+
+
+def flow_events() -> list[tuple["F.Column", dict]]:
+    """(day, values) of a line's two stock movements: receipt on its order day, consumption on its ship day.
 
     Consumption of a line is ``floor(q*(78+facility)/100)`` so the drift
     differs per facility.
     """
     consumed = int_floor(F.col("quantity_ordered") * (F.lit(78) + F.col("facility_id")) / F.lit(100.0))
-    zero = F.lit(0).cast("bigint")
-    ev = F.explode(F.array(
-        F.struct(week_start("order_date").alias("week"),
-                 F.col("quantity_received").alias("received"),
-                 zero.alias("consumption"),
-                 F.lit(1).cast("bigint").alias("n_orders"),
-                 F.col("supplier_reliability").alias("sum_reliability"),
-                 F.col("delay_days").alias("sum_delay"),
-                 F.col("fulfilled").cast("bigint").alias("n_fulfilled")),
-        F.struct(week_start("ship_date").alias("week"),
-                 zero.alias("received"),
-                 consumed.alias("consumption"),
-                 zero.alias("n_orders"),
-                 F.lit(0.0).alias("sum_reliability"),
-                 zero.alias("sum_delay"),
-                 zero.alias("n_fulfilled")),
-    )).alias("e")
-    return po.select(*keys, ev).select(*keys, "e.*")
+    return [(F.col("order_date"), {"received": F.col("quantity_received"), "n_orders": F.lit(1),
+                                   "sum_reliability": F.col("supplier_reliability"), "sum_delay": F.col("delay_days"),
+                                   "n_fulfilled": F.col("fulfilled").cast("bigint")}),
+            (F.col("ship_date"), {"consumption": consumed})]
 
 
 def opening_weeks(facility) -> "F.Column":
@@ -181,26 +234,42 @@ def opening_weeks(facility) -> "F.Column":
     return F.lit(2) + facility % 5
 
 
-def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
-                grain: str = "type", po: DataFrame | None = None) -> DataFrame:
-    """Zero-filled weekly receipts and consumption per (facility, product).
+def daily_table(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"), grain: str = "type",
+                lookback: bool = False) -> DataFrame:
+    """Daily sums per (facility, product), written once: the calendar bounds, the entity list, the panel
+    and, with ``lookback``, the 28-day look-back all read them.  The one pass over the order lines."""
+    from supplyrisk.operators import features
+    events, types = flow_events(), FLOW_TYPES
+    if lookback:
+        events, types = events + features.lookback_events(), {**FLOW_TYPES, **features.LOOKBACK_VALUES}
+    return materialize(features.daily_sums(purchase_orders(spark, sf_dir, grain), events, types, keys), name="daily")
 
-    ``po`` reuses an order table the caller already built (and wrote).
-    """
+
+def weekly(daily: DataFrame, keys=("facility_id", "product_id")) -> DataFrame:
     from supplyrisk.operators import panel as P
+    return P.weekly_flows(daily.withColumn("week", week_start("day")), list(keys), values=FLOW_VALUES)
+
+
+def flow_table(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"), grain: str = "type",
+               daily: DataFrame | None = None) -> DataFrame:
+    """Weekly flows per (facility, product), written once for the branches of the calendar."""
+    daily = daily_table(spark, sf_dir, keys, grain) if daily is None else daily
+    return materialize(weekly(daily, keys), name="flows")
 
-    po = po if po is not None else purchase_orders(spark, sf_dir, grain)
-    # The flow table is read four times (bounds, entities, panel): write it once.
-    flows = materialize(P.weekly_flows(flow_events(po, keys), list(keys), values=FLOW_VALUES))
-    return P.dense_calendar(flows, list(keys), values=FLOW_VALUES)
+
+def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
+                grain: str = "type", daily: DataFrame | None = None) -> DataFrame:
+    """Zero-filled weekly receipts and consumption per (facility, product)."""
+    from supplyrisk.operators import panel as P
+    return P.dense_calendar(flow_table(spark, sf_dir, keys, grain, daily), list(keys), values=FLOW_VALUES)
 
 
 def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
-                    passthrough=(), grain: str = "type", po: DataFrame | None = None) -> DataFrame:
+                    passthrough=(), grain: str = "type", daily: DataFrame | None = None) -> DataFrame:
     """Weekly inventory panel of the binding, rolled forward from flows."""
     from supplyrisk.operators import panel as P
 
-    dense = dense_flows(spark, sf_dir, keys, grain, po)
+    dense = dense_flows(spark, sf_dir, keys, grain, daily)
     return P.inventory_from_flows(
         dense, list(keys),
         opening_weeks=opening_weeks(F.col("facility_id")),
@@ -218,6 +287,14 @@ def ml_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.build(inv, facilities(spark, sf_dir))
 
 
+def ml_dataset_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model table with the 19 documented features (``dataset.EXTENDED_FEATURES``)."""
+    from supplyrisk.operators import dataset
+
+    daily = daily_table(spark, sf_dir, lookback=True)
+    return dataset.build_extended(inventory_panel(spark, sf_dir, daily=daily), daily)
+
+
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML dataset with the binding's deterministic score and its band."""
     from supplyrisk.operators import risk
@@ -225,25 +302,28 @@ def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.with_level(ml_dataset(spark, sf_dir).withColumn("risk_score", risk.formula_score()))
 
 
-# Temporal split of the binding (the panel runs 1995-2001).
+# Temporal splits of the binding (the panel runs 1995-2001).
+VALIDATION_FROM = "1999-01-01"
 TEST_CUTOFF = "2000-01-01"
 
 
 def current_scored(spark: SparkSession, sf_dir: str, impute: bool = True) -> DataFrame:
-    """Current state per (facility, product) with score and band.
+    """Current state per (facility, product) with score and band, written once.
 
     As the dashboard does: impute the supplier statistics with their
     medians, take the last non-NULL value per column, score it, band it.
+    The medians need three columns of the history only; what is written is
+    the latest row per series.
     """
+    from supplyrisk.functions.stats import exact_quantiles
     from supplyrisk.operators import risk
 
     ds = ml_dataset(spark, sf_dir)
     if impute:
-        # medians scan the table several times: write it once first
-        ds = materialize(ds)
-        ds = risk.impute_median(ds, risk.IMPUTE_COLUMNS)
+        meds = exact_quantiles(ds.select(*risk.IMPUTE_COLUMNS), risk.IMPUTE_COLUMNS, 0.5)
+        ds = ds.withColumns({c: F.coalesce(F.col(c), m) for c, m in meds.items()})
     cur = risk.current_state(ds).withColumn("critical_item", F.col("critical_item").cast("int"))
-    return risk.with_level(cur.withColumn("risk_score", risk.formula_score()))
+    return materialize(risk.with_level(cur.withColumn("risk_score", risk.formula_score())), name="current")
 
 
 def fold_of_series():
