@@ -79,16 +79,32 @@ def test_label_next_days_irregular(spark):
     assert got == [1, 0, 0]
 
 
+LINE = ("facility_id int, product_id string, order_date date, actual_delivery date, quantity_ordered long, "
+        "quantity_received long, delay_days long")
+
+
+def _day(n):
+    return D0 + dt.timedelta(days=n)
+
+
 def test_procurement_lookback_window(spark):
     po = spark.createDataFrame(
-        [(1, "P", D0 - dt.timedelta(days=1), 10, 10, 0), (1, "P", D0 - dt.timedelta(days=28), 4, 2, 6),
-         (1, "P", D0 - dt.timedelta(days=29), 99, 0, 9), (1, "P", D0, 50, 50, 0)],
-        "facility_id int, product_id string, order_date date, quantity_ordered long, quantity_received long, delay_days long")
+        [(1, "P", _day(-1), _day(2), 10, 10, 0), (1, "P", _day(-28), _day(-20), 4, 2, 6),
+         (1, "P", _day(-29), _day(-1), 99, 0, 9), (1, "P", _day(0), _day(0), 50, 50, 0)], LINE)
     pan = spark.createDataFrame([(1, "P", D0)], "facility_id int, product_id string, snapshot_date date")
     r = features.procurement_lookback(pan, po).first()
     assert r.po_count_28d == 2 and r.units_ordered_28d == 14
-    assert r.avg_fill_rate_28d == pytest.approx((1.0 + 0.5) / 2)
-    assert r.avg_delay_28d == 3.0 and r.severe_share_28d == 0.5
+    assert r.avg_fill_rate_28d == pytest.approx((0.5 + 0.0) / 2)
+    assert r.avg_delay_28d == 7.5 and r.severe_share_28d == 1.0
+
+
+def test_lookback_does_not_see_later_deliveries(spark):
+    """An order placed in the window and delivered after the snapshot counts as placed, not as an outcome."""
+    po = spark.createDataFrame([(1, "P", _day(-3), _day(5), 10, 0, 9)], LINE)
+    pan = spark.createDataFrame([(1, "P", D0), (1, "P", _day(7))], "facility_id int, product_id string, snapshot_date date")
+    now, later = features.procurement_lookback(pan, po).orderBy("snapshot_date").collect()
+    assert (now.po_count_28d, now.avg_delay_28d, now.avg_fill_rate_28d, now.severe_share_28d) == (1, None, None, None)
+    assert (later.po_count_28d, later.avg_delay_28d, later.severe_share_28d) == (1, 9.0, 1.0)
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -98,22 +114,21 @@ def test_procurement_lookback_brute_force(spark, seed):
     orders = []
     for _ in range(150):
         f = int(rng.integers(1, 3))
-        day = D0 + dt.timedelta(days=int(rng.integers(0, 90)))
-        q = int(rng.integers(1, 20))
-        orders.append((f, "P", day, q, int(rng.integers(0, q + 1)), int(rng.integers(0, 12))))
-    po = spark.createDataFrame(orders, "facility_id int, product_id string, order_date date, "
-                                       "quantity_ordered long, quantity_received long, delay_days long")
-    snaps = [(f, "P", D0 + dt.timedelta(weeks=w)) for f in (1, 2) for w in range(14)]
+        n, q = int(rng.integers(0, 90)), int(rng.integers(1, 20))
+        orders.append((f, "P", _day(n), _day(n + int(rng.integers(0, 40))), q, int(rng.integers(0, q + 1)), int(rng.integers(0, 12))))
+    po = spark.createDataFrame(orders, LINE)
+    snaps = [(f, "P", D0 + dt.timedelta(weeks=w)) for f in (1, 2) for w in range(18)]
     pan = spark.createDataFrame(snaps, "facility_id int, product_id string, snapshot_date date")
     got = {(r.facility_id, r.snapshot_date): r for r in features.procurement_lookback(pan, po).collect()}
     for f, _, d in snaps:
-        win = [o for o in orders if o[0] == f and d - dt.timedelta(days=28) <= o[2] <= d - dt.timedelta(days=1)]
+        window = lambda day: d - dt.timedelta(days=28) <= day <= d - dt.timedelta(days=1)
+        placed = [o for o in orders if o[0] == f and window(o[2])]
+        done = [o for o in orders if o[0] == f and window(o[3])]
         r = got[(f, d)]
-        assert r.po_count_28d == len(win)
-        assert r.units_ordered_28d == sum(o[3] for o in win)
-        if win:
-            assert r.avg_fill_rate_28d == pytest.approx(sum(o[4] / o[3] for o in win) / len(win))
-            assert r.avg_delay_28d == pytest.approx(sum(o[5] for o in win) / len(win))
-            assert r.severe_share_28d == pytest.approx(sum(o[5] >= 5 for o in win) / len(win))
+        assert (r.po_count_28d, r.units_ordered_28d) == (len(placed), sum(o[4] for o in placed))
+        if done:
+            assert r.avg_fill_rate_28d == pytest.approx(sum(o[5] / o[4] for o in done) / len(done))
+            assert r.avg_delay_28d == pytest.approx(sum(o[6] for o in done) / len(done))
+            assert r.severe_share_28d == pytest.approx(sum(o[6] >= 5 for o in done) / len(done))
         else:
             assert r.avg_fill_rate_28d is None and r.avg_delay_28d is None

@@ -60,3 +60,30 @@ def test_dense_calendar_fills_gaps(spark):
     assert len(got) == 8  # 2 series x 4 weeks
     assert (1, D0 + dt.timedelta(weeks=1), 0, 0) in got
     assert (2, D0 + dt.timedelta(weeks=1), 0, 4) in got
+
+
+def test_calendar_bounds_and_reconciliation(spark):
+    """Consumption after the last order week stays outside the order calendar, counted; all_weeks keeps it."""
+    import datetime as dt
+
+    from supplyrisk.operators import panel
+    rows = [(1, "A", dt.date(2024, 1, 1), 10, 4, 1), (1, "A", dt.date(2024, 1, 15), 5, 4, 1), (1, "A", dt.date(2024, 1, 29), 0, 7, 0)]
+    flows = spark.createDataFrame(rows, "facility_id int, product_id string, week date, received long, consumption long, n_orders long")
+    keys = ["facility_id", "product_id"]
+    rec = {r.flow: (r.total, r.inside, r.outside) for r in panel.reconciliation(flows).collect()}
+    assert rec == {"received": (15, 15, 0), "consumption": (15, 8, 7)}
+    kept = panel.dense_calendar(flows, keys).agg({"consumption": "sum", "*": "count"}).first()
+    assert tuple(kept) == (8, 3)
+    every = panel.dense_calendar(flows, keys, bounds=panel.all_weeks(flows)).agg({"consumption": "sum", "*": "count"}).first()
+    assert tuple(every) == (15, 5)
+    assert {r.outside for r in panel.reconciliation(flows, bounds=panel.all_weeks(flows)).collect()} == {0}
+
+
+def test_split_by_any_fraction(spark):
+    import datetime as dt
+
+    from supplyrisk.operators import split
+    df = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(days=i),) for i in range(1000)], "snapshot_date date")
+    for fraction, want in ((0.8, 799), (0.875, 874), (0.995, 994), (0.999, 998), (0.5, 499)):
+        train, test = split.by_fraction(df, fraction)
+        assert (train.count(), test.count()) == (want, 1000 - want)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,17 +14,33 @@ from .conftest import SF_SMALL
 def test_panel_plan_one_key_exchange_no_udf(spark):
     inv = td.inventory_panel(spark, SF_SMALL)
     assert not has_python_udf(inv)
-    ex = exchanges(inv)
-    # every window of the panel reuses one hash exchange on the series keys
-    assert sum("hashpartitioning(facility_id" in e and "week" not in e for e in ex) >= 1
-    assert not any("SinglePartition" in e for e in ex if "Window" in e)
+    # every window and the final sum of the panel reuse one hash exchange on the series keys
+    on_keys = [e for e in exchanges(inv) if re.match(r"Exchange hashpartitioning\(facility_id#\d+, product_id#\d+, \d+\), REPARTITION", e)]
+    assert len(on_keys) == 1
+    lines = plan_text(inv, "simple").splitlines()
+    for i, line in enumerate(lines):
+        if "Window" in line:
+            assert "SinglePartition" not in " ".join(lines[i:i + 4])
 
 
 def test_pushdown_and_pruning_reach_scan(spark):
-    po = td.purchase_orders(spark, SF_SMALL).where(F.col("delay_days") > 0).select("supplier_id", "delay_days")
+    po = td.lines(spark, SF_SMALL).where(F.col("line_status") == "F").select("supplier_id", "delay_days")
     txt = plan_text(po, "formatted")
-    assert "ReadSchema: struct<l_orderkey:bigint" in txt
-    assert "l_comment" not in txt and "l_tax" not in txt
+    assert "PushedFilters: [IsNotNull(l_linestatus), EqualTo(l_linestatus,F)]" in txt
+    assert "l_tax" not in txt and "l_extendedprice" not in txt
+
+
+@pytest.mark.parametrize("key, scans", [
+    ("validate_rules", {"lineitem"}), ("proj_order_id", {"lineitem"}), ("proj_partial_receipt", {"lineitem"}),
+    ("proj_delay_severity", {"lineitem"}), ("supplier_delays", {"lineitem", "supplier"}),
+    ("proj_delivery_dates", {"lineitem", "orders"}), ("feat_calendar", {"lineitem", "orders"}),
+    ("proj_seasonal", {"lineitem", "orders"}), ("distinct_dates", {"lineitem", "orders"}),
+    ("proj_line_cost", {"lineitem", "part"}), ("supplier_facility_alerts", {"lineitem", "orders", "customer"})])
+def test_line_queries_scan_what_they_use(spark, key, scans):
+    import __spark_entry__ as E
+    txt = plan_text(E.queries()[key](spark, SF_SMALL), "simple")
+    assert set(re.findall(r"sf0\.001/(\w+)\.parquet", txt)) == scans
+    assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join", txt)) == len(scans) - 1
 
 
 def test_registered_keys_have_no_python_udf(spark):
@@ -83,3 +101,37 @@ def test_cross_validated_recall_trains_per_fold(spark):
     df = _separable(spark, 200).withColumn("k", (F.monotonically_increasing_id() % 3).cast("int"))
     r = gbm.cross_validate_recall(df, F.col("k"), k=3, features=feats, maxIter=3).first()
     assert r.n_folds == 3 and 0.0 <= r.mean_recall <= 1.0
+
+
+def test_another_estimator(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from supplyrisk.operators import risk
+    feats = ["closing_stock", "days_of_supply", "critical_item"]
+    df = _separable(spark, 200)
+    m = risk.train(df, features=feats, estimator=LogisticRegression(maxIter=20))
+    scored = risk.score(m, df, features=feats)
+    acc = scored.select(F.avg((gbm.predict(threshold=0.5) == F.col("stockout_next_14d")).cast("int"))).first()[0]
+    assert acc > 0.9
+
+
+def test_intermediates_are_deleted(spark):
+    from pathlib import Path
+    from supplyrisk.plans import intermediates, materialize
+    from supplyrisk.session import checkpoint_dir
+    folder = Path(checkpoint_dir(spark))
+    before = set(folder.iterdir())
+    with intermediates(spark):
+        assert materialize(spark.range(5)).count() == 5
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
+    for _ in range(3):
+        checkpoint_dir(spark)
+    assert set(folder.iterdir()) == before
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+    from supplyrisk.session import checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))

@@ -114,21 +114,24 @@ def test_cv_recall_and_class_weights(spark):
     assert sorted(x.weight for x in w) == [1.0, 1.0, 1.0, 3.0]
 
 
-def _np_curves(y, s):
-    """numpy form of roc_curve(drop_intermediate=True) and precision_recall_curve."""
-    y, s = np.asarray(y), np.asarray(s)
-    o = np.argsort(-s, kind="mergesort")
-    y, s = y[o], s[o]
-    last = np.r_[np.where(np.diff(s))[0], len(s) - 1]
-    tps = np.cumsum(y)[last]
-    fps = (1 + last) - tps
-    th = s[last]
-    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
-    rf, rt, rth = fps[keep], tps[keep], th[keep]
-    roc = {(0.0, 0.0, float("inf"))} | {(f / fps[-1], t / tps[-1], h) for f, t, h in zip(rf, rt, rth)}
-    stop = np.searchsorted(tps, tps[-1])
-    pr = {(t / (t + f), t / tps[-1], h) for t, f, h in zip(tps[:stop + 1], fps[:stop + 1], th[:stop + 1])}
-    pr.add((1.0, 0.0, None))
+def _curves(y, s):
+    """Both curves from their definition, one threshold at a time."""
+    y, s = [int(v) for v in y], [float(v) for v in s]
+    P, N = sum(y), len(y) - sum(y)
+    points = []   # (fp, tp, threshold) from the highest threshold down
+    for t in sorted(set(s), reverse=True):
+        points.append((sum(1 - a for a, b in zip(y, s) if b >= t), sum(a for a, b in zip(y, s) if b >= t), t))
+    roc = {(0.0, 0.0, float("inf"))}
+    for i, (f, t, h) in enumerate(points):
+        straight = 0 < i < len(points) - 1 and all(
+            points[i + 1][k] - points[i][k] == points[i][k] - points[i - 1][k] for k in (0, 1))
+        if not straight:
+            roc.add((f / N, t / P, h))
+    pr = {(1.0, 0.0, None)}
+    for f, t, h in points:
+        pr.add((t / (t + f), t / P, h))
+        if t == P:
+            break
     return roc, pr
 
 
@@ -139,7 +142,7 @@ def test_curves_match_reference_algorithm(spark, seed):
     y = rng.integers(0, 2, n)
     s = np.round(np.clip(0.3 * y + rng.random(n) * 0.7, 0, 1), 2)   # many ties
     df = scored(spark, y, s)
-    roc, pr = _np_curves(y, s)
+    roc, pr = _curves(y, s)
     got_roc = {(r.fpr, r.tpr, r.threshold) for r in evaluate.roc_points(df).collect()}
     got_pr = {(r.precision, r.recall, r.threshold) for r in evaluate.pr_points(df).collect()}
     rnd = lambda t: tuple(round(v, 12) if isinstance(v, float) and v != float("inf") else v for v in t)

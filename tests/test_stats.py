@@ -3,7 +3,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from supplyrisk.functions.stats import dense_index, exact_quantile, prefix_sums
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from supplyrisk.functions.stats import dense_index, exact_quantile, exact_quantiles, prefix_sums
 
 
 def test_two_level_prefix_sum_equals_global(spark):
@@ -31,29 +34,28 @@ def test_dense_index_strings(spark):
     assert got == {"Zed": 0, "apple": 1, "fig": 2, "pear": 3}
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_exact_quantiles_both_paths(spark, small):
-    from supplyrisk.functions.stats import exact_quantiles
+def test_exact_quantiles_of_two_columns(spark):
     a = [3.0, 1.0, 2.0, 8.0, None]
     b = [5.0, 5.0, 5.0, 1.0, 9.0]
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
-    meds = exact_quantiles(df, ["a", "b"], 0.5, buckets=3, small_distinct=small)
+    meds = exact_quantiles(df, ["a", "b"], 0.5, buckets=3)
     r = df.select(meds["a"].alias("ma"), meds["b"].alias("mb")).first()
     assert (r.ma, r.mb) == (2.5, 5.0)
 
 
-from hypothesis import given, settings, strategies as st  # noqa: E402
-
-
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float)), min_size=1, max_size=25),
-       st.sampled_from([0.25, 0.5, 0.9]), st.booleans())
-def test_exact_quantile_property(spark, vals, q, small):
-    from supplyrisk.functions.stats import exact_quantiles
+@given(st.lists(st.one_of(st.none(), st.floats(-5, 5, width=32)), min_size=1, max_size=25),
+       st.sampled_from([0.25, 0.5, 0.9]), st.sampled_from([1, 3, 8]))
+def test_exact_quantile_equals_percentile_to_the_bit(spark, vals, q, buckets):
     present = [v for v in vals if v is not None]
     if not present:
         return
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    col = exact_quantiles(df, ["x"], q, buckets=3, small_distinct=10_000 if small else 0)["x"]
-    got = df.select(col.alias("m")).first().m
-    assert got == pytest.approx(float(np.percentile(present, q * 100)))
+    df = spark.createDataFrame([(v,) for v in vals + [0.1, 0.7]], "x double")
+    got = df.select(exact_quantile(df, "x", q, buckets=buckets).alias("m")).first().m
+    assert got == df.select(F.percentile("x", q)).first()[0]
+    assert got == pytest.approx(float(np.percentile(present + [0.1, 0.7], q * 100)))
+
+
+def test_exact_quantile_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    assert df.select(exact_quantile(df, "x").alias("m")).first().m is None

@@ -55,6 +55,59 @@ def test_csv_roundtrip_with_dates(spark, tmp_path):
     assert back.collect() == df.collect()
 
 
+def _csv(tmp_path, text, name="x.csv"):
+    p = tmp_path / name
+    p.write_text(text)
+    return str(p)
+
+
+QTY = T.StructType([T.StructField("order_id", T.StringType()), T.StructField("ordered", T.LongType()),
+                    T.StructField("received", T.LongType())])
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    for text in ("order_id,ordered,received\nA,40,7\n", "received,order_id,ordered\n7,A,40\n",
+                 "note,received,order_id,more,ordered\nx,7,A,y,40\n"):
+        assert ingest.read_csv(spark, _csv(tmp_path, text), QTY).collect() == [("A", 40, 7)]
+    with pytest.raises(ValueError, match="received"):
+        ingest.read_csv(spark, _csv(tmp_path, "order_id,ordered\nA,40\n"), QTY)
+    t = ingest.read_text_csv(spark, _csv(tmp_path, "b,a\n1,2\n"), ["a", "b"]).first()
+    assert (t.a, t.b) == ("2", "1")
+
+
+def test_csv_corrupt_lines_are_kept(spark, tmp_path):
+    df = ingest.read_csv(spark, _csv(tmp_path, "order_id,ordered,received\nA,x,7\nB,1,2\n"), QTY, corrupt_column="raw")
+    assert {r.order_id: r.raw for r in df.cache().collect()} == {"A": "A,x,7", "B": None}
+
+
+def test_orders_export_layout(spark, tmp_path):
+    text = ("order_id,facility_id,facility_name,region,facility_beds,product_id,product_name,category,critical_item,"
+            "unit_cost,supplier_id,supplier_name,supplier_reliability,order_date,expected_delivery,actual_delivery,"
+            "quantity_ordered,quantity_received,lead_days_planned,delay_days,fulfilled,unit_cost_total\n"
+            "ORD-000001,F001,General,Northeast,450,P001,Gloves,PPE,True,12.5,S01,Supply Co,0.97,2023-01-02,2023-01-05,"
+            "2023-01-05,40,40,3,0,True,500.0\n")
+    r = ingest.read_csv(spark, _csv(tmp_path, text), ingest.ORDERS_SCHEMA).first()
+    assert (r.facility_id, r.facility_beds, r.supplier_id, r.order_date, r.quantity_received, r.fulfilled) == \
+        ("F001", 450, "S01", dt.date(2023, 1, 2), 40, True)
+
+
+def test_json_output_keeps_nulls_and_order(spark):
+    df = spark.createDataFrame([(1, None)], "a int, b string")
+    assert json.loads(sinks.json_records(df).first().record) == {"a": 1, "b": None}
+    cols = "total_alerts long, facility_id int, product_id string, risk_score double, note string"
+    rows = [(9, i % 3, f"P{i}", (i * 7 % 10) / 10, None) for i in range(9)]
+    env = json.loads(sinks.alerts_envelope(spark.createDataFrame(rows, cols).repartition(4), limit=5).first().record)
+    want = sorted(rows, key=lambda r: (-r[3], r[1], r[2]))[:5]
+    assert env["total_alerts"] == 9
+    assert [(a["facility_id"], a["product_id"], a["risk_score"], a["note"]) for a in env["alerts"]] == [r[1:] for r in want]
+    assert json.loads(sinks.alerts_envelope(spark.createDataFrame([], cols)).first().record) == {"total_alerts": 0, "alerts": []}
+
+
+def test_scores_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "A", 0.5)], "facility_id int, product_id string, risk_score double")
+    assert spark.read.schema(df.schema).json(sinks.write_scores(df, str(tmp_path / "s"))).collect() == df.collect()
+
+
 def test_metadata_document_source_layout(spark, tmp_path):
     doc = {"facilities": {"F001": {"name": "General", "beds": 450, "region": "Northeast"}},
            "suppliers": {"S01": {"name": "Supply Co", "reliability": 0.97, "avg_lead_days": 3.0}},
