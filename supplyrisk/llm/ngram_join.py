@@ -54,11 +54,11 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     first = np.r_[True, (value[1:] != value[:-1]) | (who[1:] != who[:-1])] if len(value) else np.zeros(0, bool)
     value, who = value[first], who[first]
     keys = np.zeros(len(texts), _KEY)
-    keys["size"] = np.bincount(who, minlength=len(texts))
+    sizes = np.bincount(who, minlength=len(texts))
     # order-free 128-bit signature of a set: two independent sums of mixed hashes
-    has = np.flatnonzero(keys["size"])
+    has = np.flatnonzero(sizes)
     if len(has):
-        starts = np.concatenate([[0], np.cumsum(keys["size"])])[has]
+        starts = np.concatenate([[0], np.cumsum(sizes)])[has]
         keys["hi"][has] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), starts)
         keys["lo"][has] = np.add.reduceat(mix(value + np.uint64(0x14057B7EF767814F)), starts)
     return value, who, keys
@@ -70,9 +70,9 @@ def set_classes(documents: DataFrame) -> DataFrame:
         for batch in batches:
             texts = utf8(batch.column(1))
             for lo, hi in chunks(texts):
-                _, _, keys = shingle_sets(texts[lo:hi])
+                _, who, keys = shingle_sets(texts[lo:hi])
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(keys["size"]),
+                    "doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(np.bincount(who, minlength=hi - lo)),
                     "hi": pa.array(keys["hi"].view("<i8")), "lo": pa.array(keys["lo"].view("<i8"))})
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long")
@@ -80,24 +80,24 @@ def set_classes(documents: DataFrame) -> DataFrame:
 
 def with_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """Classes that can have partners: shared tokens and the shared part of their prefix under each order."""
-    schema = "hi long, lo long, n long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
+    schema = "rep long, n long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("hi", "lo", "n", "tokens", *(f"p{k}" for k in range(ORDERS)))}
+            out: dict[str, list] = {c: [] for c in ("rep", "n", "tokens", *(f"p{k}" for k in range(ORDERS)))}
             for r in batch.to_pylist():
-                tokens, df, n = np.frombuffer(r["vals"], "<u8"), np.frombuffer(r["df"], "<u2"), r["size"]
+                tokens, df, n = np.frombuffer(r["vals"], "<u8"), np.frombuffer(r["df"], "<u2"), r["n"]
                 prefix = n - -(-n * percent // 100) + 1
                 room = prefix - (n - len(tokens))   # the class's own tokens fill the front
                 if room <= 0:
                     continue
-                for c, v in (("hi", r["hi"]), ("lo", r["lo"]), ("n", n), ("tokens", tokens.astype(np.int64))):
+                for c, v in (("rep", r["rep"]), ("n", n), ("tokens", tokens.astype(np.int64))):
                     out[c].append(v)
                 for k in range(ORDERS):
                     order = np.lexsort((mix(tokens + np.uint64(k)), df))
                     out[f"p{k}"].append(tokens[order[:room]].astype(np.int64))
-            lists = {c: pa.array(out[c], pa.list_(pa.int64())) for c in out if c not in ("hi", "lo", "n")}
-            yield pa.RecordBatch.from_pydict({**{c: pa.array(out[c], pa.int64()) for c in ("hi", "lo", "n")}, **lists})
+            lists = {c: pa.array(out[c], pa.list_(pa.int64())) for c in out if c not in ("rep", "n")}
+            yield pa.RecordBatch.from_pydict({**{c: pa.array(out[c], pa.int64()) for c in ("rep", "n")}, **lists})
 
     return shared.mapInArrow(run, schema)
 
@@ -155,7 +155,8 @@ def join_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     classes = materialize(set_classes(documents), name="classes")
     reps = classes.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
     shared = shared_values(documents, shingle_sets)
-    sets = materialize(with_prefixes(shared, percent).join(reps, ["hi", "lo", "n"]), name="sets")
+    sizes = reps.select("hi", "lo", "n", "rep")
+    sets = materialize(with_prefixes(shared.join(sizes, ["hi", "lo"]), percent), name="sets")
     comps = class_links(sets, percent)
     named = reps.join(comps, reps["rep"] == comps["id"], "left") \
                 .select("hi", "lo", "n", F.coalesce("component_id", "rep").alias("component_id"))

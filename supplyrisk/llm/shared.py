@@ -5,10 +5,13 @@ values and returns, per distinct owner, the values that at least two
 owners hold, with the number of owners.  Owners are classes of equal
 texts (a 128-bit key), so groups of copies count once.
 
-Values travel as packed arrays, not as rows: a task packs a few MB of
-text at a time into one row per hash bucket (about 8 bytes a value before
-compression), one task per bucket counts the owners, and the values that
-are shared go back, packed per range of owners.  A task sends a class once.
+Values travel as packed arrays, not as rows: a task packs about 2 MB of
+text at a time into one row per hash bucket (the owners, how many values
+each has there, and five bytes a value), one task per bucket counts the
+owners, and the values that are shared go back, packed per range of
+owners.  A task sends a class once.  Buckets follow
+``spark.sql.shuffle.partitions``; a value is told apart by its bucket and
+40 more bits of its hash.
 
 Values held by more than ``hot_share`` of the texts would make a bucket
 hot.  They are found first, from the values that are frequent in single
@@ -24,15 +27,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyrisk.llm.shingles import chunks, utf8
 
 HOT = 65535
-_KEY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("size", "<i8")])
+_KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
-#: texts -> (values, index of the text each belongs to, owner keys of _KEY); values distinct per text
+#: texts -> (values, index of the text each belongs to, owner keys of _KEY); values distinct per text, texts ascending
 Features = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -40,14 +43,22 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def hot_values(docs: DataFrame, features: Features, hot_share: float) -> np.ndarray:
-    """Sorted values (52 bits) held by more than ``hot_share`` of the texts."""
+def bucket_count(spark: SparkSession) -> int:
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def identity(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The part of a hash that tells values apart: below ``buckets`` * 2^40, congruent to the bucket."""
+    return values % np.uint64(buckets << 40)
+
+
+def hot_values(docs: DataFrame, features: Features, hot_share: float, buckets: int) -> np.ndarray:
+    """Sorted values held by more than ``hot_share`` of the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(0))
             for lo, hi in chunks(texts):
-                values, _, _ = features(texts[lo:hi])
-                value, n = np.unique(values >> np.uint64(12), return_counts=True)
+                value, n = np.unique(identity(features(texts[lo:hi])[0], buckets), return_counts=True)
                 often = n >= max(8, hot_share * (hi - lo))
                 yield pa.RecordBatch.from_pydict({"v": pa.array(value[often].astype(np.int64)),
                                                   "n": pa.array(n[often], pa.int64())})
@@ -58,41 +69,24 @@ def hot_values(docs: DataFrame, features: Features, hot_share: float) -> np.ndar
     return np.sort(rows["v"].to_numpy(dtype=np.uint64))
 
 
-def _pack48(q: np.ndarray) -> bytes:
-    """Byte planes of sorted 48-bit numbers; the high planes compress to almost nothing."""
-    return np.ascontiguousarray(q.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _pack(q: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of numbers, as planes."""
+    return np.ascontiguousarray(q.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unpack48(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
 _PACKED = "kind int, slot int, owners binary, counts binary, q binary, df binary"
-
-
-def _row(kind: int, slot: int, owners: np.ndarray, counts: np.ndarray, q: bytes, df: np.ndarray) -> dict:
-    return {"kind": kind, "slot": slot, "owners": owners.tobytes(), "counts": counts.tobytes(), "q": q, "df": df.tobytes()}
+_SCHEMA = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "q", "df"))])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    schema = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "q", "df"))])
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-def _by_owner(owner: np.ndarray, value: np.ndarray, df: np.ndarray, keys: np.ndarray, targets: int) -> list[dict]:
-    """Rows of kind 1, one per target range: the owners there with their values."""
-    order = np.lexsort((value, owner, keys["lo"][owner] % np.uint64(targets)))
-    owner, value, df = owner[order], value[order], df[order]
-    target = (keys["lo"][owner] % np.uint64(targets)).astype(np.int64)
-    out = []
-    for at, end in _runs(target):
-        own, n = _counted(owner[at:end])
-        out.append(_row(1, int(target[at]), keys[own], n.astype("<u4"), value[at:end].astype("<u8").tobytes(),
-                        df[at:end].astype("<u2")))
-    return out
+    return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -102,21 +96,46 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.r_[0, edge].tolist(), np.r_[edge, len(x)].tolist()))
 
 
-def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    runs = _runs(x)
-    return x[[a for a, _ in runs]], np.array([b - a for a, b in runs], dtype=np.int64)
+def _rows(kind: int, slot: np.ndarray, owner: np.ndarray, keys: np.ndarray, q: np.ndarray,
+          df: np.ndarray | None = None) -> list[dict]:
+    """One row per slot: its owners, values per owner, values.  Input is grouped by owner."""
+    order = np.argsort(slot.astype(np.uint32), kind="stable")
+    slot, owner, q = slot[order], owner[order], q[order]
+    df = df[order] if df is not None else None
+    out = []
+    for a, b in _runs(slot):
+        own, first = np.unique(owner[a:b], return_index=True)
+        counts = np.diff(np.r_[first, b - a])
+        out.append({"kind": kind, "slot": int(slot[a]), "owners": keys[own].tobytes(), "counts": counts.astype("<u4").tobytes(),
+                    "q": _pack(q[a:b], 5 if kind == 0 else 8), "df": b"" if df is None else df[a:b].astype("<u2").tobytes()})
+    return out
+
+
+def _target(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys["lo"] % np.uint64(buckets)).astype(np.int64)
+
+
+def _merge(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct owner keys, owner index per value, values) of packed rows."""
+    every = np.concatenate([np.frombuffer(r["owners"], _KEY) for r in rows])
+    order = np.lexsort((every["hi"], every["lo"]))
+    s = every[order]
+    new = np.r_[True, (s["hi"][1:] != s["hi"][:-1]) | (s["lo"][1:] != s["lo"][:-1])]
+    index = np.empty(len(every), np.int32)
+    index[order] = np.cumsum(new) - 1
+    owner = np.repeat(index, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]))
+    return s[new], owner, np.concatenate([_unpack(r["q"], width) for r in rows])
 
 
 def shared_values(docs: DataFrame, features: Features, hot_share: float = 0.002) -> DataFrame:
-    """(hi, lo, size, vals, df): per owner the values that two owners or more hold, and by how many.
+    """(hi, lo, vals, df): per owner the values that two owners or more hold, and by how many.
 
-    ``vals`` are 52-bit values as little-endian int64 bytes, ascending;
-    ``df`` are uint16 owner counts, capped at HOT.  Owners without a shared
-    value have no row.
+    ``vals`` are ``identity`` values as little-endian int64 bytes,
+    ascending; ``df`` are uint16 owner counts, capped at HOT.  Owners
+    without a shared value have no row.
     """
-    spark = docs.sparkSession
-    slots = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = hot_values(docs, features, hot_share)
+    buckets = bucket_count(docs.sparkSession)
+    hot = hot_values(docs, features, hot_share, buckets)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -130,41 +149,28 @@ def shared_values(docs: DataFrame, features: Features, hot_share: float = 0.002)
                         sent.add(b)
                         fresh[i] = True
                 mine = fresh[who]
-                v, who = (values[mine] >> np.uint64(12)), who[mine]
+                v, who = identity(values[mine], buckets), who[mine]
                 if not len(v):
                     continue
+                rows = []
                 if len(hot):
                     is_hot = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
-                    rows = _by_owner(who[is_hot], v[is_hot], np.full(int(is_hot.sum()), HOT), keys, slots)
-                    if rows:
-                        yield _batch(rows)
+                    own = who[is_hot]
+                    rows += _rows(1, _target(keys[own], buckets), own, keys, v[is_hot], np.full(len(own), HOT))
                     v, who = v[~is_hot], who[~is_hot]
-                slot, q = (v % np.uint64(slots)).astype(np.int64), v // np.uint64(slots)
-                order = np.lexsort((q, slot))
-                slot, q, who = slot[order], q[order], who[order]
-                rows = []
-                for at, end in _runs(slot):
-                    own, local = np.unique(who[at:end], return_inverse=True)
-                    rows.append(_row(0, int(slot[at]), keys[own], local.astype("<u4" if len(own) > 65535 else "<u2"),
-                                     _pack48(q[at:end]), np.zeros(0, np.uint8)))
+                q, slot = np.divmod(v, np.uint64(buckets))
+                rows += _rows(0, slot, who, keys, q)
                 if rows:
                     yield _batch(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in b.to_pylist())
-        for (kind, slot), group in groupby(rows, key=lambda r: (r["kind"], r["slot"])):
+        stream = (r for b in batches for r in b.to_pylist())
+        for (kind, slot), group in groupby(stream, key=lambda r: (r["kind"], r["slot"])):
             if kind == 1:
                 for r in group:
                     yield _batch([r])
                 continue
-            qs, owners = [], []
-            for r in group:
-                keys = np.frombuffer(r["owners"], _KEY)
-                q = _unpack48(r["q"])
-                qs.append(q)
-                owners.append(keys[np.frombuffer(r["counts"], "<u2" if len(r["counts"]) == 2 * len(q) else "<u4")])
-            q, owner = np.concatenate(qs), np.concatenate(owners)
-            keys, own = _distinct_owners(owner)
+            keys, own, q = _merge(list(group), 5)
             order = np.lexsort((own, q))
             q, own = q[order], own[order]
             first = np.r_[True, (q[1:] != q[:-1]) | (own[1:] != own[:-1])]
@@ -172,22 +178,19 @@ def shared_values(docs: DataFrame, features: Features, hot_share: float = 0.002)
             edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             n = np.diff(np.r_[edge, len(q)])
             df = np.repeat(n, n)
-            keep = df >= 2
-            if keep.any():
-                value = q[keep] * np.uint64(slots) + np.uint64(slot)
-                yield _batch(_by_owner(own[keep], value, np.minimum(df[keep], HOT), keys, slots))
+            keep = np.flatnonzero(df >= 2)
+            if len(keep):
+                keep = keep[np.argsort(own[keep], kind="stable")]
+                own = own[keep]
+                value = q[keep] * np.uint64(buckets) + np.uint64(slot)
+                yield _batch(_rows(1, _target(keys[own], buckets), own, keys, value, np.minimum(df[keep], HOT)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in b.to_pylist())
-        for _, group in groupby(rows, key=lambda r: r["slot"]):
-            owners, vals, dfs = [], [], []
-            for r in group:
-                keys, n = np.frombuffer(r["owners"], _KEY), np.frombuffer(r["counts"], "<u4")
-                owners.append(np.repeat(keys, n))
-                vals.append(np.frombuffer(r["q"], "<u8"))
-                dfs.append(np.frombuffer(r["df"], "<u2"))
-            keys, own = _distinct_owners(np.concatenate(owners))
-            value, df = np.concatenate(vals), np.concatenate(dfs)
+        stream = (r for b in batches for r in b.to_pylist())
+        for _, group in groupby(stream, key=lambda r: r["slot"]):
+            rows = list(group)
+            keys, own, value = _merge(rows, 8)
+            df = np.concatenate([np.frombuffer(r["df"], "<u2") for r in rows])
             order = np.lexsort((value, own))
             own, value, df = own[order], value[order], df[order]
             first = np.r_[True, (own[1:] != own[:-1]) | (value[1:] != value[:-1])]
@@ -195,23 +198,13 @@ def shared_values(docs: DataFrame, features: Features, hot_share: float = 0.002)
             runs = _runs(own)
             for at in range(0, len(runs), 2000):
                 part = runs[at:at + 2000]
-                k = keys[[own[a] for a, _ in part]]
+                k = keys[own[[a for a, _ in part]]]
                 yield pa.RecordBatch.from_pydict({
-                    "hi": pa.array(k["hi"].view("<i8")), "lo": pa.array(k["lo"].view("<i8")), "size": pa.array(k["size"]),
+                    "hi": pa.array(k["hi"].view("<i8")), "lo": pa.array(k["lo"].view("<i8")),
                     "vals": [value[a:b].astype("<i8").tobytes() for a, b in part],
                     "df": [df[a:b].astype("<u2").tobytes() for a, b in part]})
 
     packed = _texts(docs).mapInArrow(pack, _PACKED)
-    counted = packed.repartition(slots, "kind", "slot").sortWithinPartitions("kind", "slot").mapInArrow(count, _PACKED)
-    return counted.repartition(slots, "slot").sortWithinPartitions("slot") \
-                  .mapInArrow(gather, "hi long, lo long, size long, vals binary, df binary")
-
-
-def _distinct_owners(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, index of each owner among them)."""
-    order = np.lexsort((owner["hi"], owner["lo"]))
-    s = owner[order]
-    new = np.r_[True, (s["hi"][1:] != s["hi"][:-1]) | (s["lo"][1:] != s["lo"][:-1])]
-    index = np.empty(len(owner), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return s[new], index
+    counted = packed.repartition(buckets, "kind", "slot").sortWithinPartitions("kind", "slot").mapInArrow(count, _PACKED)
+    return counted.repartition(buckets, "slot").sortWithinPartitions("slot") \
+                  .mapInArrow(gather, "hi long, lo long, vals binary, df binary")
