@@ -17,9 +17,10 @@ Steps, each one Spark job on tables in the shared folder:
 3. pivot rounds: in each group of classes that share a prefix token, every
    class is compared with one pivot, and links are merged into components.
    Groups of near copies collapse without comparing all pairs;
-4. all pairs left, those that share a prefix token and still lie in
-   different components, are compared.  No link between components is lost,
-   and a pair inside a component could not change the result.
+4. all pairs left, those that share a prefix token, still lie in different
+   components and can reach the similarity by their sizes and the places of
+   the token, are compared.  No link between components is lost, and a pair
+   inside a component could not change the result.
 
 Defined cases: words are split at ASCII white space with A-Z folded; a text
 of one to four words is one shingle of them all; texts without words, and
@@ -80,30 +81,34 @@ def set_classes(documents: DataFrame) -> DataFrame:
 
 def with_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """Classes that can have partners: shared tokens and the shared part of their prefix under each order."""
-    schema = "rep long, n long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
+    schema = "rep long, n long, own long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("rep", "n", "tokens", *(f"p{k}" for k in range(ORDERS)))}
+            out: dict[str, list] = {c: [] for c in ("rep", "n", "own", "tokens", *(f"p{k}" for k in range(ORDERS)))}
             for r in batch.to_pylist():
                 tokens, df, n = np.frombuffer(r["vals"], "<u8"), np.frombuffer(r["df"], "<u2"), r["n"]
                 prefix = n - -(-n * percent // 100) + 1
-                room = prefix - (n - len(tokens))   # the class's own tokens fill the front
+                own = n - len(tokens)   # the class's own tokens fill the front
+                room = prefix - own
                 if room <= 0:
                     continue
-                for c, v in (("rep", r["rep"]), ("n", n), ("tokens", tokens.astype(np.int64))):
+                for c, v in (("rep", r["rep"]), ("n", n), ("own", own), ("tokens", tokens.astype(np.int64))):
                     out[c].append(v)
                 for k in range(ORDERS):
                     order = np.lexsort((mix(tokens + np.uint64(k)), df))
                     out[f"p{k}"].append(tokens[order[:room]].astype(np.int64))
-            lists = {c: pa.array(out[c], pa.list_(pa.int64())) for c in out if c not in ("rep", "n")}
-            yield pa.RecordBatch.from_pydict({**{c: pa.array(out[c], pa.int64()) for c in ("rep", "n")}, **lists})
+            lists = {c: pa.array(out[c], pa.list_(pa.int64())) for c in out if c not in ("rep", "n", "own")}
+            yield pa.RecordBatch.from_pydict({**{c: pa.array(out[c], pa.int64()) for c in ("rep", "n", "own")}, **lists})
 
     return shared.mapInArrow(run, schema)
 
 
-def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
-    return (100 * x >= percent * y) & (100 * y >= percent * x)
+def _can_link(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
+    """Can sets of these sizes reach the similarity when the first token they share, in the first order,
+    stands at these places?  The tokens before it are not shared, which bounds the intersection."""
+    most = F.least(n_a - at_a, n_b - at_b)
+    return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a) & ((100 + percent) * most >= percent * (n_a + n_b))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -122,30 +127,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def class_links(sets: DataFrame, percent: int, pivot_rounds: int = 3) -> DataFrame:
     """(id, component_id) of the classes that have a link, ``sets`` being a written table with ``rep``."""
     spark = sets.sparkSession
-    prefix = materialize(sets.select("rep", "n", F.explode("p0").alias("token")), name="prefix")
+    prefix = sets.select("rep", "n", "own", F.posexplode("p0").alias("place", "token"))
+    prefix = materialize(prefix.select("rep", "n", (F.col("own") + F.col("place")).alias("at"), "token"), name="prefix")
     links = spark.createDataFrame([], "a long, b long")
     members, label = prefix.withColumn("c", F.col("rep")), F.col("c")
     for r in range(pivot_rounds):
         pick = F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(r)).alias("h") if r else F.col("rep").alias("h"),
-                              F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")))
+                              F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a")))
         pivots = members.groupBy("token").agg(pick.alias("p"), F.count_distinct(label).alias("k")) \
                         .filter("k > 1").select("token", "p.*")
-        pairs = members.join(pivots, "token").filter((F.col("c") != F.col("c_a")) & _sizes_fit(F.col("n"), F.col("n_a"), percent)) \
+        pairs = members.join(pivots, "token").filter(
+            (F.col("c") != F.col("c_a")) & _can_link(F.col("n"), F.col("at"), F.col("n_a"), F.col("at_a"), percent)) \
                        .select(F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b")).distinct()
         links = materialize(links.unionAll(verified(pairs, sets, percent)).distinct(), name="links")
         comps = materialize(components(links), name="components")
         members = _labelled(prefix, comps)
-    left = members.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = members.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    rest = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                                            & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+    left = members.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"))
+    right = members.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"))
+    rest = left.join(right, "token").filter(
+        (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+        & _can_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)).select("a", "b").distinct()
     return components(links.unionAll(verified(rest, sets, percent)))
 
 
 def _labelled(prefix: DataFrame, comps: DataFrame) -> DataFrame:
     """Prefix rows with their component, without the groups that lie in one component."""
     rows = prefix.join(comps, prefix["rep"] == comps["id"], "left") \
-                 .select("token", "rep", "n", F.coalesce("component_id", "rep").alias("c"))
+                 .select("token", "rep", "n", "at", F.coalesce("component_id", "rep").alias("c"))
     open_groups = rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
     return materialize(rows.join(open_groups.select("token"), "token"), name="members")
 
