@@ -6,15 +6,20 @@ of (filling, times), a filling being the (length, count) pairs of one bin.
 
 Search: the incumbent is best-fit decreasing.  Branch and bound then takes
 the largest item left, enumerates the undominated fillings of the space
-beside it in order of waste, uses a filling as many times as the counts
+beside it, least waste first, uses a filling as many times as the counts
 allow, and prunes a branch when its waste cannot beat the incumbent any
-more.  It stops when the incumbent reaches the volume bound, or after a
+more.  The sums that the shorter lengths can reach are kept as bit sets,
+so the enumeration never enters a branch that ends above the allowed
+waste.  It stops when the incumbent reaches the volume bound, or after a
 fixed number of nodes with the best solution so far.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
 
 Filling = tuple[tuple[int, int], ...]
 
@@ -48,92 +53,116 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return [b for group in open_bins.values() for b in group]
 
 
-def _dominated(chosen: dict[int, int], waste: int, free: list[int], left: dict[int, int]) -> bool:
+def _dominated(chosen: dict[int, int], waste: int, free: list[int], left: np.ndarray) -> bool:
     """Could a chosen item, or two together, be exchanged for one larger free item that still fits?"""
     spare = [x for x in free if left[x] > chosen.get(x, 0)]
 
-    def swap(old: int) -> bool:
+    def swap(old: int, equal: bool) -> bool:
         k = bisect_right(spare, old + waste)
-        return k > 0 and spare[k - 1] > old
+        return k > 0 and (spare[k - 1] >= old if equal else spare[k - 1] > old)
     items = list(chosen)
     pairs = {a + b for i, a in enumerate(items) for b in items[i:] if a != b or chosen[a] > 1}
-    return any(swap(x) for x in items) or any(
-        (k := bisect_right(spare, p + waste)) > 0 and spare[k - 1] >= p for p in pairs)
-
-
-def fillings(space: int, left: dict[int, int], waste_limit: int, keep: int = 8, steps: int = 4000) -> list[tuple[int, dict]]:
-    """Undominated fillings of ``space`` as (waste, counts), least waste first, at most ``keep``."""
-    free = sorted(x for x, n in left.items() if n and x <= space)
-    found: list[tuple[int, dict]] = []
-    budget = [steps]
-
-    def go(room: int, upto: int, chosen: dict[int, int]) -> bool:
-        """True once a filling without waste is found: none can be better."""
-        budget[0] -= 1
-        k = bisect_right(free, min(room, upto))
-        extended = False
-        while k and budget[0] > 0:
-            k -= 1
-            x = free[k]
-            if chosen.get(x, 0) < left[x]:
-                extended = True
-                chosen[x] = chosen.get(x, 0) + 1
-                done = go(room - x, x, chosen)
-                chosen[x] -= 1
-                if not chosen[x]:
-                    del chosen[x]
-                if done:
-                    return True
-        if not extended and room <= waste_limit and not _dominated(chosen, room, free, left):
-            found.append((room, dict(chosen)))
-            return room == 0
-        return False
-
-    go(space, space, {})
-    found.sort(key=lambda f: f[0])
-    return found[:keep]
-
-
-def pack_counts(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Filling, int]]:
-    """Packing of ``counts[length]`` items of each length into as few bins as the search finds."""
+    return any(swap(x, False) for x in items) or any(swap(p, True) for p in pairs)
+
+
+def fillings(space: int, left: np.ndarray, waste_limit: int, keep: int = 4) -> list[tuple[int, dict[int, int]]]:
+    """Undominated fillings of ``space`` from ``left[length]`` items as (waste, counts), least waste first."""
+    free = [int(x) for x in np.flatnonzero(left[:space + 1])]
+    mask = (1 << (space + 1)) - 1
+    reach = [1]   # reach[k]: bit set of the sums of the k shortest lengths
+    for x in free:
+        sums, n, step = reach[-1], min(int(left[x]), space // x), 1
+        while n > 0:   # multiples of x by doubling
+            use = step if step < n else n
+            sums |= sums << use * x
+            n -= use
+            step *= 2
+        reach.append(sums & mask)
+
+    def exact(room: int, k: int, chosen: tuple) -> Iterator[tuple]:
+        """Fillings of exactly ``room`` by the k shortest lengths, longest items first."""
+        if room == 0:
+            yield chosen
+            return
+        for j in range(bisect_right(free, room, 0, k) - 1, -1, -1):
+            if not reach[j + 1] >> room & 1:
+                return   # shorter lengths reach less
+            x = free[j]
+            for c in range(min(int(left[x]), room // x), 0, -1):
+                if reach[j] >> (room - c * x) & 1:
+                    yield from exact(room - c * x, j, chosen + ((x, c),))
+
+    found: list[tuple[int, dict[int, int]]] = []
+    for waste in range(min(waste_limit, space) + 1):
+        if not reach[-1] >> (space - waste) & 1:
+            continue
+        for tried, chosen in enumerate(exact(space - waste, len(free), ())):
+            filling = dict(chosen)
+            if waste == 0 or not _dominated(filling, waste, free, left):
+                found.append((waste, filling))
+            if len(found) >= keep or tried >= 4 * keep:
+                break
+        if len(found) >= keep or (found and waste == 0):
+            break   # a filling without waste dominates those with some
+    return found
+
+
+def pack_counts(counts: dict[int, int], capacity: int, nodes: int | None = None) -> list[tuple[Filling, int]]:
+    """Packing of ``counts[length]`` items of each length into as few bins as the search finds.
+
+    ``nodes`` bounds the search; by default it allows about two descents,
+    one node using up a length or more (at most 2 * capacity + 1000).
+    """
     counts = {x: n for x, n in counts.items() if n}
+    nodes = 2 * len(counts) + 1000 if nodes is None else nodes
     total = sum(x * n for x, n in counts.items())
     bound = -(-total // capacity)
     best = best_fit(counts, capacity)
-    budget = nodes
-    # depth first: a state is what is left, the bins so far (as a chain) and their waste
-    stack = [(counts, None, 0, 0)]
-    while stack and budget and bin_count(best) > bound:
-        left, chain, used, waste = stack.pop()
-        budget -= 1
-        allowed = (bin_count(best) - 1) * capacity - total - waste   # waste that still beats the incumbent
-        if allowed < 0:
+    start = np.zeros(capacity + 1, np.int64)
+    for x, n in counts.items():
+        start[x] = n
+
+    def unlink(chain) -> list[tuple[Filling, int]]:
+        out = []
+        while chain:
+            out.append(chain[0])
+            chain = chain[1]
+        return out
+
+    # depth first; a state is what is left, the bins so far (as a chain), their waste and the branches not yet tried
+    stack = [[start, None, 0, None]]
+    bins = bin_count(best)
+    while stack and nodes > 0 and bins > bound:
+        state = stack[-1]
+        left, chain, waste, branches = state
+        allowed = (bins - 1) * capacity - total - waste   # waste that still beats the incumbent
+        lengths = np.flatnonzero(left)
+        if allowed < 0 or not len(lengths):
+            stack.pop()
+            if allowed >= 0:
+                best = unlink(chain)
+                bins = bin_count(best)
             continue
-        if not left:
-            best = []
-            while chain:
-                best.append(chain[0])
-                chain = chain[1]
+        top = int(lengths[-1])
+        if branches is None:
+            nodes -= 1
+            left[top] -= 1
+            branches = state[3] = fillings(capacity - top, left, allowed)[::-1]
+            left[top] += 1
+        if not branches:
+            stack.pop()
             continue
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        branches = fillings(capacity - top, rest, allowed)
-        if not branches:   # no undominated filling within the steps: end this branch by best fit
-            tail = best_fit(left, capacity)
-            if used + bin_count(tail) < bin_count(best):
-                best = tail
-                while chain:
-                    best.append(chain[0])
-                    chain = chain[1]
+        room, chosen = branches.pop()
+        whole = dict(chosen)
+        whole[top] = whole.get(top, 0) + 1
+        times = min(int(left[x]) // n for x, n in whole.items())
+        if room:
+            times = min(times, allowed // room)
+        if times < 1:
             continue
-        for room, chosen in reversed(branches):
-            whole = dict(chosen)
-            whole[top] = whole.get(top, 0) + 1
-            times = min(left[x] // n for x, n in whole.items())
-            if room:
-                times = min(times, max(1, allowed // room))
-            after = {x: n - times * whole.get(x, 0) for x, n in left.items() if n > times * whole.get(x, 0)}
-            link = ((tuple(sorted(whole.items(), reverse=True)), times), chain)
-            stack.append((after, link, used + times, waste + times * room))
+        after = left.copy()
+        for x, n in whole.items():
+            after[x] -= n * times
+        link = ((tuple(sorted(whole.items(), reverse=True)), times), chain)
+        stack.append([after, link, waste + times * room, None])
     return best
