@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyrisk.llm.shared import _KEY, shared_values
+from supplyrisk.llm.shared import _KEY, bucket_count, identity, shared_values
 from supplyrisk.llm.shingles import chunks, mix, utf8
 from supplyrisk.plans import materialize
 
@@ -47,13 +47,10 @@ LENGTH, GRAM = 50, 24
 _DOC = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _words(buf: np.ndarray, big: bool = False) -> np.ndarray:
+def _words(data: bytes, order: str = "<") -> np.ndarray:
     """The eight bytes at every position as one number."""
-    n = max(len(buf) - 7, 0)
-    out = np.zeros(n, np.uint64)
-    for i in range(8):
-        out |= buf[i:i + n].astype(np.uint64) << np.uint64(8 * (7 - i if big else i))
-    return out
+    n = max(len(data) - 7, 0)
+    return np.ndarray((n,), f"{order}u8", data, 0, (1,)).astype(np.uint64)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,20 +64,20 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, text index, start, end) of the runs of strings with one key, in order; ends cover the last string."""
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+    data = b"".join(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
-    if len(buf) < LENGTH:
+    if len(data) < LENGTH:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    words = _words(buf)
-    n = len(buf) - GRAM + 1
+    words = _words(data)
+    n = len(data) - GRAM + 1
     grams = words[:n]
     for at in range(8, GRAM, 8):
         grams = mix(grams * _DOC) + words[at:at + n]
     least = _least(mix(grams * _DOC), LENGTH - GRAM + 1)
     pos = np.arange(len(least))
-    text = np.searchsorted(ends, pos, side="right")
+    text = np.repeat(np.arange(len(texts)), sizes)[:len(least)]
     inside = pos + LENGTH <= ends[text]
     new = inside & np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])]
     first = np.flatnonzero(new)
@@ -99,7 +96,6 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owners = np.zeros(len(texts), _KEY)
     digests = np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), ">u8").reshape(-1, 2)
     owners["hi"], owners["lo"] = digests[:, 0], digests[:, 1]
-    owners["size"] = [len(t) for t in texts]
     return key[first], who[first], owners
 
 
@@ -118,7 +114,7 @@ def _cut_row(kind: int, slot: int, rows: list[tuple], data: bytes) -> dict:
     return {"kind": kind, "slot": slot, "docs": docs, "starts": starts, "ends": ends, "data": data}
 
 
-def _cut(slots: int):
+def _cut(buckets: int, slots: int):
     """Stretches with a shared key (kind 0, packed per key range) and repeats settled within the task (kind 1)."""
     schema = pa.schema([("kind", pa.int32()), ("slot", pa.int32()),
                         *((c, pa.binary()) for c in ("docs", "starts", "ends", "data"))])
@@ -133,10 +129,10 @@ def _cut(slots: int):
                 key, who, start, end = stretches(texts[lo:hi])
                 if not len(key):
                     continue
-                key >>= np.uint64(12)
+                same = identity(key, buckets)
                 held = [np.frombuffer(v, "<u8") for v in vals[lo:hi]]
                 owner = np.repeat(np.arange(hi - lo, dtype=np.uint64), [len(v) for v in held])
-                hit = np.flatnonzero(np.isin(mix(key + who.astype(np.uint64) * _DOC),
+                hit = np.flatnonzero(np.isin(mix(same + who.astype(np.uint64) * _DOC),
                                              mix(np.concatenate(held) + owner * _DOC)))
                 slot = (mix(key[hit]) % np.uint64(slots)).astype(np.int64).tolist()
                 out: dict[int, tuple[list, list]] = {}
@@ -161,110 +157,149 @@ def _cut(slots: int):
     return run
 
 
-def _prefix(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while lo + 1 < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
-    return lo
-
-
-def interval_repeats(suffixes: list[bytes], left: list[int], lcp: list[int]) -> Iterator[tuple[int, int, int]]:
-    """Stack scan over sorted suffixes: (length, first, last) of the intervals that differ on the left.
+def interval_repeats(left: list[int], lcp: list[int], doc: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Stack scan over sorted suffixes: (length, first, last, smallest doc) of the maximal repeats.
 
-    ``lcp[i]`` is the common prefix of suffixes i - 1 and i.  ``left`` is
-    the byte before a suffix, -1 where none is known, which differs from
-    every other.
+    ``lcp[i]`` is the common prefix of suffixes i - 1 and i (0 between
+    groups).  ``left`` is the byte before a suffix, -1 where none is known,
+    which differs from every other.  Each open interval carries the smallest
+    document and the one byte before all its suffixes, or -1 once they
+    differ, so closing one is a constant step.
     """
-    def diverse(a: int, b: int) -> bool:
-        before = left[a:b + 1]
-        return -1 in before or len(set(before)) > 1
-
-    stack: list[tuple[int, int]] = []   # (length, first) of the open intervals
-    n = len(suffixes)
+    stack: list[list[int]] = []   # [length, first, smallest doc, left byte]
+    n = len(left)
     for i in range(1, n + 1):
         height = lcp[i] if i < n else 0
-        first = i - 1
+        first, low, before = i - 1, doc[i - 1], left[i - 1]
         while stack and stack[-1][0] > height:
-            length, first = stack.pop()
-            if diverse(first, i - 1):
-                yield length, first, i - 1
-        if height and (not stack or stack[-1][0] < height):
-            stack.append((height, first))
-
-
-def maximal_repeats(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences (doc, start)) of the maximal repeats over several documents."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    base = np.cumsum(sizes) - sizes
-    buf = np.frombuffer(b"".join(pieces), np.uint8)
-    count = sizes - LENGTH + 1
-    piece = np.repeat(np.arange(len(pieces)), count)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    at = base[piece] + offset
-    words = _words(buf, big=True)
-    # lexicographic order of the strings: their eight-byte words, the last one overlapping
-    columns = [words[at + k] for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]]
-    order = np.lexsort(columns[::-1])
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for c in columns:
-        c = c[order]
-        same &= c[1:] == c[:-1]
-    edge = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
-    stop = np.r_[edge[1:], len(order)]
-    piece, offset, at = piece[order], offset[order], at[order]
-    doc = docs[piece]
-    before = np.where(offset > 0, buf[np.maximum(at - 1, 0)].astype(np.int64), -1)
-    if not len(edge):
-        return
-    several = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
-    low, high = np.minimum.reduceat(before, edge), np.maximum.reduceat(before, edge)
-    for a, b in zip(edge[several & ((low < 0) | (low != high))], stop[several & ((low < 0) | (low != high))]):
-        members = sorted((pieces[p][o:], int(d), int(starts[p]) + int(o), int(x)) for p, o, d, x in
-                         zip(piece[a:b].tolist(), offset[a:b].tolist(), doc[a:b].tolist(), before[a:b].tolist()))
-        suffixes = [m[0] for m in members]
-        lcp = [0] + [_prefix(x, y) for x, y in zip(suffixes, suffixes[1:])]
-        for length, i, j in interval_repeats(suffixes, [m[3] for m in members], lcp):
-            yield length, [(m[1], m[2]) for m in members[i:j + 1]]
+            top = stack.pop()
+            low = low if low < top[2] else top[2]
+            before = before if before == top[3] else -1
+            first = top[1]
+            if before == -1:
+                yield top[0], first, i - 1, low
+        if stack and stack[-1][0] == height:
+            top = stack[-1]
+            top[2] = low if low < top[2] else top[2]
+            top[3] = before if before == top[3] else -1
+        elif height:
+            stack.append([height, first, low, before])
+
+
+class Repeats:
+    """Maximal repeats over several documents among stretches of text.
+
+    ``doc``, ``start`` and ``end`` describe the suffixes of the left-diverse
+    intervals in suffix order; repeat r is the ``length[r]`` bytes at the
+    start of the suffixes ``lo[r]`` to ``hi[r]``, ``first_doc[r]`` the
+    smallest document among them.
+    """
+
+    def __init__(self, docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]):
+        data = b"".join([*pieces, bytes(8)])
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        base = np.cumsum(sizes) - sizes
+        count = sizes - LENGTH + 1
+        piece = np.repeat(np.arange(len(pieces)), count)
+        offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        at = base[piece] + offset
+        words = _words(data, ">")
+        # lexicographic order of the strings: their eight-byte words, the last one overlapping
+        columns = [words[at + k] for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]]
+        order = np.lexsort(columns[::-1])
+        same = np.ones(len(order) - 1, bool)
+        for c in columns:
+            c = c[order]
+            same &= c[1:] == c[:-1]
+        del columns
+        edge = np.flatnonzero(np.r_[True, ~same])
+        piece, offset, at = piece[order], offset[order], at[order]
+        doc = docs[piece]
+        before = np.where(offset > 0, np.frombuffer(data, np.uint8)[np.maximum(at - 1, 0)].astype(np.int64), -1)
+        low, high = np.minimum.reduceat(before, edge), np.maximum.reduceat(before, edge)
+        wanted = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) & ((low < 0) | (low != high))
+        group = np.cumsum(np.r_[True, ~same]) - 1
+        keep = np.flatnonzero(wanted[group])
+        group, piece, offset, at, before = group[keep], piece[keep], offset[keep], at[keep], before[keep]
+        # within the groups, order by what follows the string, up to the stretch's end
+        room = sizes[piece] - offset
+
+        def word(k: int) -> np.ndarray:
+            """Bytes k to k + 7 of the suffixes, zero beyond their ends."""
+            over = np.clip(k + 8 - room, 0, 8).astype(np.uint64) * np.uint64(8)
+            value = words[np.minimum(at + k, len(words) - 1)]
+            return np.where(over >= 64, np.uint64(0), (value >> np.minimum(over, np.uint64(63))) << np.minimum(over, np.uint64(63)))
+
+        reach = int(room.max()) if len(room) else 0
+        order = np.lexsort([room, *[word(k) for k in range(LENGTH, reach, 8)][::-1], group])
+        group, piece, offset, at, before, room = (x[order] for x in (group, piece, offset, at, before, room))
+        lcp = np.full(len(order), LENGTH, np.int64)
+        going = np.r_[False, group[1:] == group[:-1]]
+        lcp[~going] = 0
+        for k in range(LENGTH, reach, 8):
+            w = word(k)
+            differ = np.r_[np.uint64(0), w[1:] ^ w[:-1]]
+            # equal bytes in front: a leading zero byte of the difference each
+            lcp += going * sum((differ < np.uint64(1 << b)).astype(np.int64) for b in range(8, 64, 8))
+            lcp += going & (differ == 0)
+            going &= differ == 0
+        shorter = np.minimum(room, np.r_[0, room[:-1]])
+        lcp = np.where(lcp > 0, np.minimum(lcp, shorter), 0)
+        self.doc, self.start = docs[piece], starts[piece] + offset
+        found = list(interval_repeats(before.tolist(), lcp.tolist(), self.doc.tolist()))
+        self.length, self.lo, self.hi, self.first_doc = np.array(found, np.int64).reshape(-1, 4).T
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """(repeat, suffix) of every occurrence."""
+        n = self.hi - self.lo + 1
+        repeat = np.repeat(np.arange(len(n)), n)
+        return repeat, np.arange(len(repeat)) - np.repeat(np.cumsum(n) - n, n) + self.lo[repeat]
+
+    def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, start, end) of the longest repeat at each place that a smaller document has too."""
+        repeat, suffix = self.occurrences()
+        later = self.doc[suffix] > self.first_doc[repeat]
+        longest = np.zeros(len(self.doc), np.int64)
+        np.maximum.at(longest, suffix[later], self.length[repeat[later]])
+        at = np.flatnonzero(longest)
+        return self.doc[at], self.start[at], self.start[at] + longest[at]
 
 
 REPEATS = "doc_id long, start long, end long, first_doc long"
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of repeats: (doc_id, start, end, first_doc), first_doc being the smallest that has it."""
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in
-                                           zip(("doc_id", "start", "end", "first_doc"), cols)})
-
-    stream = (r for b in batches for r in b.to_pylist())
-    for (kind, _), group in groupby(stream, key=lambda r: (r["kind"], r["slot"])):
-        docs, starts, ends, pieces = [], [], [], []
-        for r in group:
-            d, s, e = (np.frombuffer(r[c], "<i8") for c in ("docs", "starts", "ends"))
-            if kind == 1:   # a smaller document of the same task has it
-                yield batch([(x, y, z, None) for x, y, z in zip(d.tolist(), s.tolist(), e.tolist())])
+def _repeats(every: bool):
+    """Occurrences (doc_id, start, end, first_doc) of repeats; with ``every`` all of them, else only the longest
+    at each place that a smaller document has too."""
+    def columns(doc, start, end, first=None) -> pa.RecordBatch:
+        first = pa.nulls(len(doc), pa.int64()) if first is None else pa.array(first)
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc), "start": pa.array(start), "end": pa.array(end),
+                                           "first_doc": first})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in b.to_pylist())
+        for (kind, _), group in groupby(stream, key=lambda r: (r["kind"], r["slot"])):
+            docs, starts, pieces = [], [], []
+            for r in group:
+                d, s, e = (np.frombuffer(r[c], "<i8") for c in ("docs", "starts", "ends"))
+                if kind == 1:   # a smaller document of the same task has it
+                    yield columns(d, s, e)
+                    continue
+                cuts = np.cumsum(e - s).tolist()
+                pieces += [r["data"][a:b] for a, b in zip([0, *cuts], cuts)]
+                docs.append(d)
+                starts.append(s)
+            if not pieces:
                 continue
-            cuts = np.cumsum(e - s).tolist()
-            pieces += [r["data"][a:b] for a, b in zip([0, *cuts], cuts)]
-            docs.append(d)
-            starts.append(s)
-            ends.append(e)
-        if not pieces:
-            continue
-        out = []
-        for length, found in maximal_repeats(np.concatenate(docs), np.concatenate(starts), pieces):
-            first = min(d for d, _ in found)
-            out += [(d, s, s + length, first) for d, s in found]
-            if len(out) > 50_000:
-                yield batch(out)
-                out = []
-        yield batch(out)
+            found = Repeats(np.concatenate(docs), np.concatenate(starts), pieces)
+            if every:
+                repeat, suffix = found.occurrences()
+                for a in range(0, len(repeat), 50_000):
+                    r, x = repeat[a:a + 50_000], suffix[a:a + 50_000]
+                    yield columns(found.doc[x], found.start[x], found.start[x] + found.length[r], found.first_doc[r])
+            else:
+                yield columns(*found.covered())
+    return run
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -292,18 +327,20 @@ def document_classes(documents: DataFrame) -> DataFrame:
         name="doc-classes")
 
 
-def repeats(documents: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, start, end, first_doc): every occurrence of a maximal repeat between classes of texts.
+def repeats(documents: DataFrame, classes: DataFrame | None = None, every: bool = True) -> DataFrame:
+    """(doc_id, start, end, first_doc): the occurrences of maximal repeats between classes of texts.
 
     Occurrences settled inside one task carry no first_doc: a smaller
-    document has them, which one is not kept.
+    document has them, which one is not kept.  Without ``every`` only the
+    longest repeat at each place that a smaller document has too.
     """
     classes = document_classes(documents) if classes is None else classes
-    slots = max(16, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = bucket_count(documents.sparkSession)
+    # four key ranges per task, one after the other: a quarter of the suffixes in memory at a time
     texts = _spread(_keyed(documents)).join(classes.select("doc_id", "key", "vals"), ["doc_id", "key"], "left") \
         .select("doc_id", "text", "vals").sortWithinPartitions("doc_id")
-    return texts.mapInArrow(_cut(slots), _CUT).repartition(slots, "kind", "slot") \
-                .sortWithinPartitions("kind", "slot").mapInArrow(_repeats, REPEATS)
+    return texts.mapInArrow(_cut(slots, 4 * slots), _CUT).repartition(slots, "kind", "slot") \
+                .sortWithinPartitions("kind", "slot").mapInArrow(_repeats(every), REPEATS)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -322,7 +359,7 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): texts without the bytes that a smaller doc_id repeats."""
     classes = document_classes(documents)
-    found = repeats(documents, classes).filter(F.col("first_doc").isNull() | (F.col("doc_id") > F.col("first_doc")))
+    found = repeats(documents, classes, every=False)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     info = classes.select("doc_id", "key", (F.col("doc_id") != F.col("first_doc")).alias("copy")) \
                   .join(spans, "doc_id", "left")

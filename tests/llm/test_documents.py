@@ -1,7 +1,9 @@
 """N-gram join, decontamination, suffix dedup, components: against brute force on odd rows and the table."""
 
 import random
+from os.path import commonprefix
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -128,10 +130,44 @@ def test_interval_repeats_report_all_occurrences():
     text = b"xabcabcyabcz"
     order = sorted(range(len(text)), key=lambda i: text[i:])
     suffixes = [text[i:] for i in order]
-    lcp = [0] + [suffix_dedup._prefix(a, b) for a, b in zip(suffixes, suffixes[1:])]
+    lcp = [0] + [len(commonprefix([a, b])) for a, b in zip(suffixes, suffixes[1:])]
     left = [text[i - 1] if i else -1 for i in order]
-    found = {(text[order[a]:order[a] + n], b - a + 1) for n, a, b in suffix_dedup.interval_repeats(suffixes, left, lcp)}
-    assert found == {(b"abc", 3)}   # bc and c always follow a, so they are not maximal
+    found = {(text[order[a]:order[a] + n], b - a + 1, low) for n, a, b, low in suffix_dedup.interval_repeats(left, lcp, order)}
+    assert found == {(b"abc", 3, 1)}   # bc and c always follow a, so they are not maximal
+
+
+def test_repeats_are_maximal_and_complete():
+    """Against brute force: every left- and right-maximal string of 50 bytes or more over two documents or more."""
+    rng = random.Random(3)
+    common = [bytes(rng.choices(b"abc", k=rng.randint(60, 130))) for _ in range(4)]
+    pieces, docs = [], []
+    for d in range(14):
+        pieces.append(bytes(rng.choices(b"xyz", k=rng.randint(1, 30))) + rng.choice(common)[rng.randint(0, 9):]
+                      + bytes(rng.choices(b"uvw", k=rng.randint(0, 30))))
+        docs.append(d // 2)
+    pieces = [p + b"-" * max(0, 50 - len(p)) for p in pieces]
+    got = suffix_dedup.Repeats(np.array(docs), np.zeros(len(docs), np.int64), pieces)
+    repeat, suffix = got.occurrences()
+    found = {}
+    for r, x in zip(repeat.tolist(), suffix.tolist()):
+        found.setdefault(r, set()).add((int(got.doc[x]), int(got.start[x])))
+    want = {}
+    where = {}
+    for i, p in enumerate(pieces):
+        for a in range(len(p)):
+            for b in range(a + 50, len(p) + 1):
+                where.setdefault(p[a:b], []).append((i, a))
+    for text, occ in where.items():
+        if len({docs[i] for i, _ in occ}) < 2:
+            continue
+        before = {pieces[i][a - 1] if a else (i, a) for i, a in occ}
+        after = {pieces[i][a + len(text)] if a + len(text) < len(pieces[i]) else (i, a) for i, a in occ}
+        starts_piece = any(a == 0 for _, a in occ)
+        if (len(before) > 1 or starts_piece) and (len(after) > 1 or len(occ) > 1 and any(
+                a + len(text) == len(pieces[i]) for i, a in occ)):
+            want[text] = {(docs[i], a) for i, a in occ}
+    several = [v for v in found.values() if len({d for d, _ in v}) > 1]
+    assert {frozenset(v) for v in several} == {frozenset(v) for v in want.values()}
 
 
 def test_suffix_query(spark):
