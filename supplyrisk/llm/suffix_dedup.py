@@ -99,7 +99,7 @@ def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first], who[first], owners
 
 
-def _bounded(cuts: Iterator[tuple[int, int, int, int]], most: int = 200) -> Iterator[tuple[int, int, int, int]]:
+def _bounded(cuts: Iterator[tuple[int, int, int, int]], most: int = 32) -> Iterator[tuple[int, int, int, int]]:
     """Stretches with more than ``most`` strings (text of one short period) in overlapping parts."""
     for t, a, b, k in cuts:
         for at in range(a, b - LENGTH + 1, most):
@@ -220,6 +220,9 @@ class Repeats:
         wanted = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) & ((low < 0) | (low != high))
         group = np.cumsum(np.r_[True, ~same]) - 1
         keep = np.flatnonzero(wanted[group])
+        if not len(keep):
+            self.doc = self.start = self.length = self.lo = self.hi = self.first_doc = np.zeros(0, np.int64)
+            return
         group, piece, offset, at, before = group[keep], piece[keep], offset[keep], at[keep], before[keep]
         # within the groups, order by what follows the string, up to the stretch's end
         room = sizes[piece] - offset
@@ -230,7 +233,7 @@ class Repeats:
             value = words[np.minimum(at + k, len(words) - 1)]
             return np.where(over >= 64, np.uint64(0), (value >> np.minimum(over, np.uint64(63))) << np.minimum(over, np.uint64(63)))
 
-        reach = int(room.max()) if len(room) else 0
+        reach = int(room.max())
         order = np.lexsort([room, *[word(k) for k in range(LENGTH, reach, 8)][::-1], group])
         group, piece, offset, at, before, room = (x[order] for x in (group, piece, offset, at, before, room))
         lcp = np.full(len(order), LENGTH, np.int64)
@@ -336,10 +339,10 @@ def repeats(documents: DataFrame, classes: DataFrame | None = None, every: bool
     """
     classes = document_classes(documents) if classes is None else classes
     slots = bucket_count(documents.sparkSession)
-    # four key ranges per task, one after the other: a quarter of the suffixes in memory at a time
+    # sixteen key ranges per task, one after the other: few of the suffixes are in memory at a time
     texts = _spread(_keyed(documents)).join(classes.select("doc_id", "key", "vals"), ["doc_id", "key"], "left") \
         .select("doc_id", "text", "vals").sortWithinPartitions("doc_id")
-    return texts.mapInArrow(_cut(slots, 4 * slots), _CUT).repartition(slots, "kind", "slot") \
+    return texts.mapInArrow(_cut(slots, 16 * slots), _CUT).repartition(slots, "kind", "slot") \
                 .sortWithinPartitions("kind", "slot").mapInArrow(_repeats(every), REPEATS)
 
 

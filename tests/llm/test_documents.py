@@ -170,6 +170,11 @@ def test_repeats_are_maximal_and_complete():
     assert {frozenset(v) for v in several} == {frozenset(v) for v in want.values()}
 
 
+def test_stretches_without_repeats():
+    found = suffix_dedup.Repeats(np.array([1, 2]), np.zeros(2, np.int64), [b"a" * 50, b"b" * 60])
+    assert len(found.occurrences()[0]) == 0 and len(found.covered()[0]) == 0
+
+
 def test_suffix_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF_SMALL}/documents.parquet").to_pylist()]
     want = brute.repeats(rows)
