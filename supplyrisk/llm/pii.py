@@ -1,30 +1,34 @@
 """Personal data: base patterns and information-theoretic sanitisation (native Spark expressions).
 
 Base patterns find e-mail addresses, IP addresses, card and phone
-numbers, the protected entities.  The method then asks how much the words
-around a mention reveal about its entity.  For an entity e and a term t,
-with counts over all documents of the corpus,
+numbers, the protected entities.  The method then asks how much the words of
+a document reveal about its entities.  For an entity e and a term t (a
+word of four letters or more, case folded), with counts over all documents
+of the corpus,
 
     disclosure(t, e) = ln(n_et * N / (n_e * n_t)) / ln(N / n_e)
 
 is the share of e's information that t gives away: n_e documents hold e,
-n_t hold t anywhere, n_et hold t next to e.  A term whose disclosure
-passes ``generalise`` becomes a span; at ``remove`` or more it is removed
-from the text, below that it is replaced by its general class.  Estimates
-need ``support`` documents, and an entity held by so many documents that
-it carries under ``min_bits`` needs no protection from its context.
-
-Only mentions, pairs and counts are shuffled, never texts; every count is
+n_t hold t and n_et hold both.  Where a document holds e, every occurrence
+of a term whose disclosure passes ``generalise`` becomes a span, unless it
+overlaps a base span; at ``remove`` or more it is removed from the text,
+below that it is replaced by its general class.
+
+As n_et <= n_e, only terms with n_t <= N^(1 - generalise) * n_e^generalise
+can pass; others are left out before pairs are built, which changes no
+result.  Entities held by the same documents share their disclosures and
+are counted as one class.  Only classes, word places of documents with
+entities, pairs and counts are shuffled, never texts; every count is
 aggregated before its shuffle, so a hot entity or a hot term costs one row
 per task.
 
 Defined cases: null text is empty; rows with equal doc_id are separate
-rows and one document for the counts; an empty table gives an empty result.
+rows and one document for the counts; an entity that every document holds
+has no information to disclose; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,16 +44,15 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"(?<=\s)\p{L}{4,}(?=[\s.,;:!?])"
+TERM = r"\p{L}{4,}+"
+#: The commonest of the words that cannot pass are dropped before the shuffle, at most so many; the join drops the rest.
+COMMON = 100_000
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    context: int = 80        # code points on either side, within the line
-    support: int = 2         # documents that hold the pair
     generalise: float = 0.8
     remove: float = 0.95
-    min_bits: float = 4.0    # information of an entity worth protecting
 
 
 def _digits(m: Column) -> Column:
@@ -73,13 +76,13 @@ def _parts_ok(m: Column) -> Column:
     return F.forall(F.split(m, r"\.", -1), small)
 
 
-def base_spans(text: Column, context: int = 0) -> list[Column]:
+def base_spans(text: Column) -> list[Column]:
     def card_ok(x: Column) -> Column:
         return let(_digits(x["m"]), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False)))
-    return [find_spans(text, EMAIL, context),
-            F.filter(find_spans(text, IP, context), lambda x: _parts_ok(x["m"])),
-            F.filter(find_spans(text, CARD, context), card_ok),
-            F.filter(find_spans(text, PHONE, context), lambda x: F.length(_digits(x["m"])).between(9, 15))]
+    return [find_spans(text, EMAIL),
+            F.filter(find_spans(text, IP), lambda x: _parts_ok(x["m"])),
+            F.filter(find_spans(text, CARD), card_ok),
+            F.filter(find_spans(text, PHONE), lambda x: F.length(_digits(x["m"])).between(9, 15))]
 
 
 def _value(k: int, m: Column) -> Column:
@@ -87,73 +90,84 @@ def _value(k: int, m: Column) -> Column:
     return F.xxhash64(F.lit(k), F.lower(m) if k == 0 else m if k == 1 else _digits(m))
 
 
-def mentions(documents: DataFrame, rules: Disclosure, keep: list[str]) -> DataFrame:
-    """One row per input row: ``keep`` columns, ``row`` and ``base``, the entities with their contexts."""
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def mentions(documents: DataFrame, keep: list[str], repeated: bool) -> DataFrame:
+    """One row per input row: ``keep`` columns, ``row``, ``base`` (the entities) and ``words`` (terms with places).
+
+    Rows without an entity get words only if ids are ``repeated``: then the
+    entity can be in another row of the document.
+    """
     out = documents.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kinds = base_spans(F.col("_t"), rules.context)
+    kinds = base_spans(F.col("_t"))
 
     def tag(k: int):
         return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"),
-                                  _value(k, x["m"]).alias("v"), x["pre"].alias("pre"), x["post"].alias("post"))
+                                  _value(k, x["m"]).alias("v"))
 
     tagged = [F.transform(a, tag(k)) for k, a in enumerate(kinds)]
-    return out.select(*keep, F.monotonically_increasing_id().alias("row"), F.concat(*tagged).alias("base"))
-
-
-def _context_terms(found: DataFrame, rules: Disclosure) -> DataFrame:
-    """(row, doc_id, v, t, s, e): the words around every mention."""
-    m = found.select("row", "doc_id", F.explode("base").alias("m"))
-    cut = rules.context
-    before = F.substring_index("m.pre", "\n", -1)
-    after = F.substring_index("m.post", "\n", 1)
-    # a word that the context's edge cuts through is no term: only a whole edge gets a space
-    pre = F.when(F.length(before) < cut, F.concat(F.lit(" "), before)).otherwise(before)
-    post = F.when(F.length(after) < cut, F.concat(after, F.lit(" "))).otherwise(after)
-    m = m.select("row", "doc_id", "m.v", "m.s", "m.e", F.concat(pre, F.lit(" ")).alias("pre"),
-                 F.concat(F.lit(" "), post).alias("post"), F.length(pre).alias("n_pre"))
-    left = F.transform(find_spans(F.col("pre"), TERM), lambda x: F.struct(
-        F.xxhash64(F.lower(x["m"])).alias("t"), (F.col("s") - F.col("n_pre") + x["s"]).alias("s"),
-        (F.col("s") - F.col("n_pre") + x["e"]).alias("e")))
-    right = F.transform(find_spans(F.col("post"), TERM), lambda x: F.struct(
-        F.xxhash64(F.lower(x["m"])).alias("t"), (F.col("e") - 1 + x["s"]).alias("s"),
-        (F.col("e") - 1 + x["e"]).alias("e")))
-    return m.select("row", "doc_id", "v", F.explode(F.concat(left, right)).alias("x")) \
-            .select("row", "doc_id", "v", "x.t", "x.s", "x.e")
-
-
-def disclosing_pairs(documents: DataFrame, found: DataFrame, terms: DataFrame, rules: Disclosure) -> DataFrame:
-    """(v, t, disclosure) of the pairs above the threshold."""
-    n_docs = documents.select("doc_id").distinct().count()
-    pairs = terms.select("v", "t", "doc_id").distinct().groupBy("v", "t").agg(F.count("*").alias("n_et")) \
-                 .filter(F.col("n_et") >= rules.support)
-    entities = found.select("doc_id", F.explode(F.array_distinct(F.transform("base", lambda x: x["v"]))).alias("v")) \
-        .distinct().groupBy("v").agg(F.count("*").alias("n_e"))
+    out = out.select(*keep, F.col("_t"), F.monotonically_increasing_id().alias("row"), F.concat(*tagged).alias("base"))
+    words = F.transform(find_spans(F.col("_t"), TERM),
+                        lambda x: F.struct(_term(x["m"]).alias("t"), x["s"].alias("s"), x["e"].alias("e")))
+    return out.select(*keep, "row", "base",
+                      F.when(F.lit(repeated) | (F.size("base") > 0), words).alias("words"))
+
+
+def _entity_classes(found: DataFrame) -> DataFrame:
+    """(doc_id, c, n_e): the entities of every document; those held by the same documents are one class c."""
+    held = found.select("doc_id", F.explode(F.array_distinct(F.transform("base", lambda x: x["v"]))).alias("v")).distinct()
+    classes = held.groupBy("v").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("doc_id")).alias("a"),
+                                    F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b"))
+    return held.join(classes, "v").select("doc_id", F.xxhash64("n_e", "a", "b").alias("c"), "n_e").distinct()
+
+
+def _frequency(documents: DataFrame, repeated: bool) -> DataFrame:
+    """(t, n_t) of every word of the corpus; one row per word and task is shuffled, unless ids are ``repeated``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # the document frequency of every word of the corpus; one row per word and task is shuffled
-    words = documents.select("doc_id", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w"))
-    frequency = words.select(F.xxhash64("w").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    info = F.ln(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
-    joint = F.ln(F.col("n_et") * F.lit(float(max(n_docs, 1))) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return pairs.join(entities, "v").join(frequency, "t") \
-        .filter(info >= rules.min_bits * math.log(2)) \
-        .select("v", "t", (joint / info).alias("disclosure")) \
-        .filter(F.col("disclosure") >= rules.generalise)
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _term))).alias("t"))
+    return (words.distinct() if repeated else words).groupBy("t").agg(F.count("*").alias("n_t"))
+
+
+def disclosing_places(documents: DataFrame, found: DataFrame, rules: Disclosure, n_docs: int, repeated: bool) -> DataFrame:
+    """(row, s, e, d): the places of disclosing terms, with the largest disclosure of the document's entities."""
+    n = F.lit(float(n_docs))
+    held = materialize(_entity_classes(found).filter(F.col("n_e") < n_docs), name="pii-entities")
+    # slack for rounding: the disclosure itself decides below
+    most = F.pow(n, F.lit(1 - rules.generalise)) * F.pow(F.col("n_e"), F.lit(rules.generalise)) * 1.000001
+    bound = held.select(F.max(most)).first()[0] or 0.0
+    frequency = materialize(_frequency(documents, repeated), name="pii-words")
+    common = frequency.filter(F.col("n_t") > bound).orderBy(F.desc("n_t")).limit(COMMON).select("t")
+    places = found.select("row", "doc_id", F.explode("words").alias("w")).select("row", "doc_id", "w.t", "w.s", "w.e") \
+        .join(F.broadcast(common), "t", "left_anti") \
+        .join(frequency.filter(F.col("n_t") <= bound), "t")
+    held = held.withColumnRenamed("doc_id", "holder")
+    terms = materialize(places.join(held, F.col("doc_id").eqNullSafe(F.col("holder"))).filter(F.col("n_t") <= most)
+                        .select("row", "doc_id", "c", "n_e", "t", "n_t", "s", "e"), name="pii-terms")
+    info = F.ln(n / F.col("n_e"))
+    joint = F.ln(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    pairs = terms.select("doc_id", "c", "n_e", "t", "n_t").distinct() \
+        .groupBy("c", "n_e", "t", "n_t").agg(F.count("*").alias("n_et")) \
+        .select("c", "t", (joint / info).alias("d")).filter(F.col("d") >= rules.generalise)
+    return terms.select("row", "c", "t", "s", "e").join(pairs, ["c", "t"]) \
+                .groupBy("row", "s", "e").agg(F.max("d").alias("d"))
 
 
 def detect(documents: DataFrame, rules: Disclosure = Disclosure(), keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus ``spans``: array of (s, k, e); ``k`` indexes KINDS, and 5 marks a term to be removed."""
     keep = keep or ["doc_id"]
-    found = materialize(mentions(documents, rules, keep), name="pii")
-    terms = materialize(_context_terms(found, rules), name="pii-terms")
-    pairs = disclosing_pairs(documents, found, terms, rules)
-    hits = terms.join(pairs, ["v", "t"]).groupBy("row", "s", "e").agg(F.max("disclosure").alias("d")) \
-        .groupBy("row").agg(F.collect_list(F.struct(
-            "s", F.when(F.col("d") >= rules.remove, F.lit(5)).otherwise(F.lit(4)).alias("k"), "e")).alias("terms"))
+    ids = documents.groupBy("doc_id").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    repeated = (ids["most"] or 0) > 1
+    found = materialize(mentions(documents, keep, repeated), name="pii")
+    hits = disclosing_places(documents, found, rules, ids["n"], repeated).groupBy("row").agg(F.collect_list(F.struct(
+        "s", F.when(F.col("d") >= rules.remove, F.lit(5)).otherwise(F.lit(4)).alias("k"), "e")).alias("terms"))
     empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return found.join(hits, "row", "left").select(
-        *keep, F.array_sort(F.concat(base, F.coalesce("terms", empty))).alias("spans"))
+    apart = F.filter(F.coalesce("terms", empty),
+                     lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    return found.join(hits, "row", "left").select(*keep, F.array_sort(F.concat(base, apart)).alias("spans"))
 
 
 def sanitise(text: Column, spans: Column) -> Column:

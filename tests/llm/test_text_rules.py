@@ -1,6 +1,8 @@
 """Quality rules, secret scan, personal data: against plain Python, with odd rows."""
 
+import math
 import random
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -102,6 +104,41 @@ def test_disclosing_terms(spark):
     assert clean[5] == dict(rows)[5]
 
 
+def test_disclosing_terms_match_brute_force(spark):
+    """Single-document entities, terms on other lines and far away, entities in many documents, repeated ids."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcd", k=4))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(3, 60))) + ("\n" if i % 2 else " ")
+             + ("(Tall) mail hub@mail.org " if i < 30 else "") + ("x" * 200 + " Quokka" if i < 32 else "")) for i in range(60)]
+    rows += [(70, "Wombat one@pub.org\n" + "filler " * 30 + "wombat, (WOMBAT)"), (71, None), (72, "two@pub.org three@pub.org")]
+    repeats = [(72, "Numbat"), (72, "Numbat"), (None, "four@pub.org Bilby")]
+    for table in (rows, rows + repeats):
+        texts, held, has = {}, {}, {}
+        for d, t in table:
+            texts.setdefault(d, []).append(t or "")
+        mail = r"[a-z]+@[a-z]+\.org"
+        for d, ts in texts.items():
+            for t in ts:
+                for v in re.findall(mail, t):
+                    held.setdefault(v, set()).add(d)
+                for w in re.findall("[A-Za-z]{4,}", t):
+                    has.setdefault(w.lower(), set()).add(d)
+        n, want = len(texts), []
+        for d, t in table:
+            spans = [(m.start(), 0, m.end()) for m in re.finditer(mail, t or "")]
+            terms = []
+            for m in re.finditer("[A-Za-z]{4,}", t or ""):
+                docs = has[m[0].lower()]
+                best = max((math.log(len(docs & e) * n / (len(e) * len(docs))) / math.log(n / len(e))
+                            for e in held.values() if d in e), default=0)
+                if best >= 0.8 and not any(a < m.end() and m.start() < b for a, _, b in spans):
+                    terms.append((m.start(), 5 if best >= 0.95 else 4, m.end()))
+            want.append((d, sorted(spans + terms)))
+        docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+        got = [(r.doc_id, [tuple(x) for x in r.spans]) for r in pii.detect(docs).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("name", ["op3_pii", "op5_secrets", "op6_quality"])
 def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long") \
