@@ -10,13 +10,16 @@ at most radius/8 bits).  Pairs found are verified by the exact weighted
 Jaccard similarity of their shingle sets, at least ``threshold``.
 
 A shingle's weight is ``ln(1 + items / items holding it)``, so stock
-phrases of the benchmark count less.  Words are runs of letters and
-digits, ASCII case folded.
+phrases of the benchmark count less; one that no item holds weighs as if
+one did.  Items are counted over the whole benchmark, so weights do not
+depend on its blocks.  Words are runs of letters and digits, ASCII case
+folded.
 
 The benchmark is read in blocks of at most ``block_words`` words; each
 block is small enough to travel with the tasks and documents are scanned
-once per block, so a benchmark of any size is searched whole.  Documents
-are never shuffled.
+once per block, so a benchmark of any size is searched whole.  The
+shingles that two items or more hold travel once beside the blocks (16
+bytes each); all others have one weight.  Documents are never shuffled.
 
 Defined cases: null or empty texts and items match nothing; an item of
 fewer than five words is one shingle and matches documents of just those
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +52,8 @@ class Block:
     n_words: np.ndarray
     sets: list[np.ndarray]    # sorted distinct shingles
     known: np.ndarray         # sorted distinct shingles of the block
-    weights: np.ndarray       # their weights
-    new_weight: float         # of a shingle that no item holds
+    often: Broadcast          # (sorted shingles that several items of the benchmark hold, their weights)
+    weight: float             # of every other shingle
     post: np.ndarray          # (index in known, item, offset) sorted by the first
     first: np.ndarray         # where each known shingle's rows begin in post
     prints: np.ndarray        # fingerprints
@@ -59,8 +63,33 @@ class Block:
 
 
 def _weights(block: Block, values: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(block.known, values), len(block.known) - 1)
-    return np.where(block.known[at] == values, block.weights[at], block.new_weight)
+    often, weights = block.often.value
+    if not len(often):
+        return np.full(len(values), block.weight)
+    at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+    return np.where(often[at] == values, weights[at], block.weight)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of every item."""
+    for batch in batches:
+        texts = utf8(batch.column(0))
+        for lo, hi in chunks(texts):
+            hashes, owner = word_hashes(texts[lo:hi], _TABLE)
+            value, who, _ = shingles(hashes, owner, hi - lo, WIDTH)
+            pairs = np.unique(np.stack([who.astype(np.uint64), value]), axis=1)
+            yield pa.RecordBatch.from_pydict({"value": pa.array(pairs[1].view(np.int64))})
+
+
+def shingle_weights(benchmark: DataFrame) -> tuple[Broadcast, float]:
+    """(shingles that several items hold and their weights, weight of all others)."""
+    n = benchmark.count()
+    held = benchmark.select(F.col("text").cast("string")).mapInArrow(_held, "value long") \
+        .groupBy("value").count().filter(F.col("count") > 1).toArrow()
+    often = held["value"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(often)
+    weights = np.log1p(n / held["count"].to_numpy().astype(np.float64))
+    return benchmark.sparkSession.sparkContext.broadcast((often[order], weights[order])), float(np.log1p(n))
 
 
 def fingerprints(values: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -74,7 +103,7 @@ def fingerprints(values: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
     return np.packbits(total > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def prepare(items: list[tuple[int, str]], threshold: float, radius: int) -> Block | None:
+def prepare(items: list[tuple[int, str]], threshold: float, radius: int, often: Broadcast, weight: float) -> Block | None:
     texts = [(t or "").encode() for _, t in items]
     hashes, owner = word_hashes(texts, _TABLE)
     value, who, at = shingles(hashes, owner, len(texts), WIDTH)
@@ -83,16 +112,12 @@ def prepare(items: list[tuple[int, str]], threshold: float, radius: int) -> Bloc
     counts = word_counts(owner, len(texts))
     firsts = np.concatenate([[0], np.cumsum(counts)])
     known, inverse = np.unique(value, return_inverse=True)
-    holding = np.zeros(len(known))
-    pairs = np.unique(np.stack([inverse, who]), axis=1)
-    np.add.at(holding, pairs[0], 1)
-    weights = np.log1p(len(texts) / holding)
     order = np.argsort(inverse, kind="stable")
     post = np.stack([inverse[order], who[order], at[order] - firsts[who[order]]], axis=1)
     first = np.searchsorted(post[:, 0], np.arange(len(known) + 1))
     sets = [np.unique(value[who == i]) for i in range(len(texts))]
-    block = Block(np.array([i for i, _ in items]), counts, sets, known, weights, float(np.log1p(len(texts))),
-                  post, first, np.zeros(0, np.uint64), np.zeros(0), radius, threshold)
+    block = Block(np.array([i for i, _ in items]), counts, sets, known, often, weight, post, first,
+                  np.zeros(0, np.uint64), np.zeros(0), radius, threshold)
     owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets)
     block.prints = fingerprints(flat, _weights(block, flat), owners, len(sets))
@@ -157,15 +182,16 @@ def _search(texts: list[bytes], block: Block) -> list[tuple[int, int, int, float
 
 
 def blocks(benchmark: DataFrame, threshold: float, radius: int, block_words: int) -> Iterator[Block]:
+    often, weight = shingle_weights(benchmark)
     items, words = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         items.append((row["item_id"], row["text"]))
         words += (row["text"] or "").count(" ") + 1
         if words >= block_words:
-            if (b := prepare(items, threshold, radius)) is not None:
+            if (b := prepare(items, threshold, radius, often, weight)) is not None:
                 yield b
             items, words = [], 0
-    if items and (b := prepare(items, threshold, radius)) is not None:
+    if items and (b := prepare(items, threshold, radius, often, weight)) is not None:
         yield b
 
 

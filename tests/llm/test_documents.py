@@ -109,6 +109,36 @@ def test_decontamination(spark):
     assert decontam.find(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    """A stock phrase over all items, and documents with part of another word changed in an item: the weights decide."""
+    rng = random.Random(4)
+    stock = " ".join(_words(rng, 14))
+    items = [(i, stock + " " + " ".join(_words(rng, 30))) for i in range(20)]
+    docs = []
+    for d in range(60):
+        words = items[d % 20][1].split()
+        for _ in range(rng.randint(0, 1)):
+            words[rng.randrange(len(words))] = "changed"
+        docs.append((d, " ".join(_words(rng, 20) + words + stock.split())))
+    # a window over the stock phrase's beginning that another item holds
+    items.append((50, " ".join(_words(rng, 25))))
+    docs.append((70, items[-1][1].rsplit(" ", 3)[0] + " " + stock))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    found = [sorted((r.doc_id, r.item_id, r.first_word, round(r.similarity, 9)) for r in decontam.find(
+        table, bench, threshold=0.6, radius=30, block_words=n).collect()) for n in (1_000_000, 100, 40)]
+    assert found[0] == found[1] == found[2]
+    assert any(x[3] < 1 for x in found[0]) and any(x[0] == 70 for x in found[0])
+    weight = lambda n: np.log1p(21 / n)
+    plain = {i: [tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)] for i, t in items}
+    texts = dict(docs)
+    for d, i, at, similarity in found[0]:
+        words = texts[d].split()[max(at, 0):at + len(dict(items)[i].split())]
+        window, item = {tuple(words[k:k + 5]) for k in range(len(words) - 4)}, set(plain[i])
+        total = lambda s: sum(weight(max(sum(x in v for v in plain.values()), 1)) for x in s)
+        assert abs(similarity - total(window & item) / total(window | item)) < 1e-6
+
+
 def test_decontamination_finds_every_planted_passage(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF_SMALL}/documents.parquet").to_pylist()}
     bench = {r["item_id"]: r["text"] for r in pq.read_table(f"{SF_SMALL}/benchmark.parquet").to_pylist()}
