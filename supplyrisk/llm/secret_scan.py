@@ -1,12 +1,20 @@
 """Secret scan with a randomness test battery (native Spark expressions).
 
 Base patterns find assignments, access keys and long hex strings.  The
-method then looks at every run of 20 or more key characters: it infers
-the encoding (hex, base32, base36, base64), maps the characters to digits of
-that alphabet and tests the hypothesis "uniformly random" three ways:
+method then looks at every run of 20 or more key characters, in up to
+three readings: the whole run, with its separators (``+/-_=``) as two more
+digits of the alphabet; the run without its separators; and every piece of
+20 characters or more between separators.  A reading's encoding follows
+from the kinds of characters it holds (digits, hex, one or two cases of
+letters, base32, base36, base62, base64), as a random text of a larger
+alphabet that happens to hold no digit, say, is uniform over the letters.
+The characters become digits of that alphabet, and the hypothesis
+"uniformly random" is tested three ways:
 chi-squared uniformity of the alphabet, runs above and below the middle
 digit, and lag-1 serial correlation.  The smallest of the three p-values,
-times three, is the token's p-value.  A Benjamini-Hochberg step-up per
+times three, is the reading's p-value; the token's is the largest of its
+readings, as a token random in any reading is random.  Runs without a
+letter or digit are not tested and not counted.  A Benjamini-Hochberg step-up per
 length band, over all tokens of the corpus, rejects the tokens that are
 not random at the band's rate; the bands of short tokens have the higher
 rates, as a short word-like token is harder to tell.  Tokens that stay
@@ -37,13 +45,19 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"     # the whole run of A-Z0-9, 20 or more in all
 HEX = r"[0-9a-f]{24,}+"           # a run of 24 or more starts where its maximal run starts
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
 
-#: Alphabets of the encodings, in digit order (fixed by their standards).
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Alphabets of the encodings, in digit order (fixed by their standards); one-case ones in lower case.
 ALPHABETS = {
+    "decimal": _DIGITS,
     "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "letters": _LOWER,
+    "base32": _LOWER + "234567",
+    "base36": _DIGITS + _LOWER,
+    "base52": _LOWER.upper() + _LOWER,
+    "base62": _LOWER.upper() + _LOWER + _DIGITS,
 }
+SEPARATORS = "+/"     # digits 62 and 63 of base64; the url-safe ones and inner padding are mapped to them
+PIECE = 20            # shortest stripped run or piece that is a reading by itself
 
 
 @dataclass(frozen=True)
@@ -66,24 +80,37 @@ def _tail(z: Column) -> Column:
     return F.greatest(poly * F.exp(-x * x), F.lit(1e-300))
 
 
-def _encoding(token: Column) -> Column:
-    """(alphabet, digits text) of a token, null when no encoding fits."""
-    body = F.rtrim(token, F.lit("="))
-    lower = F.lower(body)
-    digit = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
+def _encoding(body: Column) -> Column:
+    """(alphabet, digits text) of letters, digits and ``+/``; null without a letter or digit."""
+    low = F.lower(body)
 
     def pick(name: str, digits: Column) -> Column:
-        return F.struct(F.lit(ALPHABETS[name]).alias("a"), digits.alias("d"))
-
-    return F.when(~digit, None) \
-        .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), pick("hex", lower)) \
-        .when(body.rlike("^[A-Z2-7]+$"), pick("base32", body)) \
-        .when(body.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), pick("base36", lower)) \
-        .when(body.rlike("[a-z]") & body.rlike("[A-Z]"), pick("base64", F.translate(body, "-_=", "+/")))
+        return F.struct(F.concat(F.lit(ALPHABETS[name]), F.when(body.rlike("[+/]"), SEPARATORS).otherwise("")).alias("a"),
+                        digits.alias("d"))
+
+    both = body.rlike("[a-z]") & body.rlike("[A-Z]")
+    digit = body.rlike("[0-9]")
+    return F.when(~body.rlike("[A-Za-z0-9]"), None) \
+        .when(both & digit, pick("base62", body)) \
+        .when(both, pick("base52", body)) \
+        .when(low.rlike("^[0-9+/]+$"), pick("decimal", low)) \
+        .when(~digit, pick("letters", low)) \
+        .when(low.rlike("^[0-9a-f+/]+$"), pick("hex", low)) \
+        .when(low.rlike("^[a-z2-7+/]+$"), pick("base32", low)) \
+        .otherwise(pick("base36", low))
+
+
+def _readings(token: Column) -> Column:
+    """The texts of a token to be tested: whole, without separators, its long pieces."""
+    body = F.regexp_replace(token, "(?<!=)={1,2}$", "")
+    parts = F.when(body.rlike("[+/_=-]"), F.filter(
+        F.concat(F.array(F.regexp_replace(body, "[+/_=-]", "")), F.split(body, "[+/_=-]+")),
+        lambda x: F.length(x) >= PIECE)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.translate(body, "-_=", "+//")), parts)
 
 
 def _p_value(enc: Column) -> Column:
-    """Smallest of the three tests' p-values, times three (at most 1)."""
+    """Smallest of the three tests' p-values, times three (at most 1); null without an encoding."""
     def tests(x: Column) -> Column:
         n = F.length(x["d"]).cast("double")
         size = F.length(x["a"]).cast("double")
@@ -129,10 +156,11 @@ def _band(length: Column, battery: Battery) -> Column:
 def _tokens(text: Column, battery: Battery) -> Column:
     """Array of (s, k, e, band, bin): tested tokens with their p-value's bin (higher: less random)."""
     def tested(x: Column) -> Column:
-        p = _p_value(_encoding(x["m"]))
+        p = F.array_max(F.transform(_readings(x["m"]), lambda r: _p_value(_encoding(r))))
         return F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e"),
                         _band(x["e"] - x["s"], battery).alias("band"),
-                        F.least(F.floor(-F.ln(p) * battery.bins_per_e), F.lit(battery.max_bin)).cast("int").alias("bin"))
+                        let(p, lambda q: F.when(q.isNotNull(), F.least(
+                            F.floor(-F.ln(q) * battery.bins_per_e), F.lit(battery.max_bin)).cast("int"))).alias("bin"))
     return F.filter(F.transform(find_spans(text, TOKEN), tested), lambda t: t["bin"].isNotNull())
 
 

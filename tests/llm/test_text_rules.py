@@ -73,6 +73,29 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any("random" in got[30 + i] for i in range(30))
 
 
+def test_every_kind_of_random_token_is_found(spark):
+    """Letters only, dashed one-case keys, a prefix before hex; rulers are not tested."""
+    rng = random.Random(6)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    run = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    kinds = [lambda: run(letters + letters.upper(), 40), lambda: run(letters, 40), lambda: run(letters.upper(), 40),
+             lambda: "-".join(run(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)).upper(),
+             lambda: "sk-" + run(digits + "abcdef", 40).upper(),
+             lambda: "-".join(run(letters.upper() + digits, 5) for _ in range(6)),
+             lambda: "_".join(run(letters + digits, 6) for _ in range(6)),
+             lambda: run(letters + digits + "-_", 44), lambda: run(digits, 40)]
+    keys = [kind() for kind in kinds for _ in range(12)]
+    rulers = ["-" * 30, "=" * 40, "a" + "-" * 30 + "b", "a" + "=" * 30, "xyzxyzxyzxyzxyzxyzxyzxyz", "=-" * 20] * 20
+    rows = spark.createDataFrame([(i, f"some words {k} here") for i, k in enumerate(keys + rulers)], "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.spans] for r in secret_scan.scan(rows).collect()}
+    for k in range(len(kinds)):
+        assert sum((11, 11 + len(keys[i])) in got[i] for i in range(12 * k, 12 * k + 12)) >= 10, keys[12 * k]
+    assert not any(got[i] for i in range(len(keys), len(keys) + len(rulers)))
+    bins = rows.select("doc_id", secret_scan._tokens(rows["text"], secret_scan.Battery()).alias("t")).collect()
+    assert all((len(r.t) == 0) == (i >= len(keys) and not re.search("[a-z]", rulers[i - len(keys)]))
+               for i, r in enumerate(sorted(bins, key=lambda r: r.doc_id)))
+
+
 def test_redaction_replaces_spans(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefgh end", "en", "s", 20), (2, None, "en", "s", 0)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
