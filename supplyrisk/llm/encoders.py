@@ -11,7 +11,9 @@ a chunk's ids do not depend on it.
 * ``word`` (BPE with word ends): cut at spaces and newlines, which it drops.
 
 Chunks of plain ASCII and precomposed Latin-1 letters go straight to the
-library's BPE model; any other chunk goes through the whole tokenizer.
+library's BPE model; any other chunk goes through the whole tokenizer, and
+so does a text that holds the string of an added token (``<|endoftext|>``):
+as the library reads it by default, it is that token.
 """
 
 from __future__ import annotations
@@ -67,7 +69,8 @@ def _pack(ids) -> bytes:
 class Encoder:
     def __init__(self, path: str, kind: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self.model = self.tokenizer.model
         self.chunks = _Cache(self._byte_chunk if kind == "byte" else self._word_chunk)
         self.pieces = _Cache(self._piece)
@@ -116,6 +119,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian uint32 bytes."""
+        if self.added(text):
+            return self._whole(text)
         return b"".join(map(self.chunks.__getitem__, self.split(text)))
 
 

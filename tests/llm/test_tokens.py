@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 from supplyrisk.llm import packing, queries, token_files
 from supplyrisk.llm.bin_completion import best_fit, bin_count, fillings, pack_counts
@@ -30,6 +31,20 @@ def test_encoder_equals_the_tokenizer(kind):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == want, repr(t)
 
 
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_added_tokens_are_read_as_by_the_library(kind):
+    path = public_tokenizers.path(FILES[kind])
+    enc, fresh = Encoder(path, kind), Tokenizer.from_file(path)
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "a", "It's", "É", "9"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(500))]
+    for t in texts:
+        want = fresh.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == want, repr(t)
+    if kind == "byte":
+        assert np.frombuffer(enc.encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def _valid(solution, counts, capacity):
     used = collections.Counter()
     for filling, times in solution:
