@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplyrisk.llm import (chat, decontam, extract_html, ngram_join, packing, pii, quality, secret_scan,
-                            suffix_dedup, token_files)
+from supplyrisk.llm import (centroids, chat, decontam, extract_html, hard_negatives, kd_shards, ngram_join, packing, pii,
+                            quality, secret_scan, suffix_dedup, token_files)
 from supplyrisk.session import scratch_path
 
 
@@ -76,10 +76,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.integer_vectors(_table(spark, sf_dir, "embeddings"), scale=64, dims=64)
+    return centroids.report(vectors, k=16, rounds=3, seed=1)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled_vectors(_table(spark, sf_dir, "embeddings"), scale=256, label=moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80)
+
+
 QUERIES = {
     "op1_html": op1_html, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_ngram_join": op4_ngram_join,
     "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_token_files": op7_token_files,
     "op8_decontam": op8_decontam, "op9_suffix_dedup": op9_suffix_dedup,
-    "op10_chat": op10_chat,
+    "op10_chat": op10_chat, "op11_centroids": op11_centroids, "op12_sharding": op12_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {}
