@@ -31,6 +31,43 @@ def test_main_text_of_layouts():
         assert main_text(PAGE.replace("{body}", body)) == WANT, body
 
 
+LONG = "A long paragraph of the story, with commas, stops and more. It goes on; it has an end. " * 4
+
+
+def test_the_ratios_decide(monkeypatch):
+    """Without smoothing a short part between rich ones is lost; without the threshold a poor part comes in."""
+    page = (f"<body><div id=story><p>{LONG}</p><div class=k>Short part</div><p>{LONG}</p>"
+            "<div class=z>poor</div><p>Last, a line.</p></div></body>")
+    plain = page.replace("<div class=k>Short part</div>", "")
+    assert "Short part" in main_text(page)
+    far = page.replace("<div class=z>", "<span>x</span><section class=y>mid</section><div class=z>")
+    assert "poor" not in main_text(far) and "Last, a line." in main_text(far)
+    assert "poor" in " ".join(b.text for b in extract_html.content(extract_html.parse(far), share=0.0))
+    monkeypatch.setattr(extract_html, "smoothed", lambda paths: {p: r.fused for p, r in paths.items()})
+    assert "Short part" not in main_text(page) and main_text(plain).count(LONG.strip()) == 2
+
+
+def test_pages_without_the_usual_marks():
+    story = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Title {LONG}{LONG}".strip()
+    teasers = "<article><h3>Teaser</h3><p>Read on.</p></article><article><p>More, here.</p></article>"
+    assert main_text(f"<body>{teasers}<div id=content>{story}</div>{teasers}</body>") == want
+    assert main_text(f"<body><div><a href=x>Home</a> <a href=y>News</a></div><table><tr><td>{story}</td><td><ul><li><a>l</a></ul></td></tr></table>"
+                     "<div>Small print</div></body>") == want
+    assert main_text(f"<body><div class='sidebar-left'><p>{LONG}</p></div><section class=x1>{story}</section></body>") == want
+
+
+def test_labels_name_furniture_only_as_whole_words():
+    kept = ["share-price", "related-work", "comments-on-law", "has-sidebar", "shareholders", "promoters", "alert-level-study"]
+    lost = ["share", "related-posts", "comment-list", "ad-slot-12", "reader-comments", "newsletter_box", "social share-buttons"]
+    for label in kept:
+        assert "marked words, here" in main_text(f"<article><p>{LONG}</p><div class='{label}'><p>marked words, here</p></div></article>"), label
+    for label in lost:
+        assert main_text(f"<article><p>{LONG}</p><div class='{label}'><p>{LONG} marked words, here</p></div></article>") == LONG.strip(), label
+    inner = "<p>Let <math><mi>x</mi> = 1</math> be, <noscript>and</noscript> <object>so</object> on.</p>"
+    assert main_text(f"<article><p>{LONG}</p>{inner}</article>").endswith("Let x = 1 be, and so on.")
+
+
 def test_odd_pages():
     assert main_text(None) == "" and main_text("") == "" and main_text("<p") == ""
     assert main_text("just text, no tags") == "just text, no tags"
