@@ -6,15 +6,18 @@ a document reveal about its entities.  For an entity e and a term t (a
 word of four letters or more, case folded), with counts over all documents
 of the corpus,
 
-    disclosure(t, e) = ln(n_et * N / (n_e * n_t)) / ln(N / n_e)
+    disclosure(t, e) = ln(p(e | t) * N / n_e) / ln(N / n_e)
 
 is the share of e's information that t gives away: n_e documents hold e,
-n_t hold t and n_et hold both.  Where a document holds e, every occurrence
+n_t hold t and n_et hold both.  p(e | t) is estimated with care: the lower
+end of the confidence interval (Wilson's, ``z`` standard deviations) of
+n_et / n_t, so a term seen once with e says less than one that is always
+seen with it.  Where a document holds e, every occurrence
 of a term whose disclosure passes ``generalise`` becomes a span, unless it
 overlaps a base span; at ``remove`` or more it is removed from the text,
 below that it is replaced by its general class.
 
-As n_et <= n_e, only terms with n_t <= N^(1 - generalise) * n_e^generalise
+As p(e | t) <= n_et / n_t <= n_e / n_t, only terms with n_t <= N^(1 - generalise) * n_e^generalise
 can pass; others are left out before pairs are built, which changes no
 result.  Entities held by the same documents share their disclosures and
 are counted as one class.  Only classes, word places of documents with
@@ -53,6 +56,7 @@ COMMON = 100_000
 class Disclosure:
     generalise: float = 0.8
     remove: float = 0.95
+    z: float = 1.96      # 0 takes the observed share itself
 
 
 def _digits(m: Column) -> Column:
@@ -147,7 +151,9 @@ def disclosing_places(documents: DataFrame, found: DataFrame, rules: Disclosure,
     terms = materialize(places.join(held, F.col("doc_id").eqNullSafe(F.col("holder"))).filter(F.col("n_t") <= most)
                         .select("row", "doc_id", "c", "n_e", "t", "n_t", "s", "e"), name="pii-terms")
     info = F.ln(n / F.col("n_e"))
-    joint = F.ln(F.col("n_et") * n / (F.col("n_e") * F.col("n_t")))
+    seen, share, z2 = F.col("n_t"), F.col("n_et") / F.col("n_t"), rules.z ** 2
+    least = (share + z2 / (2 * seen) - rules.z * F.sqrt(share * (1 - share) / seen + z2 / (4 * seen * seen))) / (1 + z2 / seen)
+    joint = F.ln(least * n / F.col("n_e"))
     pairs = terms.select("doc_id", "c", "n_e", "t", "n_t").distinct() \
         .groupBy("c", "n_e", "t", "n_t").agg(F.count("*").alias("n_et")) \
         .select("c", "t", (joint / info).alias("d")).filter(F.col("d") >= rules.generalise)

@@ -58,11 +58,13 @@ def words_of(text: Column) -> Column:
 def line_ok(line: Column, rules: LineRules) -> Column:
     ink = F.greatest(_ink(line), F.lit(1))
     separators = _count_of(line, "|»•·")
-    n_words = F.length(line) - F.length(F.translate(line, " ", "")) + 1  # about: spaces plus one
     trimmed = F.btrim(line, F.lit(WS_CHARS))
     punctuation = _count_of(line, SYMBOLS + "{}~^\\=") / ink <= rules.max_symbol_share
-    navigation = (separators >= rules.min_separators) & (separators * rules.words_per_separator >= n_words)
-    menu = (n_words < rules.short_words) & ~trimmed.rlike(r"[.!?…:;,\"'”’)\]]$")
+    # words are counted only where separators ask for it
+    navigation = F.when(separators >= rules.min_separators,
+                        separators * rules.words_per_separator >= F.size(words_of(line))).otherwise(F.lit(False))
+    long = trimmed.rlike(f"^(?:[^{WS_CLASS}]+[{WS_CLASS}]+){{{rules.short_words - 1}}}[^{WS_CLASS}]")
+    menu = ~long & ~trimmed.rlike(r"[.!?…:;,\"'”’)\]]$")
     return punctuation & ~navigation & ~menu & ~trimmed.rlike(BOILERPLATE)
 
 

@@ -1,31 +1,45 @@
 """Secret scan with a randomness test battery (native Spark expressions).
 
 Base patterns find assignments, access keys and long hex strings.  The
-method then looks at every run of 20 or more key characters, in up to
-three readings: the whole run, with its separators (``+/-_=``) as two more
-digits of the alphabet; the run without its separators; and every piece of
-20 characters or more between separators.  A reading's encoding follows
-from the kinds of characters it holds (digits, hex, one or two cases of
-letters, base32, base36, base62, base64), as a random text of a larger
-alphabet that happens to hold no digit, say, is uniform over the letters.
-The characters become digits of that alphabet, and the hypothesis
-"uniformly random" is tested three ways:
-chi-squared uniformity of the alphabet, runs above and below the middle
-digit, and lag-1 serial correlation.  The smallest of the three p-values,
-times three, is the reading's p-value; the token's is the largest of its
-readings, as a token random in any reading is random.  Runs without a
-letter or digit are not tested and not counted.  A Benjamini-Hochberg step-up per
-length band, over all tokens of the corpus, rejects the tokens that are
-not random at the band's rate; the bands of short tokens have the higher
-rates, as a short word-like token is harder to tell.  Tokens that stay
+method then looks at every run of 20 or more key characters and reports
+those that are both unlike the corpus's text and random.
+
+**Unlike text.** The null hypothesis, the one that must be rejected, is that
+a run is made like the corpus's words.  Letter pairs of all words of all
+documents, but those with a run to be tested, are counted (letters case folded, digits as one class that shares
+its probability evenly, all else as separators, and a change from lower to
+upper case as a separator too, so compound names read as their words).  A run's mean log-likelihood under these pairs is compared
+with the corpus mean; its spread is taken from whole words, as the letters of
+a word depend on each other, times ``Battery.spread``.  The lower tail gives the p-value.
+
+**Random.** A run is tested in up to three readings: the whole run, with its
+separators (``+/-_=``) as two more digits of the alphabet; the run without
+its separators; and every piece of 20 characters or more between separators.
+A reading's encoding follows from the kinds of characters it holds (digits,
+hex, one or two cases of letters, base32, base36, base62, base64), as a random
+text of a larger alphabet that happens to hold no digit, say, is uniform over
+the letters.  The characters become digits of that alphabet, and the
+hypothesis "uniformly random" is tested three ways: chi-squared uniformity of
+the alphabet, runs above and below the middle digit, and lag-1 serial
+correlation.  The smallest of the three p-values, times three, is the
+reading's p-value; the run's is the largest of its readings, as a run random
+in any reading is random.  A run below ``Battery.random_at`` there counts as
+not random, and its p-value of being text as 1.  Runs without a letter or
+digit are not tested and not counted.
+
+A Benjamini-Hochberg step-up per length band, over all tested runs of the
+corpus, picks what is reported, so among the reported runs of a band the
+expected share of text-like ones is at most the band's rate.  Reported runs
 become spans of kind ``random`` unless a base span contains them.
 
-The step-up needs only a histogram of p-values per band: bands x bins
-rows, a fixed bound, whatever the corpus size.  The thresholds (one number
-per band) are literals of the second pass, so texts are never shuffled.
+The step-up needs only a histogram of p-values per band (bands x bins rows),
+the model is one number per letter pair; both are literals of the later
+passes, so texts are never shuffled.  Words are counted before the shuffle.
 
-Defined cases: null text is empty; repeated rows are scanned alike; an
-empty table has no thresholds and no spans; other columns pass through.
+Runs of digits alone read as numbers, which text holds too, and are reported
+only where the corpus has hardly any.  Defined cases: null text is empty; repeated rows are scanned alike; an
+empty table, or one without words, has no thresholds and no random spans;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,10 +47,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplyrisk.llm.columns import find_spans, let, replace_spans, span_text
+from supplyrisk.llm.columns import WS_CLASS, find_spans, let, replace_spans, span_text
+from supplyrisk.plans import materialize
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -62,11 +77,80 @@ PIECE = 20            # shortest stripped run or piece that is a reading by itse
 
 @dataclass(frozen=True)
 class Battery:
-    bands: tuple = ((20, 0.05), (32, 0.01), (64, 0.001))   # (shortest length, false-discovery rate)
-    bins_per_e: int = 8      # histogram bins per factor e of the p-value
+    bands: tuple = ((20, 0.01), (32, 0.005), (64, 0.001))   # (shortest length, false-discovery rate of what is reported)
+    spread: float = 2.0        # a run's spread against that of words: names, codes and paths vary more
+    random_at: float = 0.001   # p-value of the randomness tests below which a run is not random
+    bins_per_e: int = 8        # histogram bins per factor e of the p-value
     max_bin: int = 400
 
 
+#: Symbols of the text model: letters, any digit, anything else.
+SYMBOLS = _LOWER + "0_"
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Log-probability of every symbol after every symbol, and the corpus's mean and spread per symbol."""
+    log_p: tuple      # row by row in the order of SYMBOLS
+    mean: float
+    sd: float
+
+
+def _symbols(word: Column) -> Column:
+    """A word in SYMBOLS, between separators; a change from lower to upper case separates too."""
+    parted = F.regexp_replace(word, "([a-z])([A-Z])", "$1_$2")
+    plain = F.regexp_replace(F.translate(F.lower(parted), "123456789", "000000000"), "[^a-z0]+", "_")
+    return F.concat(F.lit("_"), F.btrim(plain, F.lit("_")), F.lit("_"))
+
+
+def _pairs(symbols: Column) -> Column:
+    """Consecutive symbol pairs as their places in ``TextModel.log_p``."""
+    n = len(SYMBOLS)
+    at = F.transform(F.filter(F.split(symbols, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    return let(at, lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: a * n + b))
+
+
+def _log_p(pairs: Column, log_p: tuple) -> Column:
+    """Log-likelihood of symbol pairs."""
+    table = F.split(F.lit(",".join(map(repr, log_p))), ",").cast("array<double>")
+    return F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.get(table, i))
+
+
+def text_model(documents: DataFrame) -> TextModel | None:
+    """The model of all words of all documents; None without words."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = documents.select(F.explode(F.split(text, f"[{WS_CLASS}]+", -1)).alias("w")) \
+        .filter((F.col("w") != "") & ~F.col("w").rlike(TOKEN))   # what is to be tested is no model of text
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # words alike in SYMBOLS count as one
+    words = materialize(words.groupBy(_symbols(F.col("w")).alias("w")).agg(F.sum("n").alias("n")), name="words")
+    size = len(SYMBOLS)
+    rows = words.select("n", F.explode(_pairs(F.col("w"))).alias("i")).groupBy("i").agg(F.sum("n").alias("n")).collect()   # size^2 rows
+    if not rows:
+        return None
+    counts = [0] * size * size
+    for r in rows:
+        counts[r["i"]] = r["n"]
+    after = [sum(counts[a * size:(a + 1) * size]) for a in range(size)]
+    # a digit stands for ten characters
+    log_p = tuple(math.log((counts[a * size + b] + 1) / (after[a] + size)) - (math.log(10) if SYMBOLS[b] == "0" else 0.0)
+                  for a in range(size) for b in range(size))
+    total = sum(counts)
+    mean = sum(c * p for c, p in zip(counts, log_p)) / total
+    off = _log_p(_pairs(F.col("w")), log_p) - mean * (F.length("w") - 1)
+    spread = words.agg((F.sum(F.col("n") * off * off) / F.sum(F.col("n") * (F.length("w") - 1))).alias("v")).first()["v"]
+    return TextModel(log_p, mean, math.sqrt(max(spread, 1e-6)))
+
+
+def _text_p(token: Column, model: TextModel, spread: float) -> Column:
+    """Probability that a run made like the corpus's words is as unlikely as this one."""
+    def tail(pairs: Column) -> Column:
+        n = F.size(pairs).cast("double")
+        z = (_log_p(pairs, model.log_p) - model.mean * n) / (spread * model.sd * F.sqrt(n))
+        return F.when(z < 0, _tail(z) / 2).otherwise(F.lit(1.0))
+    return let(_pairs(_symbols(token)), tail)
+
+
 def base_spans(text: Column) -> list[Column]:
     assign = F.filter(find_spans(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
     return [assign, find_spans(text, ACCESS), find_spans(text, HEX)]
@@ -153,47 +237,61 @@ def _band(length: Column, battery: Battery) -> Column:
     return out
 
 
-def _tokens(text: Column, battery: Battery) -> Column:
-    """Array of (s, k, e, band, bin): tested tokens with their p-value's bin (higher: less random)."""
+def _tokens(text: Column, battery: Battery, model: TextModel) -> Column:
+    """Array of (s, k, e, band, bin): tested runs with their p-value's bin (higher: less like text)."""
     def tested(x: Column) -> Column:
-        p = F.array_max(F.transform(_readings(x["m"]), lambda r: _p_value(_encoding(r))))
+        # the randomness tests run only on what is unlike text
+        random = F.array_max(F.transform(_readings(x["m"]), lambda r: _p_value(_encoding(r))))
+        p = let(_text_p(x["m"], model, battery.spread), lambda t: F.when(t > 0.5, F.lit(1.0)).when(random >= battery.random_at, t).otherwise(F.lit(1.0)))
+        bin_ = F.least(F.floor(-F.ln(p) * battery.bins_per_e), F.lit(battery.max_bin)).cast("int")
         return F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e"),
-                        _band(x["e"] - x["s"], battery).alias("band"),
-                        let(p, lambda q: F.when(q.isNotNull(), F.least(
-                            F.floor(-F.ln(q) * battery.bins_per_e), F.lit(battery.max_bin)).cast("int"))).alias("bin"))
-    return F.filter(F.transform(find_spans(text, TOKEN), tested), lambda t: t["bin"].isNotNull())
+                        _band(x["e"] - x["s"], battery).alias("band"), bin_.alias("bin"))
+    return F.transform(F.filter(find_spans(text, TOKEN), lambda x: x["m"].rlike("[A-Za-z0-9]")), tested)
 
 
-def thresholds(documents: DataFrame, battery: Battery = Battery()) -> dict[int, int]:
-    """Per band, the lowest rejected bin (step-up over the corpus); at most one number per band."""
+def thresholds(documents: DataFrame, battery: Battery = Battery(), model: TextModel | None = None) -> dict[int, int]:
+    """Per band, the lowest bin that is reported (step-up over the corpus); a band that reports none has no entry."""
+    model = model or text_model(documents)
+    if model is None:
+        return {}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hist = documents.select(text.alias("_t")).filter(F.col("_t").rlike(TOKEN)) \
-        .select(F.explode(_tokens(F.col("_t"), battery)).alias("t")) \
-        .groupBy("t.band", "t.bin").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("band").orderBy(F.desc("bin"))
-    rates = F.element_at(F.array(*[F.lit(q) for _, q in battery.bands]), F.col("band") + 1)
-    found = hist.withColumn("least", F.sum("n").over(up)) \
-        .withColumn("all", F.sum("n").over(Window.partitionBy("band"))) \
-        .filter(F.exp(-F.col("bin") / F.lit(float(battery.bins_per_e))) <= rates * F.col("least") / F.col("all")) \
-        .groupBy("band").agg(F.min("bin").alias("bin"))
-    return {r["band"]: r["bin"] for r in found.collect()}
-
-
-def scan(documents: DataFrame, battery: Battery = Battery(), cuts: dict[int, int] | None = None) -> DataFrame:
-    """Input columns plus ``spans``, an array of (s, k, e); ``k`` indexes KINDS."""
-    cuts = thresholds(documents, battery) if cuts is None else cuts
+        .select(F.explode(_tokens(F.col("_t"), battery, model)).alias("t")) \
+        .groupBy("t.band", "t.bin").agg(F.count("*").alias("n")).collect()   # bands x bins rows
+    cuts = {}
+    for band, (_, rate) in enumerate(battery.bands):
+        bins = {r["bin"]: r["n"] for r in hist if r["band"] == band}
+        upto = 0
+        for b in sorted(bins, reverse=True):   # ascending p-values; every one in the bin is at most exp(-b / bins_per_e)
+            upto += bins[b]
+            if b > 0 and math.exp(-b / battery.bins_per_e) <= rate * upto / sum(bins.values()):
+                cuts[band] = b
+    return cuts
+
+
+def scan(documents: DataFrame, battery: Battery = Battery(), cuts: dict[int, int] | None = None,
+         model: TextModel | None = None) -> DataFrame:
+    """Input columns plus ``spans``, an array of (s, k, e); ``k`` indexes KINDS.
+
+    ``model`` and ``cuts`` come from the documents themselves unless given (``text_model``, ``thresholds``).
+    """
+    model = model or text_model(documents)
+    cuts = thresholds(documents, battery, model) if cuts is None else cuts
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    limits = F.array(*[F.lit(cuts.get(i, battery.max_bin + 1)) for i in range(len(battery.bands))])
     out = documents.withColumn("_t", text)
     out = out.withColumn("_base", F.array(*base_spans(F.col("_t"))))
     out = out.withColumn("_base", F.flatten(F.transform("_base", lambda spans, k: F.transform(
         spans, lambda x: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"))))))
-    out = out.withColumn("_tok", F.filter(_tokens(F.col("_t"), battery),
-                                          lambda t: t["bin"] < F.element_at(limits, t["band"] + 1)))
-    extra = F.transform(
-        F.filter("_tok", lambda t: ~F.exists("_base", lambda b: (b["s"] <= t["s"]) & (b["e"] >= t["e"]))),
-        lambda t: F.struct(t["s"].alias("s"), t["k"].alias("k"), t["e"].alias("e")))
-    return out.withColumn("spans", F.array_sort(F.concat("_base", extra))).drop("_t", "_base", "_tok")
+    spans = F.col("_base")
+    if model is not None and cuts:
+        limits = F.array(*[F.lit(cuts.get(i, battery.max_bin + 1)) for i in range(len(battery.bands))])
+        out = out.withColumn("_tok", F.filter(_tokens(F.col("_t"), battery, model),
+                                              lambda t: t["bin"] >= F.element_at(limits, t["band"] + 1)))
+        extra = F.transform(
+            F.filter("_tok", lambda t: ~F.exists("_base", lambda b: (b["s"] <= t["s"]) & (b["e"] >= t["e"]))),
+            lambda t: F.struct(t["s"].alias("s"), t["k"].alias("k"), t["e"].alias("e")))
+        spans = F.concat("_base", extra)
+    return out.withColumn("spans", F.array_sort(spans)).drop("_t", "_base", "_tok")
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -51,6 +51,16 @@ def test_quality_keeps_prose_and_rejects_navigation(spark):
     assert kept[1][1] == prose and kept[4][1] == prose
 
 
+def test_lines_are_judged_by_their_words(spark):
+    """Words are what stands between any white space: tabs part them, runs of spaces do not add any."""
+    prose = "A line of plain prose that ends like one, as it should.\n" * 12
+    lines = {"These\tare\tfour\twords": True, "a   b": False, "a b": False, "a b c": True, "a  \x0b b.": True, "one | two | three words": False,
+             "| ".join(["a long part of eight words it has"] * 3): True, "\t\t \t": True}
+    rows = spark.createDataFrame([(i, prose + x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in quality.judge(rows).collect()}
+    assert {x: got[i] == prose + x for i, x in enumerate(lines)} == lines
+
+
 def test_secret_base_spans(odd):
     got = secret_scan.scan(odd).select("text", "spans").collect()
     assert len(got) == odd.count()
@@ -91,9 +101,49 @@ def test_every_kind_of_random_token_is_found(spark):
     for k in range(len(kinds)):
         assert sum((11, 11 + len(keys[i])) in got[i] for i in range(12 * k, 12 * k + 12)) >= 10, keys[12 * k]
     assert not any(got[i] for i in range(len(keys), len(keys) + len(rulers)))
-    bins = rows.select("doc_id", secret_scan._tokens(rows["text"], secret_scan.Battery()).alias("t")).collect()
-    assert all((len(r.t) == 0) == (i >= len(keys) and not re.search("[a-z]", rulers[i - len(keys)]))
-               for i, r in enumerate(sorted(bins, key=lambda r: r.doc_id)))
+
+
+def _keys(rng):
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    run = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    return {
+        "hex": lambda: run(digits + "abcdef", 32).upper(), "base64": lambda: run(letters + letters.upper() + digits + "+/", 44),
+        "base62": lambda: run(letters + letters.upper() + digits, 32), "base32": lambda: run(letters.upper() + "234567", 32),
+        "uuid": lambda: "-".join(run(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)), "prefixed": lambda: "sk-" + run(letters + digits, 32),
+        "letters": lambda: run(letters, 32), "licence": lambda: "-".join(run(letters.upper() + digits, 5) for _ in range(6)),
+        "url-safe": lambda: run(letters + letters.upper() + digits + "-_", 43)}
+
+
+def test_identifiers_of_real_code_are_left_alone_and_keys_among_them_found(spark):
+    """The standard library's source, with keys planted in it: at most 1% of its long identifiers, paths and
+    dashed words are reported, and at least 90% of the keys of every kind."""
+    import sysconfig
+    from pathlib import Path
+    files = sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[:150]
+    texts = [f.read_text(errors="replace") for f in files]
+    rng = random.Random(7)
+    planted = [(kind, make()) for kind, make in _keys(rng).items() for _ in range(30)]
+    rows = [*enumerate(texts), *((1000 + i, f"the value {key} is\nused by {rng.choice(texts)[:300]}") for i, (_, key) in enumerate(planted))]
+    got = {r.doc_id: {(x.s, x.e) for x in r.spans if x.k == 3} for r in secret_scan.scan(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    runs = sum(len([m for m in re.finditer(secret_scan.TOKEN, t) if re.search("[A-Za-z0-9]", m[0])]) for t in texts)
+    reported = sum(len(got[i]) for i in range(len(texts)))
+    assert runs > 3000 and reported <= 0.01 * runs, (reported, runs)
+    for kind in _keys(rng):
+        hits = [(10, 10 + len(key)) in got[1000 + i] for i, (k, key) in enumerate(planted) if k == kind]
+        assert sum(hits) >= 0.9 * len(hits), (kind, sum(hits))
+
+
+def test_text_model_counts_every_word(spark):
+    rows = spark.createDataFrame([(1, "Ab ab"), (2, "ab1"), (3, None), (4, "aB " + "x" * 30)], "doc_id long, text string")
+    model = secret_scan.text_model(rows)
+    size, at = len(secret_scan.SYMBOLS), secret_scan.SYMBOLS.index
+    pair = lambda a, b: model.log_p[at(a) * size + at(b)]
+    # _ab_ twice, _ab0_ once, _a_b_ once
+    assert pair("_", "a") == math.log((4 + 1) / (5 + size)) and pair("b", "_") == math.log((3 + 1) / (4 + size))
+    assert pair("b", "0") == math.log((1 + 1) / (4 + size)) - math.log(10)
+    assert secret_scan.text_model(rows.limit(0)) is None
+    assert secret_scan.thresholds(rows.limit(0)) == {} and secret_scan.scan(rows.limit(0)).count() == 0
 
 
 def test_redaction_replaces_spans(spark):
@@ -127,7 +177,8 @@ def test_disclosing_terms(spark):
     assert clean[5] == dict(rows)[5]
 
 
-def test_disclosing_terms_match_brute_force(spark):
+@pytest.mark.parametrize("z", [0.0, 1.96])
+def test_disclosing_terms_match_brute_force(spark, z):
     """Single-document entities, terms on other lines and far away, entities in many documents, repeated ids."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcd", k=4))
@@ -152,13 +203,15 @@ def test_disclosing_terms_match_brute_force(spark):
             terms = []
             for m in re.finditer("[A-Za-z]{4,}", t or ""):
                 docs = has[m[0].lower()]
-                best = max((math.log(len(docs & e) * n / (len(e) * len(docs))) / math.log(n / len(e))
-                            for e in held.values() if d in e), default=0)
+                def least(e):
+                    seen, share = len(docs), len(docs & e) / len(docs)
+                    return (share + z * z / 2 / seen - z * math.sqrt(share * (1 - share) / seen + z * z / 4 / seen / seen)) / (1 + z * z / seen)
+                best = max((math.log(least(e) * n / len(e)) / math.log(n / len(e)) for e in held.values() if d in e), default=0)
                 if best >= 0.8 and not any(a < m.end() and m.start() < b for a, _, b in spans):
                     terms.append((m.start(), 5 if best >= 0.95 else 4, m.end()))
             want.append((d, sorted(spans + terms)))
         docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
-        got = [(r.doc_id, [tuple(x) for x in r.spans]) for r in pii.detect(docs).collect()]
+        got = [(r.doc_id, [tuple(x) for x in r.spans]) for r in pii.detect(docs, pii.Disclosure(z=z)).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
 
 
