@@ -6,12 +6,18 @@ of (filling, times), a filling being the (length, count) pairs of one bin.
 
 Search: the incumbent is best-fit decreasing.  Branch and bound then takes
 the largest item left, enumerates the undominated fillings of the space
-beside it, least waste first, uses a filling as many times as the counts
-allow, and prunes a branch when its waste cannot beat the incumbent any
-more.  The sums that the shorter lengths can reach are kept as bit sets,
-so the enumeration never enters a branch that ends above the allowed
-waste.  It stops when the incumbent reaches the volume bound, or after a
-fixed number of nodes with the best solution so far.
+beside it, least waste first, and prunes a branch when its waste cannot beat
+the incumbent any more.  The sums that the shorter lengths can reach are kept
+as bit sets, so the enumeration never enters a branch that ends above the
+allowed waste.
+
+The search is repeated with ever wider branches until the incumbent reaches
+the volume bound.  The first rounds keep a few fillings per node and use one
+as many times as the counts allow, which packs millions of items in as many
+nodes as there are lengths; the last round keeps all undominated fillings and
+uses one at a time, so when it ends the solution is optimal.  Every round has
+a number of nodes to visit and of fillings to look at (``nodes``, ``ROUNDS``,
+``LOOK``), after which the best solution so far stands.
 """
 
 from __future__ import annotations
@@ -23,6 +29,11 @@ import numpy as np
 
 Filling = tuple[tuple[int, int], ...]
 
+#: Fillings looked at per node of a round, on average at most.
+LOOK = 64
+#: (fillings kept per node, use a filling as often as counts allow, share of ``nodes``) of each round.
+ROUNDS = ((4, True, 1.0), (16, True, 0.25), (64, True, 0.25), (None, False, 0.5))
+
 
 def bin_count(solution: list[tuple[Filling, int]]) -> int:
     return sum(times for _, times in solution)
@@ -56,6 +67,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
 def _dominated(chosen: dict[int, int], waste: int, free: list[int], left: np.ndarray) -> bool:
     """Could a chosen item, or two together, be exchanged for one larger free item that still fits?"""
     spare = [x for x in free if left[x] > chosen.get(x, 0)]
+    if spare and spare[0] <= waste:
+        return True   # there is room for one more
 
     def swap(old: int, equal: bool) -> bool:
         k = bisect_right(spare, old + waste)
@@ -65,8 +78,14 @@ def _dominated(chosen: dict[int, int], waste: int, free: list[int], left: np.nda
     return any(swap(x, False) for x in items) or any(swap(p, True) for p in pairs)
 
 
-def fillings(space: int, left: np.ndarray, waste_limit: int, keep: int = 4) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings of ``space`` from ``left[length]`` items as (waste, counts), least waste first."""
+def fillings(space: int, left: np.ndarray, waste_limit: int, keep: int | None = 4,
+             look: list[int] | None = None) -> list[tuple[int, dict[int, int]]]:
+    """Undominated fillings of ``space`` from ``left[length]`` items as (waste, counts), least waste first.
+
+    ``keep`` bounds how many; it also bounds how many are looked at per waste, and takes a filling without
+    waste as better than all with some.  None: all of them, as long as ``look`` (a counter that falls with
+    every filling looked at) is above 0.
+    """
     free = [int(x) for x in np.flatnonzero(left[:space + 1])]
     mask = (1 << (space + 1)) - 1
     reach = [1]   # reach[k]: bit set of the sums of the k shortest lengths
@@ -97,27 +116,41 @@ def fillings(space: int, left: np.ndarray, waste_limit: int, keep: int = 4) -> l
         if not reach[-1] >> (space - waste) & 1:
             continue
         for tried, chosen in enumerate(exact(space - waste, len(free), ())):
+            if look is not None:
+                look[0] -= 1
+                if look[0] < 0:
+                    return found
             filling = dict(chosen)
             if waste == 0 or not _dominated(filling, waste, free, left):
                 found.append((waste, filling))
-            if len(found) >= keep or tried >= 4 * keep:
+            if keep and (len(found) >= keep or tried >= 4 * keep):
                 break
-        if len(found) >= keep or (found and waste == 0):
-            break   # a filling without waste dominates those with some
+        if keep and (len(found) >= keep or (found and waste == 0)):
+            break
     return found
 
 
 def pack_counts(counts: dict[int, int], capacity: int, nodes: int | None = None) -> list[tuple[Filling, int]]:
     """Packing of ``counts[length]`` items of each length into as few bins as the search finds.
 
-    ``nodes`` bounds the search; by default it allows about two descents,
+    ``nodes`` bounds the first round; by default it allows about two descents,
     one node using up a length or more (at most 2 * capacity + 1000).
     """
     counts = {x: n for x, n in counts.items() if n}
     nodes = 2 * len(counts) + 1000 if nodes is None else nodes
-    total = sum(x * n for x, n in counts.items())
-    bound = -(-total // capacity)
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
     best = best_fit(counts, capacity)
+    for keep, bulk, share in ROUNDS:
+        if bin_count(best) <= bound:
+            break
+        best = _descend(counts, capacity, best, bound, int(nodes * share), keep, bulk)
+    return best
+
+
+def _descend(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], bound: int, nodes: int,
+             keep: int | None, bulk: bool) -> list[tuple[Filling, int]]:
+    """One round of the search: ``best``, or a better solution."""
+    total = sum(x * n for x, n in counts.items())
     start = np.zeros(capacity + 1, np.int64)
     for x, n in counts.items():
         start[x] = n
@@ -132,7 +165,8 @@ def pack_counts(counts: dict[int, int], capacity: int, nodes: int | None = None)
     # depth first; a state is what is left, the bins so far (as a chain), their waste and the branches not yet tried
     stack = [[start, None, 0, None]]
     bins = bin_count(best)
-    while stack and nodes > 0 and bins > bound:
+    look = [LOOK * nodes]
+    while stack and nodes > 0 and look[0] > 0 and bins > bound:
         state = stack[-1]
         left, chain, waste, branches = state
         allowed = (bins - 1) * capacity - total - waste   # waste that still beats the incumbent
@@ -147,7 +181,7 @@ def pack_counts(counts: dict[int, int], capacity: int, nodes: int | None = None)
         if branches is None:
             nodes -= 1
             left[top] -= 1
-            branches = state[3] = fillings(capacity - top, left, allowed)[::-1]
+            branches = state[3] = fillings(capacity - top, left, allowed, keep, look)[::-1]
             left[top] += 1
         if not branches:
             stack.pop()
@@ -155,7 +189,7 @@ def pack_counts(counts: dict[int, int], capacity: int, nodes: int | None = None)
         room, chosen = branches.pop()
         whole = dict(chosen)
         whole[top] = whole.get(top, 0) + 1
-        times = min(int(left[x]) // n for x, n in whole.items())
+        times = min(int(left[x]) // n for x, n in whole.items()) if bulk else 1
         if room:
             times = min(times, allowed // room)
         if times < 1:
