@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyrisk.llm import (centroids, chat, decontam, extract_html, hard_negatives, kd_shards, ngram_join, packing, pii,
                             quality, secret_scan, suffix_dedup, token_files)
-from supplyrisk.session import scratch_path
+from supplyrisk.plans import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +43,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
-    return token_files.round_trip(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), folder,
+    return token_files.round_trip(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "token-files"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -47,8 +47,14 @@ def shared_folder(path: str) -> str:
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, kind: str = "byte",
                       dtype: str = "<u2") -> DataFrame:
-    """Write the files and return their manifest: (part, path, n_docs, n_ids, base)."""
+    """Write the files and return their manifest: (part, path, n_docs, n_ids, base).
+
+    Every id of the vocabulary must fit ``dtype``.
+    """
     root = shared_folder(folder)
+    largest = max(encoder(vocabulary, kind).tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+    if largest > np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {largest} do not fit {np.dtype(dtype).name}; use a wider dtype")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
