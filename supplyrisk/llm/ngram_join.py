@@ -25,7 +25,9 @@ Steps, each one Spark job on tables in the shared folder:
 Defined cases: words are split at ASCII white space with A-Z folded; a text
 of one to four words is one shingle of them all; texts without words, and
 null texts, have the empty set and link with nothing; repeated rows fall
-into one class; an empty table gives an empty result.
+into one class, rows of one id and several texts into several; a null id
+takes the component of its equal texts and links nothing by itself; an empty
+table gives an empty result; very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -66,17 +68,19 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
 
 
 def set_classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, hi, lo): size and signature of every document's set."""
+    """(doc_id, h, n, hi, lo): size and signature of every document's set; ``h`` tells texts of one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(1))
             for lo, hi in chunks(texts):
                 _, who, keys = shingle_sets(texts[lo:hi])
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(lo, hi - lo), "n": pa.array(np.bincount(who, minlength=hi - lo)),
+                    "doc_id": batch.column(0).slice(lo, hi - lo), "h": batch.column(2).slice(lo, hi - lo),
+                    "n": pa.array(np.bincount(who, minlength=hi - lo)),
                     "hi": pa.array(keys["hi"].view("<i8")), "lo": pa.array(keys["lo"].view("<i8"))})
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n long, hi long, lo long")
+    text = F.col("text").cast("string")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return docs.mapInArrow(run, "doc_id long, h long, n long, hi long, lo long")
 
 
 def with_prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -158,21 +162,43 @@ def _labelled(prefix: DataFrame, comps: DataFrame) -> DataFrame:
     return materialize(rows.join(open_groups.select("token"), "token"), name="members")
 
 
-def join_components(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable by links."""
+def row_components(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, h, n, root, component_id) of every row: ``h`` is the text's hash, ``root`` the number of its
+    component (null without words or id), ``component_id`` the smallest doc_id in it."""
     classes = materialize(set_classes(documents), name="classes")
-    reps = classes.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
+    reps = classes.filter("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"))
+    # classes have a number of their own, as one id may have several texts
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), name="reps")
     shared = shared_values(documents, shingle_sets)
-    sizes = reps.select("hi", "lo", "n", "rep")
-    sets = materialize(with_prefixes(shared.join(sizes, ["hi", "lo"]), percent), name="sets")
-    comps = class_links(sets, percent)
-    named = reps.join(comps, reps["rep"] == comps["id"], "left") \
-                .select("hi", "lo", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    sets = with_prefixes(shared.join(reps.drop("doc"), ["hi", "lo"]), percent)
+    comps = materialize(class_links(materialize(sets, name="sets"), percent), name="linked") \
+        .select(F.col("id").alias("rep"), F.col("component_id").alias("root"))
+    smallest = reps.join(comps, "rep").groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = reps.join(comps.join(smallest, "root"), "rep", "left") \
+                .select("hi", "lo", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("component_id", "doc").alias("component_id"))
     return classes.join(named, ["hi", "lo", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "h", "n", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_components(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reachable by links."""
+    return row_components(documents, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest doc_id stays."""
-    lost = join_components(docs).filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """Pipeline stage: of each group of near copies one document stays, the one with the smallest (doc_id, text hash).
+
+    Rows are judged one by one, so an id with two texts loses only the text that is a copy; of equal rows of
+    that document one stays.  Rows without a word or with a null id are linked with nothing and stay.
+    """
+    rows = materialize(row_components(docs).filter("n > 0 and doc_id is not null"), name="row-components")
+    here = F.struct("doc_id", "h")
+    first = rows.groupBy("root").agg(F.min(here).alias("first"))
+    lost = rows.join(first, "root").filter(here != F.col("first")).select("doc_id", "h").distinct()
+    again = materialize(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+                            .join(lost, ["doc_id", "h"], "left_anti").select("doc_id", "h"), name="equal-rows")
+    hashed = docs.withColumn("h", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(lost, ["doc_id", "h"], "left_anti")
+    # equal rows are few: only they are shuffled to keep one of them
+    one = kept.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return kept.join(again, ["doc_id", "h"], "left_anti").unionByName(one).select("doc_id", "text", "lang", "source", "n_chars")
