@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from supplyrisk.llm import packing, queries, token_files
+from supplyrisk.llm import encoders, packing, queries, token_files
 from supplyrisk.llm.bin_completion import best_fit, bin_count, fillings, pack_counts
 from supplyrisk.llm.encoders import Encoder
 
@@ -31,6 +31,23 @@ def test_encoder_equals_the_tokenizer(kind):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == want, repr(t)
 
 
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_long_texts_are_cut_where_the_splitter_cuts(kind, monkeypatch):
+    monkeypatch.setattr(encoders, "STRETCH", 40)
+    monkeypatch.setattr(encoders, "CACHE_LIMIT", 50)
+    enc = Encoder(public_tokenizers.path(FILES[kind]), kind)
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "It's ", "\n", "  ", "é", "9 8", "\t", ".", " x", "ñ ", "DON'T", "²"]) for _ in range(rng.randint(1, 120)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_ids_must_fit_the_file_type(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.write_token_files(docs, str(tmp_path), public_tokenizers.path(FILES["byte"]), dtype="<u1")
+
+
 @pytest.mark.parametrize("kind", ["byte", "word"])
 def test_added_tokens_are_read_as_by_the_library(kind):
     path = public_tokenizers.path(FILES[kind])
@@ -85,6 +102,27 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert bin_count(solution) == _optimal(counts, capacity), (capacity, counts)
 
 
+def test_bin_completion_is_optimal_on_twenty_items():
+    """Item counts where best fit and the narrow rounds leave a bin too many."""
+    rng = random.Random(9)
+    harder = 0
+    for _ in range(60):
+        capacity = rng.choice([20, 50, 100])
+        counts = collections.Counter(rng.randint(capacity // 7, capacity // 2) for _ in range(rng.randint(15, 20)))
+        solution = pack_counts(dict(counts), capacity)
+        _valid(solution, counts, capacity)
+        assert bin_count(solution) == _optimal(counts, capacity), (capacity, counts)
+        harder += bin_count(best_fit(dict(counts), capacity)) > bin_count(solution)
+    assert harder
+
+
+def test_all_undominated_fillings():
+    left = np.zeros(11, int)
+    left[[9, 4, 3]] = [1, 1, 2]
+    assert fillings(10, left, 10) == [(0, {4: 1, 3: 2})]
+    assert fillings(10, left, 10, keep=None) == [(0, {4: 1, 3: 2}), (1, {9: 1})]   # a long item has no substitute
+
+
 def test_bin_completion_beats_best_fit():
     counts = {7: 2, 6: 2, 5: 2, 4: 2, 3: 4}   # volume 56
     assert bin_count(pack_counts(counts, 14)) == 4
