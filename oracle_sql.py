@@ -774,7 +774,12 @@ SELECT (SELECT count(*) FROM train_split) AS train_samples, count(*) AS test_sam
        true AS recall_fits, true AS precision_fits, true AS accuracy_fits, true AS auc_above_0_9
 FROM test_split""")
 
-SQL["ml_cv_recall"] = "SELECT CAST(5 AS BIGINT) AS n_folds, true AS recall_above_half, true AS std_in_range"
+SQL["ml_cv_recall"] = _with(FEATURES, """,
+folds AS (SELECT (facility_id * 6 + length(product_id)) % 5 AS fold, stockout_next_14d FROM mlds)
+SELECT CAST(fold AS INTEGER) AS fold, (SELECT count(*) FROM folds) - count(*) AS train_rows, count(*) AS test_rows,
+       CAST(sum(stockout_next_14d) AS BIGINT) AS positives, CAST(count(*) - sum(stockout_next_14d) AS BIGINT) AS negatives,
+       true AS recall_fits, true AS recall_above_half, true AS better_than_chance
+FROM folds GROUP BY fold""")
 
 SQL["json_records"] = _with(CURRENT, f"""
 SELECT facility_id, product_id, closing_stock, {r("days_of_supply", 1)} AS days_of_supply,
@@ -848,6 +853,84 @@ FROM current WHERE facility_id = 3 AND risk_level = 'Low' AND critical_item = 1
 ORDER BY risk_score DESC, facility_id, product_id LIMIT 100""")
 
 
+# the long-series form must give the rows of the plain one
+for _key in ("inv_rollforward", "inv_rollforward_brand", "feat_rolling_4w", "feat_lags", "feat_dos_rolling", "label_next_14d"):
+    SQL[f"{_key}_blocks"] = SQL[_key]
+
+
+SQL["join_po_delivery_bucketed"] = SQL["join_po_delivery"]
+
+_CORRECTED = PO_DATES + """,
+corrected AS (
+  SELECT * REPLACE (CASE WHEN order_key % 10 = 0 THEN CAST(0 AS BIGINT) ELSE quantity_received END AS quantity_received,
+                    fulfilled AND order_key % 10 <> 0 AS fulfilled,
+                    CASE WHEN order_key % 50 = 0 THEN CAST(order_date + INTERVAL 1 MONTH AS DATE) ELSE order_date END AS order_date),
+         CASE WHEN order_key % 10 = 0 THEN 2 ELSE 1 END AS version
+  FROM po_dates
+)"""
+
+SQL["star_incremental"] = _with(_CORRECTED, f"SELECT {_DELIVERY}, CAST(version AS INTEGER) AS version FROM corrected")
+
+SQL["star_incremental_tables"] = _with(_CORRECTED, """
+SELECT 'dim_facility' AS table_name, (SELECT count(DISTINCT facility_id) FROM po) AS n_rows
+UNION ALL SELECT 'dim_product', (SELECT count(DISTINCT product_id) FROM po)
+UNION ALL SELECT 'dim_supplier', (SELECT count(DISTINCT supplier_id) FROM po)
+UNION ALL SELECT 'dim_date', (SELECT count(*) FROM (SELECT order_date FROM po UNION SELECT order_date FROM corrected))
+UNION ALL SELECT 'fact_procurement', (SELECT count(*) FROM po)
+UNION ALL SELECT 'fact_delivery', (SELECT count(*) FROM po)""")
+
+SQL["risk_current_incremental"] = SQL["risk_current"].replace("FROM imputed GROUP BY", "FROM mlds GROUP BY")
+
+SQL["risk_search_index"] = SQL["risk_search"]
+
+SQL["part_search_index"] = """
+SELECT t.text, p.p_partkey AS part_id, p.name
+FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS name FROM part) p
+JOIN (VALUES ('Bolt brand#1'), ('RING'), ('zzz'), ('le')) t(text) ON contains(lower(p.name), lower(t.text))"""
+
+_CODES = """codes AS (
+  SELECT value, old, CASE WHEN old THEN 0 ELSE (SELECT count(*) FROM v WHERE old) END
+                + row_number() OVER (PARTITION BY old ORDER BY value) - 1 AS code
+  FROM v
+)"""
+_CODES = """v AS (
+  SELECT p_brand || '|' || p_type AS value, bool_or(p_partkey % 3 = 0 AND p_partkey < 600) AS old FROM part GROUP BY 1
+),
+""" + _CODES
+
+SQL["dictionary_codes"] = _with(_CODES, "SELECT value, CAST(code AS BIGINT) AS code FROM codes")
+
+SQL["dictionary_rows"] = _with(_CODES, """
+SELECT p.p_partkey, c.value AS product_id, CAST(CASE WHEN c.old THEN c.code ELSE -1 END AS BIGINT) AS code_then,
+       CAST(c.code AS BIGINT) AS code
+FROM part p JOIN codes c ON c.value = p.p_brand || '|' || p.p_type""")
+
+SQL["median_sketches"] = _with(FEATURES, "\nUNION ALL\n".join(f"""
+SELECT CAST(year(snapshot_date) AS INTEGER) AS year, '{c}' AS column_name, count({c}) AS n, count({c}) AS n_rows, true AS within_bound
+FROM mlds GROUP BY 1""" for c in ("avg_supplier_reliability", "avg_delay_days", "fulfillment_rate")))
+
+_LINES = ORDERS_TEXT + """,
+l AS (
+  SELECT CAST(order_key AS BIGINT) AS k, customer_key, status, order_date, priority,
+         CAST(order_key AS BIGINT) % 41 = 0 AS malformed, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS parsed,
+         order_key || ',' || customer_key || ',' || status || ',' || CASE WHEN CAST(order_key AS BIGINT) % 41 = 0 THEN '' ELSE '1.5,' END
+           || order_date || ',' || coalesce(priority, '') AS raw_line
+  FROM t
+)"""
+
+SQL["ingest_quarantine"] = _with(_LINES, """
+SELECT k AS order_key, raw_line,
+       CASE WHEN malformed THEN 'malformed line'
+            ELSE concat_ws('; ', CASE WHEN parsed IS NULL THEN 'order_date: not a date' END,
+                           CASE WHEN priority IS NULL THEN 'priority is given' END) END AS reasons
+FROM l WHERE malformed OR parsed IS NULL OR priority IS NULL""")
+
+SQL["ingest_quarantine_clean"] = _with(_LINES, """
+SELECT k AS order_key, CAST(customer_key AS BIGINT) AS customer_key, status, CAST(1.5 AS DOUBLE) AS total_price,
+       parsed AS order_date, priority
+FROM l WHERE NOT malformed AND parsed IS NOT NULL AND priority IS NOT NULL""")
+
+
 def _bigint_count_if(sql: str) -> str:
     """DuckDB's count_if is HUGEINT; wrap every call in a BIGINT cast."""
     out, i, tag = [], 0, "count_if("

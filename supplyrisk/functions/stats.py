@@ -24,11 +24,13 @@ from supplyrisk.plans.materialize import materialize
 
 def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
                 buckets: int | None = None, prefix: str = "cum_", rank_col: str | None = "idx",
-                partition_by: Sequence[str] = ()) -> DataFrame:
+                partition_by: Sequence[str] = (), next_values: bool = False) -> DataFrame:
     """Inclusive running sums of ``values`` along ``order`` over the whole frame
     (or within each ``partition_by`` group).
 
-    ``rank_col`` gets the 0-based position in the order.
+    ``rank_col`` gets the 0-based position in the order.  ``next_values``
+    adds ``next_<value>``, the value of the row that follows (NULL after the
+    last); the row before needs no column, as its sum is the sum less the value.
     """
     values = list(values)
     part = list(partition_by)
@@ -42,13 +44,17 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     x = materialize(df.repartitionByRange(n_b, *[F.col(c).asc() for c in part], ordering)
                       .withColumn("_b", F.spark_partition_id()))
     tot = (x.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values],
-                                     F.count(F.lit(1)).alias("_t_n")))
+                                     F.count(F.lit(1)).alias("_t_n"),
+                                     *[(F.max_by if descending else F.min_by)(v, order).alias(f"_f_{v}") for v in values if next_values]))
     bw = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*part, "_b",
                       *[F.coalesce(F.sum(f"_t_{v}").over(bw), F.lit(0)).alias(f"_o_{v}") for v in values],
-                      F.coalesce(F.sum("_t_n").over(bw), F.lit(0)).alias("_o_n"))
+                      F.coalesce(F.sum("_t_n").over(bw), F.lit(0)).alias("_o_n"),
+                      *[F.lead(f"_f_{v}").over(Window.partitionBy(*part).orderBy("_b")).alias(f"_x_{v}") for v in values if next_values])
     iw = Window.partitionBy(*part, "_b").orderBy(ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = x.withColumns({f"_i_{v}": F.sum(v).over(iw) for v in values})
+    if next_values:
+        inner = inner.withColumns({f"_l_{v}": F.lead(v).over(Window.partitionBy(*part, "_b").orderBy(ordering)) for v in values})
     if rank_col:
         inner = inner.withColumn("_i_n", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(ordering)))
     # Without groups ``offs`` has one row per bucket, a size set by the bucket count; with groups it
@@ -58,6 +64,10 @@ def prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bo
     if rank_col:
         cols[rank_col] = F.col("_o_n") + F.col("_i_n") - F.lit(1)
     drop = ["_b", *[f"_i_{v}" for v in values], *[f"_o_{v}" for v in values], "_o_n"]
+    if next_values:
+        # the last row of a bucket is followed by the first of the next one
+        cols.update({f"next_{v}": F.coalesce(f"_l_{v}", f"_x_{v}") for v in values})
+        drop += [f"_{a}_{v}" for a in "lx" for v in values]
     if rank_col:
         drop.append("_i_n")
     return j.withColumns(cols).drop(*drop)

@@ -21,12 +21,13 @@ def _i(c: str) -> Column:
 
 
 def score_table(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_score",
-                buckets: int | None = None) -> DataFrame:
-    """score, pos, neg, tp, fp (counts at threshold >= score), idx (0 = top)."""
+                buckets: int | None = None, next_values: bool = False) -> DataFrame:
+    """score, pos, neg, tp, fp (counts at threshold >= score), idx (0 = top); with ``next_values`` also the
+    counts of the next lower score."""
     st = (df.groupBy(F.col(score).alias("score"))
             .agg(F.sum(_i(label)).cast("bigint").alias("pos"),
                  F.sum(F.lit(1) - _i(label)).cast("bigint").alias("neg")))
-    out = prefix_sums(st, "score", ["pos", "neg"], descending=True, buckets=buckets)
+    out = prefix_sums(st, "score", ["pos", "neg"], descending=True, buckets=buckets, next_values=next_values)
     return out.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
 
 
@@ -103,13 +104,6 @@ def report(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_s
     return rows.select("class", rnd("precision"), rnd("recall"), rnd("f1_score"), "support")
 
 
-def _neighbours(st: DataFrame) -> DataFrame:
-    """Attach previous / next (tp, fp) by position: equi-joins on idx +- 1 (``st`` is a written table)."""
-    prev = st.select((F.col("idx") + 1).alias("idx"), F.col("tp").alias("tp_prev"), F.col("fp").alias("fp_prev"))
-    nxt = st.select((F.col("idx") - 1).alias("idx"), F.col("tp").alias("tp_next"), F.col("fp").alias("fp_next"))
-    return st.join(prev, "idx", "left").join(nxt, "idx", "left")
-
-
 def roc_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "risk_score",
                drop_intermediate: bool = True) -> DataFrame:
     """ROC curve: (fpr, tpr, threshold), starting at (0, 0, +inf).
@@ -117,15 +111,15 @@ def roc_points(df: DataFrame, label: str = "stockout_next_14d", score: str = "ri
     With ``drop_intermediate`` a point is kept when the curve bends there
     (non-zero second difference in fp or tp) or it is the first or last.
     """
-    st = materialize(score_table(df, label, score))   # six branches read it
+    st = materialize(score_table(df, label, score, next_values=drop_intermediate))   # four branches read it
     P = st.select(F.max("tp")).scalar()
     N = st.select(F.max("fp")).scalar()
-    nb = _neighbours(st)
+    kept = st
     if drop_intermediate:
-        bend = ((F.col("fp_next") - F.col("fp")) != (F.col("fp") - F.col("fp_prev"))) | \
-               ((F.col("tp_next") - F.col("tp")) != (F.col("tp") - F.col("tp_prev")))
-        nb = nb.where(F.col("tp_prev").isNull() | F.col("tp_next").isNull() | bend)
-    pts = nb.select(F.col("fp").alias("fpc"), F.col("tp").alias("tpc"), F.col("score").alias("threshold"))
+        # steps before and after a point: its own counts and the next score's
+        bend = (F.col("next_neg") != F.col("neg")) | (F.col("next_pos") != F.col("pos"))
+        kept = st.where((F.col("idx") == 0) | F.col("next_pos").isNull() | bend)
+    pts = kept.select(F.col("fp").alias("fpc"), F.col("tp").alias("tpc"), F.col("score").alias("threshold"))
     # the (0, 0, +inf) start point: a one-row aggregate of constants
     start = st.agg(F.max(F.lit(0).cast("bigint")).alias("fpc"), F.max(F.lit(0).cast("bigint")).alias("tpc"),
                    F.max(F.lit(float("inf"))).alias("threshold"))

@@ -50,7 +50,8 @@ def reconciliation(flows: DataFrame, values: Sequence[str] = ("received", "consu
 
 def dense_calendar(flows: DataFrame, keys: Sequence[str], week: str = "week",
                    values: Sequence[str] = FLOW_COLS, step_days: int = 7,
-                   num_partitions: int | None = None, bounds: tuple[Column, Column] | None = None) -> DataFrame:
+                   num_partitions: int | None = None, bounds: tuple[Column, Column] | None = None,
+                   entities: DataFrame | None = None) -> DataFrame:
     """Every entity x every week between the bounds; missing flows are 0.
 
     The calendar is generated per entity with ``sequence`` (no join with a
@@ -58,13 +59,14 @@ def dense_calendar(flows: DataFrame, keys: Sequence[str], week: str = "week",
     are the first and last week; by default those with an order, so that
     consumption after the last order week stays outside, as a left join onto
     the order calendar would leave it.  ``all_weeks(flows)`` keeps every
-    flow, ``reconciliation`` totals what any bounds leave out.
+    flow, ``reconciliation`` totals what any bounds leave out.  ``entities``
+    (distinct keys) and ``bounds`` save reading ``flows`` for them.
     """
     start, end = bounds or calendar_bounds(flows, week)
     keys = list(keys)
     step = F.expr(f"INTERVAL {int(step_days)} DAYS")
     types = dict(flows.dtypes)
-    grid = (flows.select(*keys).distinct()
+    grid = ((flows.select(*keys).distinct() if entities is None else entities)
                  .select(*keys, F.explode(F.sequence(start, end, step)).alias(week),
                          *[F.lit(0).cast(types[v]).alias(v) for v in values]))
     sparse = flows.where(F.col(week).between(start, end)).select(*keys, week, *values)

@@ -8,6 +8,10 @@ file (min/max statistics let the parquet reader skip row groups: the
 file-format stand-in for the indexes on facility, SKU, date, supplier).
 Range partitioning before the write keeps the number of files per month
 bounded without sending a whole month to one task.
+
+``build`` writes whole tables from one pass over the order lines;
+``load`` brings a change set into tables that are there already and touches
+only the months concerned.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ import os
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyrisk.functions.scalar import month_start
+from supplyrisk.plans import files
+from supplyrisk.plans.materialize import materialize
 
 
 def date_key(c) -> "F.Column":
@@ -33,73 +39,167 @@ def dim_date(po: DataFrame) -> DataFrame:
                     F.quarter("date").alias("quarter"), F.year("date").alias("year"))
 
 
-def dims(po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame) -> dict[str, DataFrame]:
-    """Dimensions restricted to members the facts use (``dropDuplicates`` on the key)."""
-    used_f = po.select("facility_id").dropDuplicates()
-    used_p = po.select("product_id").dropDuplicates()
-    used_s = po.select("supplier_id").dropDuplicates()
-    return {
-        "dim_facility": facilities.join(used_f, "facility_id", "left_semi"),
-        "dim_product": products.join(used_p, "product_id", "left_semi"),
-        "dim_supplier": suppliers.join(used_s, "supplier_id", "left_semi"),
-        "dim_date": dim_date(po),
-    }
-
-
-def facts(po: DataFrame, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
-    proc = po.select("order_id", "line_number", "facility_id", "product_id", "supplier_id",
-                     date_key("order_date").alias("date_key"), "quantity_ordered", "unit_cost_total",
-                     month_start("order_date").alias("order_month"))
-    deliv = po.select("order_id", "line_number", "facility_id", "product_id", "supplier_id",
-                      date_key("expected_delivery").alias("expected_date_key"),
-                      date_key("actual_delivery").alias("actual_date_key"), "quantity_received",
-                      "delay_days", "fulfilled", month_start("order_date").alias("order_month"))
-    out = {"fact_procurement": proc, "fact_delivery": deliv}
-    if inventory is not None:
-        out["fact_inventory"] = inventory.withColumn("snapshot_month", month_start("snapshot_date"))
-    return out
+def _used(dim: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Dimension members that the lines use."""
+    return dim.join(lines.select(key).distinct(), key, "left_semi")
+
+
+_DIMS = {
+    "dim_facility": lambda lines, facilities, products, suppliers: _used(facilities, lines, "facility_id"),
+    "dim_product": lambda lines, facilities, products, suppliers: _used(products, lines, "product_id"),
+    "dim_supplier": lambda lines, facilities, products, suppliers: _used(suppliers, lines, "supplier_id"),
+    "dim_date": lambda lines, facilities, products, suppliers: dim_date(lines),
+}
+
+
+def fact_procurement(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.select("order_id", "line_number", "facility_id", "product_id", "supplier_id",
+                        date_key("order_date").alias("date_key"), "quantity_ordered", "unit_cost_total", *more,
+                        month_start("order_date").alias("order_month"))
+
+
+def fact_delivery(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.select("order_id", "line_number", "facility_id", "product_id", "supplier_id",
+                        date_key("expected_delivery").alias("expected_date_key"),
+                        date_key("actual_delivery").alias("actual_date_key"), "quantity_received",
+                        "delay_days", "fulfilled", *more, month_start("order_date").alias("order_month"))
+
+
+_FACTS = {"fact_procurement": fact_procurement, "fact_delivery": fact_delivery}
 
 
 def write_fact(df: DataFrame, path: str, month_col: str, tail: list[str] | None = None,
-               num_partitions: int | None = None, mode: str = "overwrite") -> str:
+               num_partitions: int | None = None, mode: str = "overwrite", months_only: bool = False) -> str:
     """Month-partitioned parquet, sorted by (facility, product) inside files.
 
     The range key ends with ``tail`` (a line id or a date), so the range
     bounds can cut inside one (month, facility, product) group: a group
     holding a large share of the rows is written by several tasks.
+    ``months_only`` replaces the months of ``df`` and leaves the others.
     """
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     key = [month_col, "facility_id", "product_id", *(tail or [])]
     (df.repartitionByRange(int(n), *key)
        .sortWithinPartitions(*key)
-       .write.mode(mode).partitionBy(month_col).parquet(path))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic" if months_only else "static")
+       .partitionBy(month_col).parquet(path))
     return path
 
 
 TABLES = ("dim_facility", "dim_product", "dim_supplier", "dim_date",
           "fact_procurement", "fact_delivery", "fact_inventory")
 
+# Columns of the order lines that each table needs.
+_KEY_COLUMNS = {"dim_facility": ("facility_id",), "dim_product": ("product_id",), "dim_supplier": ("supplier_id",),
+                "dim_date": ("order_date",)}
+_LINE = ("order_id", "line_number", "facility_id", "product_id", "supplier_id", "order_date")
+_LINE_COLUMNS = {**_KEY_COLUMNS, "fact_procurement": (*_LINE, "quantity_ordered", "unit_cost_total"),
+                 "fact_delivery": (*_LINE, "expected_delivery", "actual_delivery", "quantity_received", "delay_days", "fulfilled")}
+_TAIL = {"fact_procurement": ("order_month", ["order_id", "line_number"]),
+         "fact_delivery": ("order_month", ["order_id", "line_number"]),
+         "fact_inventory": ("snapshot_month", ["snapshot_date"])}
+
+
+def _lines(po: DataFrame, tables: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """The columns of the order lines that ``tables`` need, written once when several tables read them.
+
+    ``po`` joins the lines with orders, customers and parts; facts, used
+    members and dates all come from these columns, so the joins run once.
+    """
+    used = [t for t in tables if t in _LINE_COLUMNS]
+    cols = dict.fromkeys([*(c for t in used for c in _LINE_COLUMNS[t]), *more])
+    out = po.select(*cols)
+    return materialize(out, name="order-lines") if len(used) > 1 else out
+
 
 def build(po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame,
           inventory: DataFrame | None, root: str, tables: Sequence[str] = TABLES) -> dict[str, str]:
-    """Write ``tables`` under ``root``; returns table -> path.
+    """Write ``tables`` under ``root``; returns table -> path.  ``fact_inventory`` needs ``inventory``."""
+    unknown = [t for t in tables if t not in TABLES or (t == "fact_inventory" and inventory is None)]
+    if unknown:
+        raise ValueError(f"no source given for {', '.join(unknown)}")
+    lines = _lines(po, tables) if any(t in _LINE_COLUMNS for t in tables) else None
+    paths = {name: os.path.join(root, name) for name in tables}
+    for name, path in paths.items():
+        if name == "fact_inventory":
+            month, tail = _TAIL[name]
+            write_fact(inventory.withColumn(month, month_start("snapshot_date")), path, month, tail)
+        elif name in _TAIL:
+            write_fact(_FACTS[name](lines), path, *_TAIL[name])
+        else:
+            _DIMS[name](lines, facilities, products, suppliers).write.mode("overwrite").parquet(path)
+    return paths
+
+
+# ---- incremental load -----------------------------------------------------------
+
+def merge_fact(spark: SparkSession, changes: DataFrame, path: str, month_col: str, tail: list[str],
+               key: str = "order_id", version: str = "version", key_fixes_month: bool = False) -> list:
+    """Bring a change set into a month-partitioned fact table; returns the months rewritten.
 
-    Each write reads only the columns its table needs, so nothing wide is
-    written in between.  ``fact_inventory`` needs ``inventory``.
+    The unit of change is a whole order: of every ``key`` the rows of its
+    highest ``version`` stay, and rows of an equal version replace those
+    there.  So a set may be loaded again, after a failure too, and sets may
+    come in any order.  Only the months of the changed rows are read and
+    replaced, with those that hold older rows of the same orders, which may
+    lie elsewhere: finding them reads the key and version columns of the table, unless
+    ``key_fixes_month`` says that an order never changes its month.
     """
-    parts = {**dims(po, facilities, products, suppliers), **facts(po, inventory)}
-    paths = {}
-    for name in tables:
-        if name not in parts:
-            raise ValueError(f"no source given for {name}")
-        path = os.path.join(root, name)
-        if name == "fact_inventory":
-            write_fact(parts[name], path, "snapshot_month", ["snapshot_date"])
-        elif name.startswith("fact_"):
-            write_fact(parts[name], path, "order_month", ["order_id", "line_number"])
+    newest = changes.groupBy(F.col(key).alias("_k")).agg(F.max(version).alias("_newest"))
+    latest = changes.join(newest, F.col(key) == F.col("_k")).where(F.col(version) == F.col("_newest")).drop("_k", "_newest")
+    if not files.exists(spark, path):
+        write_fact(latest, path, month_col, tail)
+        return [r[0] for r in latest.select(month_col).distinct().collect()]
+    latest, newest = materialize(latest, name="changes"), materialize(newest, name="versions")
+    old = spark.read.parquet(path)
+    held = old.select(F.col(key).alias("_k"), version, month_col)
+    if key_fixes_month:
+        held = held.where(F.col(month_col).isin(_months(latest, month_col)))
+    held = materialize(held.join(newest, "_k", "left_semi").groupBy("_k", month_col).agg(F.max(version).alias("_held")), name="held")
+    months = sorted({*_months(latest, month_col), *_months(held, month_col)})   # bounded by the calendar
+    stay = old.where(F.col(month_col).isin(months)).join(newest, F.col(key) == F.col("_k"), "left") \
+              .where(F.col("_newest").isNull() | (F.col(version) > F.col("_newest"))).select(*old.columns)
+    known = held.groupBy("_k").agg(F.max("_held").alias("_held"))
+    come = latest.join(known, F.col(key) == F.col("_k"), "left") \
+                 .where(F.col("_held").isNull() | (F.col(version) >= F.col("_held"))).select(*old.columns)
+    # the table's own months are read here, so the result is written aside before they are replaced
+    merged = materialize(stay.unionByName(come), name="merged")
+    left = _months(merged, month_col)
+    write_fact(merged, path, month_col, tail, months_only=True)
+    for m in months:
+        if m not in left:   # all of its rows moved to other months
+            files.delete(spark, os.path.join(path, f"{month_col}={m}"))
+    return months
+
+
+def _months(df: DataFrame, month_col: str) -> list:
+    """Distinct months, bounded by the calendar."""
+    return [r[0] for r in df.select(month_col).distinct().collect()]
+
+
+def append_members(spark: SparkSession, members: DataFrame, path: str, key: str) -> None:
+    """Add the members that a dimension table does not have yet."""
+    members = members.dropDuplicates([key])
+    if files.exists(spark, path):
+        members = materialize(members.join(spark.read.parquet(path).select(key), key, "left_anti"), name="members")
+    members.write.mode("append").parquet(path)
+
+
+def load(spark: SparkSession, po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame, root: str,
+         version: str = "version", key_fixes_month: bool = False) -> dict[str, str]:
+    """Bring a change set of order lines into the star schema under ``root``: the two facts with ``version``
+    (``merge_fact``), and the members and dates that it is the first to use.  Loading a set again, or sets
+    in another order, ends in the same tables."""
+    tables = [t for t in TABLES if t in _LINE_COLUMNS]
+    lines = _lines(po, tables, [version])
+    paths = {name: os.path.join(root, name) for name in tables}
+    for name, path in paths.items():
+        if name in _TAIL:
+            changes = _FACTS[name](lines, version)
+            merge_fact(spark, changes, path, *_TAIL[name], version=version, key_fixes_month=key_fixes_month)
         else:
-            parts[name].write.mode("overwrite").parquet(path)
-        paths[name] = path
+            key = "date_key" if name == "dim_date" else _KEY_COLUMNS[name][0]
+            append_members(spark, _DIMS[name](lines, facilities, products, suppliers), path, key)
     return paths
 
 
@@ -108,3 +208,17 @@ def procurement_with_delivery(procurement: DataFrame, delivery: DataFrame) -> Da
     keys = ["order_id", "line_number"]
     cols = ["expected_date_key", "actual_date_key", "quantity_received", "delay_days", "fulfilled"]
     return procurement.join(delivery.select(*keys, *cols), keys)
+
+
+# ---- facts stored for the join ---------------------------------------------------
+
+def save_bucketed(df: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str] = ("order_id", "line_number")) -> str:
+    """Write a fact as the catalog table ``table``, bucketed by its line keys and sorted by them inside the buckets.
+
+    Two facts stored alike join on the keys without a shuffle of either (``procurement_with_delivery`` on
+    ``spark.table``); Spark still sorts inside a bucket, which finds the rows in order.  ``buckets`` is a property of the stored tables, sized to their data (100-200 MB each).
+    One task writes each bucket, so a bucket is one file.
+    """
+    df.repartition(buckets, *keys).write.mode("overwrite").option("path", path) \
+      .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return table

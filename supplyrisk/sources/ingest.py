@@ -98,6 +98,57 @@ def typed(df: DataFrame, types: Mapping[str, T.DataType], date_format: str = "yy
     return df.withColumns({**conv, errors_col: errs})
 
 
+def read_lines(spark: SparkSession, path: str, columns: Sequence[str], raw_col: str = "raw_line") -> DataFrame:
+    """Header CSV as text columns with each row's own line, malformed lines included.
+
+    Lines are read as text and parsed one by one, so a quoted line break
+    ends its row here; ``read_csv`` reads those.  A line with more or fewer
+    cells than the header has its columns NULL.
+    """
+    header = csv_header(spark, path)
+    schema = _by_name(header, T.StructType([T.StructField(c, T.StringType()) for c in columns]), path)
+    fields = ", ".join(f"`{c}` string" for c in schema.fieldNames())
+    cells = F.from_csv(F.col(raw_col), f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    first = spark.read.text(path).first()   # the header line, of every file
+    lines = spark.read.text(path).withColumnRenamed("value", raw_col)
+    lines = lines.where(F.col(raw_col) != F.lit(first[0] if first else "")) if first else lines
+    parsed = lines.withColumn("_c", cells)
+    ok = F.col("_c._bad").isNull()
+    return parsed.select(*[F.when(ok, F.col(f"_c.`{c}`")).alias(c) for c in columns], raw_col, (~ok).alias("is_malformed"))
+
+
+def reasons(types: Mapping[str, T.DataType], checks: Mapping[str, Column] | None = None, date_format: str = "yyyy-M-d",
+            malformed: str | None = "is_malformed") -> Column:
+    """Why a text row is rejected, as an array of names: a malformed line, cells that are not of their type,
+    and checks (conditions on the converted columns, NULL counts as failing) that do not hold."""
+    found = [F.when(F.col(malformed), F.lit("malformed line"))] if malformed else []
+    ok = ~F.col(malformed) if malformed else F.lit(True)
+    for c, t in types.items():
+        bad = F.col(c).isNotNull() & _convert(F.col(c), t, date_format).isNull()
+        found.append(F.when(ok & bad, F.lit(f"{c}: not a {t.simpleString()}")))
+    for name, check in (checks or {}).items():
+        found.append(F.when(ok & ~F.coalesce(check, F.lit(False)), F.lit(name)))
+    return F.array_compact(F.array(*found))
+
+
+def quarantine(df: DataFrame, types: Mapping[str, T.DataType], path: str, checks: Mapping[str, Column] | None = None,
+               date_format: str = "yyyy-M-d", raw_col: str = "raw_line",
+               malformed: str | None = "is_malformed") -> tuple[DataFrame, DataFrame]:
+    """Split text rows into (clean, rejected), written in one pass under ``path``.
+
+    Clean rows have ``types``; rejected ones keep their text columns, their
+    raw line and ``reasons``.  Every input row is in exactly one of them.
+    ``checks`` are conditions on the text columns (cast them as needed).
+    """
+    spark = df.sparkSession
+    tagged = df.withColumn("reasons", reasons(types, checks, date_format, malformed))
+    tagged.withColumn("is_rejected", F.size("reasons") > 0).write.mode("overwrite").partitionBy("is_rejected").parquet(path)
+    both = spark.read.schema(T.StructType(tagged.schema.fields + [T.StructField("is_rejected", T.BooleanType())])).parquet(path)
+    drop = [c for c in ("is_rejected", malformed) if c]
+    clean = both.where(~F.col("is_rejected")).withColumns({c: _convert(F.col(c), t, date_format) for c, t in types.items()})
+    return clean.drop(*drop, "reasons", raw_col), both.where("is_rejected").drop(*drop)
+
+
 def profile(df: DataFrame, source: str) -> DataFrame:
     """Shape and NULL count per column in one pass, long form:
     (source, column_name, n_rows, n_nulls)."""

@@ -259,9 +259,17 @@ def flow_table(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_i
 
 def dense_flows(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
                 grain: str = "type", daily: DataFrame | None = None) -> DataFrame:
-    """Zero-filled weekly receipts and consumption per (facility, product)."""
+    """Zero-filled weekly receipts and consumption per (facility, product).
+
+    Bounds and entities come from the daily table, which is written, so the weekly sums are read once and
+    need no table of their own.
+    """
     from supplyrisk.operators import panel as P
-    return P.dense_calendar(flow_table(spark, sf_dir, keys, grain, daily), list(keys), values=FLOW_VALUES)
+    daily = daily_table(spark, sf_dir, keys, grain) if daily is None else daily
+    ordered = daily.where(F.col("n_orders") > 0)
+    bounds = tuple(ordered.select(week_start(f("day"))).scalar() for f in (F.min, F.max))
+    return P.dense_calendar(weekly(daily, keys), list(keys), values=FLOW_VALUES, bounds=bounds,
+                            entities=daily.select(*keys).distinct())
 
 
 def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"),
@@ -279,11 +287,26 @@ def inventory_panel(spark: SparkSession, sf_dir: str, keys=("facility_id", "prod
     )
 
 
-def ml_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Weeks per time block of the long-series form, small enough that every test series has several blocks.
+BLOCK_ROWS = 52
+
+
+def inventory_blocks(spark: SparkSession, sf_dir: str, keys=("facility_id", "product_id"), grain: str = "type") -> DataFrame:
+    """``inventory_panel`` with no task holding a whole series (``operators.blocks``), with ``series_index``."""
+    from supplyrisk.operators import blocks as B
+
+    flows = flow_table(spark, sf_dir, keys, grain)
+    dense = B.dense_calendar(flows, list(keys), BLOCK_ROWS, values=FLOW_VALUES)
+    return B.inventory(dense, list(keys), opening_weeks=opening_weeks(F.col("facility_id")), safety_weeks=2,
+                       critical=F.element_at(F.split("product_id", "[|]"), -1).isin(CRITICAL_TYPES),
+                       rows_per_block=BLOCK_ROWS, blocks_per_group=4)
+
+
+def ml_dataset(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Inventory panel + rolling features + supplier stats + beds + label."""
     from supplyrisk.operators import dataset
 
-    inv = inventory_panel(spark, sf_dir, passthrough=("n_orders", "sum_reliability", "sum_delay", "n_fulfilled"))
+    inv = inventory_panel(spark, sf_dir, passthrough=("n_orders", "sum_reliability", "sum_delay", "n_fulfilled"), daily=daily)
     return dataset.build(inv, facilities(spark, sf_dir))
 
 
@@ -307,21 +330,34 @@ VALIDATION_FROM = "1999-01-01"
 TEST_CUTOFF = "2000-01-01"
 
 
+def supplier_medians(daily: DataFrame) -> dict:
+    """Medians of the supplier statistics over the weeks with an order, as scalar Columns.
+
+    They are the ratios of weekly sums, so the weekly sums are enough: no window of the panel runs for them.
+    """
+    from supplyrisk.functions.stats import exact_quantiles
+    from supplyrisk.operators import dataset, risk
+
+    weeks = dataset.supplier_ratios(weekly(daily).where(F.col("n_orders") > 0))
+    return exact_quantiles(weeks, risk.IMPUTE_COLUMNS, 0.5)
+
+
+def imputed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model table with the supplier statistics imputed by their medians."""
+    daily = daily_table(spark, sf_dir)
+    return ml_dataset(spark, sf_dir, daily).withColumns({c: F.coalesce(F.col(c), m) for c, m in supplier_medians(daily).items()})
+
+
 def current_scored(spark: SparkSession, sf_dir: str, impute: bool = True) -> DataFrame:
     """Current state per (facility, product) with score and band, written once.
 
     As the dashboard does: impute the supplier statistics with their
     medians, take the last non-NULL value per column, score it, band it.
-    The medians need three columns of the history only; what is written is
-    the latest row per series.
+    What is written is the latest row per series.
     """
-    from supplyrisk.functions.stats import exact_quantiles
     from supplyrisk.operators import risk
 
-    ds = ml_dataset(spark, sf_dir)
-    if impute:
-        meds = exact_quantiles(ds.select(*risk.IMPUTE_COLUMNS), risk.IMPUTE_COLUMNS, 0.5)
-        ds = ds.withColumns({c: F.coalesce(F.col(c), m) for c, m in meds.items()})
+    ds = imputed_dataset(spark, sf_dir) if impute else ml_dataset(spark, sf_dir)
     cur = risk.current_state(ds).withColumn("critical_item", F.col("critical_item").cast("int"))
     return materialize(risk.with_level(cur.withColumn("risk_score", risk.formula_score())), name="current")
 

@@ -36,7 +36,8 @@ KEYS = ["supplier_delays", "inv_rollforward", "inv_rollforward_brand", "inv_flow
         "eval_tune_threshold", "split_three_way", "split_fractions", "impute_median", "encode_rows", "ingest_typed",
         "ingest_profile", "src_csv_dates", "src_csv_inventory", "validate_ri", "validate_rules", "star_tables",
         "star_fact_po", "star_fact_delivery", "join_po_delivery", "sink_json_metadata", "src_json_dims", "json_records",
-        "json_alerts", "scores_export", "ml_cv_recall"]
+        "json_alerts", "scores_export", "inv_rollforward_blocks", "feat_lags_blocks", "star_incremental", "risk_current_incremental",
+        "dictionary_rows", "ingest_quarantine", "part_search_index", "join_po_delivery_bucketed", "feat_supplier_join"]
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -96,11 +96,43 @@ def test_no_unscalable_nodes_in_key_plans(spark):
                 assert "HashAggregate" in below or "Aggregate" in below, (k, below)
 
 
-def test_cross_validated_recall_trains_per_fold(spark):
+def test_cross_validation_trains_one_model_per_fold(spark):
     feats = ["closing_stock", "days_of_supply", "critical_item"]
     df = _separable(spark, 200).withColumn("k", (F.monotonically_increasing_id() % 3).cast("int"))
-    r = gbm.cross_validate_recall(df, F.col("k"), k=3, features=feats, maxIter=3).first()
-    assert r.n_folds == 3 and 0.0 <= r.mean_recall <= 1.0
+    seen = []
+
+    def fit(f, rows):
+        seen.append((f, rows.select("k").distinct().collect()))
+        return gbm.train(rows, feats, maxIter=3, rows_per_task=1000)
+    per = {r["fold"]: r for r in gbm.cross_validate(df, F.col("k"), k=3, features=feats, fit=fit).collect()}
+    assert sorted(f for f, _ in seen) == [0, 1, 2] == sorted(per)
+    assert all(f not in [r["k"] for r in ks] and len(ks) == 2 for f, ks in seen)
+    size = {r["k"]: (r["n"], r["p"]) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.sum("stockout_next_14d").alias("p")).collect()}
+    for f, r in per.items():
+        assert r.test_rows == size[f][0] == r.tn + r.fp + r.fn + r.tp and r.fn + r.tp == size[f][1]
+        assert r.train_rows == 200 - size[f][0] and r.recall == r.tp / (r.tp + r.fn)
+    one = gbm.cross_validate_recall(df, F.col("k"), k=3, features=feats, maxIter=3, parallel=1).first()
+    assert one.n_folds == 3 and 0.0 <= one.mean_recall <= 1.0
+    with pytest.raises(Exception, match="not in 0..1"):
+        gbm.cross_validate(df, F.col("k"), k=2, features=feats, maxIter=1)
+    assert gbm.cross_validate(df.limit(0), F.col("k"), k=3, features=feats).count() == 0
+
+
+def test_models_are_stored_once(spark, tmp_path):
+    from supplyrisk.plans import files
+    feats = ["closing_stock", "days_of_supply", "critical_item"]
+    df, path, fits = _separable(spark, 100), str(tmp_path / "m"), []
+
+    def fit():
+        fits.append(1)
+        return gbm.train(df, feats, maxIter=2)
+    files.mark(spark, str(tmp_path / "m.left-over" / "x"))   # a save that never ended is not a model
+    a, b = gbm.stored_or_trained(path, fit), gbm.stored_or_trained(path, fit)
+    assert len(fits) == 1 and gbm.stored(spark, path) and not gbm.stored(spark, str(tmp_path / "m.left-over"))
+    rows = lambda m: [r.risk_score for r in gbm.score(m, df, feats).orderBy("closing_stock").collect()]
+    assert rows(a) == rows(b)
+    gbm.store(a, path)   # the first model stays
+    assert [f for f in files.children(spark, str(tmp_path)) if f.startswith("m.")] == ["m.left-over"]
 
 
 def test_another_estimator(spark):

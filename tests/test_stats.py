@@ -59,3 +59,14 @@ def test_exact_quantile_equals_percentile_to_the_bit(spark, vals, q, buckets):
 def test_exact_quantile_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert df.select(exact_quantile(df, "x").alias("m")).first().m is None
+
+
+def test_next_values_cross_buckets(spark):
+    from supplyrisk.functions.stats import prefix_sums
+    rows = [(g, i, i * i % 7) for g in "ab" for i in range(50)] + [("c", 1, 4)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    for descending in (False, True):
+        got = {(r["g"], r["o"]): r["next_v"] for r in prefix_sums(df, "o", ["v"], descending=descending, buckets=7, partition_by=["g"],
+                                                                  next_values=True).collect()}
+        step = -1 if descending else 1
+        assert got == {(g, o): dict(((a, b), c) for a, b, c in rows).get((g, o + step)) for g, o, _ in rows}
