@@ -759,6 +759,11 @@ SELECT facility_id, product_id, snapshot_date, risk_score, risk_level FROM curre
 SQL["ml_batch_score"] = _with(CURRENT, """
 SELECT facility_id, product_id, snapshot_date, true AS score_in_range, true AS level_fits_score FROM current""")
 
+SQL["ml_scores_export"] = _with(CURRENT, """
+SELECT facility_id, product_id, snapshot_date, true AS same_score, true AS level_fits_score FROM current""")
+
+SQL["ml_top_feature"] = _with(FEATURES, "SELECT count(*) AS test_rows, true AS auc_falls FROM test_split")
+
 _FEATURE_NAMES = ["closing_stock", "days_of_supply", "avg_consumption_4w", "avg_received_4w", "stockout_rate_4w",
                   "below_safety_rate_4w", "avg_supplier_reliability", "avg_delay_days", "fulfillment_rate",
                   "facility_beds", "week_of_year", "critical_item"]

@@ -112,9 +112,8 @@ def stored(spark: SparkSession, path: str) -> bool:
     return files.exists(spark, f"{path}/{_DONE}")
 
 
-def store(model: PipelineModel, path: str) -> str:
+def store(spark: SparkSession, model: PipelineModel, path: str) -> str:
     """Save aside, then rename: a reader never meets half a model, and of two runs saving one path the first stays."""
-    spark = SparkSession.getActiveSession()
     aside = save(model, f"{path}.{uuid.uuid4().hex}")
     files.mark(spark, f"{aside}/{_DONE}")
     if not files.rename(spark, aside, path):
@@ -122,10 +121,10 @@ def store(model: PipelineModel, path: str) -> str:
     return path
 
 
-def stored_or_trained(path: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
+def stored_or_trained(spark: SparkSession, path: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
     """The model at ``path``; trained by ``fit`` and stored there when it is not."""
-    if not stored(SparkSession.getActiveSession(), path):
-        store(fit(), path)
+    if not stored(spark, path):
+        store(spark, fit(), path)
     return load(path)
 
 

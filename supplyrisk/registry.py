@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 
 from supplyrisk.functions import scalar as S
 from supplyrisk.operators import report
@@ -808,7 +808,7 @@ def _trained(spark, data, mark):
     never meet an old model.
     """
     train_df = split.by_date(data, td.TEST_CUTOFF)[0].select(*dataset.FEATURES, dataset.TARGET)
-    return gbm.stored_or_trained(_model_path(spark, mark, gbm.GB_PARAMS), lambda: gbm.train(train_df))
+    return gbm.stored_or_trained(spark, _model_path(spark, mark, gbm.GB_PARAMS), lambda: gbm.train(train_df))
 
 
 @query("ml_batch_score")
@@ -837,6 +837,36 @@ def q_scores_export(spark, d):
     return spark.read.schema("facility_id int, product_id string, snapshot_date date, risk_score double, risk_level string").json(path)
 
 
+@query("ml_scores_export")
+def q_ml_scores_export(spark, d):
+    """The model's scores of the current state, written as the export file and read back; the stored model,
+    loaded again, must give every one of them."""
+    data, mark = _model_data(spark, d)
+    cur = materialize(risk.current_state(data), name="current")
+    scored = risk.with_level(gbm.score(_trained(spark, data, mark), cur))
+    cols = ["facility_id", "product_id", "snapshot_date", "risk_score", "risk_level"]
+    path = sinks.write_scores(scored.select(*cols), sinks.scratch(spark, "scores"))
+    read = spark.read.schema("facility_id int, product_id string, snapshot_date date, risk_score double, risk_level string").json(path)
+    again = gbm.score(gbm.load(_model_path(spark, mark, gbm.GB_PARAMS)), cur, out="again").select("facility_id", "product_id", "again")
+    s = F.col("risk_score")
+    band = F.when(s <= 0.25, "Low").when(s <= 0.55, "Medium").otherwise("High")
+    return read.join(again, SERIES).select(*SERIES, "snapshot_date", (F.abs(s - F.col("again")) < 1e-12).alias("same_score"),
+                                           (F.col("risk_level") == band).alias("level_fits_score"))
+
+
+@query("ml_top_feature")
+def q_ml_top_feature(spark, d):
+    """The most important feature matters: with its values dealt to other rows the test split's AUC falls."""
+    data, mark = _model_data(spark, d)
+    model = _trained(spark, data, mark)
+    top = gbm.importances(model).orderBy(F.desc("importance"), "feature").first()["feature"]
+    test = split.by_date(data, td.TEST_CUTOFF)[1].select(*K, *[c for c in dataset.FEATURES if c not in K], dataset.TARGET)
+    dealt = Window.partitionBy(F.pmod(F.xxhash64(*K), F.lit(16))).orderBy(F.xxhash64(*K, F.lit(1)))
+    moved = test.withColumn(top, F.coalesce(F.lag(top, 7).over(dealt), F.col(top)))
+    areas = [evaluate.auc(gbm.score(model, df)).select("roc_auc").scalar() for df in (test, moved)]
+    return test.agg(F.count(F.lit(1)).alias("test_rows")).select("test_rows", (areas[0] > areas[1] + 0.01).alias("auc_falls"))
+
+
 @query("ml_importances")
 def q_ml_importances(spark, d):
     """One row per feature; importances are shares of one."""
@@ -895,7 +925,7 @@ def _cv_folds(spark, d):
 
     def fit(f, rows):
         rows = rows.select(*dataset.FEATURES, dataset.TARGET)
-        return gbm.stored_or_trained(_model_path(spark, f"{mark}|fold {f} of 5", params), lambda: gbm.train(rows, rows_per_task=200_000))
+        return gbm.stored_or_trained(spark, _model_path(spark, f"{mark}|fold {f} of 5", params), lambda: gbm.train(rows, rows_per_task=200_000))
     return gbm.cross_validate(data, td.fold_of_series(), fit=fit)
 
 

@@ -127,11 +127,11 @@ def test_models_are_stored_once(spark, tmp_path):
         fits.append(1)
         return gbm.train(df, feats, maxIter=2)
     files.mark(spark, str(tmp_path / "m.left-over" / "x"))   # a save that never ended is not a model
-    a, b = gbm.stored_or_trained(path, fit), gbm.stored_or_trained(path, fit)
+    a, b = gbm.stored_or_trained(spark, path, fit), gbm.stored_or_trained(spark, path, fit)
     assert len(fits) == 1 and gbm.stored(spark, path) and not gbm.stored(spark, str(tmp_path / "m.left-over"))
     rows = lambda m: [r.risk_score for r in gbm.score(m, df, feats).orderBy("closing_stock").collect()]
     assert rows(a) == rows(b)
-    gbm.store(a, path)   # the first model stays
+    gbm.store(spark, a, path)   # the first model stays
     assert [f for f in files.children(spark, str(tmp_path)) if f.startswith("m.")] == ["m.left-over"]
 
 
