@@ -181,7 +181,7 @@ def shard(docs: DataFrame, dimensions=DIMENSIONS, shards: int = 40, target_bytes
         .select("doc_id", "size", "text_crc32", "uid", F.col("node").alias("shard"))
     slots = prefix_sums(placed, "uid", [], rank_col="slot", partition_by=["shard"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                        F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+                        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, folder: str, dimensions=DIMENSIONS, shards: int = 40,

@@ -60,6 +60,13 @@ def _clusters(df):
                                                "centroid_sha256").collect()), key=str)
 
 
+def test_column_types_of_the_queries(spark):
+    assert dict(queries.op11_centroids(spark, SF_SMALL).dtypes) == {
+        "vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"}
+    assert dict(queries.op13_hard_negatives(spark, SF_SMALL).dtypes) == {
+        "anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"}
+
+
 def test_centroids_of_the_whole_table(spark):
     assert _clusters(queries.op11_centroids(spark, SF_CHECK)) == brute_clusters(_rows(SF_CHECK))
 
@@ -171,6 +178,8 @@ def test_shards_of_the_whole_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF_CHECK}/documents.parquet").to_pylist()]
     df = queries.op12_sharding(spark, SF_CHECK)
     assert not has_python_udf(df)
+    assert dict(df.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint",
+                               "grown_shard": "int"}
     _check_shards(_shards(df), docs, 40)
 
 
