@@ -8,7 +8,7 @@ primes are put together by Chinese remaindering (mixed radix with balanced
 digits, so negative scores need no case of their own), the primes' product
 exceeding twice the bound that the vectors' lengths put on a score.
 
-Rows lie in blocks of about ``block_rows`` by a hash of their id.  Anchors
+Rows lie in blocks of bounded size by a hash of their id.  Anchors
 are sent to every block (they are the smaller side, nothing is broadcast)
 and stream through the task that holds the block, so memory is one block
 and one pack of anchors.  Two passes: each block returns per anchor its
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from supplyrisk.plans import materialize
 
-PACK = 128       # anchors scored at a time
+PACK = 64        # anchors scored at a time
 DEPTH = 1024     # components multiplied at a time
 _SCORED = "anchor_id long, positive_id long, positive_score long, vec_id long, score long"
 
@@ -206,15 +206,18 @@ def labelled_vectors(rows: DataFrame, scale: float, vector: str = "embedding", l
 
 
 def mine(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, percent: int = 80,
-         block_rows: int = 8192) -> DataFrame:
+         block_rows: int = 32_768, least_rows: int = 8192) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
     ``vectors`` as ``labelled_vectors`` returns them; ``anchors`` tells which rows are anchors.  Per anchor
     the first ``positives`` other rows of its label, and for each the first ``negatives`` rows of other
-    labels whose score is at least ``percent`` hundredths of the positive's and not above it.
+    labels whose score is at least ``percent`` hundredths of the positive's and not above it.  Every block
+    receives every anchor, so blocks are as large as a task's memory allows (``block_rows``), and smaller,
+    down to ``least_rows``, only while there are fewer of them than shuffle partitions.
     """
     vectors = materialize(vectors, name="vectors")
-    blocks = -(-max(1, vectors.count()) // block_rows)
+    n, tasks = max(1, vectors.count()), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-n // block_rows), min(tasks, -(-n // least_rows)))
     rows = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     chosen = vectors.filter(anchors)
     none = F.lit(None).cast("array<struct<id:long,score:long>>").alias("positives")
