@@ -5,11 +5,11 @@ values and returns, per distinct owner, the values that at least two
 owners hold, with the number of owners.  Owners are classes of equal
 texts (a 128-bit key), so groups of copies count once.
 
-Values travel as packed arrays, not as rows: a task packs about 2 MB of
+Values travel as packed arrays, not as rows: a task packs about 1 MB of
 text at a time into one row per hash bucket (the owners, how many values
 each has there, and five bytes a value), one task per bucket counts the
-owners, and the values that are shared go back, packed per range of
-owners.  A task sends a class once.  Buckets follow
+owners, a part of the bucket's values at a time, and the values that are
+shared go back, packed per range of owners.  A task sends a class once.  Buckets follow
 ``spark.sql.shuffle.partitions``; a value is told apart by its bucket and
 40 more bits of its hash.
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from supplyrisk.llm.shingles import chunks, utf8
 
 HOT = 65535
+PART = 250_000   # values unpacked at a time
 _KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
 #: texts -> (values, index of the text each belongs to, owner keys of _KEY); values distinct per text, texts ascending
@@ -74,13 +75,6 @@ def _pack(q: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(q.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 _PACKED = "kind int, slot int, owners binary, counts binary, q binary, df binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "q", "df"))])
 
@@ -115,16 +109,46 @@ def _target(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys["lo"] % np.uint64(buckets)).astype(np.int64)
 
 
-def _merge(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct owner keys, owner index per value, values) of packed rows."""
-    every = np.concatenate([np.frombuffer(r["owners"], _KEY) for r in rows])
-    order = np.lexsort((every["hi"], every["lo"]))
-    s = every[order]
-    new = np.r_[True, (s["hi"][1:] != s["hi"][:-1]) | (s["lo"][1:] != s["lo"][:-1])]
-    index = np.empty(len(every), np.int32)
-    index[order] = np.cumsum(new) - 1
-    owner = np.repeat(index, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]))
-    return s[new], owner, np.concatenate([_unpack(r["q"], width) for r in rows])
+class _Held:
+    """The packed rows of one slot: owner keys, owner index per value, and the values as byte planes.
+
+    Values are unpacked a part at a time, so a task holds the packed bytes
+    and the arrays of one part, however many values the slot has.
+    """
+
+    def __init__(self, rows: list[dict], width: int):
+        every = np.concatenate([np.frombuffer(r["owners"], _KEY) for r in rows])
+        order = np.lexsort((every["hi"], every["lo"]))
+        s = every[order]
+        new = np.r_[True, (s["hi"][1:] != s["hi"][:-1]) | (s["lo"][1:] != s["lo"][:-1])]
+        index = np.empty(len(every), np.uint32)
+        index[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        self.keys = s[new]
+        self.owner = np.repeat(index, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]))
+        self.planes = np.concatenate([np.frombuffer(r["q"], np.uint8).reshape(width, -1) for r in rows], axis=1)
+
+    def parts(self, of: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of the values, a part at a time; values with equal low bits of ``of`` are in one part."""
+        parts = 1 << max(0, (len(self.owner) // PART).bit_length())
+        for p in range(parts):
+            yield np.flatnonzero((of & of.dtype.type(parts - 1)) == p) if parts > 1 else np.arange(len(self.owner))
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 8), np.uint8)
+        for i, plane in enumerate(self.planes):
+            out[:, i] = plane[at]
+        return out.view("<u8").ravel()
+
+
+def _slots(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Rows grouped by their place in the sort order; binaries stay views of the batch."""
+    def rows() -> Iterator[dict]:
+        for b in batches:
+            ints = {c: b.column(c).to_pylist() for c in ("kind", "slot")}
+            blobs = {c: b.column(c) for c in ("owners", "counts", "q", "df")}
+            for i in range(b.num_rows):
+                yield {**{c: v[i] for c, v in ints.items()}, **{c: v[i].as_buffer() for c, v in blobs.items()}}
+    return groupby(rows(), key=lambda r: tuple(r[c] for c in by))
 
 
 def shared_values(docs: DataFrame, features: Features, hot_share: float = 0.002) -> DataFrame:
@@ -164,45 +188,57 @@ def shared_values(docs: DataFrame, features: Features, hot_share: float = 0.002)
                     yield _batch(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (r for b in batches for r in b.to_pylist())
-        for (kind, slot), group in groupby(stream, key=lambda r: (r["kind"], r["slot"])):
+        for (kind, slot), group in _slots(batches, ("kind", "slot")):
             if kind == 1:
                 for r in group:
-                    yield _batch([r])
+                    yield _batch([{c: v if c in ("kind", "slot") else v.to_pybytes() for c, v in r.items()}])
                 continue
-            keys, own, q = _merge(list(group), 5)
-            order = np.lexsort((own, q))
-            q, own = q[order], own[order]
-            first = np.r_[True, (q[1:] != q[:-1]) | (own[1:] != own[:-1])]
-            q, own = q[first], own[first]
-            edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            n = np.diff(np.r_[edge, len(q)])
-            df = np.repeat(n, n)
-            keep = np.flatnonzero(df >= 2)
-            if len(keep):
-                keep = keep[np.argsort(own[keep], kind="stable")]
-                own = own[keep]
-                value = q[keep] * np.uint64(buckets) + np.uint64(slot)
-                yield _batch(_rows(1, _target(keys[own], buckets), own, keys, value, np.minimum(df[keep], HOT)))
+            held, kept = _Held(list(group), 5), []
+
+            def found() -> Iterator[pa.RecordBatch]:
+                own, q, df = (np.concatenate(x) for x in zip(*kept))
+                kept.clear()
+                if len(own):
+                    order = np.argsort(own, kind="stable")
+                    own = own[order]
+                    yield _batch(_rows(1, _target(held.keys[own], buckets), own, held.keys,
+                                       q[order] * np.uint64(buckets) + np.uint64(slot), df[order]))
+
+            for at in held.parts(held.planes[0]):   # equal values have equal low bytes
+                q, own = held.values(at), held.owner[at]
+                order = np.lexsort((own, q))
+                q, own = q[order], own[order]
+                first = np.r_[True, (q[1:] != q[:-1]) | (own[1:] != own[:-1])]
+                q, own = q[first], own[first]
+                edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+                n = np.diff(np.r_[edge, len(q)])
+                df = np.repeat(n, n)
+                keep = df >= 2
+                kept.append((own[keep], q[keep], np.minimum(df[keep], HOT).astype("<u2")))
+                if sum(len(x[0]) for x in kept) >= PART:
+                    yield from found()
+            if kept:
+                yield from found()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (r for b in batches for r in b.to_pylist())
-        for _, group in groupby(stream, key=lambda r: r["slot"]):
+        for _, group in _slots(batches, ("slot",)):
             rows = list(group)
-            keys, own, value = _merge(rows, 8)
-            df = np.concatenate([np.frombuffer(r["df"], "<u2") for r in rows])
-            order = np.lexsort((value, own))
-            own, value, df = own[order], value[order], df[order]
-            first = np.r_[True, (own[1:] != own[:-1]) | (value[1:] != value[:-1])]
-            own, value, df = own[first], value[first], df[first]
-            runs = _runs(own)
-            for at in range(0, len(runs), 2000):
-                part = runs[at:at + 2000]
-                k = keys[own[[a for a, _ in part]]]
-                yield pa.RecordBatch.from_pydict({
-                    "hi": pa.array(k["hi"].view("<i8")), "lo": pa.array(k["lo"].view("<i8")),
-                    "vals": [value[a:b].astype("<i8").tobytes() for a, b in part],
-                    "df": [df[a:b].astype("<u2").tobytes() for a, b in part]})
+            held = _Held(rows, 8)
+            dfs = np.concatenate([np.frombuffer(r["df"], "<u2") for r in rows])
+            for at in held.parts(held.owner):
+                own, value, df = held.owner[at], held.values(at), dfs[at]
+                order = np.lexsort((value, own))
+                own, value, df = own[order], value[order], df[order]
+                first = np.r_[True, (own[1:] != own[:-1]) | (value[1:] != value[:-1])]
+                own, value, df = own[first], value[first], df[first]
+                runs = _runs(own)
+                for lo in range(0, len(runs), 2000):
+                    part = runs[lo:lo + 2000]
+                    k = held.keys[own[[a for a, _ in part]]]
+                    yield pa.RecordBatch.from_pydict({
+                        "hi": pa.array(k["hi"].view("<i8")), "lo": pa.array(k["lo"].view("<i8")),
+                        "vals": [value[a:b].astype("<i8").tobytes() for a, b in part],
+                        "df": [df[a:b].astype("<u2").tobytes() for a, b in part]})
 
     packed = _texts(docs).mapInArrow(pack, _PACKED)
     counted = packed.repartition(buckets, "kind", "slot").sortWithinPartitions("kind", "slot").mapInArrow(count, _PACKED)

@@ -98,7 +98,7 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, width: int = 5
     return value, who, at
 
 
-def chunks(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``limit`` bytes; a longer text is a chunk by itself."""
     lo = size = 0
     for i, t in enumerate(texts):
