@@ -1,7 +1,6 @@
 """Loads that add to what is there: star schema, current state, code tables."""
 
 import datetime
-import itertools
 import random
 from pathlib import Path
 
@@ -38,7 +37,7 @@ WANT = sorted([("a", 1, 11, 2, _month(2)), ("b", 1, 5, 1, _month(1)), ("b", 1, 5
                ("d", 1, 9, 3, _month(3))], key=str)
 
 
-@pytest.mark.parametrize("order", [*itertools.permutations(range(3)), (0, 0, 1, 2, 2), (2, 1, 0, 1, 2, 0)])
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0), (0, 0, 1, 2, 2), (2, 1, 0, 1, 2, 0)])
 def test_any_order_and_repetition_gives_one_table(spark, tmp_path, order):
     path = str(tmp_path / "fact")
     for i in order:
