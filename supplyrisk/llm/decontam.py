@@ -69,6 +69,8 @@ def fingerprints(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 def _places(values: np.ndarray, n_words: np.ndarray, filter_bits: int) -> np.ndarray:
     """Bit of a (shingle, item length) pair in the filter; length 0 stands for any."""
+    if not n_words.any():
+        return values >> np.uint64(64 - filter_bits)   # a shingle's value is a hash already
     return mix(values ^ mix(n_words.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - filter_bits)
 
 
@@ -222,7 +224,8 @@ def matches(windows: DataFrame, items: DataFrame, percent: int, radius: int) ->
     contents = materialize(windows.select(*same).distinct().withColumn("cid", F.monotonically_increasing_id()), name="contents")
     probe = contents.select("cid", "n_words", "print", F.explode(F.array(*[F.lit(b) for b in range(BLOCKS)])).alias("block")) \
                     .withColumn("value", _block(F.col("print"), F.col("block")))
-    found = probe.join(multi_index(items, radius), ["n_words", "block", "value"]) \
+    # the index grows with the benchmark and packs well, so its stored size says little: no broadcast of it
+    found = probe.join(multi_index(items, radius).hint("merge"), ["n_words", "block", "value"]) \
                  .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     pairs = materialize(found.select("cid", "iid").distinct(), name="pairs")
     weights, other = _weights(items)
