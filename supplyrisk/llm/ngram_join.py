@@ -167,8 +167,12 @@ def row_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     component (null without words or id), ``component_id`` the smallest doc_id in it."""
     classes = materialize(set_classes(documents), name="classes")
     reps = classes.filter("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"))
-    # classes have a number of their own, as one id may have several texts
-    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), name="reps")
+    # a class goes by its smallest id, so that an original is the first pivot of its copies; of an id's
+    # several texts one does, the others by a hash of their set
+    several = reps.groupBy("doc").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("hi", "lo")).alias("f")).filter("k > 1").drop("k")
+    own = F.col("f").isNull() | (F.struct("hi", "lo") == F.col("f"))
+    reps = reps.join(several, "doc", "left").withColumn("rep", F.when(own, F.col("doc")).otherwise(F.xxhash64("hi", "lo"))).drop("f")
+    reps = materialize(reps, name="reps")
     shared = shared_values(documents, shingle_sets)
     sets = with_prefixes(shared.join(reps.drop("doc"), ["hi", "lo"]), percent)
     comps = materialize(class_links(materialize(sets, name="sets"), percent), name="linked") \
