@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from supplyrisk.operators import model as gbm
-from supplyrisk.plans import exchanges, has_python_udf, plan_text
+from supplyrisk.plans import exchanges, has_python_udf, materialize, plan_text
 from supplyrisk.sources import testdata as td
 
 from .conftest import SF_SMALL
@@ -96,6 +96,17 @@ def test_no_unscalable_nodes_in_key_plans(spark):
                 assert "HashAggregate" in below or "Aggregate" in below, (k, below)
 
 
+def test_tasks_of_a_training_follow_its_rows(spark, monkeypatch):
+    feats = ["closing_stock", "days_of_supply", "critical_item"]
+    df = materialize(_separable(spark, 200).repartition(8))
+    seen = []
+    monkeypatch.setattr(gbm.Pipeline, "fit", lambda self, data: seen.append((data.count(), data.rdd.getNumPartitions())))
+    gbm.train(df, feats)
+    gbm.train(df, feats, rows_per_task=100)
+    gbm.train(df, feats, rows_per_task=1)   # never more than the frame has
+    assert seen[:2] == [(200, 1), (200, 2)] and seen[2][0] == 200 and 1 < seen[2][1] <= 8
+
+
 def test_cross_validation_trains_one_model_per_fold(spark):
     feats = ["closing_stock", "days_of_supply", "critical_item"]
     df = _separable(spark, 200).withColumn("k", (F.monotonically_increasing_id() % 3).cast("int"))
