@@ -100,8 +100,9 @@ _TAIL = {"fact_procurement": ("order_month", ["order_id", "line_number"]),
          "fact_inventory": ("snapshot_month", ["snapshot_date"])}
 
 
-def _lines(po: DataFrame, tables: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
-    """The columns of the order lines that ``tables`` need, written once when several tables read them.
+def _lines(po: DataFrame, tables: Sequence[str], more: Sequence[str] = (), written: bool = False) -> DataFrame:
+    """The columns of the order lines that ``tables`` need, written once when several tables read them
+    (``written``: they come from a written table).
 
     ``po`` joins the lines with orders, customers and parts; facts, used
     members and dates all come from these columns, so the joins run once.
@@ -109,7 +110,7 @@ def _lines(po: DataFrame, tables: Sequence[str], more: Sequence[str] = ()) -> Da
     used = [t for t in tables if t in _LINE_COLUMNS]
     cols = dict.fromkeys([*(c for t in used for c in _LINE_COLUMNS[t]), *more])
     out = po.select(*cols)
-    return materialize(out, name="order-lines") if len(used) > 1 else out
+    return materialize(out, name="order-lines") if len(used) > 1 and not written else out
 
 
 def build(po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame,
@@ -133,43 +134,92 @@ def build(po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers:
 
 # ---- incremental load -----------------------------------------------------------
 
+def _set_versions(changes: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of each order's highest version, that version per order) of a change set.
+
+    A set of one version, the common case, is taken as it is: no row moves.
+    """
+    lo, hi = changes.agg(F.min(version), F.max(version)).first()
+    if lo == hi:
+        return changes, changes.select(F.col(key).alias("_k")).distinct().withColumn("_newest", F.lit(hi))
+    newest = materialize(changes.groupBy(F.col(key).alias("_k")).agg(F.max(version).alias("_newest")), name="versions")
+    latest = changes.join(newest, F.col(key) == F.col("_k")).where(F.col(version) == F.col("_newest")).drop("_k", "_newest")
+    return materialize(latest, name="changes"), newest
+
+
+def _marks(df: DataFrame, key: str, columns: Sequence[str], suffix: str) -> DataFrame:
+    """Per order its rows' number and two sums over their hashes; NULL sums (an overflow) are equal to none."""
+    sums = [F.try_sum(F.shiftright(F.xxhash64(F.lit(seed), *columns), 8)) for seed in (0, 1)]
+    return df.groupBy(F.col(key).alias("_k")).agg(*[c.alias(f"_{n}{suffix}") for n, c in zip("nab", (F.count(F.lit(1)), *sums))])
+
+
+def _in(month_col: str, months: Sequence) -> "F.Column":
+    """Is the month among ``months``, None included?"""
+    hit = F.col(month_col).isin([m for m in months if m is not None])
+    return F.coalesce(hit, F.lit(None in months))
+
+
+def _by_month(m) -> tuple:
+    return m is not None, m
+
+
 def merge_fact(spark: SparkSession, changes: DataFrame, path: str, month_col: str, tail: list[str],
                key: str = "order_id", version: str = "version", key_fixes_month: bool = False) -> list:
-    """Bring a change set into a month-partitioned fact table; returns the months rewritten.
+    """Bring a change set into a month-partitioned fact table; returns the months concerned.
 
     The unit of change is a whole order: of every ``key`` the rows of its
     highest ``version`` stay, and rows of an equal version replace those
     there.  So a set may be loaded again, after a failure too, and sets may
-    come in any order.  Only the months of the changed rows are read and
-    replaced, with those that hold older rows of the same orders, which may
-    lie elsewhere: finding them reads the key and version columns of the table, unless
-    ``key_fixes_month`` says that an order never changes its month.
+    come in any order.  What is to be done follows from keys and versions
+    alone: months that hold older rows of the set's orders are read and
+    replaced, other months get new files beside theirs, and an order that is
+    there with the same rows (their number and 112 bits of hash sums) is left
+    alone.  Finding the orders reads the key and version columns of the
+    table, unless ``key_fixes_month`` says that an order never changes its month.
     """
-    newest = changes.groupBy(F.col(key).alias("_k")).agg(F.max(version).alias("_newest"))
-    latest = changes.join(newest, F.col(key) == F.col("_k")).where(F.col(version) == F.col("_newest")).drop("_k", "_newest")
+    changes = changes.where(F.col(key).isNotNull() & F.col(version).isNotNull())
+    latest, newest = _set_versions(changes, key, version)
+    come_to = _months(latest, month_col)   # bounded by the calendar
     if not files.exists(spark, path):
         write_fact(latest, path, month_col, tail)
-        return [r[0] for r in latest.select(month_col).distinct().collect()]
-    latest, newest = materialize(latest, name="changes"), materialize(newest, name="versions")
+        return come_to
     old = spark.read.parquet(path)
     held = old.select(F.col(key).alias("_k"), version, month_col)
     if key_fixes_month:
-        held = held.where(F.col(month_col).isin(_months(latest, month_col)))
-    held = materialize(held.join(newest, "_k", "left_semi").groupBy("_k", month_col).agg(F.max(version).alias("_held")), name="held")
-    months = sorted({*_months(latest, month_col), *_months(held, month_col)})   # bounded by the calendar
-    stay = old.where(F.col(month_col).isin(months)).join(newest, F.col(key) == F.col("_k"), "left") \
-              .where(F.col("_newest").isNull() | (F.col(version) > F.col("_newest"))).select(*old.columns)
-    known = held.groupBy("_k").agg(F.max("_held").alias("_held"))
-    come = latest.join(known, F.col(key) == F.col("_k"), "left") \
-                 .where(F.col("_held").isNull() | (F.col(version) >= F.col("_held"))).select(*old.columns)
-    # the table's own months are read here, so the result is written aside before they are replaced
-    merged = materialize(stay.unionByName(come), name="merged")
-    left = _months(merged, month_col)
-    write_fact(merged, path, month_col, tail, months_only=True)
-    for m in months:
-        if m not in left:   # all of its rows moved to other months
-            files.delete(spark, os.path.join(path, f"{month_col}={m}"))
-    return months
+        held = held.where(_in(month_col, come_to))
+    held = materialize(held.join(newest, "_k").groupBy("_k", "_newest", month_col)
+                           .agg(F.min(version).alias("_low"), F.max(version).alias("_held")), name="held")
+    known = _months(held, month_col)
+    gone, keep = held.where("_low <= _newest"), held.where("_held > _newest").select("_k")
+    equal = held.where("_held = _newest").select("_k")
+    if not equal.isEmpty():
+        there = _marks(old.join(equal, F.col(key) == F.col("_k"), "left_semi"), key, old.columns, "_old")
+        given = _marks(latest, key, old.columns, "_new")
+        is_same = F.coalesce(F.expr(" and ".join(f"_{c}_old = _{c}_new" for c in "nab")), F.lit(False))
+        judged = materialize(given.join(there, "_k", "left").select("_k", is_same.alias("_same")), name="same")
+        if judged.where("not _same").isEmpty():   # the whole set is there
+            return sorted({*come_to, *known}, key=_by_month)
+        same = judged.where("_same").select("_k")
+        gone, keep = gone.join(same, "_k", "left_anti"), keep.unionAll(same)
+        gone = materialize(gone, name="gone")
+    come = latest.select(*old.columns)
+    if not keep.isEmpty():
+        come = come.join(keep.withColumnRenamed("_k", key), key, "left_anti").select(*old.columns)
+    months = _months(gone, month_col)
+    if months:
+        stay = old.where(_in(month_col, months)).join(gone.select("_k", "_newest").distinct(), F.col(key) == F.col("_k"), "left") \
+                  .where(F.col("_newest").isNull() | (F.col(version) > F.col("_newest"))).select(*old.columns)
+        folder = {m: os.path.join(path, f"{month_col}={'__HIVE_DEFAULT_PARTITION__' if m is None else m}") for m in months}
+        before = {m: files.children(spark, f) for m, f in folder.items()}
+        # a month's old files go when the new ones are complete, so the months can be read while they are written
+        write_fact(stay.unionByName(come.where(_in(month_col, months))), path, month_col, tail, months_only=True)
+        for m, f in folder.items():
+            if files.children(spark, f) == before[m]:   # not written: all of its rows moved to other months
+                files.delete(spark, f)
+        come = come.where(~_in(month_col, months))
+    if set(come_to) - set(months):
+        write_fact(come, path, month_col, tail, mode="append")
+    return sorted({*come_to, *known}, key=_by_month)
 
 
 def _months(df: DataFrame, month_col: str) -> list:
@@ -186,12 +236,13 @@ def append_members(spark: SparkSession, members: DataFrame, path: str, key: str)
 
 
 def load(spark: SparkSession, po: DataFrame, facilities: DataFrame, products: DataFrame, suppliers: DataFrame, root: str,
-         version: str = "version", key_fixes_month: bool = False) -> dict[str, str]:
+         version: str = "version", key_fixes_month: bool = False, written: bool = False) -> dict[str, str]:
     """Bring a change set of order lines into the star schema under ``root``: the two facts with ``version``
     (``merge_fact``), and the members and dates that it is the first to use.  Loading a set again, or sets
-    in another order, ends in the same tables."""
+    in another order, ends in the same tables.  ``written`` says that ``po`` reads a written table, which
+    needs no copy."""
     tables = [t for t in TABLES if t in _LINE_COLUMNS]
-    lines = _lines(po, tables, [version])
+    lines = _lines(po, tables, [version], written)
     paths = {name: os.path.join(root, name) for name in tables}
     for name, path in paths.items():
         if name in _TAIL:

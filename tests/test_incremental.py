@@ -155,3 +155,19 @@ def test_codes_keep_their_values(spark, tmp_path):
     assert {r["c"]: r["again"] for r in back.collect()} == {"z": "z", "new": None}
     dictionary.extend(spark, str(tmp_path / "empty"), frame().limit(0), "c")
     assert dictionary.read(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_a_set_without_older_rows_is_added_without_moving_what_is_there(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    merge = lambda rows: star.merge_fact(spark, _set(spark, rows), path, "order_month", ["order_id"])
+    merge([("b", 1, 1, 2, _month(1)), ("a", 1, 1, 1, _month(1)), ("a", 1, 1, 1, _month(1))])
+    files = lambda m: {f.name for f in (Path(path) / f"order_month={m}").glob("*.parquet")}
+    first = files(_month(1))
+    merge([("c", 1, 3, 1, _month(1)), ("b", 1, 9, 1, _month(1))])   # c is new, b is there in a higher version
+    assert first < files(_month(1))
+    second = files(_month(1))
+    merge([("a", 1, 1, 1, _month(1)), ("a", 1, 1, 1, _month(1))])   # a is there with the same rows
+    assert files(_month(1)) == second
+    merge([("a", 1, 1, 1, _month(1))])   # the same row, once: it replaces both
+    assert not files(_month(1)) & second
+    assert _rows(spark.read.parquet(path)) == [("a", 1, 1, 1, _month(1)), ("b", 1, 1, 2, _month(1)), ("c", 1, 3, 1, _month(1))]
