@@ -178,3 +178,13 @@ def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_joins_of_the_order_lines_move_no_derived_columns(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(td.purchase_orders(spark, SF_SMALL), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = text[text.index("Exchange"):]
+    assert "l_orderkey" in below and not any(x in below for x in ("order_id", "AS delay_days", "AS quantity_received"))
